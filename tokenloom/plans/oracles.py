@@ -19,3 +19,158 @@ SELECT CAST(batch AS BIGINT) AS batch, CAST(p // 512 AS BIGINT) AS block,
        CAST(count(*) AS BIGINT) AS n_tokens
 FROM num GROUP BY batch, p // 512 HAVING count(*) = 512
 """
+
+_ORD_DOCS = f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, doc_id, text FROM ({DOCS_F1}) d"
+
+ORACLES["pt_filter"] = f"SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM ({DOCS_F1}) d"
+
+ORACLES["pt_pack_offsets"] = f"""
+WITH o AS (SELECT ord, doc_id, CAST(len({words('text')}) AS BIGINT) AS n_tokens FROM ({_ORD_DOCS}) x)
+SELECT doc_id, CAST(ord // 1000 AS BIGINT) AS batch, n_tokens,
+       CAST(coalesce(sum(n_tokens) OVER (PARTITION BY ord // 1000 ORDER BY ord
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS token_offset,
+       CAST(sum(n_tokens) OVER (PARTITION BY ord // 1000) AS BIGINT) AS batch_tokens
+FROM o
+"""
+
+ORACLES["corpus_lines"] = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                  unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line_no
+           FROM documents)
+SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line FROM l WHERE line <> '' AND strlen(line) <= 2000
+"""
+
+ORACLES["word_counts"] = f"""
+SELECT tok AS token, CAST(count(*) AS BIGINT) AS count
+FROM (SELECT unnest({words('text')}) AS tok FROM documents) t GROUP BY tok
+"""
+
+ORACLES["char_coverage"] = f"""
+WITH c AS (SELECT ch, count(*) AS cnt FROM
+             (SELECT unnest(string_split(array_to_string({words('text')}, ''), '')) AS ch FROM documents) t
+           WHERE ch <> '' GROUP BY ch),
+r AS (SELECT ch, cnt,
+             coalesce(sum(cnt) OVER (ORDER BY cnt DESC, ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+               AS cum_before,
+             sum(cnt) OVER () AS total FROM c)
+SELECT ch, CAST(cnt AS BIGINT) AS cnt, CAST(cum_before AS BIGINT) AS cum_before,
+       CAST(CASE WHEN cum_before < 0.9995 * total THEN 1 ELSE 0 END AS BIGINT) AS kept
+FROM r
+"""
+
+ORACLES["encode_ws"] = f"""
+WITH {vocab_cte('v', DOCS_F1)},
+d AS (SELECT doc_id, {words('text')} AS w FROM ({DOCS_F1}) x),
+t AS (SELECT doc_id, unnest(w) AS tok, unnest(generate_series(0, len(w) - 1)) AS pos FROM d),
+e AS (SELECT doc_id, string_agg(CAST(coalesce(v.id, 0) AS VARCHAR), ' ' ORDER BY pos) AS input_ids,
+             CAST(count(*) AS BIGINT) AS n_tokens
+      FROM t LEFT JOIN v ON v.token = t.tok GROUP BY doc_id)
+SELECT doc_id, coalesce(e.input_ids, '') AS input_ids, coalesce(e.n_tokens, 0) AS n_tokens
+FROM d LEFT JOIN e USING (doc_id)
+"""
+
+ORACLES["decode"] = f"""
+WITH {vocab_cte('v', DOCS_F1)},
+docs AS (SELECT ord, {words('text')} AS w FROM ({_ORD_DOCS}) x),
+toks AS (SELECT ord, unnest(w) AS tok, unnest(generate_series(0, len(w) - 1)) AS pos FROM docs),
+num AS (SELECT ord // 1000 AS batch, row_number() OVER (PARTITION BY ord // 1000 ORDER BY ord, pos) - 1 AS p,
+               coalesce(v.id, 0) AS id
+        FROM toks LEFT JOIN v ON v.token = toks.tok),
+blk AS (SELECT batch, p // 512 AS block, p, id FROM num
+        QUALIFY count(*) OVER (PARTITION BY batch, p // 512) = 512)
+SELECT CAST(batch AS BIGINT) AS batch, CAST(block AS BIGINT) AS block,
+       string_agg(coalesce(v2.token, ''), ' ' ORDER BY p) AS text
+FROM blk LEFT JOIN v v2 ON v2.id = blk.id GROUP BY batch, block
+"""
+
+ORACLES["token_stats"] = f"""
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(len({words('text')})) AS BIGINT) AS n_tokens FROM ({DOCS_F1}) d
+"""
+
+_LANG_VOCABS = (vocab_cte('b', "SELECT text FROM documents WHERE lang = 'en'") + ", "
+                + vocab_cte('n', "SELECT text FROM documents WHERE lang <> 'en'"))
+_MERGED = f"""{_LANG_VOCABS},
+added AS (SELECT id, token FROM n WHERE token NOT IN (SELECT token FROM b)),
+m AS (SELECT id, token, CASE WHEN id < 3 THEN 0.0 ELSE -CAST(id AS DOUBLE) END AS score FROM b
+      UNION ALL
+      SELECT CAST((SELECT count(*) FROM b) + row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS id, token, 0.0
+      FROM added)"""
+
+ORACLES["vocab_merge"] = f"WITH {_MERGED} SELECT CAST(id AS BIGINT) AS id, token, CAST(score AS DOUBLE) AS score FROM m"
+
+ORACLES["vocab_missing"] = f"""
+WITH {_LANG_VOCABS}
+SELECT CAST(id AS BIGINT) AS id, token FROM n WHERE token NOT IN (SELECT token FROM b)
+"""
+
+ORACLES["vocab_remap"] = f"""
+WITH {_MERGED}
+SELECT CAST(n.id AS BIGINT) AS new_id, CAST(m.id AS BIGINT) AS old_id, n.token FROM n JOIN m ON m.token = n.token
+"""
+
+ORACLES["vocab_ratio"] = f"""
+WITH {_MERGED}
+SELECT CAST((SELECT count(*) FROM m) AS BIGINT) AS old_size, CAST((SELECT count(*) FROM n) AS BIGINT) AS new_size,
+       round(100.0 * (SELECT count(*) FROM n) / (SELECT count(*) FROM m), 2) AS ratio_pct
+"""
+
+_EMB_LONG = """SELECT CAST(vec_id AS BIGINT) AS id, label, CAST(unnest(generate_series(0, len(embedding) - 1)) AS BIGINT) AS dim,
+       CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings"""
+
+ORACLES["embed_prune"] = f"""
+WITH {_MERGED},
+r AS (SELECT n.id AS new_id, m.id AS old_id FROM n JOIN m ON m.token = n.token),
+e AS ({_EMB_LONG})
+SELECT CAST(r.new_id AS BIGINT) AS id, e.dim, round(e.value, 6) AS value FROM e JOIN r ON r.old_id = e.id
+"""
+
+ORACLES["embed_mean"] = f"""
+WITH e AS ({_EMB_LONG})
+SELECT CAST(label AS BIGINT) AS id, dim, round(avg(value), 6) AS value FROM e GROUP BY label, dim
+"""
+
+ORACLES["embed_resize"] = f"""
+WITH e AS ({_EMB_LONG})
+SELECT id, dim, round(value, 6) AS value FROM e
+UNION ALL
+SELECT CAST((SELECT max(vec_id) FROM embeddings) + 1 AS BIGINT) AS id, dim, round(avg(value), 6) AS value
+FROM e GROUP BY dim
+"""
+
+ORACLES["embed_extend"] = f"""
+WITH e AS ({_EMB_LONG}),
+l AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS r FROM (SELECT DISTINCT label FROM embeddings) x)
+SELECT id, dim, round(value, 6) AS value FROM e
+UNION ALL
+SELECT CAST((SELECT max(vec_id) FROM embeddings) + 1 + l.r AS BIGINT) AS id, e.dim, round(avg(e.value), 6) AS value
+FROM e JOIN l USING (label) GROUP BY l.r, e.dim
+"""
+
+ORACLES["max_samples"] = """
+SELECT source, doc_id FROM documents
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10
+"""
+
+ORACLES["split_exact"] = """
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rk
+           FROM documents)
+SELECT doc_id, CASE WHEN rk < CAST(ceil(0.1 * (SELECT count(*) FROM documents)) AS BIGINT)
+                    THEN 'eval' ELSE 'train' END AS split
+FROM r
+"""
+
+ORACLES["split_head"] = f"""
+WITH {vocab_cte('v', DOCS_F1)},
+docs AS (SELECT ord, {words('text')} AS w FROM ({_ORD_DOCS}) x),
+toks AS (SELECT ord, unnest(w) AS tok, unnest(generate_series(0, len(w) - 1)) AS pos FROM docs),
+num AS (SELECT ord // 1000 AS batch, row_number() OVER (PARTITION BY ord // 1000 ORDER BY ord, pos) - 1 AS p FROM toks),
+blk AS (SELECT batch, p // 512 AS block FROM num GROUP BY batch, p // 512 HAVING count(*) = 512)
+SELECT CAST(batch AS BIGINT) AS batch, CAST(block AS BIGINT) AS block,
+       CASE WHEN row_number() OVER (ORDER BY batch, block) - 1 < 100 THEN 'eval' ELSE 'train' END AS split
+FROM blk
+"""
+
+ORACLES["shuffle"] = """
+SELECT doc_id, CAST(row_number() OVER (ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS BIGINT) AS rank
+FROM documents
+"""

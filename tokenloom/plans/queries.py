@@ -11,7 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import ids_text
-from ..operators.vocab import build_vocab
+from ..functions.text import words
+from ..operators.embeddings import extend_long, gather_rows, mean_rows_long, resize_long, to_long
+from ..operators.encode import decode_ids, encode_texts
+from ..operators.filters import pretrain_filter
+from ..operators.ordinal import ordinal_from_key, with_ordinal
+from ..operators.pack import batch_offsets
+from ..operators.split import first_n_per_group, seeded_rank, split_exact, split_head
+from ..operators.vocab import (build_vocab, char_coverage, check_subset, merge_vocab, missing_tokens,
+                               remap_ids, vocab_ratio, word_counts)
+from ..sources.corpus import corpus_lines
 from ..sources.tables import table
 from .pretrain import pretrain_blocks
 
@@ -35,3 +44,204 @@ def q_pt_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = pretrain_blocks(_docs(spark, sf_dir), block=512, batch_rows=1000)
     return blocks.select("batch", "block", ids_text("input_ids").alias("input_ids"),
                          F.size("input_ids").cast("bigint").alias("n_tokens"))
+
+
+# ---------------------------------------------------------------- shared inputs
+
+def _vocab_of(spark: SparkSession, sf_dir: str, where: str | None = None):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    if where is not None:
+        docs = docs.where(where)
+    return build_vocab(docs, "text")
+
+
+def _lang_vocabs(spark: SparkSession, sf_dir: str):
+    """Base = words of English documents, new = words of the other languages."""
+    base = _vocab_of(spark, sf_dir, "lang = 'en'")
+    new = _vocab_of(spark, sf_dir, "lang <> 'en'")
+    return base, new
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select(
+        F.col("vec_id").cast("int").alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+def _long_out(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").cast("bigint").alias("id"), F.col("dim").cast("bigint").alias("dim"),
+                     F.round("value", 6).alias("value"))
+
+
+# ---------------------------------------------------------------- filters, offsets, lines
+
+@register("pt_filter")
+def q_pt_filter(spark, sf_dir):
+    """documents whose prompt is truthy (not null, not '')."""
+    rows = pretrain_filter(_docs(spark, sf_dir).withColumnRenamed("text", "prompt"), "prompt")
+    return rows.select("doc_id", F.length("prompt").cast("bigint").alias("n_chars"))
+
+
+@register("pt_pack_offsets")
+def q_pt_pack_offsets(spark, sf_dir):
+    """Per document its batch, token count, tokens before it in the batch, batch total."""
+    rows = pretrain_filter(_docs(spark, sf_dir), "text")
+    rows = ordinal_from_key(rows, "doc_id").withColumn("n_tokens", F.size(words("text")).cast("bigint"))
+    d = batch_offsets(rows.select("doc_id", "ordinal", "n_tokens"), "ordinal", "n_tokens", 1000)
+    return d.select("doc_id", F.col("_batch").alias("batch"), "n_tokens",
+                    F.col("_off").alias("token_offset"), F.col("_tot").alias("batch_tokens"))
+
+
+@register("corpus_lines")
+def q_corpus_lines(spark, sf_dir):
+    """Non-empty lines of at most 2000 bytes."""
+    lines = corpus_lines(_docs(spark, sf_dir), "doc_id", "text", 2000)
+    return lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
+
+
+@register("word_counts")
+def q_word_counts(spark, sf_dir):
+    """A1: whitespace word counts of the corpus."""
+    return word_counts(_docs(spark, sf_dir), "text").select("token", F.col("count").cast("bigint"))
+
+
+@register("char_coverage")
+def q_char_coverage(spark, sf_dir):
+    """A2: characters by frequency, running share, kept under coverage 0.9995."""
+    cc = char_coverage(_docs(spark, sf_dir), 0.9995, "text")
+    return cc.select("ch", F.col("cnt").cast("bigint"), F.col("cum_before").cast("bigint"),
+                     F.col("kept").cast("bigint"))
+
+
+# ---------------------------------------------------------------- encode / decode / stats
+
+@register("encode_ws")
+def q_encode_ws(spark, sf_dir):
+    """K1, K4: every document to ids of the corpus vocabulary."""
+    docs = pretrain_filter(_docs(spark, sf_dir), "text")
+    vocab = build_vocab(docs, "text")
+    enc = encode_texts(docs, ["doc_id"], "text", vocab)
+    return enc.select("doc_id", ids_text("input_ids").alias("input_ids"),
+                      F.size("input_ids").cast("bigint").alias("n_tokens"))
+
+
+@register("decode")
+def q_decode(spark, sf_dir):
+    """K3: packed blocks back to text through the vocabulary."""
+    docs = _docs(spark, sf_dir)
+    vocab = build_vocab(pretrain_filter(docs, "text"), "text")
+    blocks = pretrain_blocks(docs, vocab=vocab, block=512, batch_rows=1000)
+    dec = decode_ids(blocks, ["batch", "block"], "input_ids", vocab, out="text")
+    return dec.select("batch", "block", "text")
+
+
+@register("token_stats")
+def q_token_stats(spark, sf_dir):
+    """Dataset length and total token count after the filter."""
+    docs = pretrain_filter(_docs(spark, sf_dir), "text")
+    return docs.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
+                    F.sum(F.size(words("text"))).cast("bigint").alias("n_tokens"))
+
+
+# ---------------------------------------------------------------- vocabulary tables
+
+@register("vocab_merge")
+def q_vocab_merge(spark, sf_dir):
+    """Base vocabulary plus the new pieces it lacks, appended with score 0."""
+    base, new = _lang_vocabs(spark, sf_dir)
+    merged = merge_vocab(base, new)
+    return merged.table.select(F.col("id").cast("bigint"), "token", F.col("score").cast("double"))
+
+
+@register("vocab_missing")
+def q_vocab_missing(spark, sf_dir):
+    """Tokens of the new vocabulary missing from the base (what the subset check reports)."""
+    base, new = _lang_vocabs(spark, sf_dir)
+    return missing_tokens(new, base).select(F.col("id").cast("bigint"), "token")
+
+
+@register("vocab_remap")
+def q_vocab_remap(spark, sf_dir):
+    """New id -> old id through the token (new = other languages, old = merged)."""
+    base, new = _lang_vocabs(spark, sf_dir)
+    old = merge_vocab(base, new)
+    check_subset(new, old)
+    return remap_ids(new, old).select(F.col("new_id").cast("bigint"), F.col("old_id").cast("bigint"), "token")
+
+
+@register("vocab_ratio")
+def q_vocab_ratio(spark, sf_dir):
+    """Pruned / original vocabulary size in percent."""
+    base, new = _lang_vocabs(spark, sf_dir)
+    old = merge_vocab(base, new)
+    return vocab_ratio(new.table, old.table)
+
+
+# ---------------------------------------------------------------- embeddings
+
+@register("embed_prune")
+def q_embed_prune(spark, sf_dir):
+    """Rows of the kept tokens gathered from the old table and renumbered."""
+    base, new = _lang_vocabs(spark, sf_dir)
+    old = merge_vocab(base, new)
+    rows = gather_rows(remap_ids(new, old), _embeddings(spark, sf_dir).select("id", "vec"))
+    return _long_out(to_long(rows))
+
+
+@register("embed_mean")
+def q_embed_mean(spark, sf_dir):
+    """A4: mean row of each group of old rows (group = label)."""
+    emb = _embeddings(spark, sf_dir)
+    members = emb.select(F.col("label").alias("new_id"), F.col("id").alias("old_id"))
+    means = mean_rows_long(members, emb.select("id", "vec"))
+    return _long_out(means.withColumnRenamed("new_id", "id"))
+
+
+@register("embed_resize")
+def q_embed_resize(spark, sf_dir):
+    """A5: one new special token appended after the last row, set to the table mean."""
+    emb = _embeddings(spark, sf_dir).select("id", "vec")
+    return _long_out(resize_long(emb, n_new=1))
+
+
+@register("embed_extend")
+def q_embed_extend(spark, sf_dir):
+    """A4 + A6: old rows kept; one new row per label (ids after the last), the mean of its members."""
+    emb = _embeddings(spark, sf_dir)
+    top = emb.agg(F.max("id")).first()[0]
+    labels = with_ordinal(emb.select("label").distinct(), F.col("label").asc(), name="_r")
+    members = (emb.select("label", F.col("id").alias("old_id"))
+               .join(F.broadcast(labels), "label")
+               .select((F.col("_r") + F.lit(int(top) + 1)).cast("int").alias("new_id"), "old_id"))
+    new_rows = mean_rows_long(members, emb.select("id", "vec")).withColumnRenamed("new_id", "id")
+    return _long_out(extend_long(emb.select("id", "vec"), new_rows))
+
+
+# ---------------------------------------------------------------- limits, splits, shuffle
+
+@register("max_samples")
+def q_max_samples(spark, sf_dir):
+    """L1: first 10 rows of every dataset (dataset = document source), in file order."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "source")
+    return first_n_per_group(docs, "source", "doc_id", 10).select("source", "doc_id")
+
+
+@register("split_exact")
+def q_split_exact(spark, sf_dir):
+    """L2: exact 10% eval split by seeded hash (seed 42)."""
+    docs = table(spark, sf_dir, "documents", "doc_id")
+    return split_exact(docs, "doc_id", 0.1, seed=42).select("doc_id", "split")
+
+
+@register("split_head")
+def q_split_head(spark, sf_dir):
+    """The first 100 packed blocks are the eval set."""
+    blocks = pretrain_blocks(_docs(spark, sf_dir), block=512, batch_rows=1000).select("batch", "block")
+    ranked = with_ordinal(blocks, F.col("batch").asc(), F.col("block").asc())
+    return split_head(ranked, "ordinal", 100).select("batch", "block", "split")
+
+
+@register("shuffle")
+def q_shuffle(spark, sf_dir):
+    """L4: seeded shuffle order of the documents (seed 7)."""
+    docs = table(spark, sf_dir, "documents", "doc_id")
+    return seeded_rank(docs, "doc_id", 7, name="rank").select("doc_id", "rank")
