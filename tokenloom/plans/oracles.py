@@ -174,3 +174,84 @@ ORACLES["shuffle"] = """
 SELECT doc_id, CAST(row_number() OVER (ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS BIGINT) AS rank
 FROM documents
 """
+
+# ---------------------------------------------------------------- instruction data
+from ..operators.templates import TEMPLATES  # noqa: E402
+from .sqlparts import (CONV_LISTS, CONV_VOCAB, PAIR_ROWS, PROMPT_ROWS, SFT_ROWS, ids_text,  # noqa: E402
+                       literal_id_sql, seg_ids_cte, segments_sql, turns_cte)
+
+_F2 = "prompt IS NOT NULL AND prompt <> '' AND response IS NOT NULL AND response <> ''"
+_F1 = "prompt IS NOT NULL AND prompt <> ''"
+
+
+def _segs(rows, tpl_name, where):
+    tpl = TEMPLATES[tpl_name]
+    return (f"{vocab_cte('v', CONV_VOCAB)}, {CONV_LISTS}, {turns_cte(rows, tpl, where)}, "
+            f"segs AS ({segments_sql(tpl, literal_id_sql('v'))})")
+
+
+ORACLES["align"] = """
+WITH """ + CONV_LISTS + """
+SELECT conv_id, users[greatest(len(asst), 1)] AS prompt, system AS query,
+       CASE WHEN len(asst) > 0 THEN asst[len(asst)] END AS response, 'Be brief.' AS system
+FROM conv_lists
+"""
+
+ORACLES["build_query"] = """
+WITH """ + CONV_LISTS + """, r AS (SELECT conv_id, users[greatest(len(asst), 1)] AS prompt, system FROM conv_lists)
+SELECT conv_id, CASE WHEN system IS NOT NULL AND system <> '' THEN prompt || chr(10) || system ELSE prompt END AS query_text
+FROM r
+"""
+
+for _n in ("default", "alpaca", "chatglm2", "llama2", "llama2_zh"):
+    ORACLES[f"render_{_n}"] = f"""
+WITH {_segs(SFT_ROWS, _n, _F2)}
+SELECT conv_id, CAST(t AS BIGINT) AS turn,
+       coalesce(string_agg(coalesce(txt, name), '' ORDER BY seg) FILTER (WHERE side = 0), '') AS source,
+       coalesce(string_agg(coalesce(txt, name), '' ORDER BY seg) FILTER (WHERE side = 1), '') AS target
+FROM segs GROUP BY conv_id, t
+"""
+
+_SFT_IDS = f"""{_segs(SFT_ROWS, 'default', _F2)}, {seg_ids_cte('v')},
+tr AS (SELECT conv_id, t, list_slice(src, 1, 96) AS s, list_slice(tgt, 1, 160) AS g FROM ts),
+cum AS (SELECT *, sum(len(s) + len(g)) OVER (PARTITION BY conv_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS c FROM tr),
+agg AS (SELECT conv_id, flatten(list(list_concat(s, g) ORDER BY t)) AS ids,
+               flatten(list(list_concat(list_transform(s, lambda x: -100), g) ORDER BY t)) AS labels
+        FROM cum WHERE c <= 256 GROUP BY conv_id)"""
+
+ORACLES["sft_encode"] = f"""
+WITH {_SFT_IDS}
+SELECT conv_id, {ids_text('ids')} AS input_ids, {ids_text('labels')} AS labels,
+       {ids_text('list_transform(ids, lambda x: 1)')} AS attention_mask, CAST(len(ids) AS BIGINT) AS n_tokens
+FROM agg
+"""
+
+ORACLES["unsup_encode"] = f"""
+WITH {_segs(PROMPT_ROWS, 'alpaca', _F1)}, {seg_ids_cte('v')},
+lt AS (SELECT *, max(t) OVER (PARTITION BY conv_id) AS last FROM ts),
+agg AS (SELECT conv_id, flatten(list(CASE WHEN t < last THEN list_concat(src, tgt) ELSE src END ORDER BY t)) AS p,
+               max_by(tgt, t) AS a
+        FROM lt GROUP BY conv_id)
+SELECT conv_id, {ids_text('list_slice(p, 1, 256)')} AS input_ids, {ids_text('list_slice(a, 1, 128)')} AS labels
+FROM agg
+"""
+
+ORACLES["rm_encode"] = f"""
+WITH {_segs(PAIR_ROWS, 'llama2', 'TRUE')}, {seg_ids_cte('v')}
+SELECT conv_id, {ids_text('list_slice(src, 1, 512)')} AS prompt_ids, {ids_text('list_slice(tgt, 1, 64)')} AS chosen_ids,
+       {ids_text('list_slice(alt_ids, 1, 64)')} AS rejected_ids
+FROM ts
+"""
+
+ORACLES["collate"] = f"""
+WITH {_SFT_IDS},
+o AS (SELECT conv_id, ids, (row_number() OVER (ORDER BY conv_id) - 1) // 8 AS batch FROM agg),
+w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS wd FROM o),
+p AS (SELECT conv_id, batch, list_concat(list_transform(generate_series(1, wd - len(ids)), lambda x: 0), ids) AS pid,
+             list_concat(list_transform(generate_series(1, wd - len(ids)), lambda x: 0),
+                         list_transform(ids, lambda x: 1)) AS mask
+      FROM w)
+SELECT conv_id, CAST(batch AS BIGINT) AS batch, {ids_text('pid')} AS input_ids, {ids_text('mask')} AS attention_mask,
+       {ids_text('list_transform(pid, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)')} AS labels
+FROM p
+"""

@@ -20,8 +20,14 @@ from ..operators.pack import batch_offsets
 from ..operators.split import first_n_per_group, seeded_rank, split_exact, split_head
 from ..operators.vocab import (build_vocab, char_coverage, check_subset, merge_vocab, missing_tokens,
                                remap_ids, vocab_ratio, word_counts)
+from ..operators.align import add_system, align_columns, query_text
+from ..operators.examples import collate
+from ..operators.filters import sft_filter
+from ..operators.templates import seg_text
+from ..sources.conversations import pair_rows, prompt_rows, sft_rows
 from ..sources.corpus import corpus_lines
 from ..sources.tables import table
+from .instruct import pair_examples, prompt_examples, render, sft_examples
 from .pretrain import pretrain_blocks
 
 QUERIES: dict = {}
@@ -245,3 +251,85 @@ def q_shuffle(spark, sf_dir):
     """L4: seeded shuffle order of the documents (seed 7)."""
     docs = table(spark, sf_dir, "documents", "doc_id")
     return seeded_rank(docs, "doc_id", 7, name="rank").select("doc_id", "rank")
+
+
+# ---------------------------------------------------------------- instruction data
+
+def _conv(spark, sf_dir):
+    return table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+
+
+def _conv_vocab(conv):
+    return build_vocab(conv, "text")
+
+
+@register("align")
+def q_align(spark, sf_dir):
+    """Raw instruction/input/output columns renamed to prompt/query/response, system added."""
+    raw = sft_rows(_conv(spark, sf_dir)).select(
+        "conv_id", F.col("prompt").alias("instruction"), F.col("system").alias("input"),
+        F.col("response").alias("output"))
+    aligned = add_system(align_columns(raw), "Be brief.")
+    return aligned.select("conv_id", "prompt", "query", "response", "system")
+
+
+@register("build_query")
+def q_build_query(spark, sf_dir):
+    """Prompt + newline + query when the query (here: the system message) is truthy."""
+    rows = sft_rows(_conv(spark, sf_dir)).withColumn("query", F.col("system"))
+    return rows.select("conv_id", query_text("prompt", "query").alias("query_text"))
+
+
+def _render_query(template_name):
+    def q(spark, sf_dir):
+        conv = _conv(spark, sf_dir)
+        vocab = _conv_vocab(conv)
+        r, _ = render(sft_filter(sft_rows(conv)), template_name, vocab)
+        t = r.select("conv_id", F.posexplode("pairs").alias("turn", "p"))
+        return t.select("conv_id", F.col("turn").cast("bigint").alias("turn"),
+                        seg_text(F.col("p.src")).alias("source"), seg_text(F.col("p.tgt")).alias("target"))
+    q.__doc__ = f"T1-T6: {template_name} template rendered per turn (segments joined, specials by name)."
+    return q
+
+
+for _name in ("default", "alpaca", "chatglm2", "llama2", "llama2_zh"):
+    register(f"render_{_name}")(_render_query(_name))
+
+
+@register("sft_encode")
+def q_sft_encode(spark, sf_dir):
+    """Supervised examples, default template, limits 96 + 160."""
+    conv = _conv(spark, sf_dir)
+    ex = sft_examples(sft_rows(conv), "conv_id", "default", _conv_vocab(conv), 96, 160)
+    return ex.select("conv_id", ids_text("input_ids").alias("input_ids"), ids_text("labels").alias("labels"),
+                     ids_text("attention_mask").alias("attention_mask"),
+                     F.size("input_ids").cast("bigint").alias("n_tokens"))
+
+
+@register("unsup_encode")
+def q_unsup_encode(spark, sf_dir):
+    """Prompt-only examples, alpaca template, limits 256 / 128."""
+    conv = _conv(spark, sf_dir)
+    ex = prompt_examples(prompt_rows(conv), "conv_id", "alpaca", _conv_vocab(conv), 256, 128)
+    return ex.select("conv_id", ids_text("input_ids").alias("input_ids"), ids_text("labels").alias("labels"))
+
+
+@register("rm_encode")
+def q_rm_encode(spark, sf_dir):
+    """Reward pairs (first two answers), llama2 template, limits 512 / 64."""
+    conv = _conv(spark, sf_dir)
+    ex = pair_examples(pair_rows(conv), "conv_id", "llama2", _conv_vocab(conv), 512, 64)
+    return ex.select("conv_id", ids_text("prompt_ids").alias("prompt_ids"),
+                     ids_text("chosen_ids").alias("chosen_ids"), ids_text("rejected_ids").alias("rejected_ids"))
+
+
+@register("collate")
+def q_collate(spark, sf_dir):
+    """Q9: supervised examples padded per batch of 8 (left, pad = unk), pads masked in labels."""
+    conv = _conv(spark, sf_dir)
+    vocab = _conv_vocab(conv)
+    ex = sft_examples(sft_rows(conv), "conv_id", "default", vocab, 96, 160).select("conv_id", "input_ids")
+    ex = with_ordinal(ex, F.col("conv_id").asc())
+    out = collate(ex, "ordinal", vocab.pad_id, batch_size=8, padding_side="left")
+    return out.select("conv_id", "batch", ids_text("input_ids").alias("input_ids"),
+                      ids_text("attention_mask").alias("attention_mask"), ids_text("labels").alias("labels"))

@@ -31,3 +31,137 @@ def ids_text(expr: str) -> str:
 
 
 DOCS_F1 = "SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND text <> ''"
+
+
+# ---------------------------------------------------------------- instruction data
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def replace_first(s: str, needle: str, repl: str) -> str:
+    p = f"strpos({s}, {lit(needle)})"
+    return (f"(CASE WHEN {p} > 0 THEN substr({s}, 1, {p} - 1) || {repl} || substr({s}, {p} + {len(needle)}) "
+            f"ELSE {s} END)")
+
+
+CONV_LISTS = """conv_msgs AS (SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn) AS msgs
+                  FROM conversations GROUP BY conv_id),
+conv_lists AS (SELECT conv_id,
+   list_transform(list_filter(msgs, lambda m: m.role = 'user'), lambda m: m.text) AS users,
+   list_transform(list_filter(msgs, lambda m: m.role = 'assistant'), lambda m: m.text) AS asst,
+   list_transform(list_filter(msgs, lambda m: m.role = 'system'), lambda m: m.text)[1] AS system
+   FROM conv_msgs)"""
+
+SFT_ROWS = """SELECT conv_id, system, users[greatest(len(asst), 1)] AS prompt, CAST(NULL AS VARCHAR) AS query,
+       CASE WHEN len(asst) > 0 THEN asst[len(asst)] END AS response,
+       list_transform(generate_series(1, len(asst) - 1), lambda i: struct_pack(query := users[i], response := asst[i])) AS history,
+       CAST(NULL AS VARCHAR) AS alt
+FROM conv_lists"""
+
+PROMPT_ROWS = """SELECT conv_id, system, users[greatest(len(users), 1)] AS prompt, CAST(NULL AS VARCHAR) AS query,
+       coalesce(asst[greatest(len(users), 1)], '') AS response,
+       list_transform(generate_series(1, len(users) - 1), lambda i: struct_pack(query := users[i], response := asst[i])) AS history,
+       CAST(NULL AS VARCHAR) AS alt
+FROM conv_lists"""
+
+PAIR_ROWS = """SELECT conv_id, system, users[1] AS prompt, CAST(NULL AS VARCHAR) AS query,
+       asst[1] AS response,
+       list_transform(generate_series(1, 0), lambda i: struct_pack(query := users[i], response := asst[i])) AS history,
+       asst[2] AS alt
+FROM conv_lists WHERE users[1] IS NOT NULL AND users[1] <> '' AND len(asst) > 1"""
+
+TRUTHY = "({c} IS NOT NULL AND {c} <> '')"
+
+
+def turns_cte(rows_sql: str, tpl, where: str = "TRUE") -> str:
+    """``tx(conv_id, t, q, r, sys, alt, last_t)``: one row per turn after P4/P5."""
+    q = "CASE WHEN query IS NOT NULL AND query <> '' THEN prompt || chr(10) || query ELSE prompt END"
+    sys = f"CASE WHEN system IS NOT NULL AND system <> '' THEN system ELSE {lit(tpl.system)} END"
+    cur = f"[struct_pack(query := {q}, response := response)]"
+    turns = f"list_concat(coalesce(history, []), {cur})" if tpl.use_history else cur
+    return (f"rw AS (SELECT * FROM ({rows_sql}) x WHERE {where}), "
+            f"tl AS (SELECT conv_id, {sys} AS sys, alt, {turns} AS turns FROM rw), "
+            f"tx AS (SELECT conv_id, sys, alt, len(turns) - 1 AS last_t, unnest(turns) AS tr, "
+            f"unnest(generate_series(0, len(turns) - 1)) AS t FROM tl)")
+
+
+def segments_sql(tpl, lit_id) -> str:
+    """UNION ALL of ``(conv_id, t, side, seg, txt, lid, name)`` rows; ``lit_id(name)`` -> SQL for the id."""
+    parts = []
+
+    def text_row(cond, side, seg, expr):
+        parts.append(f"SELECT conv_id, t, {side} AS side, {seg} AS seg, {expr} AS txt, CAST(NULL AS INTEGER) AS lid, "
+                     f"CAST(NULL AS VARCHAR) AS name FROM tx WHERE {cond}")
+
+    def id_row(cond, side, seg, name):
+        parts.append(f"SELECT conv_id, t, {side} AS side, {seg} AS seg, CAST(NULL AS VARCHAR) AS txt, "
+                     f"CAST({lit_id(name)} AS INTEGER) AS lid, {lit(name)} AS name FROM tx WHERE {cond}")
+
+    def elems(cond, side, start, context, fill):
+        for j, e in enumerate(context):
+            if isinstance(e, dict):
+                id_row(cond, side, start + j, e["token"])
+            else:
+                text_row(cond, side, start + j, fill(lit(e)))
+
+    q = "tr.query"
+    if tpl.llama2_layout:
+        pre = tpl.prefix[0]
+        q0 = f"(replace({lit(pre)}, '{{{{system}}}}', sys) || {q})"
+        id_row("TRUE", 0, 0, "<s>")
+        for j, e in enumerate(tpl.prompt):
+            text_row("t = 0", 0, 100 + j, replace_first(lit(e), "{{query}}", q0))
+            text_row("t > 0", 0, 100 + j, replace_first(lit(e), "{{query}}", q))
+    else:
+        def prefix_fill(s):
+            return replace_first(s, "{{system}}", "sys")
+        has = []
+        for e in tpl.prefix:
+            if isinstance(e, dict):
+                has.append("TRUE")
+            else:
+                from .sqlparts import words as _w
+                has.append(f"len({_w(prefix_fill(lit(e)))}) > 0")
+        has_prefix = "(" + (" OR ".join(has) if has else "FALSE") + ")"
+        id_row("t = 0", 0, 0, "<s>")
+        elems(f"t = 0 AND {has_prefix}", 0, 1, tpl.prefix, prefix_fill)
+        elems(f"t = 0 AND {has_prefix}", 0, 50, tpl.sep, lambda s: s)
+        elems("t > 0", 0, 0, tpl.sep, lambda s: s)
+        id_row("t > 0", 0, 50, "<s>")
+
+        def prompt_fill(s):
+            return replace_first(replace_first(s, "{{query}}", q), "{{idx}}", "CAST(t AS VARCHAR)")
+        elems("TRUE", 0, 100, tpl.prompt, prompt_fill)
+    text_row("TRUE", 1, 0, "tr.response")
+    id_row("TRUE", 1, 1, "</s>")
+    text_row("t = last_t AND alt IS NOT NULL", 2, 0, "alt")
+    id_row("t = last_t AND alt IS NOT NULL", 2, 1, "</s>")
+    return "\nUNION ALL\n".join(parts)
+
+
+def seg_ids_cte(vocab: str = "v") -> str:
+    """``ids(conv_id, t, side, seg, wpos, id)`` from ``segs``."""
+    return (f"wd AS (SELECT conv_id, t, side, seg, unnest({words('txt')}) AS tok, "
+            f"unnest(generate_series(0, len({words('txt')}) - 1)) AS wpos FROM segs WHERE txt IS NOT NULL), "
+            f"ids AS (SELECT conv_id, t, side, seg, 0 AS wpos, lid AS id FROM segs WHERE lid IS NOT NULL "
+            f"UNION ALL SELECT conv_id, t, side, seg, wpos, coalesce({vocab}.id, 0) AS id "
+            f"FROM wd LEFT JOIN {vocab} ON {vocab}.token = wd.tok), "
+            f"ts AS (SELECT conv_id, t, "
+            f"coalesce(list(id ORDER BY seg, wpos) FILTER (WHERE side = 0), []) AS src, "
+            f"coalesce(list(id ORDER BY seg, wpos) FILTER (WHERE side = 1), []) AS tgt, "
+            f"coalesce(list(id ORDER BY seg, wpos) FILTER (WHERE side = 2), []) AS alt_ids "
+            f"FROM ids GROUP BY conv_id, t)")
+
+
+def literal_id_sql(vocab: str = "v"):
+    def f(name):
+        if name == "<s>":
+            return "1"
+        if name == "</s>":
+            return "2"
+        return f"coalesce((SELECT min(id) FROM {vocab} WHERE token = {lit(name)}), 0)"
+    return f
+
+
+CONV_VOCAB = "SELECT text FROM conversations"
