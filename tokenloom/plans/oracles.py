@@ -255,3 +255,39 @@ SELECT conv_id, CAST(batch AS BIGINT) AS batch, {ids_text('pid')} AS input_ids,
        {ids_text('list_transform(pid, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)')} AS labels
 FROM p
 """
+
+# ---------------------------------------------------------------- mixing
+_MIX = """ds AS (SELECT doc_id, lang AS dataset,
+                   CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 WHEN 'es' THEN 3 END AS ds
+            FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')),
+o AS (SELECT doc_id, dataset, ds, row_number() OVER (PARTITION BY ds ORDER BY doc_id) - 1 AS o,
+             count(*) OVER (PARTITION BY ds) AS n FROM ds)"""
+
+ORACLES["mix_concat"] = f"""
+WITH {_MIX}
+SELECT CAST(row_number() OVER (ORDER BY ds, doc_id) - 1 AS BIGINT) AS position, dataset, doc_id,
+       CASE WHEN ds % 2 = 0 THEN 'Answer briefly.' ELSE 'Réponds brièvement.' END AS system
+FROM o
+"""
+
+ORACLES["mix_under"] = f"""
+WITH {_MIX}
+SELECT CAST(o * 4 + ds AS BIGINT) AS position, dataset, doc_id FROM o WHERE o < (SELECT min(n) FROM o)
+"""
+
+ORACLES["mix_over"] = f"""
+WITH {_MIX}, r AS (SELECT dataset, doc_id, ds, unnest(generate_series(o, (SELECT max(n) FROM o) - 1, n)) AS i FROM o)
+SELECT CAST(i * 4 + ds AS BIGINT) AS position, dataset, doc_id FROM r
+"""
+
+ORACLES["mix_probs"] = f"""
+WITH {_MIX},
+n AS (SELECT ds, max(n) AS n FROM o GROUP BY ds),
+pos AS (SELECT p, CAST(('0x' || substr(md5('42:' || CAST(p AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
+        FROM range(0, (SELECT count(*) FROM o) + 1) t(p)),
+d AS (SELECT p, CASE WHEN u < 0.4 THEN 0 WHEN u < 0.7 THEN 1 WHEN u < 0.9 THEN 2 ELSE 3 END AS ds FROM pos),
+r AS (SELECT p, ds, row_number() OVER (PARTITION BY ds ORDER BY p) - 1 AS o FROM d),
+s AS (SELECT coalesce(min(p), (SELECT count(*) FROM o)) AS stop FROM r JOIN n USING (ds) WHERE r.o >= n.n)
+SELECT CAST(r.p AS BIGINT) AS position, o.dataset, o.doc_id
+FROM r JOIN o ON o.ds = r.ds AND o.o = r.o WHERE r.p < (SELECT stop FROM s)
+"""

@@ -20,7 +20,8 @@ from ..operators.pack import batch_offsets
 from ..operators.split import first_n_per_group, seeded_rank, split_exact, split_head
 from ..operators.vocab import (build_vocab, char_coverage, check_subset, merge_vocab, missing_tokens,
                                remap_ids, vocab_ratio, word_counts)
-from ..operators.align import add_system, align_columns, query_text
+from ..operators.align import add_system, align_columns, query_text, system_prompts
+from ..operators.mix import concat, interleave_over, interleave_probs, interleave_under
 from ..operators.examples import collate
 from ..operators.filters import sft_filter
 from ..operators.templates import seg_text
@@ -333,3 +334,41 @@ def q_collate(spark, sf_dir):
     out = collate(ex, "ordinal", vocab.pad_id, batch_size=8, padding_side="left")
     return out.select("conv_id", "batch", ids_text("input_ids").alias("input_ids"),
                       ids_text("attention_mask").alias("attention_mask"), ids_text("labels").alias("labels"))
+
+
+# ---------------------------------------------------------------- mixing
+
+# Fixed query parameters: datasets = documents by language, in this order.
+MIX_LANGS = ["en", "fr", "de", "es"]
+
+
+def _lang_sets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang")
+    return [docs.where(F.col("lang") == lg).select("doc_id") for lg in MIX_LANGS]
+
+
+@register("mix_concat")
+def q_mix_concat(spark, sf_dir):
+    """Datasets concatenated; system prompts 'x|y' spread over four datasets."""
+    systems = system_prompts("Answer briefly.|Réponds brièvement.", len(MIX_LANGS))
+    mixed = concat(_lang_sets(spark, sf_dir), "doc_id", MIX_LANGS, systems)
+    return mixed.select("position", "dataset", "doc_id", "system")
+
+
+@register("mix_under")
+def q_mix_under(spark, sf_dir):
+    """Round-robin interleave until the first dataset is exhausted."""
+    return interleave_under(_lang_sets(spark, sf_dir), "doc_id", MIX_LANGS).select("position", "dataset", "doc_id")
+
+
+@register("mix_over")
+def q_mix_over(spark, sf_dir):
+    """Round-robin interleave, shorter datasets cycling, until the last is exhausted."""
+    return interleave_over(_lang_sets(spark, sf_dir), "doc_id", MIX_LANGS).select("position", "dataset", "doc_id")
+
+
+@register("mix_probs")
+def q_mix_probs(spark, sf_dir):
+    """Seeded interleave with probabilities 0.4/0.3/0.2/0.1 until a dataset is exhausted."""
+    mixed = interleave_probs(_lang_sets(spark, sf_dir), "doc_id", [0.4, 0.3, 0.2, 0.1], 42, MIX_LANGS)
+    return mixed.select("position", "dataset", "doc_id")
