@@ -291,3 +291,13 @@ s AS (SELECT coalesce(min(p), (SELECT count(*) FROM o)) AS stop FROM r JOIN n US
 SELECT CAST(r.p AS BIGINT) AS position, o.dataset, o.doc_id
 FROM r JOIN o ON o.ds = r.ds AND o.o = r.o WHERE r.p < (SELECT stop FROM s)
 """
+
+# ---------------------------------------------------------------- byte-pair vocabulary
+ORACLES["bpe_pairs"] = f"""
+WITH wc AS (SELECT tok, count(*) AS c FROM (SELECT unnest({words('text')}) AS tok FROM documents) t GROUP BY tok),
+sy AS (SELECT c, string_split('▁' || tok, '') AS s FROM wc),
+pr AS (SELECT c, s[i] AS a, s[i + 1] AS b FROM (SELECT c, s, unnest(generate_series(1, len(s) - 1)) AS i FROM sy) x)
+SELECT a, b, CAST(sum(c) AS BIGINT) AS cnt FROM pr
+WHERE NOT (regexp_matches(a, '[0-9]') OR regexp_matches(b, '[0-9]'))
+GROUP BY a, b
+"""

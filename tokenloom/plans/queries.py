@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import ids_text
 from ..functions.text import words
+from ..operators.bpe import (WORD_MARK, bpe_vocabulary, decompose, encode_bpe, merges_table, pair_counts,
+                             train_bpe, word_table)
 from ..operators.embeddings import extend_long, gather_rows, mean_rows_long, resize_long, to_long
 from ..operators.encode import decode_ids, encode_texts
 from ..operators.filters import pretrain_filter
@@ -372,3 +374,54 @@ def q_mix_probs(spark, sf_dir):
     """Seeded interleave with probabilities 0.4/0.3/0.2/0.1 until a dataset is exhausted."""
     mixed = interleave_probs(_lang_sets(spark, sf_dir), "doc_id", [0.4, 0.3, 0.2, 0.1], 42, MIX_LANGS)
     return mixed.select("position", "dataset", "doc_id")
+
+
+# ---------------------------------------------------------------- byte-pair vocabulary
+
+BPE_MERGES = 32  # query parameter: merges learned per registered BPE query
+
+
+def _bpe(spark, sf_dir, where: str | None = None):
+    """Word table, merges and BPE vocabulary learned from the (filtered) documents."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    if where is not None:
+        docs = docs.where(where)
+    counts = word_counts(docs, "text")
+    merges = train_bpe(word_table(counts), BPE_MERGES)
+    cov = char_coverage(docs, 0.9995, "text").where(F.col("kept") == 1) \
+        .orderBy(F.col("cnt").desc(), F.col("ch").asc()).select("ch").collect()  # bounded by Unicode
+    alphabet = [WORD_MARK] + [r["ch"] for r in cov]
+    return docs, merges, bpe_vocabulary(spark, merges, alphabet)
+
+
+@register("bpe_pairs")
+def q_bpe_pairs(spark, sf_dir):
+    """A3, round 1: adjacent symbol pair counts of the marked corpus words (digits never paired)."""
+    wt = word_table(word_counts(_docs(spark, sf_dir), "text"))
+    return pair_counts(wt).select("a", "b", F.col("cnt").cast("bigint").alias("cnt"))
+
+
+@register("bpe_merges")
+def q_bpe_merges(spark, sf_dir):
+    """A3: the first merges learned from the corpus, in rank order (exact batched rounds)."""
+    _, merges, _ = _bpe(spark, sf_dir)
+    return merges_table(spark, merges)
+
+
+@register("encode_bpe")
+def q_encode_bpe(spark, sf_dir):
+    """K2: documents encoded with the learned merges (distinct words once, Arrow UDF)."""
+    docs, merges, vocab = _bpe(spark, sf_dir)
+    enc = encode_bpe(docs, "doc_id", "text", merges, vocab)
+    return enc.select("doc_id", ids_text("input_ids").alias("input_ids"),
+                      F.size("input_ids").cast("bigint").alias("n_tokens"))
+
+
+@register("vocab_decompose")
+def q_vocab_decompose(spark, sf_dir):
+    """New pieces (other languages, absent from the English vocabulary) as old BPE ids."""
+    _, merges, old = _bpe(spark, sf_dir, "lang = 'en'")
+    base, new = _lang_vocabs(spark, sf_dir)
+    added = missing_tokens(new, base)
+    dec = decompose(added, merges, old)
+    return dec.select(F.col("new_id").cast("bigint"), "token", ids_text("old_ids").alias("old_ids"))
