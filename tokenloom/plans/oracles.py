@@ -301,3 +301,27 @@ SELECT a, b, CAST(sum(c) AS BIGINT) AS cnt FROM pr
 WHERE NOT (regexp_matches(a, '[0-9]') OR regexp_matches(b, '[0-9]'))
 GROUP BY a, b
 """
+
+# ---------------------------------------------------------------- files and streams
+ORACLES["src_formats"] = """
+WITH d AS (SELECT count(*) AS n, sum(length(text)) AS c FROM documents),
+l AS (SELECT count(*) AS n, sum(length(line)) AS c
+      FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) x)
+SELECT 'docs_csv' AS dataset, 'A' AS system, CAST(n AS BIGINT) AS n_rows, CAST(c AS BIGINT) AS n_chars FROM d
+UNION ALL SELECT 'docs_json', 'B', CAST(n AS BIGINT), CAST(c AS BIGINT) FROM d
+UNION ALL SELECT 'docs_text', 'A', CAST(n AS BIGINT), CAST(c AS BIGINT) FROM l
+UNION ALL SELECT 'docs_parquet', 'B', CAST(n AS BIGINT), CAST(c AS BIGINT) FROM d
+"""
+
+ORACLES["stream_encode"] = ORACLES["encode_ws"]
+
+ORACLES["stream_pack"] = f"""
+WITH {vocab_cte('v', DOCS_F1)},
+docs AS (SELECT doc_id // 125 AS part, doc_id, {words('text')} AS w FROM ({DOCS_F1}) d),
+toks AS (SELECT part, doc_id, unnest(w) AS tok, unnest(generate_series(0, len(w) - 1)) AS pos FROM docs),
+num AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY doc_id, pos) - 1 AS p, coalesce(v.id, 0) AS id
+        FROM toks LEFT JOIN v ON v.token = toks.tok)
+SELECT CAST(part AS BIGINT) AS part, CAST(p // 512 AS BIGINT) AS block,
+       string_agg(CAST(id AS VARCHAR), ' ' ORDER BY p) AS input_ids, CAST(count(*) AS BIGINT) AS n_tokens
+FROM num GROUP BY part, p // 512 HAVING count(*) = 512
+"""

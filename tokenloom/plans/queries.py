@@ -28,7 +28,11 @@ from ..operators.examples import collate
 from ..operators.filters import sft_filter
 from ..operators.templates import seg_text
 from ..sources.conversations import pair_rows, prompt_rows, sft_rows
+from ..operators.pack import pack_text
+from ..session import stage_dir
 from ..sources.corpus import corpus_lines
+from ..sources.files import load_datasets, write_text
+from ..streaming.encode import StreamRules, read_stream, run_batches, stream_filter
 from ..sources.tables import table
 from .instruct import pair_examples, prompt_examples, render, sft_examples
 from .pretrain import pretrain_blocks
@@ -425,3 +429,82 @@ def q_vocab_decompose(spark, sf_dir):
     added = missing_tokens(new, base)
     dec = decompose(added, merges, old)
     return dec.select(F.col("new_id").cast("bigint"), "token", ids_text("old_ids").alias("old_ids"))
+
+
+# ---------------------------------------------------------------- files and streams
+
+FILE_FORMATS = ["csv", "json", "text", "parquet"]
+STREAM_FILE_ROWS = 125  # query parameter: documents per input file of the streamed queries
+
+
+@register("src_formats")
+def q_src_formats(spark, sf_dir):
+    """Documents written as csv / json / txt / parquet folders, registered in a
+    dataset_info.json, loaded back by name with column maps and system prompts 'A|B'."""
+    import json as _json
+    docs = _docs(spark, sf_dir)
+    base = stage_dir(spark, "src_formats")
+    info = {}
+    for fmt in FILE_FORMATS:
+        w = docs.select("text").write.mode("overwrite")
+        path = f"{base}/docs_{fmt}"
+        if fmt == "csv":
+            w.options(header=True, escape='"').csv(path)
+        elif fmt == "json":
+            w.json(path)
+        elif fmt == "text":
+            w.text(path)
+        else:
+            w.parquet(path)
+        info[f"docs_{fmt}"] = {"file_name": f"docs_{fmt}", "columns": {"prompt": "text"}}
+    write_text(spark, f"{base}/dataset_info.json", _json.dumps(info))
+    names = ", ".join(f"docs_{fmt}" for fmt in FILE_FORMATS)
+    sets = load_datasets(spark, base, names, system_prompt="A|B")
+    stats = [d.groupBy("dataset", "system").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_rows"),
+        F.sum(F.length("prompt")).cast("bigint").alias("n_chars")) for d in sets]
+    out = stats[0]
+    for s in stats[1:]:
+        out = out.unionByName(s)
+    return out.select("dataset", "system", "n_rows", "n_chars")
+
+
+def _stream_input(spark, sf_dir, name):
+    docs = _docs(spark, sf_dir)
+    base = stage_dir(spark, name)
+    (docs.withColumn("part", (F.col("doc_id") / F.lit(STREAM_FILE_ROWS)).cast("bigint"))
+         .repartition("part").write.partitionBy("part").parquet(f"{base}/in"))
+    stream = read_stream(spark, f"{base}/in", "doc_id bigint, text string, part bigint",
+                         max_files_per_trigger=1)
+    return docs, base, stream_filter(stream.withColumnRenamed("text", "prompt"))
+
+
+@register("stream_encode")
+def q_stream_encode(spark, sf_dir):
+    """Documents streamed file by file, filtered, tokenized per micro-batch."""
+    StreamRules(max_steps=1000).check()
+    docs, base, stream = _stream_input(spark, sf_dir, "stream_encode")
+    vocab = build_vocab(pretrain_filter(docs, "text"), "text")
+    run_batches(stream, lambda b, i: encode_texts(b, ["doc_id"], "prompt", vocab),
+                f"{base}/out", f"{base}/ckpt")
+    enc = spark.read.parquet(f"{base}/out")
+    return enc.select("doc_id", ids_text("input_ids").alias("input_ids"),
+                      F.size("input_ids").cast("bigint").alias("n_tokens"))
+
+
+@register("stream_pack")
+def q_stream_pack(spark, sf_dir):
+    """Packing per micro-batch (one input file each); each micro-batch loses its remainder."""
+    StreamRules(max_steps=1000).check()
+    docs, base, stream = _stream_input(spark, sf_dir, "stream_pack")
+    vocab = build_vocab(pretrain_filter(docs, "text"), "text")
+
+    def pack_batch(b, i):
+        rows = ordinal_from_key(b.select("doc_id", "prompt", "part"), "doc_id")
+        blocks = pack_text(rows, "ordinal", "prompt", vocab, block=512, batch_rows=1000)
+        part = b.agg(F.min("part")).first()[0]
+        return blocks.withColumn("part", F.lit(part).cast("bigint"))
+    run_batches(stream, pack_batch, f"{base}/out", f"{base}/ckpt")
+    out = spark.read.parquet(f"{base}/out")
+    return out.select("part", "block", ids_text("input_ids").alias("input_ids"),
+                      F.size("input_ids").cast("bigint").alias("n_tokens"))
