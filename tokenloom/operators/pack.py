@@ -20,34 +20,42 @@ from .encode import lookup_tokens
 from .vocab import Vocabulary
 
 
-def batch_offsets(df: DataFrame, ordinal: str, n_col: str, batch_rows: int) -> DataFrame:
-    """``_batch``, ``_off`` (tokens before the row in its batch), ``_tot`` (batch total)."""
+def batch_offsets(df: DataFrame, ordinal: str, n_col: str, batch_rows: int,
+                  groups: list[str] | None = None) -> DataFrame:
+    """``_batch``, ``_off`` (tokens before the row in its batch), ``_tot`` (batch total).
+
+    ``groups`` packs each group separately (e.g. one input file or dataset per group);
+    the ordinal then counts rows inside its group.
+    """
+    g = list(groups or [])
     d = df.withColumn("_batch", (F.col(ordinal) / F.lit(batch_rows)).cast("bigint"))
-    w = Window.partitionBy("_batch").orderBy(ordinal)
+    w = Window.partitionBy(*g, "_batch").orderBy(ordinal)
     return (d.withColumn("_off", F.coalesce(
                 F.sum(n_col).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
-             .withColumn("_tot", F.sum(n_col).over(Window.partitionBy("_batch")).cast("bigint")))
+             .withColumn("_tot", F.sum(n_col).over(Window.partitionBy(*g, "_batch")).cast("bigint")))
 
 
 def pack_text(df: DataFrame, ordinal: str, text_col: str, vocab: Vocabulary,
-              block: int = 512, batch_rows: int = 1000) -> DataFrame:
-    """Pretraining blocks: ``batch, block, input_ids array<int>, attention_mask array<int>``.
+              block: int = 512, batch_rows: int = 1000, groups: list[str] | None = None) -> DataFrame:
+    """Pretraining blocks: ``[groups], batch, block, input_ids array<int>, attention_mask array<int>``.
 
-    ``ordinal`` must be dense from 0 over the rows that passed the filter.
+    ``ordinal`` must be dense from 0 over the rows that passed the filter (per group).
     """
-    d = df.select(ordinal, text_col).withColumn("_n", F.size(words(text_col)))
-    d = batch_offsets(d, ordinal, "_n", batch_rows)
+    g = list(groups or [])
+    d = df.select(*g, ordinal, text_col).withColumn("_n", F.size(words(text_col)))
+    d = batch_offsets(d, ordinal, "_n", batch_rows, g)
     full = (F.col("_tot") / F.lit(block)).cast("bigint") * F.lit(block)
     d = d.where((F.col("_off") < full) & (F.col("_n") > 0))
-    toks = d.select("_batch", "_off", full.alias("_full"),
+    toks = d.select(*g, "_batch", "_off", full.alias("_full"),
                     F.posexplode(words(text_col)).alias("_pos", "_tok"))
     toks = toks.withColumn("_p", F.col("_off") + F.col("_pos")).where(F.col("_p") < F.col("_full"))
     toks = toks.withColumn("_blk", (F.col("_p") / F.lit(block)).cast("bigint"))
-    ided = lookup_tokens(toks.select("_batch", "_blk", "_p", "_tok"), vocab)
-    blocks = ided.groupBy("_batch", "_blk").agg(
+    ided = lookup_tokens(toks.select(*g, "_batch", "_blk", "_p", "_tok"), vocab)
+    blocks = ided.groupBy(*g, "_batch", "_blk").agg(
         F.sort_array(F.collect_list(F.struct("_p", "_id"))).alias("_s"))
     ids = F.transform("_s", lambda s: s["_id"])
     return blocks.select(
+        *g,
         F.col("_batch").alias("batch"),
         F.col("_blk").alias("block"),
         ids.alias("input_ids"),

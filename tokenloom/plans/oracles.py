@@ -317,7 +317,7 @@ ORACLES["stream_encode"] = ORACLES["encode_ws"]
 
 ORACLES["stream_pack"] = f"""
 WITH {vocab_cte('v', DOCS_F1)},
-docs AS (SELECT doc_id // 125 AS part, doc_id, {words('text')} AS w FROM ({DOCS_F1}) d),
+docs AS (SELECT doc_id // 1000 AS part, doc_id, {words('text')} AS w FROM ({DOCS_F1}) d),
 toks AS (SELECT part, doc_id, unnest(w) AS tok, unnest(generate_series(0, len(w) - 1)) AS pos FROM docs),
 num AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY doc_id, pos) - 1 AS p, coalesce(v.id, 0) AS id
         FROM toks LEFT JOIN v ON v.token = toks.tok)

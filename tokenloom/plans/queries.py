@@ -7,7 +7,7 @@ compared cell by cell; the library operators themselves return ``array<int>``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import ids_text
@@ -434,7 +434,7 @@ def q_vocab_decompose(spark, sf_dir):
 # ---------------------------------------------------------------- files and streams
 
 FILE_FORMATS = ["csv", "json", "text", "parquet"]
-STREAM_FILE_ROWS = 125  # query parameter: documents per input file of the streamed queries
+STREAM_FILE_ROWS = 1000  # query parameter: documents per input file (= the batch size of packing)
 
 
 @register("src_formats")
@@ -500,10 +500,9 @@ def q_stream_pack(spark, sf_dir):
     vocab = build_vocab(pretrain_filter(docs, "text"), "text")
 
     def pack_batch(b, i):
-        rows = ordinal_from_key(b.select("doc_id", "prompt", "part"), "doc_id")
-        blocks = pack_text(rows, "ordinal", "prompt", vocab, block=512, batch_rows=1000)
-        part = b.agg(F.min("part")).first()[0]
-        return blocks.withColumn("part", F.lit(part).cast("bigint"))
+        # a micro-batch is bounded by maxFilesPerTrigger files: a window per file is safe here
+        rows = b.withColumn("ordinal", F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) - 1)
+        return pack_text(rows, "ordinal", "prompt", vocab, block=512, batch_rows=1000, groups=["part"])
     run_batches(stream, pack_batch, f"{base}/out", f"{base}/ckpt")
     out = spark.read.parquet(f"{base}/out")
     return out.select("part", "block", ids_text("input_ids").alias("input_ids"),
