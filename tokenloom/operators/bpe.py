@@ -7,8 +7,9 @@ top ``top_k`` pairs to the driver, and accepts an exact *batch* of merges: the
 ranked pairs are taken in order while each shares no symbol (nor its result)
 with the batch and outnumbers every pair touching the batch, so the merge list is
 the one sequential BPE produces with ties broken by (count desc, left, right).
-The batch is applied with one higher-order-function pass; words left with one
-symbol leave the table; lineage is cut with a reliable checkpoint every few rounds.
+The batch is applied with codegen'd ``regexp_replace`` on space-joined symbols;
+words left with one symbol leave the table; lineage is cut with a reliable
+checkpoint every few rounds.
 
 Contract (not SentencePiece's exact trainer): words are whitespace words with a
 leading word mark, symbols start as characters, pairs touching a digit are never
@@ -35,24 +36,23 @@ def byte_tokens() -> list[str]:
 
 
 def word_table(counts: DataFrame, token: str = "token", count: str = "count") -> DataFrame:
-    """``(word, cnt, syms)``: symbols = characters of the marked word."""
+    """``(word, cnt, syms)``: symbols of the marked word joined by single spaces.
+
+    Words never contain whitespace, so a space separates symbols unambiguously and
+    merges become codegen'd ``regexp_replace`` calls instead of array rebuilding.
+    """
     marked = F.concat(F.lit(WORD_MARK), F.col(token))
     chars = F.filter(F.split(marked, ""), lambda c: c != "")
     return counts.select(F.col(token).alias("word"), F.col(count).cast("bigint").alias("cnt"),
-                         chars.alias("syms"))
-
-
-def _pairs(syms: F.Column) -> F.Column:
-    n = F.size(syms)
-    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1),
-                                     lambda i: F.struct(F.element_at(syms, i).alias("a"),
-                                                        F.element_at(syms, i + 1).alias("b")))) \
-            .otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+                         F.array_join(chars, " ").alias("syms"))
 
 
 def pair_counts(words: DataFrame, split_digits: bool = True) -> DataFrame:
     """``(a, b, cnt)``: adjacent symbol pairs weighted by word count."""
-    p = words.select("cnt", F.explode(_pairs(F.col("syms"))).alias("p"))
+    arr = F.split("syms", " ")
+    n = F.size(arr)
+    z = F.arrays_zip(F.slice(arr, 1, n - 1).alias("a"), F.slice(arr, 2, n).alias("b"))
+    p = words.select("cnt", F.explode(z).alias("p"))
     p = p.select(F.col("p.a").alias("a"), F.col("p.b").alias("b"), "cnt")
     if split_digits:
         p = p.where(~(F.col("a").rlike("[0-9]") | F.col("b").rlike("[0-9]")))
@@ -83,20 +83,27 @@ def choose_batch(ranked: list[tuple], complete: bool, limit: int) -> list[tuple]
     return batch
 
 
+def _rx_literal(sym: str) -> str:
+    """Java-regex literal for a symbol: ASCII letters/digits as is, the rest as ``\\x{..}``."""
+    return "".join(c if (c.isascii() and c.isalnum()) else f"\\x{{{ord(c):x}}}" for c in sym)
+
+
+def _rx_replacement(sym: str) -> str:
+    return sym.replace("\\", "\\\\").replace("$", "\\$")
+
+
 def apply_batch(words: DataFrame, batch: list[tuple]) -> DataFrame:
-    """Merge every batch pair left to right in one pass; drop words with one symbol left."""
-    keys = F.array(*[F.lit(a + _SEP + b) for a, b, _ in batch])
-    lefts = F.array(*[F.lit(a) for a, _, _ in batch])
-    empty = F.array().cast("array<string>")
+    """Merge every batch pair left to right (non-overlapping); drop words with one symbol left.
 
-    def step(acc, y):
-        last = F.element_at(acc, -1)
-        hit = (F.size(acc) > 0) & F.array_contains(keys, F.concat(last, F.lit(_SEP), y))
-        return F.when(hit, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, y)))) \
-                .otherwise(F.concat(acc, F.array(y)))
-    merged = F.when(F.arrays_overlap(F.col("syms"), lefts), F.aggregate("syms", empty, step)) \
-              .otherwise(F.col("syms"))
-    return words.withColumn("syms", merged).where(F.size("syms") > 1)
+    Batch pairs share no symbol and no result, so applying them one after the other
+    equals one simultaneous pass.
+    """
+    col = F.col("syms")
+    for a, b, _ in batch:
+        pat = "(?<=^| )" + _rx_literal(a) + " " + _rx_literal(b) + "(?= |$)"
+        col = F.when(F.instr(col, a + " " + b) > 0,
+                     F.regexp_replace(col, pat, _rx_replacement(a + b))).otherwise(col)
+    return words.withColumn("syms", col).where(F.instr("syms", " ") > 0)
 
 
 def train_bpe(words: DataFrame, n_merges: int, top_k: int = 256, split_digits: bool = True,
@@ -104,15 +111,19 @@ def train_bpe(words: DataFrame, n_merges: int, top_k: int = 256, split_digits: b
     """A3: up to ``n_merges`` merges ``(a, b, count)`` in rank order.
 
     The driver holds only the top ``top_k`` pairs of a round and the merge list,
-    whose length is the ``n_merges`` parameter.
+    whose length is the ``n_merges`` parameter.  Each round is one job: the pair
+    count reads the previous round's table and fills its cache.
     """
-    work = words.where(F.size("syms") > 1).select("cnt", "syms").checkpoint(eager=True)
+    work = words.where(F.instr("syms", " ") > 0).select("cnt", "syms").checkpoint(eager=True)
     merges: list[tuple] = []
     rounds = 0
+    prev = None
     while len(merges) < n_merges:
         top = (pair_counts(work, split_digits)
                .orderBy(F.col("cnt").desc(), F.col("a").asc(), F.col("b").asc())
                .limit(top_k).collect())
+        if prev is not None and prev.is_cached:
+            prev.unpersist()  # ``work`` is materialized now
         if not top:
             break
         ranked = [(r["a"], r["b"], int(r["cnt"])) for r in top]
@@ -124,13 +135,8 @@ def train_bpe(words: DataFrame, n_merges: int, top_k: int = 256, split_digits: b
         if len(merges) >= n_merges:
             break
         prev = work
-        if rounds % checkpoint_every == 0:
-            work = apply_batch(prev, batch).checkpoint(eager=True)
-        else:
-            work = apply_batch(prev, batch).persist()
-            work.count()  # materialize before the parent is released
-        if prev.is_cached:
-            prev.unpersist()
+        nxt = apply_batch(work, batch)
+        work = nxt.checkpoint(eager=True) if rounds % checkpoint_every == 0 else nxt.persist()
     if work.is_cached:
         work.unpersist()
     return merges
