@@ -32,15 +32,14 @@ def encode_texts(df: DataFrame, keys: list[str], text_col: str, vocab: Vocabular
                  out: str = "input_ids") -> DataFrame:
     """``keys + out array<int>``: ids of the words of ``text_col``, no special tokens.
 
-    Rows whose text has no word get an empty array (kept, not dropped).
+    Rows whose text has no word keep one placeholder row through the join and end
+    with an empty array (kept, not dropped); one scan, one join, one regroup.
     """
-    base = df.select(*keys, words(text_col).alias("_w"))
-    toks = base.select(*keys, F.posexplode("_w").alias("_pos", "_tok"))
+    toks = df.select(*keys, F.posexplode_outer(words(text_col)).alias("_pos", "_tok"))
     ided = lookup_tokens(toks, vocab)
-    grouped = ided.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_pos", "_id"))).alias("_p"))
-    encoded = grouped.select(*keys, F.transform("_p", lambda s: s["_id"]).alias(out))
-    empty = base.where(F.size("_w") == 0).select(*keys, F.array().cast("array<int>").alias(out))
-    return encoded.unionByName(empty)
+    item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_id"))
+    grouped = ided.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_p"))
+    return grouped.select(*keys, F.transform("_p", lambda s: s["_id"]).alias(out))
 
 
 def decode_ids(df: DataFrame, keys: list[str], ids_col: str, vocab: Vocabulary,

@@ -33,18 +33,27 @@ def units(pairs: Column, alt: Column | None = None) -> Column:
 
 
 def encode_units(df: DataFrame, key: str, units_col: str, vocab: Vocabulary) -> DataFrame:
-    """``(key, _n, _all)``: every id with its (turn, side, seg, wpos) position, sorted."""
+    """``(key, _n, _all)``: every id with its (turn, side, seg, wpos) position, sorted.
+
+    One explode path: a literal segment becomes one item carrying its id, a text
+    segment one item per word; a single vocabulary join resolves the words.
+    """
     u = df.select(key, F.size(F.filter(units_col, lambda x: x["side"] == SRC)).alias("_n"),
                   F.explode(units_col).alias("u"))
     s = u.select(key, "_n", F.col("u.turn").alias("turn"), F.col("u.side").alias("side"),
                  F.posexplode("u.segs").alias("seg", "s"))
-    lit_ids = s.where(F.col("s.i").isNotNull()).select(
-        key, "_n", "turn", "side", "seg", F.lit(0).alias("wpos"), F.col("s.i").alias("_id"))
-    txt = s.where(F.col("s.t").isNotNull()).select(
-        key, "_n", "turn", "side", "seg", F.posexplode(words(F.col("s.t"))).alias("wpos", "_tok"))
-    txt = lookup_tokens(txt, vocab).drop("_tok")
-    allr = lit_ids.unionByName(txt)
-    return allr.groupBy(key, "_n").agg(
+    item = "struct<w:int,tok:string,lit:int>"
+    items = F.when(F.col("s.i").isNotNull(),
+                   F.array(F.struct(F.lit(0).alias("w"), F.lit(None).cast("string").alias("tok"),
+                                    F.col("s.i").alias("lit")))) \
+             .otherwise(F.transform(words(F.col("s.t")), lambda w, j: F.struct(
+                 j.alias("w"), w.alias("tok"), F.lit(None).cast("int").alias("lit")))).cast(f"array<{item}>")
+    x = s.select(key, "_n", "turn", "side", "seg", F.explode(items).alias("x"))
+    x = x.select(key, "_n", "turn", "side", "seg", F.col("x.w").alias("wpos"), F.col("x.tok").alias("_tok"),
+                 F.col("x.lit").alias("_lit"))
+    ided = lookup_tokens(x, vocab)
+    ided = ided.withColumn("_id", F.when(F.col("_lit").isNotNull(), F.col("_lit")).otherwise(F.col("_id")))
+    return ided.groupBy(key, "_n").agg(
         F.sort_array(F.collect_list(F.struct("turn", "side", "seg", "wpos", "_id"))).alias("_all"))
 
 
