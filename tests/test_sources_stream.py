@@ -62,3 +62,17 @@ def test_stream_rules():
                 StreamRules(max_steps=1, max_samples=3)):
         with pytest.raises(ValueError):
             bad.check()
+
+
+def test_sinks(spark):
+    from tokenloom.sources.files import list_files
+    from tokenloom.sources.sinks import stage_table, write_shards
+    d = tempfile.mkdtemp(prefix="tl-sink-")
+    df = spark.range(100).withColumnRenamed("id", "k")
+    write_shards(df.coalesce(1), f"{d}/shards", 30)
+    assert len([f for f in list_files(spark, f"{d}/shards") if f.endswith(".parquet")]) == 4
+    a = stage_table(df, f"{d}/stage")
+    b = stage_table(spark.range(5), f"{d}/stage")  # reused, not recomputed
+    assert a.count() == b.count() == 100
+    c = stage_table(spark.range(5), f"{d}/stage", overwrite=True)
+    assert c.count() == 5

@@ -325,3 +325,5 @@ SELECT CAST(part AS BIGINT) AS part, CAST(p // 512 AS BIGINT) AS block,
        string_agg(CAST(id AS VARCHAR), ' ' ORDER BY p) AS input_ids, CAST(count(*) AS BIGINT) AS n_tokens
 FROM num GROUP BY part, p // 512 HAVING count(*) = 512
 """
+
+ORACLES["embed_shards"] = ORACLES["embed_prune"]

@@ -32,6 +32,7 @@ from ..operators.pack import pack_text
 from ..session import stage_dir
 from ..sources.corpus import corpus_lines
 from ..sources.files import load_datasets, write_text
+from ..sources.sinks import shard_rows_for, write_shards
 from ..streaming.encode import StreamRules, read_stream, run_batches, stream_filter
 from ..sources.tables import table
 from .instruct import pair_examples, prompt_examples, render, sft_examples
@@ -507,3 +508,14 @@ def q_stream_pack(spark, sf_dir):
     out = spark.read.parquet(f"{base}/out")
     return out.select("part", "block", ids_text("input_ids").alias("input_ids"),
                       F.size("input_ids").cast("bigint").alias("n_tokens"))
+
+
+@register("embed_shards")
+def q_embed_shards(spark, sf_dir):
+    """Pruned embedding rows written in shards of at most 64 KB of values, read back."""
+    base, new = _lang_vocabs(spark, sf_dir)
+    old = merge_vocab(base, new)
+    rows = gather_rows(remap_ids(new, old), _embeddings(spark, sf_dir).select("id", "vec"))
+    path = stage_dir(spark, "embed_shards")
+    write_shards(rows, path, shard_rows_for(64 << 10, 64))
+    return _long_out(to_long(spark.read.parquet(path)))
