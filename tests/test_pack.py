@@ -54,3 +54,13 @@ def test_pack_conservation_and_repartition(spark):
     expected = sum((r["n"] // 64) * 64 for r in per_batch)
     assert sum(len(x[2]) for x in ra) == expected
     assert all(len(x[2]) == 64 for x in ra)
+
+
+def test_assign_batches_fallback_equal(spark):
+    from tokenloom.operators.ordinal import assign_batches
+    df = spark.range(0, 5000, 3).withColumnRenamed("id", "k").where("k % 7 <> 0")
+    a = {r["k"]: r["_b"] for r in assign_batches(df, "k", 100, name="_b").collect()}
+    b = {r["k"]: r["_b"] for r in assign_batches(df, "k", 100, name="_b", max_boundaries=0).collect()}
+    assert a == b
+    ks = sorted(a)
+    assert all(a[k] == i // 100 for i, k in enumerate(ks))

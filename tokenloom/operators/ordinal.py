@@ -9,6 +9,8 @@ per-partition counts (one row per partition) and a broadcast of their offsets.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,3 +42,31 @@ def with_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal") ->
 def ordinal_from_key(df: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
     """Dense ordinal from a unique key column (e.g. ``doc_id``)."""
     return with_ordinal(df, F.col(key).asc(), name=name)
+
+
+# Boundaries above this count are not broadcast; the wide-row ordinal is used instead.
+MAX_BOUNDARIES = 4_000_000
+
+
+def assign_batches(df: DataFrame, key: str, batch_rows: int, name: str = "_batch",
+                   max_boundaries: int = MAX_BOUNDARIES) -> DataFrame:
+    """``name`` = (dense rank of ``key``) div ``batch_rows``, without sorting the wide rows.
+
+    Only the key column is ranked (narrow sort + checkpoint); the first key of every
+    batch (n / batch_rows keys, size-checked) is broadcast and each row finds its batch
+    by binary search in an Arrow-batched UDF.  The wide rows then move once, in the
+    caller's per-batch window.  Above ``max_boundaries`` the wide rows are ranked directly.
+    """
+    keys = with_ordinal(df.select(key), F.col(key).asc(), name="_o")
+    n_batches = -(-keys.count() // batch_rows)
+    if n_batches > max_boundaries:
+        ranked = with_ordinal(df, F.col(key).asc(), name="_o")
+        return ranked.withColumn(name, (F.col("_o") / F.lit(batch_rows)).cast("bigint")).drop("_o")
+    firsts = [r[0] for r in keys.where(F.col("_o") % batch_rows == 0).orderBy("_o").select(key).collect()]
+    bounds = df.sparkSession.sparkContext.broadcast(np.asarray(firsts))
+
+    @F.pandas_udf("bigint")
+    def batch_of(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds.value, k.to_numpy(), side="right") - 1, dtype="int64")
+
+    return df.withColumn(name, batch_of(F.col(key)))

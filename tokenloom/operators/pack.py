@@ -21,14 +21,18 @@ from .vocab import Vocabulary
 
 
 def batch_offsets(df: DataFrame, ordinal: str, n_col: str, batch_rows: int,
-                  groups: list[str] | None = None) -> DataFrame:
+                  groups: list[str] | None = None, batch_col: str | None = None) -> DataFrame:
     """``_batch``, ``_off`` (tokens before the row in its batch), ``_tot`` (batch total).
 
     ``groups`` packs each group separately (e.g. one input file or dataset per group);
-    the ordinal then counts rows inside its group.
+    the ordinal then counts rows inside its group.  With ``batch_col`` the batch is
+    given and ``ordinal`` only orders rows inside it (any sortable key).
     """
     g = list(groups or [])
-    d = df.withColumn("_batch", (F.col(ordinal) / F.lit(batch_rows)).cast("bigint"))
+    if batch_col is not None:
+        d = df.withColumn("_batch", F.col(batch_col))
+    else:
+        d = df.withColumn("_batch", (F.col(ordinal) / F.lit(batch_rows)).cast("bigint"))
     w = Window.partitionBy(*g, "_batch").orderBy(ordinal)
     return (d.withColumn("_off", F.coalesce(
                 F.sum(n_col).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
@@ -36,14 +40,17 @@ def batch_offsets(df: DataFrame, ordinal: str, n_col: str, batch_rows: int,
 
 
 def pack_text(df: DataFrame, ordinal: str, text_col: str, vocab: Vocabulary,
-              block: int = 512, batch_rows: int = 1000, groups: list[str] | None = None) -> DataFrame:
+              block: int = 512, batch_rows: int = 1000, groups: list[str] | None = None,
+              batch_col: str | None = None) -> DataFrame:
     """Pretraining blocks: ``[groups], batch, block, input_ids array<int>, attention_mask array<int>``.
 
-    ``ordinal`` must be dense from 0 over the rows that passed the filter (per group).
+    ``ordinal`` must be dense from 0 over the rows that passed the filter (per group),
+    unless ``batch_col`` already holds the batch (then ``ordinal`` is any order key).
     """
     g = list(groups or [])
-    d = df.select(*g, ordinal, text_col).withColumn("_n", F.size(words(text_col)))
-    d = batch_offsets(d, ordinal, "_n", batch_rows, g)
+    extra = [batch_col] if batch_col is not None else []
+    d = df.select(*g, *extra, ordinal, text_col).withColumn("_n", F.size(words(text_col)))
+    d = batch_offsets(d, ordinal, "_n", batch_rows, g, batch_col)
     full = (F.col("_tot") / F.lit(block)).cast("bigint") * F.lit(block)
     d = d.where((F.col("_off") < full) & (F.col("_n") > 0))
     toks = d.select(*g, "_batch", "_off", full.alias("_full"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.filters import pretrain_filter
-from ..operators.ordinal import ordinal_from_key
+from ..operators.ordinal import assign_batches
 from ..operators.pack import pack_text
 from ..operators.vocab import Vocabulary, build_vocab
 
@@ -21,5 +21,5 @@ def pretrain_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = pretrain_filter(docs.select(key, F.col(text).alias("prompt")), "prompt")
     if vocab is None:
         vocab = build_vocab(rows, "prompt")
-    rows = ordinal_from_key(rows, key)
-    return pack_text(rows, "ordinal", "prompt", vocab, block=block, batch_rows=batch_rows)
+    rows = assign_batches(rows, key, batch_rows, name="_bt")
+    return pack_text(rows, key, "prompt", vocab, block=block, batch_rows=batch_rows, batch_col="_bt")
