@@ -76,3 +76,21 @@ def test_sinks(spark):
     assert a.count() == b.count() == 100
     c = stage_table(spark.range(5), f"{d}/stage", overwrite=True)
     assert c.count() == 5
+
+
+def test_ingest_ordinal_many_splits(spark):
+    """Dense, in file/line order, across many files and several splits per file."""
+    from tokenloom.sources.files import read_files
+    d = tempfile.mkdtemp(prefix="tl-ing-")
+    for f in range(5):
+        _write(f"{d}/f{f}.txt", "".join(f"{f}-{i}\n" for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        files = sorted(f"{d}/f{f}.txt" for f in range(5))
+        rows = read_files(spark, files).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = sorted((r["ordinal"], r["text"]) for r in rows)
+    want = [(i, t) for i, t in enumerate(f"{f}-{j}" for f in range(5) for j in range(3000))]
+    assert got == want

@@ -51,3 +51,12 @@ def test_interleave_probs_consumes_in_order(spark):
         seq = [r["k"] for r in out if r["ds"] == ds]
         assert seq == list(range(len(seq)))
     assert len({r["k"] for r in out if r["ds"] == 0}) == 8 or len({r["k"] for r in out if r["ds"] == 1}) == 8
+
+
+def test_concat_on_ingest_ordinal(spark):
+    from tokenloom.operators.mix import concat
+    a = spark.createDataFrame([(0, "a"), (1, "b")], "ordinal long, v string")
+    b = spark.createDataFrame([(0, "x"), (1, "y"), (2, "z")], "ordinal long, v string")
+    out = concat([a, b], "ordinal", ["A", "B"], ["s", "t"]).orderBy("position").collect()
+    assert [(r["position"], r["v"], r["dataset"], r["system"]) for r in out] == [
+        (0, "a", "A", "s"), (1, "b", "A", "s"), (2, "x", "B", "t"), (3, "y", "B", "t"), (4, "z", "B", "t")]

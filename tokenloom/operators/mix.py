@@ -1,8 +1,8 @@
 """Mixing several datasets.
 
-Every dataset is a DataFrame with a unique order key.  One dense ordinal over
-``(dataset index, key)`` gives the concatenation; per-dataset starts and lengths
-are a k-row table (k = number of datasets), so broadcasting it is always safe.
+Every dataset is a DataFrame with a unique order key (or its dense ingest
+``ordinal``, which needs no sort).  Per-dataset starts and lengths are k numbers
+(k = number of datasets), used as literals.
 Oversampling emits each row's repeats with ``explode(sequence(...))`` instead of
 joining a generated position table, so a tiny dataset repeated a million times
 never becomes a hot join key.
@@ -16,50 +16,65 @@ from pyspark.sql import functions as F
 from .ordinal import with_ordinal
 
 
-def tag(datasets: list[DataFrame], names: list[str] | None = None,
-        systems: list | None = None) -> DataFrame:
-    """Union with ``ds`` (index), ``dataset`` (name) and optional per-dataset ``system``."""
-    out = None
+def local_ordinals(datasets: list[DataFrame], key: str, names: list[str] | None = None,
+                   systems: list | None = None) -> tuple[DataFrame, list[int]]:
+    """Union with ``ds``, ``dataset``, optional ``system`` and ``o`` = dense row number inside
+    its dataset; plus the k dataset sizes.
+
+    With ``key == "ordinal"`` the datasets already carry their dense ingest order and
+    nothing is sorted; otherwise each dataset is ranked by ``key``.
+    """
+    parts = []
     for i, df in enumerate(datasets):
-        d = df.withColumn("ds", F.lit(i)).withColumn("dataset", F.lit(names[i] if names else str(i)))
+        d = df.withColumn("o", F.col("ordinal")) if key == "ordinal" else \
+            with_ordinal(df, F.col(key).asc(), name="o")
+        d = d.withColumn("ds", F.lit(i)).withColumn("dataset", F.lit(names[i] if names else str(i)))
         if systems is not None:
             d = d.withColumn("system", F.lit(systems[i]).cast("string"))
-        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
-    return out
+        parts.append(d)
+    rows = parts[0]
+    for d in parts[1:]:
+        rows = rows.unionByName(d, allowMissingColumns=True)
+    counts = {r["ds"]: int(r["n"]) for r in rows.groupBy("ds").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return rows, [counts.get(i, 0) for i in range(len(datasets))]
 
 
 def concat(datasets: list[DataFrame], key: str, names: list[str] | None = None,
            systems: list | None = None) -> DataFrame:
-    """Datasets one after another; ``position`` dense over (dataset, key)."""
-    return with_ordinal(tag(datasets, names, systems), F.col("ds").asc(), F.col(key).asc(), name="position")
+    """Datasets one after another; ``position`` = start of the dataset + row number in it."""
+    rows, sizes = local_ordinals(datasets, key, names, systems)
+    starts, acc = [], 0
+    for n in sizes:
+        starts.append(acc)
+        acc += n
+    start = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in starts]), F.col("ds") + 1)
+    return rows.withColumn("position", start + F.col("o")).drop("o")
 
 
-def with_local_ordinal(datasets: list[DataFrame], key: str, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(rows with o = ordinal inside its dataset, sizes(ds, start, n))``."""
-    rows = concat(datasets, key, names)
-    sizes = rows.groupBy("ds").agg(F.min("position").alias("start"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(F.broadcast(sizes), "ds").withColumn("o", F.col("position") - F.col("start"))
-    return rows, sizes
+def with_local_ordinal(datasets: list[DataFrame], key: str, names: list[str] | None = None) -> tuple[DataFrame, list[int]]:
+    """``(rows with ds / dataset / o, sizes)``."""
+    return local_ordinals(datasets, key, names)
 
 
 def interleave_under(datasets: list[DataFrame], key: str, names: list[str] | None = None) -> DataFrame:
     """U2 first_exhausted: round robin until the shortest dataset ends (k * min_len rows)."""
     k = len(datasets)
     rows, sizes = with_local_ordinal(datasets, key, names)
-    min_len = sizes.agg(F.min("n")).first()[0] or 0
+    min_len = min(sizes) if sizes else 0
     return (rows.where(F.col("o") < min_len)
             .withColumn("position", F.col("o") * k + F.col("ds"))
-            .drop("start", "n", "o"))
+            .drop("o"))
 
 
 def interleave_over(datasets: list[DataFrame], key: str, names: list[str] | None = None) -> DataFrame:
     """U2 all_exhausted: round robin, shorter datasets cycle, until the longest ends (k * max_len)."""
     k = len(datasets)
     rows, sizes = with_local_ordinal(datasets, key, names)
-    max_len = sizes.agg(F.max("n")).first()[0] or 0
-    rep = F.explode(F.sequence(F.col("o"), F.lit(max_len - 1), F.col("n")))
-    out = rows.where(F.col("o") < max_len).withColumn("_i", rep)
-    return out.withColumn("position", F.col("_i") * k + F.col("ds")).drop("start", "n", "o", "_i")
+    max_len = max(sizes) if sizes else 0
+    n = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in sizes]), F.col("ds") + 1)
+    rep = F.explode(F.sequence(F.col("o"), F.lit(max_len - 1).cast("bigint"), n))
+    out = rows.withColumn("_i", rep)
+    return out.withColumn("position", F.col("_i") * k + F.col("ds")).drop("o", "_i")
 
 
 def interleave_probs(datasets: list[DataFrame], key: str, probs: list[float], seed: int = 42,
@@ -79,8 +94,7 @@ def interleave_probs(datasets: list[DataFrame], key: str, probs: list[float], se
         acc += p / total
         cum.append(acc)
     rows, sizes = with_local_ordinal(datasets, key, names)
-    size_rows = sizes.collect()  # k rows
-    n_total = sum(r["n"] for r in size_rows)
+    n_total = sum(sizes)
     # uniform in [0, 1) from 52 bits of md5('<seed>:<p>'): reproducible in plain SQL
     hexd = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("p").cast("string"))), 1, 13)
     u = F.conv(hexd, 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
@@ -95,9 +109,9 @@ def interleave_probs(datasets: list[DataFrame], key: str, probs: list[float], se
     pos = pos.join(offs.select("_c", "ds", "_off"), ["_c", "ds"])
     pos = pos.withColumn("o", F.col("_off") + F.row_number().over(
         Window.partitionBy("_c", "ds").orderBy("p")) - 1)
-    lens = spark.createDataFrame([(int(r["ds"]), int(r["n"])) for r in size_rows], "ds int, n long")
+    lens = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "ds int, n long")
     pos = pos.join(F.broadcast(lens), "ds")
     stop = pos.where(F.col("o") >= F.col("n")).agg(F.min("p")).first()[0]
     stop = n_total if stop is None else stop
     picked = pos.where(F.col("p") < stop).select(F.col("p").alias("position"), "ds", "o")
-    return picked.join(rows.drop("position", "start", "n"), ["ds", "o"]).drop("o")
+    return picked.join(rows, ["ds", "o"]).drop("o")

@@ -12,11 +12,10 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.align import add_system, align_columns, system_prompts
-from ..operators.ordinal import with_ordinal
 
 # File extension -> reader (parquet added to the reference's four).
 EXT2TYPE = {"csv": "csv", "json": "json", "jsonl": "json", "txt": "text", "parquet": "parquet"}
@@ -71,12 +70,27 @@ def read_files(spark: SparkSession, files: list[str], schema=None) -> DataFrame:
         df = reader.text(files).withColumnRenamed("value", "text")
     else:
         df = reader.parquet(*files)
-    # Order at ingest: (file, block, position inside the block's read order).
+    return ingest_ordinal(df)
+
+
+def ingest_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
+    """Dense row number in (file, block, read position) order, without sorting the rows.
+
+    Rows of one file split are read by one task, consecutively, so inside a split
+    ``monotonically_increasing_id`` is contiguous.  Per-split counts and first ids form
+    a table with one row per split (bounded by the file listing); its running offsets
+    are broadcast and ``ordinal = offset + id - first id``.  The scan's split-to-task
+    assignment is fixed by the file listing, so a retried task reproduces its ids.
+    """
     cols = df.columns
-    df = df.select(*cols, F.col("_metadata.file_path").alias("_f"),
-                   F.col("_metadata.file_block_start").alias("_b"),
-                   F.monotonically_increasing_id().alias("_m"))
-    return with_ordinal(df, "_f", "_b", "_m").drop("_f", "_b", "_m")
+    d = df.select(*cols, F.col("_metadata.file_path").alias("_f"),
+                  F.col("_metadata.file_block_start").alias("_b"),
+                  F.monotonically_increasing_id().alias("_m"))
+    splits = d.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+    w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = splits.select("_f", "_b", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    out = d.join(F.broadcast(offs), ["_f", "_b"])
+    return out.select(*cols, (F.col("_off") + F.col("_m") - F.col("_m0")).cast("bigint").alias(name))
 
 
 def read_dataset(spark: SparkSession, dataset_dir: str, file_name: str, schema=None) -> DataFrame:
