@@ -4,39 +4,49 @@ Packing, ``max_samples``, head splits and new vocabulary ids all depend on row
 order, which Spark does not keep.  ``with_ordinal`` gives a dense 0..n-1 index in
 the order of unique sort keys without a single-partition window: a range sort,
 one reliable checkpoint (the id assignment must not change if a task is retried),
-per-partition counts (one row per partition) and a broadcast of their offsets.
+per-partition counts (one row per partition) and their offsets as a literal array.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition id above bit 33
 
 
-def with_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal") -> DataFrame:
-    """Add a dense ``name`` column (bigint, from 0) following ``order``.
+def with_ordinal_n(df: DataFrame, *order: Column | str, name: str = "ordinal") -> tuple[DataFrame, int]:
+    """``(df + dense name column, row count)``; see :func:`with_ordinal`.
 
-    The order columns must identify a row, else ties break arbitrarily.
+    The per-partition counts (one row per partition of the sorted table, bounded by
+    the partition count) come to the driver; their running offsets go back as a
+    literal array indexed by partition id, so no join and no window job are needed.
     """
     ordered = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
     ordered = ordered.checkpoint(eager=True)
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    counts = ordered.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_cnt"))
-    # One row per partition: bounded by the partition count, safe to order globally and broadcast.
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(
-            F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_off"),
-    )
-    out = ordered.join(F.broadcast(offsets), pid == F.col("_pid"))
-    return out.withColumn(name, (F.col("_off") + local).cast("bigint")).drop("_mid", "_pid", "_off")
+    counts = {int(r[0]): int(r[1]) for r in
+              ordered.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1))).collect()}
+    n_parts = (max(counts) + 1) if counts else 0
+    offsets, acc = [], 0
+    for p in range(n_parts):
+        offsets.append(acc)
+        acc += counts.get(p, 0)
+    if not offsets:
+        return ordered.withColumn(name, F.lit(None).cast("bigint")).drop("_mid"), 0
+    off = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), (pid + 1).cast("int"))
+    return ordered.withColumn(name, (off + local).cast("bigint")).drop("_mid"), acc
+
+
+def with_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal") -> DataFrame:
+    """Add a dense ``name`` column (bigint, from 0) following ``order``.
+
+    The order columns must identify a row, else ties break arbitrarily.
+    """
+    return with_ordinal_n(df, *order, name=name)[0]
 
 
 def ordinal_from_key(df: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
@@ -57,8 +67,8 @@ def assign_batches(df: DataFrame, key: str, batch_rows: int, name: str = "_batch
     by binary search in an Arrow-batched UDF.  The wide rows then move once, in the
     caller's per-batch window.  Above ``max_boundaries`` the wide rows are ranked directly.
     """
-    keys = with_ordinal(df.select(key), F.col(key).asc(), name="_o")
-    n_batches = -(-keys.count() // batch_rows)
+    keys, n = with_ordinal_n(df.select(key), F.col(key).asc(), name="_o")
+    n_batches = -(-n // batch_rows)
     if n_batches > max_boundaries:
         ranked = with_ordinal(df, F.col(key).asc(), name="_o")
         return ranked.withColumn(name, (F.col("_o") / F.lit(batch_rows)).cast("bigint")).drop("_o")

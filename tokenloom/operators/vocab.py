@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.joins import broadcast_if_small
 from ..functions.text import words
-from .ordinal import with_ordinal
+from .ordinal import with_ordinal_n
 
 # Special pieces of the base tokenizer and their ids (unk, bos, eos).
 SPECIAL_TOKENS = ["<unk>", "<s>", "</s>"]
@@ -74,7 +74,7 @@ def vocab_from_counts(counts: DataFrame, specials: list[str] = SPECIAL_TOKENS) -
     spark = counts.sparkSession
     sp = specials_table(spark, specials)
     plain = counts.join(F.broadcast(sp.select("token")), "token", "left_anti")
-    ranked = with_ordinal(plain, F.col("count").desc(), F.col("token").asc())
+    ranked, n_words = with_ordinal_n(plain, F.col("count").desc(), F.col("token").asc())
     n0 = len(specials)
     body = ranked.select(
         (F.col("ordinal") + n0).cast("int").alias("id"),
@@ -82,7 +82,7 @@ def vocab_from_counts(counts: DataFrame, specials: list[str] = SPECIAL_TOKENS) -
         (-(F.col("ordinal") + n0)).cast("float").alias("score"),
     )
     table = sp.unionByName(body)
-    size = n0 + ranked.count()
+    size = n0 + n_words
     ids = {t: i for i, t in enumerate(specials)}
     return Vocabulary(table, size, ids.get("<unk>"), ids.get("<s>"), ids.get("</s>"))
 
@@ -105,14 +105,14 @@ def vocabulary_from_table(table: DataFrame, unk: str = "<unk>", bos: str = "<s>"
 def merge_vocab(base: Vocabulary, new: Vocabulary) -> Vocabulary:
     """U4 + J1: base kept as is; new pieces missing from base appended in their own id order, score 0."""
     added = new.table.join(base.table.select("token"), "token", "left_anti")
-    ranked = with_ordinal(added.select("id", "token"), F.col("id").asc(), name="_rank")
+    ranked, n_added = with_ordinal_n(added.select("id", "token"), F.col("id").asc(), name="_rank")
     appended = ranked.select(
         (F.col("_rank") + F.lit(base.size)).cast("int").alias("id"),
         "token",
         F.lit(0.0).cast("float").alias("score"),
     )
     table = base.table.unionByName(appended)
-    size = base.size + ranked.count()
+    size = base.size + n_added
     return Vocabulary(table, size, base.unk_id, base.bos_id, base.eos_id, base.pad_id)
 
 
