@@ -138,3 +138,22 @@ def test_collate_left_pad(spark):
     assert out[1]["attention_mask"] == [0, 0, 1]
     assert out[1]["labels"] == [IGNORE_INDEX, IGNORE_INDEX, 8]
     assert out[0]["labels"] == [5, 6, 7]
+
+
+def test_fix_tokenizer_rules(spark, letters_vocab):
+    from tokenloom.operators.templates import fix_tokenizer
+    t = register_template(name="stops", prefix=[], prompt=["{{query}}"], system="", sep=[],
+                          stop_words=["<|im_end|>", "z"])
+    v = fix_tokenizer(t, letters_vocab)
+    assert v.eos_id == letters_vocab.size  # appended
+    assert v.ids_of(["<|im_end|>"])["<|im_end|>"] == v.eos_id
+    assert v.size == letters_vocab.size + 1  # "z" and "</s>" already exist
+    assert v.pad_id == 0  # unk
+    same = fix_tokenizer(get_template("default"), letters_vocab)
+    assert same.eos_id == 2 and same.size == letters_vocab.size
+
+
+def test_decode_labels_pad(spark, letters_vocab):
+    from tokenloom.operators.encode import decode_ids
+    df = spark.createDataFrame([(0, [IGNORE_INDEX, lid("a"), 2])], "k long, labels array<int>")
+    assert decode_ids(df, ["k"], "labels", letters_vocab).first()["text"] == "<unk> a </s>"

@@ -327,3 +327,15 @@ FROM num GROUP BY part, p // 512 HAVING count(*) = 512
 """
 
 ORACLES["embed_shards"] = ORACLES["embed_prune"]
+
+ORACLES["first_example"] = f"""
+WITH {_SFT_IDS},
+f AS (SELECT conv_id, ids, labels FROM agg ORDER BY conv_id LIMIT 1),
+i AS (SELECT conv_id, unnest(ids) AS id, unnest(generate_series(1, len(ids))) AS p FROM f),
+l AS (SELECT conv_id, unnest(labels) AS id, unnest(generate_series(1, len(labels))) AS p FROM f),
+di AS (SELECT i.conv_id, string_agg(coalesce(v.token, ''), ' ' ORDER BY p) AS inputs
+       FROM i LEFT JOIN v ON v.id = i.id GROUP BY i.conv_id),
+dl AS (SELECT l.conv_id, string_agg(coalesce(v.token, ''), ' ' ORDER BY p) AS labels
+       FROM l LEFT JOIN v ON v.id = CASE WHEN l.id = -100 THEN 0 ELSE l.id END GROUP BY l.conv_id)
+SELECT di.conv_id, inputs, labels FROM di JOIN dl USING (conv_id)
+"""

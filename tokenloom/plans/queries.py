@@ -519,3 +519,15 @@ def q_embed_shards(spark, sf_dir):
     path = stage_dir(spark, "embed_shards")
     write_shards(rows, path, shard_rows_for(64 << 10, 64))
     return _long_out(to_long(spark.read.parquet(path)))
+
+
+@register("first_example")
+def q_first_example(spark, sf_dir):
+    """The first supervised example decoded; ignored label positions show as the pad token."""
+    conv = _conv(spark, sf_dir)
+    vocab = _conv_vocab(conv)
+    ex = sft_examples(sft_rows(conv), "conv_id", "default", vocab, 96, 160)
+    first = ex.orderBy("conv_id").limit(1)
+    inputs = decode_ids(first, ["conv_id"], "input_ids", vocab, out="inputs")
+    labels = decode_ids(first, ["conv_id"], "labels", vocab, out="labels")
+    return inputs.join(labels, "conv_id").select("conv_id", "inputs", "labels")
