@@ -152,19 +152,29 @@ def vocab_ratio(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def char_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """Character frequencies over the words of the text (separators excluded)."""
-    chars = F.explode(F.split(F.array_join(words(text_col), ""), ""))
-    return (texts.select(chars.alias("ch")).where(F.col("ch") != "")
-            .groupBy("ch").agg(F.count(F.lit(1)).alias("cnt")))
+    """Character frequencies over the words of the text (separators excluded).
+
+    Counted on distinct words weighted by their count, not on every character of
+    the corpus: the word aggregation is partial per task, and the character rows
+    then scale with the vocabulary instead of the text.
+    """
+    return char_counts_from_words(word_counts(texts, text_col))
+
+
+def char_counts_from_words(counts: DataFrame, token: str = "token", count: str = "count") -> DataFrame:
+    chars = F.explode(F.split(F.col(token), ""))
+    return (counts.select(chars.alias("ch"), F.col(count).alias("_c")).where(F.col("ch") != "")
+            .groupBy("ch").agg(F.sum("_c").alias("cnt")))
 
 
-def char_coverage(texts: DataFrame, coverage: float = 0.9995, text_col: str = "text") -> DataFrame:
+def char_coverage(texts: DataFrame, coverage: float = 0.9995, text_col: str = "text",
+                  counts: DataFrame | None = None) -> DataFrame:
     """A2: the most frequent characters whose share *before* them is under ``coverage``.
 
     The distinct-character table is bounded by the size of Unicode, so one ordered
-    window over it is safe at any corpus size.
+    window over it is safe at any corpus size.  ``counts`` reuses word counts already made.
     """
-    cc = char_counts(texts, text_col)
+    cc = char_counts(texts, text_col) if counts is None else char_counts_from_words(counts)
     w = Window.orderBy(F.col("cnt").desc(), F.col("ch").asc())
     total = F.sum("cnt").over(Window.partitionBy(F.lit(1)))
     before = F.coalesce(F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

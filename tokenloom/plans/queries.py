@@ -17,7 +17,8 @@ from ..operators.bpe import (WORD_MARK, bpe_vocabulary, decompose, encode_bpe, m
 from ..operators.embeddings import extend_long, gather_rows, mean_rows_long, resize_long, to_long
 from ..operators.encode import decode_ids, encode_texts
 from ..operators.filters import pretrain_filter
-from ..operators.ordinal import ordinal_from_key, with_ordinal
+from ..functions.joins import broadcast_if_small
+from ..operators.ordinal import ordinal_from_key, with_ordinal, with_ordinal_n
 from ..operators.pack import batch_offsets
 from ..operators.split import first_n_per_group, seeded_rank, split_exact, split_head
 from ..operators.vocab import (build_vocab, char_coverage, check_subset, merge_vocab, missing_tokens,
@@ -222,9 +223,9 @@ def q_embed_extend(spark, sf_dir):
     """A4 + A6: old rows kept; one new row per label (ids after the last), the mean of its members."""
     emb = _embeddings(spark, sf_dir)
     top = emb.agg(F.max("id")).first()[0]
-    labels = with_ordinal(emb.select("label").distinct(), F.col("label").asc(), name="_r")
+    labels, n_labels = with_ordinal_n(emb.select("label").distinct(), F.col("label").asc(), name="_r")
     members = (emb.select("label", F.col("id").alias("old_id"))
-               .join(F.broadcast(labels), "label")
+               .join(broadcast_if_small(labels, rows=n_labels, bytes_per_row=16), "label")
                .select((F.col("_r") + F.lit(int(top) + 1)).cast("int").alias("new_id"), "old_id"))
     new_rows = mean_rows_long(members, emb.select("id", "vec")).withColumnRenamed("new_id", "id")
     return _long_out(extend_long(emb.select("id", "vec"), new_rows))
@@ -391,9 +392,9 @@ def _bpe(spark, sf_dir, where: str | None = None):
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     if where is not None:
         docs = docs.where(where)
-    counts = word_counts(docs, "text")
+    counts = word_counts(docs, "text").checkpoint(eager=True)
     merges = train_bpe(word_table(counts), BPE_MERGES)
-    cov = char_coverage(docs, 0.9995, "text").where(F.col("kept") == 1) \
+    cov = char_coverage(docs, 0.9995, "text", counts=counts).where(F.col("kept") == 1) \
         .orderBy(F.col("cnt").desc(), F.col("ch").asc()).select("ch").collect()  # bounded by Unicode
     alphabet = [WORD_MARK] + [r["ch"] for r in cov]
     return docs, merges, bpe_vocabulary(spark, merges, alphabet)
