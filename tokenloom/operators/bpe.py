@@ -210,16 +210,43 @@ def encode_words_udf(merges: list[tuple], vocab: Vocabulary, mark: bool = True):
     return bpe_ids
 
 
+# Words cached per Python worker; the cache is emptied when it reaches this size.
+WORD_CACHE_LIMIT = 1_000_000
+
+
+def encode_text_udf(merges: list[tuple], vocab: Vocabulary):
+    """Arrow-batched UDF: text -> ids of its whitespace words, each word's encoding
+    cached per worker (hot words cost one dictionary lookup)."""
+    import re
+    vocab_rows = [(r["id"], r["token"]) for r in vocab.table.select("id", "token").collect()]
+    enc = _encoder(merges, vocab_rows)
+    split = re.compile(r"[ \t\n\r\f]+")  # same class as functions.text.WORD_SPLIT
+    cache: dict = {}
+
+    def one(text):
+        out: list[int] = []
+        if text is None:
+            return out
+        for w in split.split(text):
+            if not w:
+                continue
+            ids = cache.get(w)
+            if ids is None:
+                if len(cache) >= WORD_CACHE_LIMIT:
+                    cache.clear()
+                ids = cache[w] = enc(w)
+            out.extend(ids)
+        return out
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def bpe_text(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+    return bpe_text
+
+
 def encode_bpe(df: DataFrame, key: str, text: str, merges: list[tuple], vocab: Vocabulary) -> DataFrame:
-    """K2: every distinct word encoded once, joined back, ids concatenated in word order."""
-    from ..functions.text import words
-    toks = df.select(key, F.posexplode(words(text)).alias("_pos", "word"))
-    distinct = toks.select("word").distinct()
-    udf = encode_words_udf(merges, vocab)
-    coded = distinct.withColumn("_ids", udf("word"))
-    j = toks.join(coded, "word")
-    g = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pos", "_ids"))).alias("_s"))
-    return g.select(key, F.flatten(F.transform("_s", lambda s: s["_ids"])).alias("input_ids"))
+    """K2: texts encoded with the learned merges in one narrow Arrow-batched pass (no shuffle)."""
+    return df.select(key, encode_text_udf(merges, vocab)(F.col(text)).alias("input_ids"))
 
 
 def decompose(new_tokens: DataFrame, merges: list[tuple], old: Vocabulary,
