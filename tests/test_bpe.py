@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+import pytest
+
 from conftest import SF_SMALL
 from tokenloom.operators.bpe import (WORD_MARK, _encoder, apply_batch, bpe_vocabulary, choose_batch, decompose,
                                      encode_bpe, train_bpe, word_table)
@@ -39,19 +41,21 @@ def sequential_bpe(counts: dict, n: int) -> list:
     return merges
 
 
-def test_batched_merges_equal_sequential(spark):
+@pytest.mark.parametrize("incremental", [False, True])
+def test_batched_merges_equal_sequential(spark, incremental):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").where("doc_id < 60")
     wc = word_counts(docs, "text")
-    got = train_bpe(word_table(wc), 40, top_k=64)
+    got = train_bpe(word_table(wc), 40, top_k=64, incremental=incremental, checkpoint_every=3)
     ref = sequential_bpe({r["token"]: r["count"] for r in wc.collect()}, 40)
     assert got == ref
 
 
-def test_special_characters_and_ties(spark):
+@pytest.mark.parametrize("incremental", [False, True])
+def test_special_characters_and_ties(spark, incremental):
     counts = spark.createDataFrame(
         [("a$b", 5), ("a$b\\", 5), ("x.y", 4), ("(()", 3), ("aaaa", 2), ("[a]", 2), ("12ab", 7)],
         "token string, count long")
-    got = train_bpe(word_table(counts), 30, top_k=4)
+    got = train_bpe(word_table(counts), 30, top_k=4, incremental=incremental)
     ref = sequential_bpe({r["token"]: r["count"] for r in counts.collect()}, 30)
     assert got == ref
 

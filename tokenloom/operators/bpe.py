@@ -1,9 +1,10 @@
 """Byte-pair merges learned from a word table, encoding with them,
 and decomposition of new pieces into old ids.
 
-Training keeps the word table ``(word, cnt, syms)`` distributed.  Each round
-counts adjacent pairs (map-side partial sums absorb hot words), brings only the
-top ``top_k`` pairs to the driver, and accepts an exact *batch* of merges: the
+Training keeps the word table ``(word, cnt, syms)`` and the pair-count table
+distributed.  Pair counts are made once (map-side partial sums absorb hot words)
+and then updated each round from the words the round touched only.  Each round
+brings the top ``top_k`` pairs to the driver and accepts an exact *batch* of merges: the
 ranked pairs are taken in order while each shares no symbol (nor its result)
 with the batch and outnumbers every pair touching the batch, so the merge list is
 the one sequential BPE produces with ties broken by (count desc, left, right).
@@ -47,16 +48,20 @@ def word_table(counts: DataFrame, token: str = "token", count: str = "count") ->
                          F.array_join(chars, " ").alias("syms"))
 
 
-def pair_counts(words: DataFrame, split_digits: bool = True) -> DataFrame:
-    """``(a, b, cnt)``: adjacent symbol pairs weighted by word count."""
+def _pair_rows(words: DataFrame, split_digits: bool, sign: int = 1) -> DataFrame:
     arr = F.split("syms", " ")
     n = F.size(arr)
     z = F.arrays_zip(F.slice(arr, 1, n - 1).alias("a"), F.slice(arr, 2, n).alias("b"))
-    p = words.select("cnt", F.explode(z).alias("p"))
+    p = words.select((F.col("cnt") * sign).alias("cnt"), F.explode(z).alias("p"))
     p = p.select(F.col("p.a").alias("a"), F.col("p.b").alias("b"), "cnt")
     if split_digits:
         p = p.where(~(F.col("a").rlike("[0-9]") | F.col("b").rlike("[0-9]")))
-    return p.groupBy("a", "b").agg(F.sum("cnt").alias("cnt"))
+    return p
+
+
+def pair_counts(words: DataFrame, split_digits: bool = True) -> DataFrame:
+    """``(a, b, cnt)``: adjacent symbol pairs weighted by word count."""
+    return _pair_rows(words, split_digits).groupBy("a", "b").agg(F.sum("cnt").alias("cnt"))
 
 
 def choose_batch(ranked: list[tuple], complete: bool, limit: int) -> list[tuple]:
@@ -92,38 +97,74 @@ def _rx_replacement(sym: str) -> str:
     return sym.replace("\\", "\\\\").replace("$", "\\$")
 
 
+def _merge_col(col, batch: list[tuple]):
+    """One ``regexp_replace`` per pair; the column is referenced once, so plans that
+    collapse across rounds grow linearly, never exponentially."""
+    for a, b, _ in batch:
+        pat = "(?<=^| )" + _rx_literal(a) + " " + _rx_literal(b) + "(?= |$)"
+        col = F.regexp_replace(col, pat, _rx_replacement(a + b))
+    return col
+
+
+def _touches(batch: list[tuple]):
+    cond = F.lit(False)
+    for a, b, _ in batch:
+        cond = cond | (F.instr(F.col("syms"), a + " " + b) > 0)
+    return cond
+
+
 def apply_batch(words: DataFrame, batch: list[tuple]) -> DataFrame:
     """Merge every batch pair left to right (non-overlapping); drop words with one symbol left.
 
     Batch pairs share no symbol and no result, so applying them one after the other
     equals one simultaneous pass.
     """
-    col = F.col("syms")
-    for a, b, _ in batch:
-        pat = "(?<=^| )" + _rx_literal(a) + " " + _rx_literal(b) + "(?= |$)"
-        col = F.when(F.instr(col, a + " " + b) > 0,
-                     F.regexp_replace(col, pat, _rx_replacement(a + b))).otherwise(col)
-    return words.withColumn("syms", col).where(F.instr("syms", " ") > 0)
+    merged = F.when(_touches(batch), _merge_col(F.col("syms"), batch)).otherwise(F.col("syms"))
+    return words.withColumn("syms", merged).where(F.instr("syms", " ") > 0)
+
+
+def pair_deltas(words: DataFrame, batch: list[tuple], split_digits: bool = True) -> DataFrame:
+    """Count changes caused by a batch: pairs of the touched words before (-) and after (+)."""
+    hit = words.where(_touches(batch))
+    after = hit.withColumn("syms", _merge_col(F.col("syms"), batch))
+    return _pair_rows(hit, split_digits, -1).unionByName(_pair_rows(after, split_digits, 1))
+
+
+# Word tables with more distinct words than this update pair counts incrementally.
+INCREMENTAL_MIN_WORDS = 2_000_000
 
 
 def train_bpe(words: DataFrame, n_merges: int, top_k: int = 256, split_digits: bool = True,
-              checkpoint_every: int = 8, log=None) -> list[tuple]:
+              checkpoint_every: int = 8, log=None, incremental: bool | None = None) -> list[tuple]:
     """A3: up to ``n_merges`` merges ``(a, b, count)`` in rank order.
 
-    The driver holds only the top ``top_k`` pairs of a round and the merge list,
-    whose length is the ``n_merges`` parameter.  Each round is one job: the pair
-    count reads the previous round's table and fills its cache.
+    Large word tables (``incremental``; by default above ``INCREMENTAL_MIN_WORDS``
+    distinct words): pair counts are computed once, then kept as a distributed table
+    updated by the deltas of the words a batch touches (a word without a merged pair
+    keeps its pairs), so a round explodes only touched words.  Small word tables
+    recount all pairs each round, which costs fewer stages.  Both are exact.  One
+    job per round: the top-k query folds the last batch's deltas into the pair table
+    and, on the way, fills the cache of the word table that batch produced.  Caches
+    are released two rounds later, once nothing unmaterialized depends on them.  The
+    driver holds only the top ``top_k`` pairs of a round and the merge list, whose
+    length is the ``n_merges`` parameter.
     """
     work = words.where(F.instr("syms", " ") > 0).select("cnt", "syms").checkpoint(eager=True)
+    if incremental is None:
+        incremental = work.count() > INCREMENTAL_MIN_WORDS
+    pairs = pair_counts(work, split_digits)
+    pairs = pairs.checkpoint(eager=True) if incremental else pairs
     merges: list[tuple] = []
     rounds = 0
-    prev = None
+    held: list[list[DataFrame]] = []
     while len(merges) < n_merges:
-        top = (pair_counts(work, split_digits)
+        top = (pairs.where(F.col("cnt") > 0)
                .orderBy(F.col("cnt").desc(), F.col("a").asc(), F.col("b").asc())
                .limit(top_k).collect())
-        if prev is not None and prev.is_cached:
-            prev.unpersist()  # ``work`` is materialized now
+        while len(held) > 1:
+            for df in held.pop(0):
+                if df.is_cached:
+                    df.unpersist()
         if not top:
             break
         ranked = [(r["a"], r["b"], int(r["cnt"])) for r in top]
@@ -134,11 +175,21 @@ def train_bpe(words: DataFrame, n_merges: int, top_k: int = 256, split_digits: b
             log(rounds, len(batch), len(merges))
         if len(merges) >= n_merges:
             break
-        prev = work
-        nxt = apply_batch(work, batch)
-        work = nxt.checkpoint(eager=True) if rounds % checkpoint_every == 0 else nxt.persist()
-    if work.is_cached:
-        work.unpersist()
+        nxt_work = apply_batch(work, batch)
+        nxt_work = nxt_work.checkpoint(eager=True) if rounds % checkpoint_every == 0 else nxt_work.persist()
+        if incremental:
+            nxt_pairs = (pairs.unionByName(pair_deltas(work, batch, split_digits))
+                         .groupBy("a", "b").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") != 0))
+            nxt_pairs = (nxt_pairs.checkpoint(eager=True) if rounds % checkpoint_every == 0
+                         else nxt_pairs.persist())
+        else:
+            nxt_pairs = pair_counts(nxt_work, split_digits)
+        held.append([work, pairs])
+        work, pairs = nxt_work, nxt_pairs
+    for group in held + [[work, pairs]]:
+        for df in group:
+            if df.is_cached:
+                df.unpersist()
     return merges
 
 
