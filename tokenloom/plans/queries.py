@@ -38,6 +38,7 @@ from ..streaming.encode import StreamRules, read_stream, run_batches, stream_fil
 from ..sources.tables import table
 from .instruct import pair_examples, prompt_examples, render, sft_examples
 from .pretrain import pretrain_blocks
+from .vocabulary import extend_vocab, learn_bpe_vocabulary
 
 QUERIES: dict = {}
 
@@ -534,3 +535,14 @@ def q_first_example(spark, sf_dir):
     inputs = decode_ids(first, ["conv_id"], "input_ids", vocab, out="inputs")
     labels = decode_ids(first, ["conv_id"], "labels", vocab, out="labels")
     return inputs.join(labels, "conv_id").select("conv_id", "inputs", "labels")
+
+
+@register("extend_vocab")
+def q_extend_vocab(spark, sf_dir):
+    """BPE vocabularies learned from English / other documents (400 pieces
+    each), the second appended to the first, new rows = mean of their old-piece rows."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    old = learn_bpe_vocabulary(docs.where("lang = 'en'"), "doc_id", 400)
+    new = learn_bpe_vocabulary(docs.where("lang <> 'en'"), "doc_id", 400)
+    _, rows = extend_vocab(old, new.vocab, _embeddings(spark, sf_dir).select("id", "vec"))
+    return _long_out(rows)
