@@ -339,3 +339,15 @@ dl AS (SELECT l.conv_id, string_agg(coalesce(v.token, ''), ' ' ORDER BY p) AS la
        FROM l LEFT JOIN v ON v.id = CASE WHEN l.id = -100 THEN 0 ELSE l.id END GROUP BY l.conv_id)
 SELECT di.conv_id, inputs, labels FROM di JOIN dl USING (conv_id)
 """
+
+ORACLES["stream_split"] = f"""
+SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= 100 THEN 'eval' ELSE 'train' END AS split
+FROM ({DOCS_F1}) d
+"""
+
+ORACLES["stream_shuffle"] = f"""
+SELECT doc_id, CAST(doc_id // 4000 AS BIGINT) AS micro_batch,
+       CAST(row_number() OVER (PARTITION BY doc_id // 4000 ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1
+            AS BIGINT) AS rank
+FROM ({DOCS_F1}) d
+"""

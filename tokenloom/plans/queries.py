@@ -34,7 +34,8 @@ from ..session import stage_dir
 from ..sources.corpus import corpus_lines
 from ..sources.files import load_datasets, write_text
 from ..sources.sinks import shard_rows_for, write_shards
-from ..streaming.encode import StreamRules, read_stream, run_batches, stream_filter
+from ..streaming.encode import (StreamRules, order_files_by_name, read_stream, run_batches, shuffle_batch,
+                                split_head_batch, stream_filter)
 from ..sources.tables import table
 from .instruct import pair_examples, prompt_examples, render, sft_examples
 from .pretrain import pretrain_blocks
@@ -546,3 +547,36 @@ def q_extend_vocab(spark, sf_dir):
     new = learn_bpe_vocabulary(docs.where("lang <> 'en'"), "doc_id", 400)
     _, rows = extend_vocab(old, new.vocab, _embeddings(spark, sf_dir).select("id", "vec"))
     return _long_out(rows)
+
+
+def _ordered_stream(spark, sf_dir, name, files_per_trigger):
+    docs, base, stream = None, None, None
+    docs = _docs(spark, sf_dir)
+    base = stage_dir(spark, name)
+    (docs.withColumn("part", (F.col("doc_id") / F.lit(STREAM_FILE_ROWS)).cast("bigint"))
+         .repartition("part").write.partitionBy("part").parquet(f"{base}/in"))
+    order_files_by_name(spark, f"{base}/in")
+    stream = read_stream(spark, f"{base}/in", "doc_id bigint, text string, part bigint",
+                         max_files_per_trigger=files_per_trigger)
+    return base, stream_filter(stream.withColumnRenamed("text", "prompt"))
+
+
+@register("stream_split")
+def q_stream_split(spark, sf_dir):
+    """L3, X3 on a stream: the first 100 streamed rows are the eval set (files read oldest first)."""
+    StreamRules(max_steps=1000, val_size=100).check()
+    base, stream = _ordered_stream(spark, sf_dir, "stream_split", 1)
+    run_batches(stream, lambda b, i: split_head_batch(b.select("doc_id", "part"), i, f"{base}/counts",
+                                                      ["part", "doc_id"], 100).select("doc_id", "split"),
+                f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out").select("doc_id", "split")
+
+
+@register("stream_shuffle")
+def q_stream_shuffle(spark, sf_dir):
+    """L4 on a stream: every micro-batch (4 files of 1000 rows) in seeded order (seed 42)."""
+    base, stream = _ordered_stream(spark, sf_dir, "stream_shuffle", 4)
+    run_batches(stream, lambda b, i: shuffle_batch(b.select("doc_id", "part"), "doc_id", 42)
+                .select("doc_id", F.lit(i).cast("bigint").alias("micro_batch"), "rank"),
+                f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out").select("doc_id", "micro_batch", F.col("rank").cast("bigint"))

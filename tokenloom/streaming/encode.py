@@ -71,3 +71,58 @@ def run_batches(stream: DataFrame, fn, out_dir: str, checkpoint_dir: str,
 def with_batch_column(df: DataFrame, name: str = "batch_id") -> DataFrame:
     """Expose the ``batch_id=`` folder as a column when reading the sink back."""
     return df.withColumn(name, F.col(name).cast("bigint")) if name in df.columns else df
+
+
+def order_files_by_name(spark: SparkSession, path: str, start_ms: int = 1_000_000_000_000) -> None:
+    """Give the files under ``path`` increasing modification times in path order, so a
+    file stream (oldest first) reads them in that order."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    it = fs.listFiles(root, True)
+    files = []
+    while it.hasNext():
+        st = it.next()
+        name = st.getPath().getName()
+        if not name.startswith((".", "_")):
+            files.append(str(st.getPath().toString()))
+    for i, f in enumerate(sorted(files)):
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(f), start_ms + 1000 * i, -1)
+
+
+def prior_rows(spark: SparkSession, counts_dir: str, batch_id: int) -> int:
+    """Rows of the micro-batches before ``batch_id`` (from their one-row count files)."""
+    from ..sources.files import _fs
+    fs, p = _fs(spark, counts_dir)
+    if not fs.exists(p):
+        return 0
+    row = (spark.read.parquet(counts_dir).where(F.col("batch_id") < batch_id)
+           .agg(F.sum("n")).first())
+    return int(row[0] or 0)
+
+
+def with_stream_position(batch: DataFrame, batch_id: int, counts_dir: str, order: list) -> DataFrame:
+    """``position`` across the stream: rows of earlier micro-batches + row number inside this
+    one (a micro-batch is bounded by the trigger size, so one window over it is safe).
+    The micro-batch's count is written under its own id, so a replay is idempotent."""
+    from pyspark.sql import Window
+    spark = batch.sparkSession
+    n = batch.count()
+    spark.createDataFrame([(n,)], "n long").write.mode("overwrite").parquet(f"{counts_dir}/batch_id={batch_id}")
+    prior = prior_rows(spark, counts_dir, batch_id)
+    return batch.withColumn("position", F.lit(prior) + F.row_number().over(Window.orderBy(*order)) - 1)
+
+
+def split_head_batch(batch: DataFrame, batch_id: int, counts_dir: str, order: list, val_size: float) -> DataFrame:
+    """L3 on a stream: the first ``int(val_size)`` rows of the stream are 'eval'."""
+    k = int(val_size)
+    pos = with_stream_position(batch, batch_id, counts_dir, order)
+    return pos.withColumn("split", F.when(F.col("position") < k, F.lit("eval")).otherwise(F.lit("train")))
+
+
+def shuffle_batch(batch: DataFrame, key: str, seed: int) -> DataFrame:
+    """L4 on a stream: each micro-batch (the shuffle buffer) in seeded-hash order."""
+    from pyspark.sql import Window
+    from ..operators.split import seeded_hash
+    w = Window.orderBy(seeded_hash(seed, key), F.col(key))
+    return batch.withColumn("rank", F.row_number().over(w) - 1)
