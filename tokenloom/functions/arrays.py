@@ -22,23 +22,3 @@ def chunk(ids: Column, block: int) -> Column:
         n > 0,
         F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(ids, i * block + 1, F.lit(block))),
     ).otherwise(F.array().cast("array<array<int>>"))
-
-
-def head(ids: Column, n: int) -> Column:
-    """First ``n`` ids (``ids[:n]``)."""
-    return F.slice(ids, 1, n) if n > 0 else F.array().cast("array<int>")
-
-
-def ones_like(ids: Column) -> Column:
-    return F.array_repeat(F.lit(1), F.size(ids))
-
-
-def masked(n_ignored: Column, target: Column) -> Column:
-    """``[IGNORE_INDEX] * n + target``."""
-    return F.concat(F.array_repeat(F.lit(IGNORE_INDEX), n_ignored), target)
-
-
-def int_array(values: list[int]) -> Column:
-    if not values:
-        return F.array().cast("array<int>")
-    return F.array(*[F.lit(int(v)) for v in values])

@@ -38,8 +38,3 @@ def replace_all_literal(template: str, needle: str, repl: Column) -> Column:
     for p in pieces[1:]:
         out.extend([repl, F.lit(p)])
     return F.concat(*out) if len(out) > 1 else out[0]
-
-
-def octet_length(col: Column | str) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return F.octet_length(c)

@@ -136,11 +136,6 @@ def remap_ids(new: Vocabulary, old: Vocabulary) -> DataFrame:
             .join(old.table.select(F.col("id").alias("old_id"), "token"), "token"))
 
 
-def size_ratio(new_size: DataFrame | int, old_size: DataFrame | int) -> float:
-    """A8 on the driver from two counts: percent, rounded as the reference prints it."""
-    return round(new_size / old_size, 4) * 100
-
-
 def vocab_ratio(new: DataFrame, old: DataFrame) -> DataFrame:
     """A8 as a one-row table: sizes and new/old in percent (2 decimals); one pass, no join."""
     tagged = (new.select(F.lit(1).alias("_n"), F.lit(0).alias("_o"))

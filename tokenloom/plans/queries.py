@@ -550,7 +550,6 @@ def q_extend_vocab(spark, sf_dir):
 
 
 def _ordered_stream(spark, sf_dir, name, files_per_trigger):
-    docs, base, stream = None, None, None
     docs = _docs(spark, sf_dir)
     base = stage_dir(spark, name)
     (docs.withColumn("part", (F.col("doc_id") / F.lit(STREAM_FILE_ROWS)).cast("bigint"))

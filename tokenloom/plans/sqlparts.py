@@ -71,9 +71,6 @@ PAIR_ROWS = """SELECT conv_id, system, users[1] AS prompt, CAST(NULL AS VARCHAR)
        asst[2] AS alt
 FROM conv_lists WHERE users[1] IS NOT NULL AND users[1] <> '' AND len(asst) > 1"""
 
-TRUTHY = "({c} IS NOT NULL AND {c} <> '')"
-
-
 def turns_cte(rows_sql: str, tpl, where: str = "TRUE") -> str:
     """``tx(conv_id, t, q, r, sys, alt, last_t)``: one row per turn after P4/P5."""
     q = "CASE WHEN query IS NOT NULL AND query <> '' THEN prompt || chr(10) || query ELSE prompt END"

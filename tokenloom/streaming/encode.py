@@ -68,11 +68,6 @@ def run_batches(stream: DataFrame, fn, out_dir: str, checkpoint_dir: str,
         raise RuntimeError(str(q.exception()))
 
 
-def with_batch_column(df: DataFrame, name: str = "batch_id") -> DataFrame:
-    """Expose the ``batch_id=`` folder as a column when reading the sink back."""
-    return df.withColumn(name, F.col(name).cast("bigint")) if name in df.columns else df
-
-
 def order_files_by_name(spark: SparkSession, path: str, start_ms: int = 1_000_000_000_000) -> None:
     """Give the files under ``path`` increasing modification times in path order, so a
     file stream (oldest first) reads them in that order."""
