@@ -303,12 +303,12 @@ def encode_bpe(df: DataFrame, key: str, text: str, merges: list[tuple], vocab: V
 def decompose(new_tokens: DataFrame, merges: list[tuple], old: Vocabulary,
               id_col: str = "id", token_col: str = "token") -> DataFrame:
     """Each new piece encoded with the old vocabulary; a leading lone word mark is dropped
-    (found by token, not by a fixed id)."""
+    (found by token, not by a fixed id).  A piece may end with no old id; the mean step
+    then gives it the table mean."""
     udf = encode_words_udf(merges, old)
     mark_id = old.ids_of([WORD_MARK]).get(WORD_MARK, -1)
     enc = new_tokens.select(F.col(id_col).alias("new_id"), F.col(token_col).alias("token"),
                             udf(token_col).alias("_ids"))
     first = F.element_at("_ids", 1)
-    old_ids = F.when((F.size("_ids") > 1) & (first == F.lit(mark_id)), F.slice("_ids", 2, 1 << 30)) \
-               .otherwise(F.col("_ids"))
+    old_ids = F.when(first == F.lit(mark_id), F.slice("_ids", 2, 1 << 30)).otherwise(F.col("_ids"))
     return enc.select("new_id", "token", old_ids.alias("old_ids"))

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import broadcast_if_small
 from ..operators.align import add_system, align_columns, system_prompts
 
 # File extension -> reader (parquet added to the reference's four).
@@ -89,7 +90,8 @@ def ingest_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     splits = d.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
     w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = splits.select("_f", "_b", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = d.join(F.broadcast(offs), ["_f", "_b"])
+    # one row per split: bounded by the file listing, still size-checked before broadcasting
+    out = d.join(broadcast_if_small(offs, bytes_per_row=160), ["_f", "_b"])
     return out.select(*cols, (F.col("_off") + F.col("_m") - F.col("_m0")).cast("bigint").alias(name))
 
 
