@@ -94,3 +94,24 @@ def test_ingest_ordinal_many_splits(spark):
     got = sorted((r["ordinal"], r["text"]) for r in rows)
     want = [(i, t) for i, t in enumerate(f"{f}-{j}" for f in range(5) for j in range(3000))]
     assert got == want
+
+
+def test_json_history_pairs(spark):
+    d = tempfile.mkdtemp(prefix="tl-hist-")
+    _write(f"{d}/h.jsonl", json.dumps({"instruction": "q", "input": "", "output": "r",
+                                       "history": [["q0", "r0"], ["q1", "r1"]]}) + "\n")
+    _write(f"{d}/dataset_info.json", json.dumps({"h": {"file_name": "h.jsonl", "columns": {
+        "prompt": "instruction", "query": "input", "response": "output", "history": "history"}}}))
+    (df,) = load_datasets(spark, d, "h")
+    h = df.first()["history"]
+    assert [(x["query"], x["response"]) for x in h] == [("q0", "r0"), ("q1", "r1")]
+
+
+def test_map_batches_user_function(spark):
+    from tokenloom.operators.batched import map_batches
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(7)], "ordinal long, text string")
+
+    def pairs(b):  # 3 rows in -> 1 row out: joined text of the batch
+        return b.assign(j=" ".join(b["text"]))[["j"]].head(1)
+    out = map_batches(df, "ordinal", pairs, "j string", batch_rows=3).orderBy("batch").collect()
+    assert [r["j"] for r in out] == ["t0 t1 t2", "t3 t4 t5", "t6"]

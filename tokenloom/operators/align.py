@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import truthy
 
@@ -27,7 +28,20 @@ def align_columns(df: DataFrame, columns: dict | None = None) -> DataFrame:
             if role in df.columns:
                 raise ValueError(f"Column {role} already in the dataset.")
             renames[src] = role
-    return df.withColumnsRenamed(renames) if renames else df
+    df = df.withColumnsRenamed(renames) if renames else df
+    return history_as_pairs(df)
+
+
+def history_as_pairs(df: DataFrame, col: str = "history") -> DataFrame:
+    """Raw JSON history reads as ``array<array<string>>``; make it ``array<struct<query, response>>``."""
+    if col not in df.columns:
+        return df
+    dtype = df.schema[col].dataType
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.ArrayType):
+        pairs = F.transform(col, lambda p: F.struct(F.element_at(p, 1).cast("string").alias("query"),
+                                                    F.element_at(p, 2).cast("string").alias("response")))
+        return df.withColumn(col, pairs)
+    return df
 
 
 def add_system(df: DataFrame, system_prompt: str | None) -> DataFrame:
