@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import spread
 from .vocab import SPECIAL_TOKENS, Vocabulary
 
 # Fixed value: the word-start mark (U+2581) used by SentencePiece-style vocabularies.
@@ -149,7 +150,9 @@ def train_bpe(words: DataFrame, n_merges: int, top_k: int = 256, split_digits: b
     driver holds only the top ``top_k`` pairs of a round and the merge list, whose
     length is the ``n_merges`` parameter.
     """
-    work = words.where(F.instr("syms", " ") > 0).select("cnt", "syms").checkpoint(eager=True)
+    # A small word table comes out of its aggregation coalesced to few partitions; every
+    # round scans it, so spread it over the cores once (no-op for large tables).
+    work = spread(words.where(F.instr("syms", " ") > 0).select("cnt", "syms")).checkpoint(eager=True)
     if incremental is None:
         incremental = work.count() > INCREMENTAL_MIN_WORDS
     pairs = pair_counts(work, split_digits)
