@@ -64,3 +64,44 @@ def test_assign_batches_fallback_equal(spark):
     assert a == b
     ks = sorted(a)
     assert all(a[k] == i // 100 for i, k in enumerate(ks))
+
+
+def test_no_broadcast_path_same_results(spark, monkeypatch):
+    """At scale the vocabulary is not broadcast: the sort-merge join path must agree."""
+    import tokenloom.functions.joins as J
+    from tokenloom.operators.encode import encode_texts
+    from tokenloom.operators.vocab import build_vocab
+    from tokenloom.plans.pretrain import pretrain_blocks
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    vocab = build_vocab(docs, "text")
+
+    def run():
+        enc = {r["doc_id"]: list(r["input_ids"]) for r in encode_texts(docs, ["doc_id"], "text", vocab).collect()}
+        blocks = sorted((r["batch"], r["block"], tuple(r["input_ids"]))
+                        for r in pretrain_blocks(docs, vocab=vocab, block=64, batch_rows=50).collect())
+        return enc, blocks
+
+    with_bc = run()
+    monkeypatch.setattr(J, "DEFAULT_LIMIT_BYTES", 0)
+    monkeypatch.setattr(J.broadcast_if_small, "__defaults__", (None, 64, 0))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = encode_texts(docs, ["doc_id"], "text", vocab)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        without = run()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert with_bc == without
+
+
+def test_pretrain_cache_reused(spark, tmp_path):
+    from tokenloom.plans.pretrain import pretrain_blocks
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    path = str(tmp_path / "blocks")
+    a = pretrain_blocks(docs, block=64, batch_rows=50, cache_path=path).count()
+    b = pretrain_blocks(docs.limit(0), block=64, batch_rows=50, cache_path=path).count()  # reused
+    c = pretrain_blocks(docs.limit(0), block=64, batch_rows=50, cache_path=path, overwrite_cache=True).count()
+    assert a == b > 0 and c == 0

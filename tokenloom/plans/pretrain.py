@@ -9,15 +9,22 @@ from ..operators.filters import pretrain_filter
 from ..operators.ordinal import assign_batches
 from ..operators.pack import pack_text
 from ..operators.vocab import Vocabulary, build_vocab
+from ..sources.sinks import stage_table
 
 
 def pretrain_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     vocab: Vocabulary | None = None, block: int = 512,
-                    batch_rows: int = 1000) -> DataFrame:
+                    batch_rows: int = 1000, cache_path: str | None = None,
+                    overwrite_cache: bool = False) -> DataFrame:
     """Blocks of ``block`` ids per batch of ``batch_rows`` filtered rows, in row order.
 
     Without a vocabulary one is learned from the same documents (count desc, token).
+    With ``cache_path`` the encoded table is written there and reused by later calls
+    unless ``overwrite_cache`` (S7).
     """
+    if cache_path is not None:
+        return stage_table(pretrain_blocks(docs, key, text, vocab, block, batch_rows),
+                           cache_path, overwrite=overwrite_cache)
     rows = pretrain_filter(docs.select(key, F.col(text).alias("prompt")), "prompt")
     if vocab is None:
         vocab = build_vocab(rows, "prompt")
