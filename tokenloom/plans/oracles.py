@@ -351,3 +351,5 @@ SELECT doc_id, CAST(doc_id // 4000 AS BIGINT) AS micro_batch,
             AS BIGINT) AS rank
 FROM ({DOCS_F1}) d
 """
+
+ORACLES["stream_filter"] = ORACLES["pt_filter"]

@@ -34,8 +34,8 @@ from ..session import stage_dir
 from ..sources.corpus import corpus_lines
 from ..sources.files import load_datasets, write_text
 from ..sources.sinks import shard_rows_for, write_shards
-from ..streaming.encode import (StreamRules, order_files_by_name, read_stream, run_batches, shuffle_batch,
-                                split_head_batch, stream_filter)
+from ..streaming.encode import (StreamRules, order_files_by_name, read_stream, run_batches, run_stateless,
+                                shuffle_batch, split_head_batch, stream_filter)
 from ..sources.tables import table
 from .instruct import pair_examples, prompt_examples, render, sft_examples
 from .pretrain import pretrain_blocks
@@ -579,3 +579,12 @@ def q_stream_shuffle(spark, sf_dir):
                 .select("doc_id", F.lit(i).cast("bigint").alias("micro_batch"), "rank"),
                 f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out").select("doc_id", "micro_batch", F.col("rank").cast("bigint"))
+
+
+@register("stream_filter")
+def q_stream_filter(spark, sf_dir):
+    """Filter and projection as a stateless streaming query into a Parquet sink."""
+    _, base, stream = _stream_input(spark, sf_dir, "stream_filter")
+    run_stateless(stream.select("doc_id", F.length("prompt").cast("bigint").alias("n_chars")),
+                  f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out").select("doc_id", "n_chars")

@@ -121,3 +121,14 @@ def shuffle_batch(batch: DataFrame, key: str, seed: int) -> DataFrame:
     from ..operators.split import seeded_hash
     w = Window.orderBy(seeded_hash(seed, key), F.col(key))
     return batch.withColumn("rank", F.row_number().over(w) - 1)
+
+
+def run_stateless(stream: DataFrame, out_dir: str, checkpoint_dir: str, fmt: str = "parquet") -> None:
+    """A stateless streaming query (filters, projections) straight into a file sink
+    (exactly-once through the sink's commit log), processing what is there, then stopping."""
+    q = (stream.writeStream.format(fmt).option("path", out_dir)
+         .option("checkpointLocation", checkpoint_dir).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
