@@ -11,32 +11,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import ids_text
+from ..functions.joins import broadcast_if_small
 from ..functions.text import words
+from ..operators.align import add_system, align_columns, query_text, system_prompts
 from ..operators.bpe import (WORD_MARK, bpe_vocabulary, decompose, encode_bpe, merges_table, pair_counts,
                              train_bpe, word_table)
 from ..operators.embeddings import extend_long, gather_rows, mean_rows_long, resize_long, to_long
 from ..operators.encode import decode_ids, encode_texts
-from ..operators.filters import pretrain_filter
-from ..functions.joins import broadcast_if_small
+from ..operators.examples import collate
+from ..operators.filters import pretrain_filter, sft_filter
+from ..operators.mix import concat, interleave_over, interleave_probs, interleave_under
 from ..operators.ordinal import ordinal_from_key, with_ordinal, with_ordinal_n
-from ..operators.pack import batch_offsets
+from ..operators.pack import batch_offsets, pack_text
 from ..operators.split import first_n_per_group, seeded_rank, split_exact, split_head
+from ..operators.templates import seg_text
 from ..operators.vocab import (build_vocab, char_coverage, check_subset, merge_vocab, missing_tokens,
                                remap_ids, vocab_ratio, word_counts)
-from ..operators.align import add_system, align_columns, query_text, system_prompts
-from ..operators.mix import concat, interleave_over, interleave_probs, interleave_under
-from ..operators.examples import collate
-from ..operators.filters import sft_filter
-from ..operators.templates import seg_text
-from ..sources.conversations import pair_rows, prompt_rows, sft_rows
-from ..operators.pack import pack_text
 from ..session import stage_dir
+from ..sources.conversations import pair_rows, prompt_rows, sft_rows
 from ..sources.corpus import corpus_lines
 from ..sources.files import load_datasets, write_text
 from ..sources.sinks import shard_rows_for, write_shards
+from ..sources.tables import table
 from ..streaming.encode import (StreamRules, order_files_by_name, read_stream, run_batches, run_stateless,
                                 shuffle_batch, split_head_batch, stream_filter)
-from ..sources.tables import table
 from .instruct import pair_examples, prompt_examples, render, sft_examples
 from .pretrain import pretrain_blocks
 from .vocabulary import extend_vocab, learn_bpe_vocabulary
@@ -473,15 +471,18 @@ def q_src_formats(spark, sf_dir):
     return out.select("dataset", "system", "n_rows", "n_chars")
 
 
-def _stream_input(spark, sf_dir, name):
+def _stream_input(spark, sf_dir, name, files_per_trigger: int = 4, in_file_order: bool = False):
+    """Documents written as one Parquet file per 1000 rows (``part``), read back as a stream."""
     docs = _docs(spark, sf_dir)
     base = stage_dir(spark, name)
     (docs.withColumn("part", (F.col("doc_id") / F.lit(STREAM_FILE_ROWS)).cast("bigint"))
          .repartition("part").write.partitionBy("part").parquet(f"{base}/in"))
+    if in_file_order:
+        order_files_by_name(spark, f"{base}/in")
     # Packing is grouped per input file (one 1000-row batch each), so the number of
     # files per micro-batch only sets throughput, not results.
     stream = read_stream(spark, f"{base}/in", "doc_id bigint, text string, part bigint",
-                         max_files_per_trigger=4)
+                         max_files_per_trigger=files_per_trigger)
     return docs, base, stream_filter(stream.withColumnRenamed("text", "prompt"))
 
 
@@ -549,22 +550,11 @@ def q_extend_vocab(spark, sf_dir):
     return _long_out(rows)
 
 
-def _ordered_stream(spark, sf_dir, name, files_per_trigger):
-    docs = _docs(spark, sf_dir)
-    base = stage_dir(spark, name)
-    (docs.withColumn("part", (F.col("doc_id") / F.lit(STREAM_FILE_ROWS)).cast("bigint"))
-         .repartition("part").write.partitionBy("part").parquet(f"{base}/in"))
-    order_files_by_name(spark, f"{base}/in")
-    stream = read_stream(spark, f"{base}/in", "doc_id bigint, text string, part bigint",
-                         max_files_per_trigger=files_per_trigger)
-    return base, stream_filter(stream.withColumnRenamed("text", "prompt"))
-
-
 @register("stream_split")
 def q_stream_split(spark, sf_dir):
     """L3, X3 on a stream: the first 100 streamed rows are the eval set (files read oldest first)."""
     StreamRules(max_steps=1000, val_size=100).check()
-    base, stream = _ordered_stream(spark, sf_dir, "stream_split", 1)
+    _, base, stream = _stream_input(spark, sf_dir, "stream_split", 1, in_file_order=True)
     run_batches(stream, lambda b, i: split_head_batch(b.select("doc_id", "part"), i, f"{base}/counts",
                                                       ["part", "doc_id"], 100).select("doc_id", "split"),
                 f"{base}/out", f"{base}/ckpt")
@@ -574,7 +564,7 @@ def q_stream_split(spark, sf_dir):
 @register("stream_shuffle")
 def q_stream_shuffle(spark, sf_dir):
     """L4 on a stream: every micro-batch (4 files of 1000 rows) in seeded order (seed 42)."""
-    base, stream = _ordered_stream(spark, sf_dir, "stream_shuffle", 4)
+    _, base, stream = _stream_input(spark, sf_dir, "stream_shuffle", 4, in_file_order=True)
     run_batches(stream, lambda b, i: shuffle_batch(b.select("doc_id", "part"), "doc_id", 42)
                 .select("doc_id", F.lit(i).cast("bigint").alias("micro_batch"), "rank"),
                 f"{base}/out", f"{base}/ckpt")
