@@ -115,3 +115,10 @@ def test_map_batches_user_function(spark):
         return b.assign(j=" ".join(b["text"]))[["j"]].head(1)
     out = map_batches(df, "ordinal", pairs, "j string", batch_rows=3).orderBy("batch").collect()
     assert [r["j"] for r in out] == ["t0 t1 t2", "t3 t4 t5", "t6"]
+
+
+def test_unknown_file_type_is_an_error(spark):
+    d = tempfile.mkdtemp(prefix="tl-src-")
+    _write(f"{d}/a.xyz", "x\n")
+    with pytest.raises(ValueError, match="Unknown file type"):
+        read_files(spark, [f"{d}/a.xyz"])
