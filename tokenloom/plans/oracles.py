@@ -353,3 +353,5 @@ FROM ({DOCS_F1}) d
 """
 
 ORACLES["stream_filter"] = ORACLES["pt_filter"]
+
+ORACLES["vocab_sink"] = ORACLES["vocab_merge"]

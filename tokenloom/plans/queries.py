@@ -31,7 +31,7 @@ from ..session import stage_dir
 from ..sources.conversations import pair_rows, prompt_rows, sft_rows
 from ..sources.corpus import corpus_lines
 from ..sources.files import load_datasets, write_text
-from ..sources.sinks import shard_rows_for, write_shards
+from ..sources.sinks import shard_rows_for, write_shards, write_vocab
 from ..sources.tables import table
 from ..streaming.encode import (StreamRules, order_files_by_name, read_stream, run_batches, run_stateless,
                                 shuffle_batch, split_head_batch, stream_filter)
@@ -578,3 +578,12 @@ def q_stream_filter(spark, sf_dir):
     run_stateless(stream.select("doc_id", F.length("prompt").cast("bigint").alias("n_chars")),
                   f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out").select("doc_id", "n_chars")
+
+
+@register("vocab_sink")
+def q_vocab_sink(spark, sf_dir):
+    """The merged vocabulary written as a Parquet table and read back."""
+    base, new = _lang_vocabs(spark, sf_dir)
+    path = stage_dir(spark, "vocab_sink")
+    write_vocab(merge_vocab(base, new).table, path)
+    return spark.read.parquet(path).select(F.col("id").cast("bigint"), "token", F.col("score").cast("double"))
