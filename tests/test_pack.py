@@ -82,8 +82,7 @@ def test_no_broadcast_path_same_results(spark, monkeypatch):
         return enc, blocks
 
     with_bc = run()
-    monkeypatch.setattr(J, "DEFAULT_LIMIT_BYTES", 0)
-    monkeypatch.setattr(J.broadcast_if_small, "__defaults__", (None, 64, 0))
+    monkeypatch.setattr(J, "broadcast_limit", lambda spark: 0)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")

@@ -46,10 +46,10 @@ class Vocabulary:
 
     def lookup(self) -> DataFrame:
         """``(token, id)``, broadcast when the counted size allows it."""
-        return broadcast_if_small(self.table.select("token", "id"), rows=self.size, bytes_per_row=48)
+        return broadcast_if_small(self.table.select("token", "id"), rows=self.size, bytes_per_row=64)
 
     def by_id(self) -> DataFrame:
-        return broadcast_if_small(self.table.select("id", "token"), rows=self.size, bytes_per_row=48)
+        return broadcast_if_small(self.table.select("id", "token"), rows=self.size, bytes_per_row=64)
 
     def ids_of(self, tokens: list[str]) -> dict[str, int]:
         """Plan-time lookup of a few literal tokens (bounded by ``len(tokens)``)."""
