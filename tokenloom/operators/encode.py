@@ -35,6 +35,10 @@ def encode_texts(df: DataFrame, keys: list[str], text_col: str, vocab: Vocabular
     Rows whose text has no word keep one placeholder row through the join and end
     with an empty array (kept, not dropped); one scan, one join, one regroup.
     """
+    if vocab.broadcastable():
+        # the lookup is a broadcast (narrow) join: partition the texts by key first, so the
+        # per-row regroup reuses it and text, not token rows, crosses the shuffle
+        df = df.repartition(*keys)
     toks = df.select(*keys, F.posexplode_outer(words(text_col)).alias("_pos", "_tok"))
     ided = lookup_tokens(toks, vocab)
     item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_id"))
@@ -46,6 +50,8 @@ def decode_ids(df: DataFrame, keys: list[str], ids_col: str, vocab: Vocabulary,
                out: str = "text", sep: str = " ") -> DataFrame:
     """K3: ids -> tokens joined by ``sep``; ``IGNORE_INDEX`` shows as the pad token."""
     pad = vocab.pad_id if vocab.pad_id is not None else 0
+    if vocab.broadcastable():
+        df = df.repartition(*keys)  # regroup without a token-level shuffle (see encode_texts)
     ex = df.select(*keys, F.posexplode(ids_col).alias("_pos", "_id"))
     ex = ex.withColumn("_id", F.when(F.col("_id") == IGNORE_INDEX, F.lit(pad)).otherwise(F.col("_id")))
     v = vocab.by_id().withColumnRenamed("id", "_vid").withColumnRenamed("token", "_vtok")

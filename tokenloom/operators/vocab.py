@@ -44,6 +44,10 @@ class Vocabulary:
             # missing pad -> unk, else eos
             self.pad_id = self.unk_id if self.unk_id is not None else self.eos_id
 
+    def broadcastable(self) -> bool:
+        from ..functions.joins import broadcast_limit
+        return self.size * 64 <= broadcast_limit(self.table.sparkSession)
+
     def lookup(self) -> DataFrame:
         """``(token, id)``, broadcast when the counted size allows it."""
         return broadcast_if_small(self.table.select("token", "id"), rows=self.size, bytes_per_row=64)

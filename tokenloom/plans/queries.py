@@ -471,7 +471,7 @@ def q_src_formats(spark, sf_dir):
     return out.select("dataset", "system", "n_rows", "n_chars")
 
 
-def _stream_input(spark, sf_dir, name, files_per_trigger: int = 4, in_file_order: bool = False):
+def _stream_input(spark, sf_dir, name, files_per_trigger: int = 8, in_file_order: bool = False):
     """Documents written as one Parquet file per 1000 rows (``part``), read back as a stream."""
     docs = _docs(spark, sf_dir)
     base = stage_dir(spark, name)
