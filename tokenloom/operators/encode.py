@@ -50,8 +50,8 @@ def decode_ids(df: DataFrame, keys: list[str], ids_col: str, vocab: Vocabulary,
                out: str = "text", sep: str = " ") -> DataFrame:
     """K3: ids -> tokens joined by ``sep``; ``IGNORE_INDEX`` shows as the pad token."""
     pad = vocab.pad_id if vocab.pad_id is not None else 0
-    if vocab.broadcastable():
-        df = df.repartition(*keys)  # regroup without a token-level shuffle (see encode_texts)
+    # No pre-partitioning here: id arrays come from aggregations already clustered by
+    # their keys (e.g. packed blocks by batch), which the regroup below reuses.
     ex = df.select(*keys, F.posexplode(ids_col).alias("_pos", "_id"))
     ex = ex.withColumn("_id", F.when(F.col("_id") == IGNORE_INDEX, F.lit(pad)).otherwise(F.col("_id")))
     v = vocab.by_id().withColumnRenamed("id", "_vid").withColumnRenamed("token", "_vtok")
