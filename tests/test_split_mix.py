@@ -60,3 +60,11 @@ def test_concat_on_ingest_ordinal(spark):
     out = concat([a, b], "ordinal", ["A", "B"], ["s", "t"]).orderBy("position").collect()
     assert [(r["position"], r["v"], r["dataset"], r["system"]) for r in out] == [
         (0, "a", "A", "s"), (1, "b", "A", "s"), (2, "x", "B", "t"), (3, "y", "B", "t"), (4, "z", "B", "t")]
+
+
+def test_interleave_over_chunked_equal(spark):
+    a, b = _ds(spark, "abcdefghijklmnopqrstuvwxyz" * 4), _ds(spark, "xy")
+    plain = [(r["position"], r["v"]) for r in interleave_over([a, b], "k").collect()]
+    chunked = [(r["position"], r["v"]) for r in interleave_over([a, b], "k", chunk=3).collect()]
+    assert sorted(plain) == sorted(chunked)
+    assert len(plain) == 2 * 104

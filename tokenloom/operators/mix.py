@@ -66,14 +66,33 @@ def interleave_under(datasets: list[DataFrame], key: str, names: list[str] | Non
             .drop("o"))
 
 
-def interleave_over(datasets: list[DataFrame], key: str, names: list[str] | None = None) -> DataFrame:
-    """U2 all_exhausted: round robin, shorter datasets cycle, until the longest ends (k * max_len)."""
+# Rows repeated more often than this are expanded in chunks spread over the tasks.
+REPEAT_CHUNK = 4096
+
+
+def interleave_over(datasets: list[DataFrame], key: str, names: list[str] | None = None,
+                    chunk: int = REPEAT_CHUNK) -> DataFrame:
+    """U2 all_exhausted: round robin, shorter datasets cycle, until the longest ends (k * max_len).
+
+    Row ``o`` of a dataset of ``n`` rows appears at rounds ``o, o + n, o + 2n, ... < max_len``.
+    A tiny dataset next to a huge one repeats each row up to ``max_len`` times: then the
+    rounds are first cut into chunks, the chunk rows spread round-robin, and each task
+    expands its own chunks, so no single task emits a hot row's copies.
+    """
     k = len(datasets)
     rows, sizes = with_local_ordinal(datasets, key, names)
     max_len = max(sizes) if sizes else 0
     n = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in sizes]), F.col("ds") + 1)
-    rep = F.explode(F.sequence(F.col("o"), F.lit(max_len - 1).cast("bigint"), n))
-    out = rows.withColumn("_i", rep)
+    most_repeats = max((-(-max_len // x) for x in sizes if x), default=0)
+    if most_repeats <= chunk:
+        out = rows.withColumn("_i", F.explode(F.sequence(F.col("o"), F.lit(max_len - 1).cast("bigint"), n)))
+    else:
+        step = n * F.lit(chunk)
+        starts = rows.withColumn("_c", F.explode(F.sequence(F.col("o"), F.lit(max_len - 1).cast("bigint"), step)))
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        starts = starts.repartition(max(cores, -(-most_repeats * len(sizes) // chunk)))
+        end = F.least(F.col("_c") + step - n, F.lit(max_len - 1).cast("bigint"))
+        out = starts.withColumn("_i", F.explode(F.sequence(F.col("_c"), end, n))).drop("_c")
     return out.withColumn("position", F.col("_i") * k + F.col("ds")).drop("o", "_i")
 
 
