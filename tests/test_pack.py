@@ -104,3 +104,19 @@ def test_pretrain_cache_reused(spark, tmp_path):
     b = pretrain_blocks(docs.limit(0), block=64, batch_rows=50, cache_path=path).count()  # reused
     c = pretrain_blocks(docs.limit(0), block=64, batch_rows=50, cache_path=path, overwrite_cache=True).count()
     assert a == b > 0 and c == 0
+
+
+def test_prepare_pretraining_from_registry(spark, tmp_path, letters_vocab):
+    import json
+    from tokenloom.plans.pretrain import prepare_pretraining
+    d = tmp_path
+    (d / "a.jsonl").write_text("".join(json.dumps({"text": t}) + "\n" for t in ["a b c", "", "d e"]))
+    (d / "b.txt").write_text("f g h\ni\n")
+    (d / "dataset_info.json").write_text(json.dumps({
+        "a": {"file_name": "a.jsonl", "columns": {"prompt": "text"}},
+        "b": {"file_name": "b.txt", "columns": {"prompt": "text"}}}))
+    out = prepare_pretraining(spark, str(d), "a,b", vocab=letters_vocab, block=4)
+    got = [list(r["input_ids"]) for r in out["train_dataset"].orderBy("batch", "block").collect()]
+    assert got == [[lid(c) for c in "abcd"], [lid(c) for c in "efgh"]]
+    both = prepare_pretraining(spark, str(d), "a,b", vocab=letters_vocab, block=2, val_size=1)
+    assert both["eval_dataset"].count() == 1 and both["train_dataset"].count() == 3

@@ -30,3 +30,30 @@ def pretrain_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text",
         vocab = build_vocab(rows, "prompt")
     rows = assign_batches(rows, key, batch_rows, name="_bt")
     return pack_text(rows, key, "prompt", vocab, block=block, batch_rows=batch_rows, batch_col="_bt")
+
+
+def prepare_pretraining(spark, dataset_dir: str, dataset: str, vocab: Vocabulary | None = None,
+                        block: int = 512, batch_rows: int = 1000, val_size: float = 0.0, seed: int = 42,
+                        system_prompt: str | None = None, max_samples: int | None = None,
+                        cache_path: str | None = None, overwrite_cache: bool = False) -> dict:
+    """The pretraining preparation end to end: registry -> read + align (datasets mixed by
+    concatenation, in their ingest order) -> F1 -> ids -> blocks -> train/eval split of the
+    blocks (exact seeded split; no eval set when ``val_size`` is 0).
+
+    Returns ``{"train_dataset": df}`` or ``{"train_dataset": df, "eval_dataset": df}``.
+    """
+    from ..operators.mix import concat
+    from ..operators.split import split_exact
+    from ..sources.files import load_datasets
+
+    sets = load_datasets(spark, dataset_dir, dataset, system_prompt, max_samples)
+    mixed = concat([d.select("ordinal", "prompt") for d in sets], "ordinal")
+    blocks = pretrain_blocks(mixed.select("position", F.col("prompt").alias("text")), key="position",
+                             vocab=vocab, block=block, batch_rows=batch_rows,
+                             cache_path=cache_path, overwrite_cache=overwrite_cache)
+    if val_size <= 1e-6:
+        return {"train_dataset": blocks}
+    keyed = blocks.withColumn("_k", F.concat_ws(":", F.col("batch").cast("string"), F.col("block").cast("string")))
+    split = split_exact(keyed, "_k", val_size, seed=seed)
+    return {"train_dataset": split.where(F.col("split") == "train").drop("_k", "split"),
+            "eval_dataset": split.where(F.col("split") == "eval").drop("_k", "split")}
