@@ -157,3 +157,21 @@ def test_decode_labels_pad(spark, letters_vocab):
     from tokenloom.operators.encode import decode_ids
     df = spark.createDataFrame([(0, [IGNORE_INDEX, lid("a"), 2])], "k long, labels array<int>")
     assert decode_ids(df, ["k"], "labels", letters_vocab).first()["text"] == "<unk> a </s>"
+
+
+def test_prepare_examples_from_registry(spark, letters_vocab, tmp_path):
+    import json
+    from tokenloom.plans.instruct import prepare_examples
+    (tmp_path / "s.jsonl").write_text(
+        json.dumps({"instruction": "q", "input": "", "output": "r", "history": [["a", "b"]]}) + "\n"
+        + json.dumps({"instruction": "", "input": "", "output": "x", "history": []}) + "\n")
+    (tmp_path / "p.jsonl").write_text(json.dumps({"instruction": "p", "input": "", "output": ["x", "y"]}) + "\n")
+    (tmp_path / "dataset_info.json").write_text(json.dumps({
+        "s": {"file_name": "s.jsonl", "columns": {"prompt": "instruction", "query": "input",
+                                                  "response": "output", "history": "history"}},
+        "p": {"file_name": "p.jsonl"}}))
+    sft = prepare_examples(spark, str(tmp_path), "s", "sft", "bare", letters_vocab)["train_dataset"].collect()
+    assert len(sft) == 1
+    assert sft[0]["input_ids"] == [B, lid("a"), lid("b"), E, B, lid("q"), lid("r"), E]
+    rm = prepare_examples(spark, str(tmp_path), "p", "rm", "bare", letters_vocab)["train_dataset"].collect()
+    assert rm[0]["chosen_ids"] == [lid("x"), E] and rm[0]["rejected_ids"] == [lid("y"), E]

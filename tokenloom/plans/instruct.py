@@ -57,3 +57,31 @@ def pair_examples(rows: DataFrame, key: str, template: str | Template, vocab: Vo
     enc = ex.encode_units(u, key, "u", vocab)
     p, c, rj = ex.pairwise(ex.pair_ids(enc), ex.alt_ids(), max_source_length, max_target_length)
     return enc.select(key, p.alias("prompt_ids"), c.alias("chosen_ids"), rj.alias("rejected_ids"))
+
+
+def prepare_examples(spark, dataset_dir: str, dataset: str, stage: str, template: str | Template,
+                     vocab: Vocabulary, max_source_length: int = 512, max_target_length: int = 512,
+                     predict_with_generate: bool = False, system_prompt: str | None = None,
+                     max_samples: int | None = None, val_size: float = 0.0, seed: int = 42) -> dict:
+    """Instruction data end to end: registry -> read + align -> datasets concatenated in
+    ingest order -> the stage's filter and encoder (sft, rm, or prompt-only for ppo / dpo /
+    generation) -> optional exact seeded split."""
+    from ..operators.mix import concat
+    from ..operators.split import split_exact
+    from ..sources.files import load_datasets
+
+    sets = load_datasets(spark, dataset_dir, dataset, system_prompt, max_samples)
+    cols = ["prompt", "query", "response", "history", "system"]
+    parts = [d.select("ordinal", *[c for c in cols if c in d.columns]) for d in sets]
+    rows = concat(parts, "ordinal")
+    if stage == "sft" and not predict_with_generate:
+        out = sft_examples(rows, "position", template, vocab, max_source_length, max_target_length)
+    elif stage == "rm":
+        out = pair_examples(rows, "position", template, vocab, max_source_length, max_target_length)
+    else:
+        out = prompt_examples(rows, "position", template, vocab, max_source_length, max_target_length)
+    if val_size <= 1e-6:
+        return {"train_dataset": out}
+    split = split_exact(out, "position", val_size, seed=seed)
+    return {"train_dataset": split.where(F.col("split") == "train").drop("split"),
+            "eval_dataset": split.where(F.col("split") == "eval").drop("split")}
