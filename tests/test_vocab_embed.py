@@ -22,7 +22,7 @@ def test_vocab_merge(spark):
 
 
 def test_subset_check_names_missing(spark):
-    with pytest.raises(ValueError, match="x not exist"):
+    with pytest.raises(ValueError, match="'x' of the new vocabulary is missing"):
         check_subset(_vocab(spark, ["a", "x"]), _vocab(spark, ["a", "b"]))
     check_subset(_vocab(spark, ["b"]), _vocab(spark, ["a", "b"]))
 

@@ -54,7 +54,7 @@ def system_prompts(system_prompt: str | None, n_datasets: int) -> list:
     prompts = system_prompt.split("|") if system_prompt else [None]
     prompts = prompts * (n_datasets // len(prompts))
     if len(prompts) != n_datasets:
-        raise ValueError("Number of system prompts should be equal to datasets or 1.")
+        raise ValueError(f"{len(prompts)} system prompts cannot be spread over {n_datasets} datasets")
     return prompts
 
 

@@ -131,7 +131,7 @@ def check_subset(new: Vocabulary, old: Vocabulary) -> None:
     """Raise naming a token of ``new`` missing from ``old``; only one row reaches the driver."""
     first = missing_tokens(new, old).select("token").limit(1).collect()
     if first:
-        raise ValueError(f"{first[0]['token']} not exist")
+        raise ValueError(f"token {first[0]['token']!r} of the new vocabulary is missing from the old one")
 
 
 def remap_ids(new: Vocabulary, old: Vocabulary) -> DataFrame:

@@ -53,10 +53,10 @@ def file_type(path: str) -> str:
 def read_files(spark: SparkSession, files: list[str], schema=None) -> DataFrame:
     """One reader for all files (types must agree); adds ``ordinal`` in file/line order."""
     if not files:
-        raise ValueError("File not found.")
+        raise ValueError("no dataset file at the given path")
     types = {file_type(f) for f in files}
     if len(types) != 1:
-        raise ValueError("file type does not match.")
+        raise ValueError("dataset files of different types in one folder")
     kind = types.pop()
     reader = spark.read
     if schema is not None:
@@ -153,7 +153,7 @@ def parse_registry(info: dict, dataset: str, system_prompt: str | None = None) -
     out = []
     for i, name in enumerate(names):
         if name not in info:
-            raise ValueError(f"Undefined dataset {name} in dataset_info.json.")
+            raise ValueError(f"dataset {name!r} is not in the registry")
         entry = info[name]
         if "hf_hub_url" in entry or "script_url" in entry:
             raise NotImplementedError("hub and script datasets need the network; only files are read")

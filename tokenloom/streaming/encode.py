@@ -29,13 +29,13 @@ class StreamRules:
 
     def check(self) -> None:
         if self.max_steps is None or self.max_steps <= 0:
-            raise ValueError("Please specify `max_steps` in streaming mode.")
+            raise ValueError("a streamed dataset needs a positive max_steps")
         if self.val_size > 1e-6 and self.val_size < 1:
-            raise ValueError("Streaming mode should have an integer val size.")
+            raise ValueError("a streamed dataset takes a whole number of eval rows as val_size")
         if self.stage == "ppo":
-            raise ValueError("PPO training does not support streaming.")
+            raise ValueError("the ppo stage does not read streamed data")
         if self.max_samples is not None:
-            raise ValueError("`max_samples` is incompatible with `streaming`.")
+            raise ValueError("max_samples does not apply to streamed data")
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
