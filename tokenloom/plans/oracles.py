@@ -355,3 +355,12 @@ FROM ({DOCS_F1}) d
 ORACLES["stream_filter"] = ORACLES["pt_filter"]
 
 ORACLES["vocab_sink"] = ORACLES["vocab_merge"]
+
+# ---------------------------------------------------------------- BPE in SQL
+from .queries import BPE_MERGES  # noqa: E402
+from .sqlparts import bpe_merges_cte  # noqa: E402
+
+ORACLES["bpe_merges"] = f"""
+WITH RECURSIVE {bpe_merges_cte(BPE_MERGES)}
+SELECT rank, a, b, CAST(count AS BIGINT) AS count FROM bm
+"""

@@ -162,3 +162,39 @@ def literal_id_sql(vocab: str = "v"):
 
 
 CONV_VOCAB = "SELECT text FROM conversations"
+
+
+def bpe_merges_cte(n_merges: int, text_source: str = "SELECT text FROM documents") -> str:
+    """CTEs ``bwc`` and ``bst``: plain BPE in SQL.  Symbols are wrapped as chr(1) sym chr(2),
+    so a literal ``replace`` merges non-overlapping pairs left to right; each iteration
+    takes the pair with the highest count (ties: left, right symbol), digits never pair."""
+    return f"""bwc AS (SELECT tok AS token, count(*) AS cnt
+             FROM (SELECT unnest({words('text')}) AS tok FROM ({text_source}) src_) t GROUP BY tok),
+bst(it, token, cnt, s, ma, mb, mc) AS (
+  SELECT 0, token, cnt,
+         array_to_string(list_transform(string_split('▁' || token, ''), lambda c: chr(1) || c || chr(2)), ''),
+         CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT)
+  FROM bwc
+  UNION ALL
+  SELECT it + 1, token, cnt,
+         replace(s, chr(1) || ba || chr(2) || chr(1) || bb || chr(2), chr(1) || ba || bb || chr(2)),
+         ba, bb, bc
+  FROM (
+    SELECT DISTINCT it, token, cnt, s,
+           first(a) OVER w AS ba, first(b) OVER w AS bb, first(pc) OVER w AS bc
+    FROM (
+      SELECT it, token, cnt, s, a, b, sum(cnt) OVER (PARTITION BY a, b) AS pc
+      FROM (
+        SELECT it, token, cnt, s, l[i] AS a, l[i + 1] AS b
+        FROM (SELECT it, token, cnt, s, l, unnest(generate_series(1, len(l) - 1)) AS i
+              FROM (SELECT it, token, cnt, s,
+                           list_transform(list_filter(string_split(s, chr(2)), lambda x: x <> ''),
+                                          lambda x: substr(x, 2)) AS l
+                    FROM bst WHERE it < {n_merges}) q1) q2
+      ) q3
+      WHERE NOT (regexp_matches(a, '[0-9]') OR regexp_matches(b, '[0-9]'))
+    ) q4
+    WINDOW w AS (ORDER BY pc DESC, a, b ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+  ) q5
+),
+bm AS (SELECT DISTINCT CAST(it - 1 AS INTEGER) AS rank, ma AS a, mb AS b, mc AS count FROM bst WHERE it > 0)"""
