@@ -364,3 +364,15 @@ ORACLES["bpe_merges"] = f"""
 WITH RECURSIVE {bpe_merges_cte(BPE_MERGES)}
 SELECT rank, a, b, CAST(count AS BIGINT) AS count FROM bm
 """
+
+from .sqlparts import bpe_encode_cte, bpe_vocab_cte  # noqa: E402
+
+ORACLES["encode_bpe"] = f"""
+WITH RECURSIVE {bpe_merges_cte(BPE_MERGES)}, {bpe_vocab_cte()}, {bpe_encode_cte(BPE_MERGES)},
+d AS (SELECT doc_id, {words('text')} AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS tok, unnest(generate_series(0, len(w) - 1)) AS pos FROM d),
+e AS (SELECT t.doc_id, flatten(list(benc.ids ORDER BY t.pos)) AS ids FROM t JOIN benc ON benc.token = t.tok
+      GROUP BY t.doc_id)
+SELECT d.doc_id, coalesce({ids_text('e.ids')}, '') AS input_ids, CAST(coalesce(len(e.ids), 0) AS BIGINT) AS n_tokens
+FROM d LEFT JOIN e USING (doc_id)
+"""

@@ -198,3 +198,47 @@ bst(it, token, cnt, s, ma, mb, mc) AS (
   ) q5
 ),
 bm AS (SELECT DISTINCT CAST(it - 1 AS INTEGER) AS rank, ma AS a, mb AS b, mc AS count FROM bst WHERE it > 0)"""
+
+
+def bpe_vocab_cte(text_source: str = "SELECT text FROM documents", coverage: float = 0.9995) -> str:
+    """CTE ``bv(id, token)`` after :func:`bpe_merges_cte`: specials, 256 byte pieces, merged
+    pieces in rank order (first occurrence), then ``▁`` and the covered characters by count."""
+    return f"""bcc AS (SELECT ch, sum(cnt) AS cnt FROM
+               (SELECT unnest(string_split(token, '')) AS ch, cnt FROM bwc) x WHERE ch <> '' GROUP BY ch),
+bcr AS (SELECT ch, cnt,
+               coalesce(sum(cnt) OVER (ORDER BY cnt DESC, ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+               sum(cnt) OVER () AS total FROM bcc),
+bpieces AS (SELECT a || b AS token, 0 AS grp, rank AS pos FROM bm
+            UNION ALL SELECT '▁', 1, -1
+            UNION ALL SELECT ch, 1, row_number() OVER (ORDER BY cnt DESC, ch) FROM bcr WHERE before < {coverage} * total),
+bfirst AS (SELECT token, min(grp * 1000000000 + pos) AS k FROM bpieces
+           WHERE token NOT IN ('<unk>', '<s>', '</s>') AND NOT regexp_matches(token, '^<0x[0-9A-F][0-9A-F]>$')
+           GROUP BY token),
+bv AS (SELECT 0 AS id, '<unk>' AS token UNION ALL SELECT 1, '<s>' UNION ALL SELECT 2, '</s>'
+       UNION ALL SELECT 3 + b, '<0x' || upper(lpad(to_hex(b), 2, '0')) || '>' FROM range(256) t(b)
+       UNION ALL SELECT CAST(258 + row_number() OVER (ORDER BY k) AS INTEGER), token FROM bfirst)"""
+
+
+def bpe_encode_cte(n_merges: int) -> str:
+    """CTEs ``benc(token, ids)``: every corpus word encoded by applying the merges in rank order
+    (for a trained merge list this equals lowest-rank-first BPE), unknown characters as bytes."""
+    return f"""bapp(k, token, s) AS (
+  SELECT 0, token, array_to_string(list_transform(string_split('▁' || token, ''), lambda c: chr(1) || c || chr(2)), '')
+  FROM bwc
+  UNION ALL
+  SELECT k + 1, token,
+         replace(s, chr(1) || bm.a || chr(2) || chr(1) || bm.b || chr(2), chr(1) || bm.a || bm.b || chr(2))
+  FROM bapp JOIN bm ON bm.rank = bapp.k WHERE k < {n_merges}
+),
+bfin AS (SELECT token, s FROM bapp WHERE k = (SELECT count(*) FROM bm)),
+bpc AS (SELECT token, p, substr(x, 2) AS piece FROM
+          (SELECT token, unnest(list_filter(string_split(s, chr(2)), lambda x: x <> '')) AS x,
+                  unnest(generate_series(1, len(list_filter(string_split(s, chr(2)), lambda x: x <> '')))) AS p
+           FROM bfin) y),
+bids AS (SELECT bpc.token, bpc.p, 0 AS q, bv.id FROM bpc JOIN bv ON bv.token = bpc.piece
+         UNION ALL
+         SELECT token, p, q, 3 + CAST(('0x' || substr(h, 2 * q + 1, 2)) AS INTEGER)
+         FROM (SELECT bpc.token, bpc.p, hex(encode(bpc.piece)) AS h FROM bpc
+               WHERE bpc.piece NOT IN (SELECT token FROM bv)) z, range(0, 8) r(q)
+         WHERE 2 * q < length(h)),
+benc AS (SELECT token, list(id ORDER BY p, q) AS ids FROM bids GROUP BY token)"""
