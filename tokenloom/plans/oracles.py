@@ -376,3 +376,14 @@ e AS (SELECT t.doc_id, flatten(list(benc.ids ORDER BY t.pos)) AS ids FROM t JOIN
 SELECT d.doc_id, coalesce({ids_text('e.ids')}, '') AS input_ids, CAST(coalesce(len(e.ids), 0) AS BIGINT) AS n_tokens
 FROM d LEFT JOIN e USING (doc_id)
 """
+
+_EN = "SELECT text FROM documents WHERE lang = 'en'"
+ORACLES["vocab_decompose"] = f"""
+WITH RECURSIVE {_LANG_VOCABS},
+added AS (SELECT id, token FROM n WHERE token NOT IN (SELECT token FROM b)),
+{bpe_merges_cte(BPE_MERGES, _EN)}, {bpe_vocab_cte(_EN)}, {bpe_encode_cte(BPE_MERGES, 'added')}
+SELECT CAST(added.id AS BIGINT) AS new_id, added.token,
+       {ids_text("CASE WHEN benc.ids[1] = (SELECT id FROM bv WHERE token = '▁') THEN benc.ids[2:] ELSE benc.ids END")}
+         AS old_ids
+FROM added JOIN benc ON benc.token = added.token
+"""

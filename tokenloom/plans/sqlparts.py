@@ -219,12 +219,13 @@ bv AS (SELECT 0 AS id, '<unk>' AS token UNION ALL SELECT 1, '<s>' UNION ALL SELE
        UNION ALL SELECT CAST(258 + row_number() OVER (ORDER BY k) AS INTEGER), token FROM bfirst)"""
 
 
-def bpe_encode_cte(n_merges: int) -> str:
-    """CTEs ``benc(token, ids)``: every corpus word encoded by applying the merges in rank order
-    (for a trained merge list this equals lowest-rank-first BPE), unknown characters as bytes."""
+def bpe_encode_cte(n_merges: int, source: str = "bwc") -> str:
+    """CTEs ``benc(token, ids)``: every ``token`` of ``source`` (default: the corpus words)
+    encoded by applying the merges in rank order (for a trained merge list this equals
+    lowest-rank-first BPE), unknown characters as bytes."""
     return f"""bapp(k, token, s) AS (
   SELECT 0, token, array_to_string(list_transform(string_split('▁' || token, ''), lambda c: chr(1) || c || chr(2)), '')
-  FROM bwc
+  FROM {source}
   UNION ALL
   SELECT k + 1, token,
          replace(s, chr(1) || bm.a || chr(2) || chr(1) || bm.b || chr(2), chr(1) || bm.a || bm.b || chr(2))
