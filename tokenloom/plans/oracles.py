@@ -358,17 +358,18 @@ ORACLES["vocab_sink"] = ORACLES["vocab_merge"]
 
 # ---------------------------------------------------------------- BPE in SQL
 from .queries import BPE_MERGES  # noqa: E402
-from .sqlparts import bpe_merges_cte  # noqa: E402
+from .sqlparts import bpe_all_cte  # noqa: E402
+
+_ALL_DOCS = "SELECT text FROM documents"
+_EN = "SELECT text FROM documents WHERE lang = 'en'"
 
 ORACLES["bpe_merges"] = f"""
-WITH RECURSIVE {bpe_merges_cte(BPE_MERGES)}
+WITH RECURSIVE {bpe_all_cte('b', _ALL_DOCS, str(BPE_MERGES))}
 SELECT rank, a, b, CAST(count AS BIGINT) AS count FROM bm
 """
 
-from .sqlparts import bpe_encode_cte, bpe_vocab_cte  # noqa: E402
-
 ORACLES["encode_bpe"] = f"""
-WITH RECURSIVE {bpe_merges_cte(BPE_MERGES)}, {bpe_vocab_cte()}, {bpe_encode_cte(BPE_MERGES)},
+WITH RECURSIVE {bpe_all_cte('b', _ALL_DOCS, str(BPE_MERGES), 'bwc')},
 d AS (SELECT doc_id, {words('text')} AS w FROM documents),
 t AS (SELECT doc_id, unnest(w) AS tok, unnest(generate_series(0, len(w) - 1)) AS pos FROM d),
 e AS (SELECT t.doc_id, flatten(list(benc.ids ORDER BY t.pos)) AS ids FROM t JOIN benc ON benc.token = t.tok
@@ -377,13 +378,12 @@ SELECT d.doc_id, coalesce({ids_text('e.ids')}, '') AS input_ids, CAST(coalesce(l
 FROM d LEFT JOIN e USING (doc_id)
 """
 
-_EN = "SELECT text FROM documents WHERE lang = 'en'"
 ORACLES["vocab_decompose"] = f"""
 WITH RECURSIVE {_LANG_VOCABS},
 added AS (SELECT id, token FROM n WHERE token NOT IN (SELECT token FROM b)),
-{bpe_merges_cte(BPE_MERGES, _EN)}, {bpe_vocab_cte(_EN)}, {bpe_encode_cte(BPE_MERGES, 'added')}
+{bpe_all_cte('o', _EN, str(BPE_MERGES), 'added')}
 SELECT CAST(added.id AS BIGINT) AS new_id, added.token,
-       {ids_text("CASE WHEN benc.ids[1] = (SELECT id FROM bv WHERE token = '▁') THEN benc.ids[2:] ELSE benc.ids END")}
+       {ids_text("CASE WHEN oenc.ids[1] = (SELECT id FROM ov WHERE token = '▁') THEN oenc.ids[2:] ELSE oenc.ids END")}
          AS old_ids
-FROM added JOIN benc ON benc.token = added.token
+FROM added JOIN oenc ON oenc.token = added.token
 """

@@ -164,17 +164,33 @@ def literal_id_sql(vocab: str = "v"):
 CONV_VOCAB = "SELECT text FROM conversations"
 
 
-def bpe_merges_cte(n_merges: int, text_source: str = "SELECT text FROM documents") -> str:
-    """CTEs ``bwc`` and ``bst``: plain BPE in SQL.  Symbols are wrapped as chr(1) sym chr(2),
-    so a literal ``replace`` merges non-overlapping pairs left to right; each iteration
-    takes the pair with the highest count (ties: left, right symbol), digits never pair."""
-    return f"""bwc AS (SELECT tok AS token, count(*) AS cnt
-             FROM (SELECT unnest({words('text')}) AS tok FROM ({text_source}) src_) t GROUP BY tok),
-bst(it, token, cnt, s, ma, mb, mc) AS (
+def bpe_words_cte(p: str, text_source: str) -> str:
+    """``{p}wc(token, cnt)``: word counts of ``text_source`` (column ``text``)."""
+    return (f"{p}wc AS (SELECT tok AS token, count(*) AS cnt "
+            f"FROM (SELECT unnest({words('text')}) AS tok FROM ({text_source}) src_) t GROUP BY tok)")
+
+
+def bpe_cover_cte(p: str, coverage: float = 0.9995) -> str:
+    """``{p}cr(ch, cnt, before, total)`` and ``{p}alpha(ch, pos)``: covered characters by count."""
+    return f"""{p}cc AS (SELECT ch, sum(cnt) AS cnt FROM
+               (SELECT unnest(string_split(token, '')) AS ch, cnt FROM {p}wc) x WHERE ch <> '' GROUP BY ch),
+{p}cr AS (SELECT ch, cnt,
+               coalesce(sum(cnt) OVER (ORDER BY cnt DESC, ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+               sum(cnt) OVER () AS total FROM {p}cc),
+{p}alpha AS (SELECT '▁' AS ch, -1 AS pos
+             UNION ALL SELECT ch, row_number() OVER (ORDER BY cnt DESC, ch) FROM {p}cr WHERE before < {coverage} * total)"""
+
+
+def bpe_train_cte(p: str, n_merges: str) -> str:
+    """``{p}st`` (recursive) and ``{p}m(rank, a, b, count)``: plain BPE in SQL.  Symbols are
+    wrapped as chr(1) sym chr(2), so a literal ``replace`` merges non-overlapping pairs left
+    to right; each iteration takes the pair with the highest count (ties: left, right
+    symbol); digits never pair.  ``n_merges`` is SQL (a number or a scalar subquery)."""
+    return f"""{p}st(it, token, cnt, s, ma, mb, mc) AS (
   SELECT 0, token, cnt,
          array_to_string(list_transform(string_split('▁' || token, ''), lambda c: chr(1) || c || chr(2)), ''),
          CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT)
-  FROM bwc
+  FROM {p}wc
   UNION ALL
   SELECT it + 1, token, cnt,
          replace(s, chr(1) || ba || chr(2) || chr(1) || bb || chr(2), chr(1) || ba || bb || chr(2)),
@@ -190,56 +206,59 @@ bst(it, token, cnt, s, ma, mb, mc) AS (
               FROM (SELECT it, token, cnt, s,
                            list_transform(list_filter(string_split(s, chr(2)), lambda x: x <> ''),
                                           lambda x: substr(x, 2)) AS l
-                    FROM bst WHERE it < {n_merges}) q1) q2
+                    FROM {p}st WHERE it < ({n_merges})) q1) q2
       ) q3
       WHERE NOT (regexp_matches(a, '[0-9]') OR regexp_matches(b, '[0-9]'))
     ) q4
     WINDOW w AS (ORDER BY pc DESC, a, b ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
   ) q5
 ),
-bm AS (SELECT DISTINCT CAST(it - 1 AS INTEGER) AS rank, ma AS a, mb AS b, mc AS count FROM bst WHERE it > 0)"""
+{p}m AS (SELECT DISTINCT CAST(it - 1 AS INTEGER) AS rank, ma AS a, mb AS b, mc AS count FROM {p}st WHERE it > 0)"""
 
 
-def bpe_vocab_cte(text_source: str = "SELECT text FROM documents", coverage: float = 0.9995) -> str:
-    """CTE ``bv(id, token)`` after :func:`bpe_merges_cte`: specials, 256 byte pieces, merged
-    pieces in rank order (first occurrence), then ``▁`` and the covered characters by count."""
-    return f"""bcc AS (SELECT ch, sum(cnt) AS cnt FROM
-               (SELECT unnest(string_split(token, '')) AS ch, cnt FROM bwc) x WHERE ch <> '' GROUP BY ch),
-bcr AS (SELECT ch, cnt,
-               coalesce(sum(cnt) OVER (ORDER BY cnt DESC, ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-               sum(cnt) OVER () AS total FROM bcc),
-bpieces AS (SELECT a || b AS token, 0 AS grp, rank AS pos FROM bm
-            UNION ALL SELECT '▁', 1, -1
-            UNION ALL SELECT ch, 1, row_number() OVER (ORDER BY cnt DESC, ch) FROM bcr WHERE before < {coverage} * total),
-bfirst AS (SELECT token, min(grp * 1000000000 + pos) AS k FROM bpieces
+def bpe_vocab_cte(p: str) -> str:
+    """``{p}v(id, token)``: specials, 256 byte pieces, merged pieces in rank order (first
+    occurrence), then the alphabet."""
+    return f"""{p}pieces AS (SELECT a || b AS token, 0 AS grp, rank AS pos FROM {p}m
+            UNION ALL SELECT ch, 1, pos FROM {p}alpha),
+{p}first AS (SELECT token, min(grp * 1000000000 + pos) AS k FROM {p}pieces
            WHERE token NOT IN ('<unk>', '<s>', '</s>') AND NOT regexp_matches(token, '^<0x[0-9A-F][0-9A-F]>$')
            GROUP BY token),
-bv AS (SELECT 0 AS id, '<unk>' AS token UNION ALL SELECT 1, '<s>' UNION ALL SELECT 2, '</s>'
+{p}v AS (SELECT 0 AS id, '<unk>' AS token UNION ALL SELECT 1, '<s>' UNION ALL SELECT 2, '</s>'
        UNION ALL SELECT 3 + b, '<0x' || upper(lpad(to_hex(b), 2, '0')) || '>' FROM range(256) t(b)
-       UNION ALL SELECT CAST(258 + row_number() OVER (ORDER BY k) AS INTEGER), token FROM bfirst)"""
+       UNION ALL SELECT CAST(258 + row_number() OVER (ORDER BY k) AS INTEGER), token FROM {p}first)"""
 
 
-def bpe_encode_cte(n_merges: int, source: str = "bwc") -> str:
-    """CTEs ``benc(token, ids)``: every ``token`` of ``source`` (default: the corpus words)
-    encoded by applying the merges in rank order (for a trained merge list this equals
-    lowest-rank-first BPE), unknown characters as bytes."""
-    return f"""bapp(k, token, s) AS (
+def bpe_encode_cte(p: str, source: str) -> str:
+    """``{p}enc(token, ids)``: every ``token`` of ``source`` encoded by applying the merges in
+    rank order (for a trained merge list this equals lowest-rank-first BPE), unknown
+    characters as bytes."""
+    return f"""{p}app(k, token, s) AS (
   SELECT 0, token, array_to_string(list_transform(string_split('▁' || token, ''), lambda c: chr(1) || c || chr(2)), '')
   FROM {source}
   UNION ALL
   SELECT k + 1, token,
-         replace(s, chr(1) || bm.a || chr(2) || chr(1) || bm.b || chr(2), chr(1) || bm.a || bm.b || chr(2))
-  FROM bapp JOIN bm ON bm.rank = bapp.k WHERE k < {n_merges}
+         replace(s, chr(1) || mm.a || chr(2) || chr(1) || mm.b || chr(2), chr(1) || mm.a || mm.b || chr(2))
+  FROM {p}app JOIN {p}m mm ON mm.rank = {p}app.k
 ),
-bfin AS (SELECT token, s FROM bapp WHERE k = (SELECT count(*) FROM bm)),
-bpc AS (SELECT token, p, substr(x, 2) AS piece FROM
+{p}fin AS (SELECT token, s FROM {p}app WHERE k = (SELECT count(*) FROM {p}m)),
+{p}pc AS (SELECT token, p, substr(x, 2) AS piece FROM
           (SELECT token, unnest(list_filter(string_split(s, chr(2)), lambda x: x <> '')) AS x,
                   unnest(generate_series(1, len(list_filter(string_split(s, chr(2)), lambda x: x <> '')))) AS p
-           FROM bfin) y),
-bids AS (SELECT bpc.token, bpc.p, 0 AS q, bv.id FROM bpc JOIN bv ON bv.token = bpc.piece
+           FROM {p}fin) y),
+{p}ids AS (SELECT pc.token, pc.p, 0 AS q, v.id FROM {p}pc pc JOIN {p}v v ON v.token = pc.piece
          UNION ALL
          SELECT token, p, q, 3 + CAST(('0x' || substr(h, 2 * q + 1, 2)) AS INTEGER)
-         FROM (SELECT bpc.token, bpc.p, hex(encode(bpc.piece)) AS h FROM bpc
-               WHERE bpc.piece NOT IN (SELECT token FROM bv)) z, range(0, 8) r(q)
+         FROM (SELECT pc.token, pc.p, hex(encode(pc.piece)) AS h FROM {p}pc pc
+               WHERE pc.piece NOT IN (SELECT token FROM {p}v)) z, range(0, 8) r(q)
          WHERE 2 * q < length(h)),
-benc AS (SELECT token, list(id ORDER BY p, q) AS ids FROM bids GROUP BY token)"""
+{p}enc AS (SELECT token, list(id ORDER BY p, q) AS ids FROM {p}ids GROUP BY token)"""
+
+
+def bpe_all_cte(p: str, text_source: str, n_merges: str, encode_source: str | None = None,
+                coverage: float = 0.9995) -> str:
+    parts = [bpe_words_cte(p, text_source), bpe_cover_cte(p, coverage), bpe_train_cte(p, n_merges),
+             bpe_vocab_cte(p)]
+    if encode_source is not None:
+        parts.append(bpe_encode_cte(p, encode_source))
+    return ",\n".join(parts)
