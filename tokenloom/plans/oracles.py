@@ -387,3 +387,39 @@ SELECT CAST(added.id AS BIGINT) AS new_id, added.token,
          AS old_ids
 FROM added JOIN oenc ON oenc.token = added.token
 """
+
+from .sqlparts import bpe_cover_cte, bpe_encode_cte, bpe_train_cte, bpe_vocab_cte, bpe_words_cte  # noqa: E402
+
+
+def _lines(where: str) -> str:
+    return (f"SELECT line AS text FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents "
+            f"WHERE {where}) x WHERE line <> '' AND strlen(line) <= 2000")
+
+
+def _learned(p: str, where: str, vocab_size: int) -> str:
+    return ",\n".join([
+        bpe_words_cte(p, _lines(where)), bpe_cover_cte(p),
+        f"{p}nm AS (SELECT greatest(0, {vocab_size} - (259 + (SELECT count(*) FROM {p}alpha))) AS n)",
+        bpe_train_cte(p, f"SELECT n FROM {p}nm"), bpe_vocab_cte(p)])
+
+
+ORACLES["extend_vocab"] = f"""
+WITH RECURSIVE {_learned('o', "lang = 'en'", 400)},
+{_learned('w', "lang <> 'en'", 400)},
+addsrc AS (SELECT id AS src_id, token FROM wv WHERE token NOT IN (SELECT token FROM ov)),
+added AS (SELECT CAST((SELECT count(*) FROM ov) + row_number() OVER (ORDER BY src_id) - 1 AS BIGINT) AS id, token
+          FROM addsrc),
+{bpe_encode_cte('o', 'added')},
+dec AS (SELECT added.id AS new_id,
+               CASE WHEN oenc.ids[1] = (SELECT id FROM ov WHERE token = '▁') THEN oenc.ids[2:] ELSE oenc.ids END AS ids
+        FROM added JOIN oenc ON oenc.token = added.token),
+e AS (SELECT * FROM ({_EMB_LONG}) x WHERE id < (SELECT count(*) FROM ov)),
+mem AS (SELECT new_id, unnest(ids) AS old_id FROM dec),
+means AS (SELECT mem.new_id AS id, e.dim, avg(e.value) AS value FROM mem JOIN e ON e.id = mem.old_id
+          GROUP BY mem.new_id, e.dim),
+orphans AS (SELECT id FROM added WHERE id NOT IN (SELECT id FROM means)),
+gm AS (SELECT dim, avg(value) AS value FROM e GROUP BY dim)
+SELECT id, dim, round(value, 6) AS value FROM e
+UNION ALL SELECT CAST(id AS BIGINT), dim, round(value, 6) FROM means
+UNION ALL SELECT CAST(orphans.id AS BIGINT), gm.dim, round(gm.value, 6) FROM orphans JOIN gm ON TRUE
+"""
