@@ -115,10 +115,15 @@ def pairwise(pairs: Column, rejected: Column, max_src: int, max_tgt: int) -> tup
 
 
 def collate(df: DataFrame, ordinal: str, pad_id: int, batch_size: int = 8,
-            padding_side: str = "left", ids: str = "input_ids") -> DataFrame:
+            padding_side: str = "left", ids: str = "input_ids", batch_col: str | None = None) -> DataFrame:
     """Q9: causal-LM collator per batch of ``batch_size`` rows: pad to the batch's longest
-    row, mask pads with 0, labels = ids with every pad id replaced by IGNORE_INDEX."""
-    d = df.withColumn("_batch", (F.col(ordinal) / F.lit(batch_size)).cast("bigint"))
+    row, mask pads with 0, labels = ids with every pad id replaced by IGNORE_INDEX.
+
+    The batch is ``ordinal div batch_size``, or ``batch_col`` when already assigned."""
+    if batch_col is not None:
+        d = df.withColumn("_batch", F.col(batch_col))
+    else:
+        d = df.withColumn("_batch", (F.col(ordinal) / F.lit(batch_size)).cast("bigint"))
     w = F.max(F.size(ids)).over(Window.partitionBy("_batch"))
     d = d.withColumn("_w", w).withColumn("_pad", F.col("_w") - F.size(ids))
     pad = F.array_repeat(F.lit(pad_id), F.col("_pad"))

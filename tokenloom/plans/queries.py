@@ -21,7 +21,7 @@ from ..operators.encode import decode_ids, encode_texts
 from ..operators.examples import collate
 from ..operators.filters import pretrain_filter, sft_filter
 from ..operators.mix import concat, interleave_over, interleave_probs, interleave_under
-from ..operators.ordinal import ordinal_from_key, with_ordinal, with_ordinal_n
+from ..operators.ordinal import assign_batches, ordinal_from_key, with_ordinal, with_ordinal_n
 from ..operators.pack import batch_offsets, pack_text
 from ..operators.split import first_n_per_group, seeded_rank, split_exact, split_head
 from ..operators.templates import seg_text
@@ -338,8 +338,9 @@ def q_collate(spark, sf_dir):
     conv = _conv(spark, sf_dir)
     vocab = _conv_vocab(conv)
     ex = sft_examples(sft_rows(conv), "conv_id", "default", vocab, 96, 160).select("conv_id", "input_ids")
-    ex = with_ordinal(ex, F.col("conv_id").asc())
-    out = collate(ex, "ordinal", vocab.pad_id, batch_size=8, padding_side="left")
+    # batches of 8 examples in conv_id order; only the keys are ranked (see assign_batches)
+    ex = assign_batches(ex, "conv_id", 8, name="_b")
+    out = collate(ex, "conv_id", vocab.pad_id, batch_size=8, padding_side="left", batch_col="_b")
     return out.select("conv_id", "batch", ids_text("input_ids").alias("input_ids"),
                       ids_text("attention_mask").alias("attention_mask"), ids_text("labels").alias("labels"))
 
