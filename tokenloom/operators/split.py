@@ -38,12 +38,25 @@ def seeded_rank(df: DataFrame, key: str, seed: int, name: str = "rank") -> DataF
 
 def split_exact(df: DataFrame, key: str, val_size: float, seed: int = 42,
                 n_rows: int | None = None) -> DataFrame:
-    """L2: adds ``split`` = 'eval' for exactly ``eval_size`` rows chosen by seeded hash, else 'train'."""
+    """L2: adds ``split`` = 'eval' for exactly ``eval_size`` rows chosen by seeded hash, else 'train'.
+
+    Only ``(hash, key)`` is ranked; the row at rank k is the first train row, and every
+    row is labelled by comparing its ``(hash, key)`` with that one boundary: the wide
+    rows are never sorted.
+    """
     n = df.count() if n_rows is None else n_rows
     k = eval_size(n, val_size)
-    ranked = seeded_rank(df, key, seed, name="_r")
-    return ranked.withColumn("split", F.when(F.col("_r") < k, F.lit("eval")).otherwise(F.lit("train"))) \
-                 .drop("_r")
+    h = seeded_hash(seed, key)
+    if k <= 0:
+        return df.withColumn("split", F.lit("train"))
+    if k >= n:
+        return df.withColumn("split", F.lit("eval"))
+    narrow = df.select(F.col(key).alias("_k"), h.alias("_h"))
+    ranked = with_ordinal(narrow, F.col("_h"), F.col("_k"), name="_r")
+    bound = ranked.where(F.col("_r") == k).select("_h", "_k").first()
+    bh, bk = F.lit(bound["_h"]), F.lit(bound["_k"])
+    before = (h < bh) | ((h == bh) & (F.col(key) < bk))
+    return df.withColumn("split", F.when(before, F.lit("eval")).otherwise(F.lit("train")))
 
 
 def split_head(df: DataFrame, ordinal: str, val_size: float) -> DataFrame:
