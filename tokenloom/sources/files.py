@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import broadcast_if_small
 from ..operators.align import add_system, align_columns, system_prompts
+from .tables import spread
 
 # File extension -> reader (parquet added to the reference's four).
 EXT2TYPE = {"csv": "csv", "json": "json", "jsonl": "json", "txt": "text", "parquet": "parquet"}
@@ -71,7 +72,8 @@ def read_files(spark: SparkSession, files: list[str], schema=None) -> DataFrame:
         df = reader.text(files).withColumnRenamed("value", "text")
     else:
         df = reader.parquet(*files)
-    return ingest_ordinal(df)
+    # numbered in read order first; then a single-file (unsplittable) input is spread over the cores
+    return spread(ingest_ordinal(df))
 
 
 def ingest_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
