@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tokenloom.llm.near_dup import near_duplicates
+from tokenloom.llm.secret_scan import scan_secrets
 from tokenloom.llm.stage import read
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text of ``documents``."""
+    return scan_secrets(read(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents`` (3-word shingles, Jaccard of 0.85 or more)."""
     return near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op10_minhash_near_dup,)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op10_minhash_near_dup)}
 
 ORACLES: dict[str, str] = {}
