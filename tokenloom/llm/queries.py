@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from tokenloom.llm.byte_bpe import encode_bytes
 from tokenloom.llm.near_dup import near_duplicates
 from tokenloom.llm.secret_scan import scan_secrets
 from tokenloom.llm.stage import read
@@ -14,11 +17,16 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every whole text of ``documents``, and their decoded bytes."""
+    return encode_bytes(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents`` (3-word shingles, Jaccard of 0.85 or more)."""
     return near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op10_minhash_near_dup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op8_byte_bpe, op10_minhash_near_dup)}
 
 ORACLES: dict[str, str] = {}
