@@ -10,6 +10,8 @@ from tokenloom.llm.byte_bpe import encode_bytes
 from tokenloom.llm.near_dup import near_duplicates
 from tokenloom.llm.secret_scan import scan_secrets
 from tokenloom.llm.stage import read
+from tokenloom.llm.token_file import read_token_file, write_token_file
+from tokenloom.session import stage_dir
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,13 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text of ``documents``, written as token files and read back."""
+    path = stage_dir(spark, "token-file")
+    write_token_file(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, end_id=2)
+    return read_token_file(spark, path)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text of ``documents``, and their decoded bytes."""
     return encode_bytes(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -27,6 +36,6 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op8_byte_bpe, op10_minhash_near_dup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_file, op8_byte_bpe, op10_minhash_near_dup)}
 
 ORACLES: dict[str, str] = {}
