@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from tokenloom.llm.byte_bpe import encode_bytes
+from tokenloom.llm.chat import round_trip
 from tokenloom.llm.near_dup import near_duplicates
 from tokenloom.llm.secret_scan import scan_secrets
 from tokenloom.llm.stage import read
@@ -26,6 +27,35 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_file(spark, path)
 
 
+PROBE_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted ``conversations`` and the probe conversation -7, written and read back."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE_TEXT), (-7, 1, "assistant", PROBE_TEXT)],
+                                  "conv_id long, turn long, role string, text string")
+    return round_trip(rows.unionByName(probe), stage_dir(spark, "chat"))
+
+
+_ESCAPED = "replace(text, '\\', '\\\\')"
+for _control in ("<|turn|>", "</turn>", "<|image:", "<|audio:", "<|document:"):
+    _ESCAPED = f"replace({_ESCAPED}, '{_control}', '\\l{_control[1:]}')"
+
+CHAT_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{PROBE_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE_TEXT}')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length({_ESCAPED}) + length(role) + 17) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
+FROM t GROUP BY conv_id
+"""
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text of ``documents``, and their decoded bytes."""
     return encode_bytes(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -36,6 +66,6 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_file, op8_byte_bpe, op10_minhash_near_dup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_file, op4_chat_format, op8_byte_bpe, op10_minhash_near_dup)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_chat_format": CHAT_SQL}
