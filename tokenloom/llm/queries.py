@@ -12,6 +12,7 @@ from tokenloom.llm.near_dup import near_duplicates
 from tokenloom.llm.secret_scan import scan_secrets
 from tokenloom.llm.stage import read
 from tokenloom.llm.token_file import read_token_file, write_token_file
+from tokenloom.llm.toxicity import score_toxicity
 from tokenloom.session import stage_dir
 
 
@@ -56,6 +57,11 @@ FROM t GROUP BY conv_id
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole text of ``documents``, learned from ``labels``."""
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text of ``documents``, and their decoded bytes."""
     return encode_bytes(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -66,6 +72,6 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_file, op4_chat_format, op8_byte_bpe, op10_minhash_near_dup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_file, op4_chat_format, op6_toxicity, op8_byte_bpe, op10_minhash_near_dup)}
 
 ORACLES: dict[str, str] = {"op4_chat_format": CHAT_SQL}
