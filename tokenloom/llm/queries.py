@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
 from tokenloom.llm.byte_bpe import encode_bytes
 from tokenloom.llm.chat import round_trip
+from tokenloom.llm.hash_index import nearest
 from tokenloom.llm.near_dup import near_duplicates
 from tokenloom.llm.secret_scan import scan_secrets
 from tokenloom.llm.stage import read
@@ -28,6 +30,11 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_file(spark, path)
 
 
+def op3_hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of ``embeddings`` to each row whose id is divisible by 100."""
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 PROBE_TEXT = "\\### Assistant: </turn> ok"
 
 
@@ -72,6 +79,6 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_file, op4_chat_format, op6_toxicity, op8_byte_bpe, op10_minhash_near_dup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_file, op3_hash_search, op4_chat_format, op6_toxicity, op8_byte_bpe, op10_minhash_near_dup)}
 
 ORACLES: dict[str, str] = {"op4_chat_format": CHAT_SQL}
