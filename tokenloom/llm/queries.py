@@ -9,6 +9,7 @@ import public_tokenizers
 
 from tokenloom.llm.byte_bpe import encode_bytes
 from tokenloom.llm.chat import round_trip
+from tokenloom.llm.decontaminate import find_leaks
 from tokenloom.llm.hash_index import nearest
 from tokenloom.llm.near_dup import near_duplicates
 from tokenloom.llm.secret_scan import scan_secrets
@@ -64,6 +65,11 @@ FROM t GROUP BY conv_id
 """
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of ``documents`` that hold items of ``benchmark``, re-parameterised ones too."""
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every whole text of ``documents``, learned from ``labels``."""
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -79,6 +85,6 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_file, op3_hash_search, op4_chat_format, op6_toxicity, op8_byte_bpe, op10_minhash_near_dup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_file, op3_hash_search, op4_chat_format, op5_decontaminate, op6_toxicity, op8_byte_bpe, op10_minhash_near_dup)}
 
 ORACLES: dict[str, str] = {"op4_chat_format": CHAT_SQL}
