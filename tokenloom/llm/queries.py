@@ -15,7 +15,9 @@ from tokenloom.llm.near_dup import near_duplicates
 from tokenloom.llm.secret_scan import scan_secrets
 from tokenloom.llm.stage import read
 from tokenloom.llm.token_file import read_token_file, write_token_file
+from tokenloom.llm.token_spans import attribute_tokens
 from tokenloom.llm.toxicity import score_toxicity
+from tokenloom.llm.warc import derive, responses
 from tokenloom.session import stage_dir
 
 
@@ -75,16 +77,28 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page of ``pages``."""
+    return derive(responses(read(spark, sf_dir, "pages")))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text of ``documents``, and their decoded bytes."""
     return encode_bytes(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op9_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every whole text of ``documents``."""
+    return attribute_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                            public_tokenizers.PATTERN)
+
+
 def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents`` (3-word shingles, Jaccard of 0.85 or more)."""
     return near_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_file, op3_hash_search, op4_chat_format, op5_decontaminate, op6_toxicity, op8_byte_bpe, op10_minhash_near_dup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_file, op3_hash_search, op4_chat_format, op5_decontaminate, op6_toxicity, op7_warc_derivatives, op8_byte_bpe,
+                                   op9_token_spans, op10_minhash_near_dup)}
 
 ORACLES: dict[str, str] = {"op4_chat_format": CHAT_SQL}
