@@ -29,6 +29,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tokenloom.llm import textnum as tn
 from tokenloom.llm.stage import staged
@@ -251,21 +252,25 @@ class ToxicityModel:
     def _raw(self, rows: DataFrame) -> DataFrame:
         return self.trees.transform(rows).withColumn("raw", vector_to_array("probability")[1])
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """doc_id, held_out, score, predicted of every row."""
-        ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    def score(self, docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        """The carried columns, held_out, score, predicted of every row."""
+        rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
         if self.trees is None:
-            out = ids.select("doc_id", F.lit(0.0).alias("score"))
+            out = rows.select(*carry, F.lit(0.0).alias("score"))
         else:
-            rows = ids.mapInArrow(_feature_rows(self.lexicon, [("doc_id", pa.int64())]), "doc_id long, features array<double>")
-            out = self._raw(rows.select("doc_id", array_to_vector("features").alias("vector")))
+            kept = rows.select(*carry).schema
+            schema = to_arrow_schema(kept)
+            sql = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+            rows = rows.select(*dict.fromkeys((*carry, "text"))).mapInArrow(
+                _feature_rows(self.lexicon, [(f.name, f.type) for f in schema]), f"{sql}, features array<double>")
+            out = self._raw(rows.select(*carry, array_to_vector("features").alias("vector")))
             if self.calibration is None:
                 out = out.withColumn("score", F.col("raw"))
             else:
                 # the calibration is a step function; a small share of the tree score orders rows within a step
                 out = self.calibration.transform(out).withColumn("score", 0.98 * F.col("calibrated") + 0.02 * F.col("raw"))
         held = F.coalesce(_remainder(F.col("doc_id")) == 2, F.lit(False))
-        return out.select("doc_id", held.alias("held_out"), F.col("score").cast("double").alias("score"),
+        return out.select(*carry, held.alias("held_out"), F.col("score").cast("double").alias("score"),
                           (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
