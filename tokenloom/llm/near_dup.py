@@ -1,6 +1,6 @@
 """Near-duplicate texts by HyperMinHash.
 
-Sketch.  The distinct k-word shingle hashes of a text fall into 128 buckets by their top bits.  Each
+Sketch.  The distinct k-word shingle hashes of a text fall into 256 buckets by their top bits.  Each
 bucket stores the smallest remaining hash in 16 bits: its count of leading zeros and ten mantissa
 bits.  Empty buckets borrow a register of a filled one (a fixed random order per bucket) for
 banding only.
@@ -10,10 +10,11 @@ into bands of compressed registers; classes that agree in a band share a bucket.
 texts are compared with a few pivots, never all with all: what a pivot does not link is compared
 with further pivots, in rounds, until all members of the bucket lie in one component or every pair
 between different components has been compared.  So links are complete for the components while
-copies of one text cost one comparison each.
+copies of one text cost one comparison each.  A bucket is streamed past its pivots' sketches, and a pair
+leaves the task only if its sketches are likely to pass, in the least bucket that both texts share.
 
 Check.  A pair first passes a size test and the collision-corrected Jaccard estimate of the two
-sketches (with a margin of six standard deviations), then the exact Jaccard test on full sets.
+sketches (with a margin of 4.5 standard deviations), then the exact Jaccard test on full sets.
 
 Defined results: a null or empty text (no words) has an empty set and is linked with nothing; every
 input row gives one output row; rows that repeat an id with other texts are labelled one by one, and a
@@ -36,13 +37,13 @@ from tokenloom.llm import textnum as tn
 from tokenloom.llm.components import components
 from tokenloom.llm.stage import staged
 
-BUCKETS = 128
-BUCKET_BITS = 7
+BUCKETS = 256
+BUCKET_BITS = 8
 MANTISSA = 10
 EMPTY = 0xFFFF
 FIRST_PIVOTS = 1        # pivots of a bucket in the first round
-MORE_PIVOTS = 8         # factor from round to round
-GROUP = 512             # members compared with a pivot in one task
+MORE_PIVOTS = 32        # factor from round to round
+GROUP = 4096            # members of a bucket in one task
 
 
 def band_rows(threshold: float, miss: float = 1e-6) -> int:
@@ -58,7 +59,7 @@ def _borrow_order() -> np.ndarray:
 
 
 def sketch(u: np.ndarray) -> np.ndarray:
-    """128 registers (uint16) of sorted distinct hashes."""
+    """256 registers (uint16) of sorted distinct hashes."""
     out = np.full(BUCKETS, EMPTY, np.uint16)
     if len(u) == 0:
         return out
@@ -164,27 +165,63 @@ def _band_keys(rows: int):
     return run
 
 
+def cut(n: np.ndarray, m: np.ndarray, used: np.ndarray, threshold: float) -> np.ndarray:
+    """Least estimate that a pair at the threshold shows, but for 4.5 standard deviations.
+
+    The registers used are a sample, without replacement, of the union of the two sets.
+    """
+    union = np.maximum((n + m) / (1 + threshold), used)
+    spread = np.sqrt(threshold * (1 - threshold) / used * np.maximum(1 - used / union, 0.02))
+    return threshold - 4.5 * spread - 0.5 / used
+
+
 def _likely(threshold: float):
-    """Pairs that pass the size test and the estimate."""
-    schema = pa.schema([("p", pa.int64()), ("m", pa.int64())])
+    """Streams a bucket's members, its pivots first; yields pairs of different components that pass the
+    size test and the estimate, each pair only in the least bucket that both share."""
+    schema = pa.schema([(c, pa.int64()) for c in ("p", "m", "pc", "mc", "salt")])
 
     def run(batches):
+        place, pivots = None, []
         for b in batches:
             if b.num_rows == 0:
                 continue
-            n, m = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("pn", "mn"))
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS)
-                    for c in ("ps", "ms"))
-            j, used = estimate(x, y, n, m)
-            keep = j >= threshold - 6 * np.sqrt(threshold * (1 - threshold) / used) - 2.0 / used
-            keep &= np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
-            yield pa.RecordBatch.from_arrays([b.column("p").filter(pa.array(keep)),
-                                              b.column("m").filter(pa.array(keep))], schema=schema)
+            bucket, salt, kind, rep, comp, size = (b.column(c).to_numpy() for c in (
+                "bucket", "salt", "kind", "rep", "comp", "n_shingles"))
+            regs = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            lists = b.column("buckets")
+            off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(salt) != 0) | (np.diff(kind) != 0)) + 1
+            out = [[] for _ in schema]
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                if (bucket[lo], salt[lo]) != place:
+                    place, pivots = (bucket[lo], salt[lo]), []
+                if kind[lo] == 0:
+                    pivots += [(rep[i], comp[i], size[i], regs[i], flat[off[i]:off[i + 1]]) for i in range(lo, hi)]
+                    continue
+                own, width = flat[off[lo]:off[hi]], np.diff(off[lo:hi + 1])
+                for p, pc, n, sketch_p, list_p in pivots:
+                    at = np.flatnonzero((rep[lo:hi] > p) & (comp[lo:hi] != pc)
+                                        & (np.minimum(size[lo:hi], n) >= threshold * np.maximum(size[lo:hi], n) - 1e-9))
+                    if not len(at):
+                        continue
+                    x = regs[lo:hi][at]
+                    m = size[lo:hi][at].astype(float)
+                    j, used = estimate(np.broadcast_to(sketch_p, x.shape), x, np.full(len(at), float(n)), m)
+                    at = at[j >= cut(float(n), m, used, threshold)]
+                    if not len(at):
+                        continue
+                    common = np.where(np.isin(own, list_p), own, np.iinfo(np.int64).max)
+                    least = np.minimum.reduceat(common, np.cumsum(width) - width)
+                    at = at[least[at] == bucket[lo]]
+                    same = [np.full(len(at), v, np.int64) for v in (p, pc, salt[lo])]
+                    for c, v in zip(out, (same[0], rep[lo:hi][at], same[1], comp[lo:hi][at], same[2])):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in out], schema=schema)
     return run
 
 
 def _verify(percent: int):
-    """Streams (pivot, kind, member, set), the pivot's own sets first; yields verified links."""
+    """Streams (pivot, kind, components, set), the pivot's own sets first; yields links of components."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def linked(x, y):
@@ -197,36 +234,49 @@ def _verify(percent: int):
         pivot, own = None, []
         for b in batches:
             a, m = [], []
-            ps, kinds, ms = (b.column(c).to_pylist() for c in ("p", "kind", "m"))
             hashes = b.column("hashes")
-            for i, (p, kind, x) in enumerate(zip(ps, kinds, ms)):
+            for i, (p, kind, pc, mc) in enumerate(zip(*(b.column(c).to_pylist() for c in ("p", "kind", "pc", "mc")))):
                 u = np.frombuffer(hashes[i].as_buffer(), np.uint64)
                 if p != pivot:
                     pivot, own = p, []
                 if kind == 0:
                     own.append(u)
                 elif any(linked(o, u) for o in own):
-                    a.append(p)
-                    m.append(x)
+                    a.append(pc)
+                    m.append(mc)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(m, pa.int64())], schema=schema)
     return run
 
 
-def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Verified links among candidate pairs (p, m)."""
-    side = reps.select("rep", "n_shingles", "sketch")
-    full = (pairs.join(side.toDF("p", "pn", "ps"), "p").join(side.toDF("m", "mn", "ms"), "m"))
-    likely = staged(full.select("p", "m", "pn", "mn", "ps", "ms")
-                    .mapInArrow(_likely(percent / 100), "p long, m long"), "pairs")
-    size = likely.groupBy("p").agg(F.count("*").alias("c"))
-    salted = likely.join(size, "p").select(
-        "p", "m", F.pmod(F.xxhash64("m"), F.floor(F.col("c") / GROUP) + 1).alias("salt"))
-    members = salted.join(sets.withColumnRenamed("rep", "m"), "m").select("p", "salt", F.lit(1).alias("kind"), "m", "hashes")
-    pivots = salted.select("p", "salt").distinct().join(sets.withColumnRenamed("rep", "p"), "p") \
-        .select("p", "salt", F.lit(0).alias("kind"), F.col("p").alias("m"), "hashes")
-    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _candidates(open_: DataFrame, side: DataFrame, pivots: int, threshold: float) -> DataFrame:
+    """Likely pairs (p, m, pc, mc, salt) of the first ``pivots`` members of each bucket with its other members."""
+    n = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = Window.partitionBy("bucket").orderBy("rep")
+    chosen = open_.withColumn("r", F.row_number().over(first)).where(F.col("r") <= pivots).drop("r")
+    # members of a large bucket are dealt to several tasks, each with all pivots
+    size = open_.groupBy("bucket").agg((F.floor(F.count("*") / GROUP)).cast("int").alias("salts"))
+    members = open_.join(size, "bucket").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts") + 1).cast("int")) \
+        .select("bucket", "salt", F.lit(1).alias("kind"), "rep", "comp")
+    heads = chosen.join(size, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts")))) \
+        .select("bucket", "salt", F.lit(0).alias("kind"), "rep", "comp")
+    rows = members.unionByName(heads).join(side, "rep")
+    return (rows.repartition(n, "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind")
+            .select("bucket", "salt", "kind", "rep", "comp", "n_shingles", "sketch", "buckets")
+            .mapInArrow(_likely(threshold), "p long, m long, pc long, mc long, salt long"))
+
+
+def _links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components of the pairs (p, m, pc, mc, salt) whose full sets pass.
+
+    The salt that split a large bucket splits its pivots' pairs as well.
+    """
+    members = likely.join(sets.withColumnRenamed("rep", "m"), "m").select("p", "salt", F.lit(1).alias("kind"), "pc", "mc", "hashes")
+    none = F.lit(None).cast("long")
+    pivots = likely.select("p", "salt").distinct().join(sets.withColumnRenamed("rep", "p"), "p") \
+        .select("p", "salt", F.lit(0).alias("kind"), none.alias("pc"), none.alias("mc"), "hashes")
+    n = int(likely.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (members.unionByName(pivots).repartition(n, "p", "salt").sortWithinPartitions("p", "salt", "kind")
-            .select("p", "kind", "m", "hashes").mapInArrow(_verify(percent), "a long, b long"))
+            .select("p", "kind", "pc", "mc", "hashes").mapInArrow(_verify(percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3,
@@ -250,31 +300,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # buckets of the same members (most bands of true copies) are needed once
     once = shared.groupBy("c", "lo", "hi", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
     open_ = staged(keys.join(once, "bucket", "left_semi").select("bucket", "rep", F.col("rep").alias("comp")), "open")
-
-    spark = docs.sparkSession
-    comp = spark.createDataFrame([], "node long, component long")
+    label = None
     if not open_.isEmpty():
         wanted = open_.select("rep").distinct()
-        inputs = docs.join(wanted, docs.doc_id == wanted.rep, "left_semi").where("text is not null")
-        sets = _full_sets(inputs, k)
-        edges, pivots = None, FIRST_PIVOTS
+        label = staged(wanted.select("rep", F.col("rep").alias("comp")), "labels", narrow=True)
+        # The join is a merge at every size: whether the ids would fit a broadcast grows with the data.
+        sets = _full_sets(docs.join(wanted.hint("merge"), docs.doc_id == wanted.rep, "left_semi").where("text is not null"), k)
+        mine = open_.groupBy("rep").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # one per band at most
+        side = staged(reps.select("rep", "n_shingles", "sketch").join(mine, "rep"), "open-sketches")
+        pivots = FIRST_PIVOTS
         while not open_.isEmpty():
-            w = Window.partitionBy("bucket").orderBy("rep")
-            chosen = open_.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pivots) \
-                .select("bucket", F.col("rep").alias("p"), F.col("comp").alias("pc"))
-            pairs = open_.join(chosen, "bucket").where("rep > p and comp <> pc") \
-                .select("p", F.col("rep").alias("m")).distinct()
-            new = staged(_links(pairs, reps, sets, percent), "links")
-            edges = new if edges is None else staged(edges.unionByName(new), "links")
-            comp = staged(components(edges), "components")
-            rest = open_.join(chosen.select("bucket", F.col("p").alias("rep")), ["bucket", "rep"], "left_anti") \
-                .select("bucket", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left") \
-                .select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
+            likely = staged(_candidates(open_, side, pivots, percent / 100), "likely", narrow=True)
+            first = Window.partitionBy("bucket").orderBy("rep")
+            done = open_.withColumn("r", F.row_number().over(first)).where(F.col("r") <= pivots).select("bucket", "rep")
+            merged = staged(components(_links(likely, sets, percent)), "merged", narrow=True) \
+                .select(F.col("node").alias("comp"), "component")
+            label = staged(_relabelled(label, merged, "rep"), "labels", narrow=True)
+            rest = _relabelled(open_.join(done, ["bucket", "rep"], "left_anti"),
+                               merged, "bucket", "rep")
             alive = rest.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")) \
                 .where("x <> y").select("bucket")
-            open_ = staged(rest.join(alive, "bucket", "left_semi"), "open")
+            open_ = staged(rest.join(alive, "bucket", "left_semi"), "open", narrow=True)
             pivots *= MORE_PIVOTS
-    return _labelled(rows, reps, comp)
+    return _labelled(rows, reps, label)
+
+
+def _relabelled(table: DataFrame, merged: DataFrame, *keys: str) -> DataFrame:
+    return table.join(merged, "comp", "left").select(*keys, F.coalesce("component", "comp").alias("comp"))
 
 
 def _full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -283,9 +335,13 @@ def _full_sets(docs: DataFrame, k: int) -> DataFrame:
                   .where("octet_length(hashes) > 0"), "sets")
 
 
-def _labelled(rows: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
-    by_class = reps.select("set_key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select("set_key", F.coalesce("component", "rep").alias("c"))
+def _labelled(rows: DataFrame, reps: DataFrame, label: DataFrame | None) -> DataFrame:
+    classes = reps.select("set_key", "rep")
+    if label is None:
+        classes = classes.withColumn("comp", F.col("rep"))
+    else:
+        classes = classes.join(label, "rep", "left")
+    by_class = classes.select("set_key", F.coalesce("comp", "rep").alias("c"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
     cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", cid.alias("component_id"),
