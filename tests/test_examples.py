@@ -140,17 +140,27 @@ def test_collate_left_pad(spark):
     assert out[0]["labels"] == [5, 6, 7]
 
 
-def test_fix_tokenizer_rules(spark, letters_vocab):
-    from tokenloom.operators.templates import fix_tokenizer
+def test_template_special_token_rules(spark, letters_vocab):
+    from tokenloom.operators.templates import END_OF_TEXT, with_template_specials
+    from tokenloom.operators.vocab import Vocabulary
     t = register_template(name="stops", prefix=[], prompt=["{{query}}"], system="", sep=[],
                           stop_words=["<|im_end|>", "z"])
-    v = fix_tokenizer(t, letters_vocab)
+    v = with_template_specials(t, letters_vocab)
     assert v.eos_id == letters_vocab.size  # appended
     assert v.ids_of(["<|im_end|>"])["<|im_end|>"] == v.eos_id
     assert v.size == letters_vocab.size + 1  # "z" and "</s>" already exist
     assert v.pad_id == 0  # unk
-    same = fix_tokenizer(get_template("default"), letters_vocab)
+    same = with_template_specials(get_template("default"), letters_vocab)
     assert same.eos_id == 2 and same.size == letters_vocab.size
+    bare = Vocabulary(letters_vocab.table, letters_vocab.size, None, None, None)
+    ended = with_template_specials(get_template("default"), bare)
+    assert ended.ids_of([END_OF_TEXT]) == {END_OF_TEXT: ended.eos_id} and ended.pad_id == ended.eos_id
+
+
+def test_template_parts_are_checked_when_declared():
+    for bad in (3, None, {"token": 1}, {"text": "x"}, {"token": "a", "x": "b"}):
+        with pytest.raises(ValueError, match="a part is text"):
+            register_template(name="bad", prefix=[], prompt=["{{query}}", bad], system="", sep=[])
 
 
 def test_decode_labels_pad(spark, letters_vocab):
@@ -159,6 +169,36 @@ def test_decode_labels_pad(spark, letters_vocab):
     assert decode_ids(df, ["k"], "labels", letters_vocab).first()["text"] == "<unk> a </s>"
 
 
+def test_decode_keeps_empty_rows(spark, letters_vocab):
+    from tokenloom.operators.encode import decode_ids
+    df = spark.createDataFrame([(0, []), (1, [lid("a")]), (2, None)], "k long, ids array<int>")
+    assert {r["k"]: r["text"] for r in decode_ids(df, ["k"], "ids", letters_vocab).collect()} == {0: "", 1: "a", 2: ""}
+
+
+def test_unknown_stage_is_refused(spark, letters_vocab):
+    from tokenloom.plans.instruct import prepare_examples
+    for stage in ("pt", "sfft", ""):
+        with pytest.raises(ValueError, match="unknown stage"):
+            prepare_examples(spark, "/nowhere", "s", stage, "default", letters_vocab)
+
+
+def test_long_conversations_stay_linear(spark, letters_vocab):
+    """Every turn is looked at once: 400 turns must not take 16 times as long as 100."""
+    import time
+    from tokenloom.plans.instruct import prompt_examples, sft_examples
+
+    def seconds(turns, make):
+        hist = [("a b", "c")] * (turns - 1)
+        df = _rows(spark, [(0, "q", None, "r", hist, None)])
+        t0 = time.time()
+        row = make(df, "k", "bare", letters_vocab, 100000, 100000).collect()[0]
+        return time.time() - t0, len(row["input_ids"])
+    for make, ids in ((sft_examples, lambda n: 5 * (n - 1) + 4), (prompt_examples, lambda n: 5 * (n - 1) + 2)):
+        seconds(10, make)
+        (a, n), (b, m) = seconds(100, make), seconds(400, make)
+        assert (n, m) == (ids(100), ids(400)) and b < 8 * a + 2
+
+
 def test_prepare_examples_from_registry(spark, letters_vocab, tmp_path):
     import json
     from tokenloom.plans.instruct import prepare_examples

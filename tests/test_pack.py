@@ -100,10 +100,14 @@ def test_pretrain_cache_reused(spark, tmp_path):
     from tokenloom.plans.pretrain import pretrain_blocks
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
     path = str(tmp_path / "blocks")
-    a = pretrain_blocks(docs, block=64, batch_rows=50, cache_path=path).count()
-    b = pretrain_blocks(docs.limit(0), block=64, batch_rows=50, cache_path=path).count()  # reused
-    c = pretrain_blocks(docs.limit(0), block=64, batch_rows=50, cache_path=path, overwrite_cache=True).count()
-    assert a == b > 0 and c == 0
+    from tokenloom.sources.files import list_files
+    a = pretrain_blocks(docs, block=64, batch_rows=50, cache_path=path)
+    files = list_files(spark, path)
+    b = pretrain_blocks(docs, block=64, batch_rows=50, cache_path=path)      # same inputs and settings: reused
+    assert list_files(spark, path) == files and a.count() == b.count() > 0
+    c = pretrain_blocks(docs, block=128, batch_rows=50, cache_path=path)     # other settings: made anew
+    assert {r["n"] for r in c.select(F.size("input_ids").alias("n")).collect()} == {128}
+    assert pretrain_blocks(docs.limit(0), block=64, batch_rows=50, cache_path=path).count() == 0
 
 
 def test_prepare_pretraining_from_registry(spark, tmp_path, letters_vocab):

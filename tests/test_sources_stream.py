@@ -6,7 +6,7 @@ import tempfile
 
 import pytest
 
-from tokenloom.sources.files import load_datasets, read_files
+from tokenloom.sources.files import load_datasets, read_dataset, read_files
 from tokenloom.streaming.encode import StreamRules
 
 
@@ -58,8 +58,11 @@ def test_mixed_types_and_unknown(spark):
 
 def test_stream_rules():
     StreamRules(max_steps=10, val_size=5).check()
-    for bad in (StreamRules(), StreamRules(max_steps=1, val_size=0.5), StreamRules(max_steps=1, stage="ppo"),
-                StreamRules(max_steps=1, max_samples=3)):
+    limited = StreamRules(max_steps=1, max_samples=3)
+    with pytest.warns(UserWarning, match="switched off"):
+        limited.check()
+    assert limited.max_samples is None
+    for bad in (StreamRules(), StreamRules(max_steps=1, val_size=0.5), StreamRules(max_steps=1, stage="ppo")):
         with pytest.raises(ValueError):
             bad.check()
 
@@ -71,11 +74,31 @@ def test_sinks(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     write_shards(df.coalesce(1), f"{d}/shards", 30)
     assert len([f for f in list_files(spark, f"{d}/shards") if f.endswith(".parquet")]) == 4
-    a = stage_table(df, f"{d}/stage")
-    b = stage_table(spark.range(5), f"{d}/stage")  # reused, not recomputed
-    assert a.count() == b.count() == 100
-    c = stage_table(spark.range(5), f"{d}/stage", overwrite=True)
-    assert c.count() == 5
+    def fail():
+        raise AssertionError("a hit must not build the table")
+    a = stage_table(lambda: df, spark, f"{d}/stage", "k")
+    b = stage_table(fail, spark, f"{d}/stage", "k")
+    assert a.count() == b.count() == df.count()
+    assert stage_table(lambda: spark.range(5), spark, f"{d}/stage", "other").count() == 5
+    assert stage_table(lambda: spark.range(5), spark, f"{d}/stage", "k", overwrite=True).count() == 5
+    os.remove(f"{d}/stage/k/_SUCCESS")                      # an unfinished write is no hit
+    assert stage_table(lambda: spark.range(3), spark, f"{d}/stage", "k").count() == 3
+
+
+def test_json_forms_in_one_folder(spark, tmp_path):
+    """An array over several lines, JSON lines and one pretty-printed object, next to each other and nested."""
+    (tmp_path / "a.json").write_text('[\n {"v": 1},\n {"v": 2}\n]\n')
+    (tmp_path / "b.jsonl").write_text('{"v": 3}\n{"v": 4}\n')
+    (tmp_path / "c.json").write_text('\n{"v": 5}\n{"v": 6}\n')
+    (tmp_path / "nest").mkdir()
+    (tmp_path / "nest" / "d.json").write_text('{\n  "v": 7,\n  "w": "x"\n}\n')
+    (tmp_path / "nest" / "_hidden.json").write_text("nothing")
+    rows = read_dataset(spark, str(tmp_path.parent), tmp_path.name).orderBy("ordinal").collect()
+    assert [r["v"] for r in rows] == [1, 2, 3, 4, 5, 6, 7] and [r["ordinal"] for r in rows] == list(range(7))
+    assert rows[6]["w"] == "x" and rows[0]["w"] is None
+    (tmp_path / "e.jsonl").write_text('{"v": 8}\n{"v": \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_dataset(spark, str(tmp_path.parent), tmp_path.name).collect()
 
 
 def test_ingest_ordinal_many_splits(spark):

@@ -42,15 +42,45 @@ def test_interleave_under_over(spark):
     assert over == list("axbycx")
 
 
-def test_interleave_probs_consumes_in_order(spark):
-    a, b = _ds(spark, "abcdefgh"), _ds(spark, "stuvwxyz")
-    out = interleave_probs([a, b], "k", [0.5, 0.5], seed=1).orderBy("position").collect()
-    pos = [r["position"] for r in out]
-    assert pos == list(range(len(pos)))
-    for ds in (0, 1):
-        seq = [r["k"] for r in out if r["ds"] == ds]
-        assert seq == list(range(len(seq)))
-    assert len({r["k"] for r in out if r["ds"] == 0}) == 8 or len({r["k"] for r in out if r["ds"] == 1}) == 8
+def _drawn(seed, probs, count):
+    import hashlib
+    out = []
+    for p in range(count):
+        u = int(hashlib.md5(f"{seed}:{p}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        out.append(next((d for d in range(len(probs) - 1) if u < sum(probs[:d + 1])), len(probs) - 1))
+    return out
+
+
+def test_interleave_probs_ends_with_the_draw_that_exhausts(spark):
+    for sizes, probs, seed in (((4, 60), [0.2, 0.8], 3), ((4, 60), [0.2, 0.8], 5), ((8, 8), [0.5, 0.5], 1), ((1, 3), [0.9, 0.1], 2)):
+        sets = [spark.createDataFrame([(i, f"{d}-{i}") for i in range(n)], "k long, v string") for d, n in enumerate(sizes)]
+        draws = _drawn(seed, probs, 2000)
+        ends = [[i for i, d in enumerate(draws) if d == k][n - 1] for k, n in enumerate(sizes)]
+        for until, stop in (("first", min(ends)), ("all", max(ends))):
+            used, want = [0] * len(sizes), []
+            for d in draws[:stop + 1]:
+                want.append(f"{d}-{used[d] % sizes[d]}")
+                used[d] += 1
+            got = interleave_probs(sets, "k", probs, seed=seed, until=until, chunk=16).orderBy("position").collect()
+            assert [r["v"] for r in got] == want and [r["position"] for r in got] == list(range(stop + 1))
+
+
+def test_interleave_probs_by_hand(spark):
+    """Draws of seed 3 with shares 0.5 / 0.5, worked out from md5 once and written here."""
+    draws = _drawn(3, [0.5, 0.5], 8)
+    a, b = _ds(spark, "ab"), _ds(spark, "wxyz")
+    out = interleave_probs([a, b], "k", [0.5, 0.5], seed=3).orderBy("position").collect()
+    cut = min([i for i, d in enumerate(draws) if d == 0][1:2] + [i for i, d in enumerate(draws) if d == 1][3:4])
+    assert [r["ds"] for r in out] == draws[:cut + 1]
+
+
+def test_interleave_probs_arguments(spark):
+    import pytest
+    a, b = _ds(spark, "ab"), _ds(spark, "")
+    for probs in ([1.0], [0.5, 0.5, 0.5], [1.0, 0.0]):
+        with pytest.raises(ValueError):
+            interleave_probs([a, b], "k", probs)
+    assert interleave_probs([a, b], "k", [0.5, 0.5]).collect() == []
 
 
 def test_concat_on_ingest_ordinal(spark):

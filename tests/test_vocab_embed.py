@@ -67,3 +67,14 @@ def test_new_special_token_row(spark):
     emb = spark.createDataFrame([(0, [0.0, 2.0]), (1, [2.0, 4.0])], "id int, vec array<float>")
     got = {(r["id"], r["dim"]): r["value"] for r in resize_long(emb).collect()}
     assert got[(2, 0)] == 1.0 and got[(2, 1)] == 3.0
+
+
+def test_gather_reports_missing_rows(spark):
+    from tokenloom.operators.embeddings import gather_rows, missing_rows
+    emb = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "id int, vec array<float>")
+    good = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "new_id int, old_id int")
+    assert {r["id"]: list(r["vec"]) for r in gather_rows(good, emb).collect()} == {0: [3, 4], 1: [1, 2], 2: [3, 4]}
+    bad = spark.createDataFrame([(0, 0), (1, 9)], "new_id int, old_id int")
+    assert [r["id"] for r in missing_rows(bad, emb).collect()] == [9]
+    with pytest.raises(Exception, match="no embedding row for id 9"):
+        gather_rows(bad, emb).collect()

@@ -49,13 +49,18 @@ def add_system(df: DataFrame, system_prompt: str | None) -> DataFrame:
     return df.withColumn("system", F.lit(system_prompt)) if system_prompt else df
 
 
-def system_prompts(system_prompt: str | None, n_datasets: int) -> list:
-    """``'x|y'`` split (no strip), repeated ``n // len`` times; lengths must match."""
-    prompts = system_prompt.split("|") if system_prompt else [None]
-    prompts = prompts * (n_datasets // len(prompts))
-    if len(prompts) != n_datasets:
-        raise ValueError(f"{len(prompts)} system prompts cannot be spread over {n_datasets} datasets")
-    return prompts
+def system_prompts(system_prompt: str | None, n_datasets: int) -> list[str | None]:
+    """The system prompt of each dataset.
+
+    ``'x|y'`` holds several prompts (not stripped); dataset ``i`` gets prompt ``i mod m``, and their
+    number ``m`` must divide the number of datasets.  No prompt: None for every dataset.
+    """
+    if not system_prompt:
+        return [None] * n_datasets
+    choices = system_prompt.split("|")
+    if n_datasets % len(choices) or n_datasets < len(choices):
+        raise ValueError(f"{len(choices)} system prompts cannot be spread over {n_datasets} datasets")
+    return [choices[i % len(choices)] for i in range(n_datasets)]
 
 
 def query_text(prompt: Column | str, query: Column | str | None) -> Column:

@@ -30,10 +30,20 @@ def from_long(long: DataFrame, id_col: str = "id") -> DataFrame:
 
 def gather_rows(mapping: DataFrame, emb: DataFrame, new_col: str = "new_id", old_col: str = "old_id",
                 mapping_rows: int | None = None) -> DataFrame:
-    """Row ``old_id`` of ``emb`` becomes row ``new_id`` (inner join, renumbered)."""
-    m = broadcast_if_small(mapping.select(new_col, old_col), rows=mapping_rows, bytes_per_row=16)
-    j = emb.join(m, emb["id"] == m[old_col])
-    return j.select(F.col(new_col).cast("int").alias("id"), "vec")
+    """Row ``old_id`` of ``emb`` becomes row ``new_id``.
+
+    Every mapped id must have a row: a missing one raises when the result is computed (see
+    :func:`missing_rows` for the list), so a pruned table is never silently short.
+    """
+    m = mapping.select(F.col(new_col).cast("int").alias("_new"), F.col(old_col).alias("_old"))
+    j = m.join(emb.select(F.col("id").alias("_old"), "vec"), "_old", "left")
+    lost = F.raise_error(F.concat(F.lit("no embedding row for id "), F.col("_old").cast("string"))).cast("array<float>")
+    return j.select(F.col("_new").alias("id"), F.coalesce("vec", lost).alias("vec"))
+
+
+def missing_rows(mapping: DataFrame, emb: DataFrame, old_col: str = "old_id") -> DataFrame:
+    """Mapped ids that have no row in the embedding table."""
+    return mapping.select(F.col(old_col).alias("id")).distinct().join(emb.select("id"), "id", "left_anti")
 
 
 def mean_rows_long(members: DataFrame, emb: DataFrame, group_col: str = "new_id",

@@ -48,14 +48,17 @@ def encode_texts(df: DataFrame, keys: list[str], text_col: str, vocab: Vocabular
 
 def decode_ids(df: DataFrame, keys: list[str], ids_col: str, vocab: Vocabulary,
                out: str = "text", sep: str = " ") -> DataFrame:
-    """K3: ids -> tokens joined by ``sep``; ``IGNORE_INDEX`` shows as the pad token."""
+    """K3: ids -> tokens joined by ``sep``; ``IGNORE_INDEX`` shows as the pad token.
+
+    A row with an empty or null id list is kept, with an empty text.
+    """
     pad = vocab.pad_id if vocab.pad_id is not None else 0
     # No pre-partitioning here: id arrays come from aggregations already clustered by
     # their keys (e.g. packed blocks by batch), which the regroup below reuses.
-    ex = df.select(*keys, F.posexplode(ids_col).alias("_pos", "_id"))
+    ex = df.select(*keys, F.posexplode_outer(ids_col).alias("_pos", "_id"))
     ex = ex.withColumn("_id", F.when(F.col("_id") == IGNORE_INDEX, F.lit(pad)).otherwise(F.col("_id")))
     v = vocab.by_id().withColumnRenamed("id", "_vid").withColumnRenamed("token", "_vtok")
     j = ex.join(v, ex["_id"] == F.col("_vid"), "left")
-    g = j.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_vtok", F.lit(""))
-                                                                      .alias("_t")))).alias("_p"))
+    item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_vtok", F.lit("")).alias("_t")))
+    g = j.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_p"))
     return g.select(*keys, F.array_join(F.transform("_p", lambda s: s["_t"]), sep).alias(out))

@@ -33,7 +33,7 @@ def units(pairs: Column, alt: Column | None = None) -> Column:
 
 
 def encode_units(df: DataFrame, key: str, units_col: str, vocab: Vocabulary) -> DataFrame:
-    """``(key, _n, _all)``: every id with its (turn, side, seg, wpos) position, sorted.
+    """``(key, _n, pairs, _alt)``: the ids of every turn's two sides, and of the second target.
 
     One explode path: a literal segment becomes one item carrying its id, a text
     segment one item per word; a single vocabulary join resolves the words.
@@ -53,22 +53,37 @@ def encode_units(df: DataFrame, key: str, units_col: str, vocab: Vocabulary) ->
                  F.col("x.lit").alias("_lit"))
     ided = lookup_tokens(x, vocab)
     ided = ided.withColumn("_id", F.when(F.col("_lit").isNotNull(), F.col("_lit")).otherwise(F.col("_id")))
-    return ided.groupBy(key, "_n").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "side", "seg", "wpos", "_id"))).alias("_all"))
-
-
-def _pick(t: Column, side: int) -> Column:
-    return F.transform(F.filter("_all", lambda x: (x["turn"] == t) & (x["side"] == side)), lambda x: x["_id"])
+    if not vocab.broadcastable():
+        ided = ided.repartition(key)  # a shuffled lookup lost the rows' partitioning: one exchange for all regroups
+    # ids of one side of one turn, then the sides of a row: each turn is gathered once
+    sides = ided.groupBy(key, "_n", "turn", "side").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("seg", "wpos", "_id"))), lambda e: e["_id"]).alias("_ids"))
+    none = F.array().cast("array<int>")
+    turns = sides.groupBy(key, "_n", "turn").agg(
+        *[F.coalesce(F.first(F.when(F.col("side") == n, F.col("_ids")), ignorenulls=True), none).alias(c)
+          for c, n in (("src", SRC), ("tgt", TGT), ("alt", ALT))])
+    rows = turns.groupBy(key, "_n").agg(F.sort_array(F.collect_list(F.struct("turn", "src", "tgt", "alt"))).alias("_t"))
+    # turns without any id (empty texts) have no rows above: put them back as empty pairs
+    empty = F.struct(F.lit(0).alias("turn"), none.alias("src"), none.alias("tgt"), none.alias("alt"))
+    whole = F.when(F.size("_t") == F.col("_n"), F.col("_t")).otherwise(_with_gaps(F.col("_t"), F.col("_n"), empty))
+    rows = rows.withColumn("_t", whole)
+    return rows.withColumn("pairs", F.transform("_t", lambda t: F.struct(t["src"].alias("src"), t["tgt"].alias("tgt")))) \
+        .withColumn("_alt", F.element_at("_t", -1)["alt"]).drop("_t")
+
+
+def _with_gaps(turns: Column, n: Column, empty: Column) -> Column:
+    """``n`` turns with ``empty`` ones where a turn is missing (one merge over both orders)."""
+    by_turn = F.map_from_entries(F.transform(turns, lambda t: F.struct(t["turn"], t)))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.element_at(by_turn, i), empty))
 
 
 def pair_ids(encoded: DataFrame) -> Column:
     """``array<struct<src, tgt>>`` per turn, from :func:`encode_units` output."""
-    return F.transform(F.sequence(F.lit(0), F.col("_n") - 1),
-                       lambda t: F.struct(_pick(t, SRC).alias("src"), _pick(t, TGT).alias("tgt")))
+    return F.col("pairs")
 
 
 def alt_ids() -> Column:
-    return _pick(F.col("_n") - 1, ALT)
+    return F.col("_alt")
 
 
 def supervised(pairs: Column, max_src: int, max_tgt: int) -> tuple[Column, Column, Column]:

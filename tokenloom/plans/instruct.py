@@ -59,21 +59,27 @@ def pair_examples(rows: DataFrame, key: str, template: str | Template, vocab: Vo
     return enc.select(key, p.alias("prompt_ids"), c.alias("chosen_ids"), rj.alias("rejected_ids"))
 
 
+STAGES = ("sft", "rm", "ppo", "dpo")
+
+
 def prepare_examples(spark, dataset_dir: str, dataset: str, stage: str, template: str | Template,
                      vocab: Vocabulary, max_source_length: int = 512, max_target_length: int = 512,
                      predict_with_generate: bool = False, system_prompt: str | None = None,
-                     max_samples: int | None = None, val_size: float = 0.0, seed: int = 42) -> dict:
-    """Instruction data end to end: registry -> read + align -> datasets concatenated in
+                     max_samples: int | None = None, val_size: float = 0.0, seed: int = 42,
+                     mix_strategy: str = "concat", interleave_probs: list[float] | None = None) -> dict:
+    """Instruction data end to end: registry -> read + align -> datasets mixed by ``mix_strategy`` in
     ingest order -> the stage's filter and encoder (sft, rm, or prompt-only for ppo / dpo /
     generation) -> optional exact seeded split."""
-    from ..operators.mix import concat
+    from ..operators.mix import mix
     from ..operators.split import split_exact
     from ..sources.files import load_datasets
 
+    if stage not in STAGES:
+        raise ValueError(f"unknown stage {stage!r}: one of {', '.join(STAGES)} (pretraining has its own flow)")
     sets = load_datasets(spark, dataset_dir, dataset, system_prompt, max_samples)
     cols = ["prompt", "query", "response", "history", "system"]
     parts = [d.select("ordinal", *[c for c in cols if c in d.columns]) for d in sets]
-    rows = concat(parts, "ordinal")
+    rows = mix(parts, "ordinal", mix_strategy, interleave_probs, seed)
     if stage == "sft" and not predict_with_generate:
         out = sft_examples(rows, "position", template, vocab, max_source_length, max_target_length)
     elif stage == "rm":

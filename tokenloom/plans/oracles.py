@@ -120,8 +120,10 @@ _EMB_LONG = """SELECT CAST(vec_id AS BIGINT) AS id, label, CAST(unnest(generate_
 ORACLES["embed_prune"] = f"""
 WITH {_MERGED},
 r AS (SELECT n.id AS new_id, m.id AS old_id FROM n JOIN m ON m.token = n.token),
-e AS ({_EMB_LONG})
-SELECT CAST(r.new_id AS BIGINT) AS id, e.dim, round(e.value, 6) AS value FROM e JOIN r ON r.old_id = e.id
+e AS (SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dims,
+             round(list_sum(list_transform(embedding, lambda v, i: CAST(v AS DOUBLE) * i)), 4) AS digest FROM embeddings)
+SELECT CAST(r.new_id AS BIGINT) AS id, e.dims, e.digest
+FROM r JOIN e ON e.vec_id = r.old_id % (SELECT count(*) FROM embeddings)
 """
 
 ORACLES["embed_mean"] = f"""
@@ -176,7 +178,7 @@ FROM documents
 """
 
 # ---------------------------------------------------------------- instruction data
-from ..operators.templates import TEMPLATES  # noqa: E402
+from .oracle_templates import ORACLE_TEMPLATES as TEMPLATES  # noqa: E402
 from .sqlparts import (CONV_LISTS, CONV_VOCAB, PAIR_ROWS, PROMPT_ROWS, SFT_ROWS, ids_text,  # noqa: E402
                        literal_id_sql, seg_ids_cte, segments_sql, turns_cte)
 
@@ -280,16 +282,26 @@ WITH {_MIX}, r AS (SELECT dataset, doc_id, ds, unnest(generate_series(o, (SELECT
 SELECT CAST(i * 4 + ds AS BIGINT) AS position, dataset, doc_id FROM r
 """
 
-ORACLES["mix_probs"] = f"""
-WITH {_MIX},
+# Draws are generated far enough (30 rounds of the largest n / share) and cut at the stop rule: the mix ends with the
+# draw that takes the last row of a dataset (first exhausted), or when every dataset has been used up (all exhausted).
+_DRAWS = f"""{_MIX},
 n AS (SELECT ds, max(n) AS n FROM o GROUP BY ds),
 pos AS (SELECT p, CAST(('0x' || substr(md5('42:' || CAST(p AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
-        FROM range(0, (SELECT count(*) FROM o) + 1) t(p)),
+        FROM range(0, 30 * (SELECT count(*) FROM o) + 1000) t(p)),
 d AS (SELECT p, CASE WHEN u < 0.4 THEN 0 WHEN u < 0.7 THEN 1 WHEN u < 0.9 THEN 2 ELSE 3 END AS ds FROM pos),
 r AS (SELECT p, ds, row_number() OVER (PARTITION BY ds ORDER BY p) - 1 AS o FROM d),
-s AS (SELECT coalesce(min(p), (SELECT count(*) FROM o)) AS stop FROM r JOIN n USING (ds) WHERE r.o >= n.n)
+e AS (SELECT r.ds, r.p AS last FROM r JOIN n USING (ds) WHERE r.o = n.n - 1)"""
+
+ORACLES["mix_probs"] = f"""
+WITH {_DRAWS}
+SELECT CAST(r.p AS BIGINT) AS position, o.dataset, o.doc_id
+FROM r JOIN o ON o.ds = r.ds AND o.o = r.o WHERE r.p <= (SELECT min(last) FROM e)
+"""
+
+ORACLES["mix_probs_over"] = f"""
+WITH {_DRAWS}
 SELECT CAST(r.p AS BIGINT) AS position, o.dataset, o.doc_id
-FROM r JOIN o ON o.ds = r.ds AND o.o = r.o WHERE r.p < (SELECT stop FROM s)
+FROM r JOIN n ON n.ds = r.ds JOIN o ON o.ds = r.ds AND o.o = r.o % n.n WHERE r.p <= (SELECT max(last) FROM e)
 """
 
 # ---------------------------------------------------------------- byte-pair vocabulary

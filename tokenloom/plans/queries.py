@@ -193,13 +193,27 @@ def q_vocab_ratio(spark, sf_dir):
 
 # ---------------------------------------------------------------- embeddings
 
+def _vocab_rows(spark, sf_dir, vocab) -> DataFrame:
+    """An embedding table for every id of a vocabulary: the given vectors in turn (id modulo their number)."""
+    emb = _embeddings(spark, sf_dir).select(F.col("id").alias("_k"), "vec")
+    n = emb.count()
+    ids = vocab.table.select("id", (F.col("id") % F.lit(n)).cast("int").alias("_k"))
+    return ids.join(emb, "_k").select("id", "vec")
+
+
+def _row_digest(rows: DataFrame) -> DataFrame:
+    """One number per embedding row: the sum of (dim + 1) * value."""
+    total = F.aggregate(F.transform("vec", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return rows.select(F.col("id").cast("bigint").alias("id"), F.size("vec").cast("bigint").alias("dims"),
+                       F.round(total, 4).alias("digest"))
+
+
 @register("embed_prune")
 def q_embed_prune(spark, sf_dir):
-    """Rows of the kept tokens gathered from the old table and renumbered."""
+    """The row of every kept token gathered from the old table and renumbered."""
     base, new = _lang_vocabs(spark, sf_dir)
     old = merge_vocab(base, new)
-    rows = gather_rows(remap_ids(new, old), _embeddings(spark, sf_dir).select("id", "vec"))
-    return _long_out(to_long(rows))
+    return _row_digest(gather_rows(remap_ids(new, old), _vocab_rows(spark, sf_dir, old)))
 
 
 @register("embed_mean")
@@ -383,6 +397,13 @@ def q_mix_probs(spark, sf_dir):
     return mixed.select("position", "dataset", "doc_id")
 
 
+@register("mix_probs_over")
+def q_mix_probs_over(spark, sf_dir):
+    """The same draws, datasets cycling, until every dataset is exhausted."""
+    mixed = interleave_probs(_lang_sets(spark, sf_dir), "doc_id", [0.4, 0.3, 0.2, 0.1], 42, MIX_LANGS, until="all")
+    return mixed.select("position", "dataset", "doc_id")
+
+
 # ---------------------------------------------------------------- byte-pair vocabulary
 
 BPE_MERGES = 32  # query parameter: merges learned per registered BPE query
@@ -522,10 +543,17 @@ def q_embed_shards(spark, sf_dir):
     """Pruned embedding rows written in shards of at most 64 KB of values, read back."""
     base, new = _lang_vocabs(spark, sf_dir)
     old = merge_vocab(base, new)
-    rows = gather_rows(remap_ids(new, old), _embeddings(spark, sf_dir).select("id", "vec"))
+    rows = gather_rows(remap_ids(new, old), _vocab_rows(spark, sf_dir, old))
     path = stage_dir(spark, "embed_shards")
-    write_shards(rows, path, shard_rows_for(64 << 10, 64))
-    return _long_out(to_long(spark.read.parquet(path)))
+    dim = rows.select(F.size("vec").alias("d")).first()  # the dimension comes from the data
+    bound = shard_rows_for(64 << 10, dim["d"] if dim else 1)
+    write_shards(rows, path, bound)
+    back = spark.read.parquet(path)
+    sizes = back.groupBy(F.input_file_name()).count()
+    too_large = sizes.where(F.col("count") > bound).count()
+    if too_large:
+        raise ValueError(f"{too_large} shards exceed {bound} rows")
+    return _row_digest(back)
 
 
 @register("first_example")

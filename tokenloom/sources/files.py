@@ -1,8 +1,8 @@
 """Dataset files and the dataset registry.
 
 A dataset is one file or one directory of files of a single type (``json`` and
-``jsonl`` count as one); hidden and ``_`` files are ignored, the rest is read in
-sorted order.  Listing goes through the Hadoop FileSystem of the session, so the
+``jsonl`` count as one), at any depth; hidden and ``_`` files are ignored, the rest is read
+in sorted order.  Listing goes through the Hadoop FileSystem of the session, so the
 same code reads local folders, HDFS or object stores.  Row order, which several
 operators depend on, is recorded at ingest as ``ordinal``.
 """
@@ -10,49 +10,59 @@ operators depend on, is recorded at ingest as ``ordinal``.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import broadcast_if_small
-from ..operators.align import add_system, align_columns, system_prompts
+from ..operators.align import DEFAULT_COLUMNS, ROLES, add_system, align_columns, system_prompts
 from .tables import spread
 
 # File extension -> reader (parquet added to the reference's four).
-EXT2TYPE = {"csv": "csv", "json": "json", "jsonl": "json", "txt": "text", "parquet": "parquet"}
+READER_OF = {"csv": "csv", "json": "json", "jsonl": "json", "txt": "text", "parquet": "parquet"}
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def list_files(spark: SparkSession, path: str) -> list[str]:
-    """Visible files directly under ``path`` (sorted), or ``[path]`` for a file; [] if absent."""
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
+    """Visible files under ``path`` at any depth (sorted), or ``[path]`` for a file; [] if absent."""
+    fs, root = file_system(spark, path)
+    if not fs.exists(root):
         return []
-    if fs.isFile(p):
-        return [str(p.toString())]
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isFile() and not name.startswith((".", "_")):
-            out.append(str(st.getPath().toString()))
+    if fs.isFile(root):
+        return [str(root.toString())]
+    out, folders = [], [root]
+    while folders:
+        for st in fs.listStatus(folders.pop()):
+            if st.getPath().getName().startswith((".", "_")):
+                continue
+            if st.isFile():
+                out.append(str(st.getPath().toString()))
+            else:
+                folders.append(st.getPath())
     return sorted(out)
 
 
 def file_type(path: str) -> str:
     ext = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
-    if ext not in EXT2TYPE:
+    if ext not in READER_OF:
         raise ValueError(f"Unknown file type: {path}")
-    return EXT2TYPE[ext]
+    return READER_OF[ext]
 
 
 def read_files(spark: SparkSession, files: list[str], schema=None) -> DataFrame:
-    """One reader for all files (types must agree); adds ``ordinal`` in file/line order."""
+    """The files of one dataset (types must agree); adds ``ordinal`` in file/line order.
+
+    JSON files may each hold lines, one array or one object over several lines; a malformed
+    record is an error, never a row of nulls.
+    """
     if not files:
         raise ValueError("no dataset file at the given path")
     types = {file_type(f) for f in files}
@@ -63,32 +73,36 @@ def read_files(spark: SparkSession, files: list[str], schema=None) -> DataFrame:
     if schema is not None:
         reader = reader.schema(schema)
     if kind == "csv":
-        df = reader.options(header=True, multiLine=True, escape='"').csv(files)
+        parts = [reader.options(header=True, multiLine=True, escape='"', mode="FAILFAST").csv(files)]
     elif kind == "json":
-        # a .json file may hold one array of records or JSON lines; the first byte tells
-        multi = all(f.lower().endswith(".json") and _starts_with(spark, f, "[") for f in files)
-        df = reader.option("multiLine", multi).json(files)
+        with ThreadPoolExecutor(16) as pool:  # only the first line of each .json file is looked at
+            whole = list(pool.map(lambda f: f.lower().endswith(".json") and _spans_lines(spark, f), files))
+        forms = {multi: [f for f, w in zip(files, whole) if w == multi] for multi in (False, True)}
+        parts = [reader.options(multiLine=multi, mode="FAILFAST").json(group) for multi, group in forms.items() if group]
     elif kind == "text":
-        df = reader.text(files).withColumnRenamed("value", "text")
+        parts = [reader.text(files).withColumnRenamed("value", "text")]
     else:
-        df = reader.parquet(*files)
+        parts = [reader.parquet(*files)]
     # numbered in read order first; then a single-file (unsplittable) input is spread over the cores
-    return spread(ingest_ordinal(df))
+    return spread(ingest_ordinal(*parts))
 
 
-def ingest_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
+def ingest_ordinal(*parts: DataFrame, name: str = "ordinal") -> DataFrame:
     """Dense row number in (file, block, read position) order, without sorting the rows.
 
+    ``parts`` are scans of disjoint files (one per reader form); columns are matched by name.
+
     Rows of one file split are read by one task, consecutively, so inside a split
     ``monotonically_increasing_id`` is contiguous.  Per-split counts and first ids form
     a table with one row per split (bounded by the file listing); its running offsets
     are broadcast and ``ordinal = offset + id - first id``.  The scan's split-to-task
     assignment is fixed by the file listing, so a retried task reproduces its ids.
     """
-    cols = df.columns
-    d = df.select(*cols, F.col("_metadata.file_path").alias("_f"),
-                  F.col("_metadata.file_block_start").alias("_b"),
-                  F.monotonically_increasing_id().alias("_m"))
+    placed = [p.select(*p.columns, F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+              for p in parts]
+    d = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), placed)
+    cols = [c for c in d.columns if c not in ("_f", "_b")]
+    d = d.withColumn("_m", F.monotonically_increasing_id())
     splits = d.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
     w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = splits.select("_f", "_b", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
@@ -102,34 +116,41 @@ def read_dataset(spark: SparkSession, dataset_dir: str, file_name: str, schema=N
 
 
 @dataclass
-class DatasetAttr:
+class DatasetEntry:
     """One registry entry."""
 
     name: str
     file_name: str
-    columns: dict = field(default_factory=lambda: {"prompt": "instruction", "query": "input",
-                                                   "response": "output", "history": None})
+    columns: dict = field(default_factory=lambda: dict(DEFAULT_COLUMNS))
     system_prompt: str | None = None
     file_sha1: str | None = None
 
 
-def _starts_with(spark: SparkSession, path: str, ch: str) -> bool:
-    fs, p = _fs(spark, path)
+def _spans_lines(spark: SparkSession, path: str, limit: int = 1 << 20) -> bool:
+    """Whether a JSON file is one value over the whole file (an array, or an object over several lines).
+
+    Looks at the first line that is not blank: JSON lines begin with a complete object.  An object
+    longer than ``limit`` bytes without a line break is taken as a line.
+    """
+    fs, p = file_system(spark, path)
     stream = fs.open(p)
     try:
-        while True:
-            b = stream.read()
-            if b < 0:
-                return False
-            c = chr(b)
-            if not c.isspace():
-                return c == ch
+        reader = spark.sparkContext._jvm.java.io.BufferedReader(spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        line = reader.readLine()
+        while line is not None and not line.strip():
+            line = reader.readLine()
     finally:
         stream.close()
+    if line is None or len(line) > limit:
+        return bool(line) and line.lstrip().startswith("[")
+    try:
+        return not isinstance(json.loads(line), dict)
+    except ValueError:
+        return True
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     stream = fs.open(p)
     try:
         jvm = spark.sparkContext._jvm
@@ -140,7 +161,7 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     out = fs.create(p, True)
     try:
         out.write(bytearray(text.encode("utf-8")))
@@ -148,7 +169,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def parse_registry(info: dict, dataset: str, system_prompt: str | None = None) -> list[DatasetAttr]:
+def parse_registry(info: dict, dataset: str, system_prompt: str | None = None) -> list[DatasetEntry]:
     """Names split on ',' and stripped; unknown names are an error; P3 prompts per dataset."""
     names = [n.strip() for n in dataset.split(",")]
     prompts = system_prompts(system_prompt, len(names))
@@ -159,9 +180,9 @@ def parse_registry(info: dict, dataset: str, system_prompt: str | None = None) -
         entry = info[name]
         if "hf_hub_url" in entry or "script_url" in entry:
             raise NotImplementedError("hub and script datasets need the network; only files are read")
-        attr = DatasetAttr(name, entry["file_name"], file_sha1=entry.get("file_sha1"))
+        attr = DatasetEntry(name, entry["file_name"], file_sha1=entry.get("file_sha1"))
         if "columns" in entry:
-            attr.columns = {r: entry["columns"].get(r) for r in ("prompt", "query", "response", "history")}
+            attr.columns = {r: entry["columns"].get(r) for r in ROLES}
         attr.system_prompt = prompts[i]
         out.append(attr)
     return out

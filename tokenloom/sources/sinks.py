@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from .files import list_files
+from .files import file_system
+
+
+def fingerprint(df: DataFrame, **settings) -> str:
+    """Names what a cached table was made from: input files (path, size, time), plan and settings."""
+    spark = df.sparkSession
+    files = []
+    for f in sorted(df.inputFiles()):
+        fs, p = file_system(spark, f)
+        st = fs.getFileStatus(p)
+        files.append((f, st.getLen(), st.getModificationTime()))
+    plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().analyzed().toString())
+    return hashlib.sha256(json.dumps([files, plan, settings], sort_keys=True, default=str).encode()).hexdigest()[:24]
 
 
-def stage_table(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
-    """Reuse the encoded table at ``path`` unless ``overwrite``; else write it and read it back.
+def stage_table(make: Callable[[], DataFrame], spark: SparkSession, path: str, key: str, overwrite: bool = False) -> DataFrame:
+    """The encoded table cached under ``path`` for ``key``, made and written only if it is not there.
 
-    Reading back the written table also cuts the lineage (a shared-folder table, not a local cache).
+    A hit (a complete write, marked by ``_SUCCESS``) is tested before anything else runs; reading back
+    the written table also cuts the lineage (a shared-folder table, not a local cache).
     """
-    spark: SparkSession = df.sparkSession
-    if not overwrite and list_files(spark, path):
-        return spark.read.parquet(path)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    home = f"{path.rstrip('/')}/{key}"
+    fs, mark = file_system(spark, f"{home}/_SUCCESS")
+    if overwrite or not fs.exists(mark):
+        make().write.mode("overwrite").parquet(home)
+    return spark.read.parquet(home)
 
 
 def write_vocab(table: DataFrame, path: str) -> None:

@@ -10,6 +10,7 @@ Like the reference, packing per micro-batch drops each micro-batch's remainder.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,8 @@ class StreamRules:
         if self.stage == "ppo":
             raise ValueError("the ppo stage does not read streamed data")
         if self.max_samples is not None:
-            raise ValueError("max_samples does not apply to streamed data")
+            warnings.warn("max_samples does not apply to streamed data and is switched off", stacklevel=2)
+            self.max_samples = None
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
