@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import textnum as tn
 
-CHUNK_WORDS = 500_000
+CHUNK_WORDS = 300_000
 CHUNK_POINTS = 32_000_000
 FOLD_BYTES = 64
 _END = 65535            # sentinel symbol around a word; no pair with it has a rank

@@ -13,7 +13,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2_000_000
+SLICE = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 U = np.uint64
