@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, lid
-from tokenloom.operators.pack import pack_ids, pack_text
+from tokenloom.operators.pack import pack_encoded, pack_text
 
 
 def _rows(spark, texts):
@@ -35,7 +35,7 @@ def test_pack_too_short(spark, letters_vocab):
 
 def test_pack_ids_matches_pack_text(spark, letters_vocab):
     rows = spark.createDataFrame([(0, ids("abc")), (1, ids("de")), (2, ids("fghi"))], "ordinal long, ids array<int>")
-    assert _blocks(pack_ids(rows, "ordinal", "ids", 4, 1000)) == [ids("abcd"), ids("efgh")]
+    assert _blocks(pack_encoded(rows, "ordinal", "ids", 4, 1000)) == [ids("abcd"), ids("efgh")]
 
 
 def test_pack_conservation_and_repartition(spark):

@@ -19,6 +19,9 @@ merged (split_digits), characters outside the coverage set fall back to bytes.
 
 from __future__ import annotations
 
+import heapq
+from dataclasses import dataclass, field
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -219,36 +222,44 @@ def bpe_vocabulary(spark, merges: list[tuple], alphabet: list[str]) -> Vocabular
 
 
 def _encoder(merges: list[tuple], vocab_rows: list[tuple]):
-    """Plain-Python BPE for one word (small helper run inside Arrow batches)."""
+    """Plain BPE for one word (small helper run inside Arrow batches, once per distinct word).
+
+    Pairs wait in a heap by (rank, place) over a linked list of symbols, so a word of n
+    characters takes n log n steps; a learned merge list never makes a pair of lower rank than
+    the one just merged, so this equals merging pair by pair in rank order.
+    """
     ranks = {(a, b): i for i, (a, b, _) in enumerate(merges)}
     ids = {tok: i for i, tok in vocab_rows}
-    byte_id = {f"<0x{b:02X}>": ids[f"<0x{b:02X}>"] for b in range(256)}
+    byte_id = [ids[f"<0x{b:02X}>"] for b in range(256)]
 
     def encode(word: str, mark: bool = True) -> list[int]:
-        syms = list((WORD_MARK if mark else "") + word)
-        while len(syms) > 1:
-            best, best_rank = None, None
-            for i in range(len(syms) - 1):
-                r = ranks.get((syms[i], syms[i + 1]))
-                if r is not None and (best_rank is None or r < best_rank):
-                    best, best_rank = (syms[i], syms[i + 1]), r
-            if best is None:
-                break
-            out, i = [], 0
-            while i < len(syms):
-                if i + 1 < len(syms) and syms[i] == best[0] and syms[i + 1] == best[1]:
-                    out.append(syms[i] + syms[i + 1])
-                    i += 2
-                else:
-                    out.append(syms[i])
-                    i += 1
-            syms = out
+        syms: list[str | None] = list((WORD_MARK if mark else "") + word)
+        n = len(syms)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(ranks[p], i, p) for i, p in enumerate(zip(syms, syms[1:])) if p in ranks]
+        heapq.heapify(heap)
+        while heap:
+            _, i, pair = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or (syms[i], syms[j]) != pair:
+                continue
+            syms[i], syms[j] = pair[0] + pair[1], None
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for left in (before[i], i):
+                if left >= 0 and after[left] < n:
+                    p = (syms[left], syms[after[left]])
+                    if p in ranks:
+                        heapq.heappush(heap, (ranks[p], left, p))
         res: list[int] = []
         for s in syms:
+            if s is None:
+                continue
             if s in ids:
                 res.append(ids[s])
             else:
-                res.extend(byte_id[f"<0x{b:02X}>"] for b in s.encode("utf-8"))
+                res.extend(byte_id[b] for b in s.encode("utf-8"))
         return res
     return encode
 
@@ -264,43 +275,29 @@ def encode_words_udf(merges: list[tuple], vocab: Vocabulary, mark: bool = True):
     return bpe_ids
 
 
-# Words cached per Python worker; the cache is emptied when it reaches this size.
-WORD_CACHE_LIMIT = 1_000_000
+@dataclass
+class Subwords(Vocabulary):
+    """The learned-BPE tokenizer: its vocabulary and merges.
 
+    Wherever a :class:`Vocabulary` encodes whole words, ``Subwords`` encodes each distinct word
+    once with the merges and joins the ids back (see ``encode.lookup_ids``).
+    """
 
-def encode_text_udf(merges: list[tuple], vocab: Vocabulary):
-    """Arrow-batched UDF: text -> ids of its whitespace words, each word's encoding
-    cached per worker (hot words cost one dictionary lookup)."""
-    import re
-    vocab_rows = [(r["id"], r["token"]) for r in vocab.table.select("id", "token").collect()]
-    enc = _encoder(merges, vocab_rows)
-    split = re.compile(r"[ \t\n\r\f]+")  # same class as functions.text.WORD_SPLIT
-    cache: dict = {}
-
-    def one(text):
-        out: list[int] = []
-        if text is None:
-            return out
-        for w in split.split(text):
-            if not w:
-                continue
-            ids = cache.get(w)
-            if ids is None:
-                if len(cache) >= WORD_CACHE_LIMIT:
-                    cache.clear()
-                ids = cache[w] = enc(w)
-            out.extend(ids)
-        return out
+    merges: list = field(default_factory=list)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def bpe_text(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
-    return bpe_text
+    @classmethod
+    def of(cls, vocab: Vocabulary, merges: list[tuple]) -> "Subwords":
+        return cls(vocab.table, vocab.size, vocab.unk_id, vocab.bos_id, vocab.eos_id, vocab.pad_id, merges=merges)
+
+    def encode_words(self, words: DataFrame, col: str) -> DataFrame:
+        """``(col, _ids)`` of distinct words."""
+        return words.select(col, encode_words_udf(self.merges, self)(col).alias("_ids"))
 
 
 def encode_bpe(df: DataFrame, key: str, text: str, merges: list[tuple], vocab: Vocabulary) -> DataFrame:
-    """K2: texts encoded with the learned merges in one narrow Arrow-batched pass (no shuffle)."""
-    return df.select(key, encode_text_udf(merges, vocab)(F.col(text)).alias("input_ids"))
+    """K2: texts encoded with the learned merges; every distinct word is merged once."""
+    from .encode import encode_texts
+    return encode_texts(df, [key], text, Subwords.of(vocab, merges))
 
 
 def decompose(new_tokens: DataFrame, merges: list[tuple], old: Vocabulary,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import IGNORE_INDEX
 from ..functions.text import words
+from .bpe import WORD_MARK, Subwords
 from .vocab import Vocabulary
 
 
@@ -28,6 +29,17 @@ def lookup_tokens(tokens: DataFrame, vocab: Vocabulary, tok_col: str = "_tok", o
     return j.withColumn(out, F.coalesce(F.col("_vid"), unk).cast("int")).drop("_vtok", "_vid")
 
 
+def lookup_ids(tokens: DataFrame, vocab: Vocabulary, tok_col: str = "_tok", out: str = "_ids") -> DataFrame:
+    """Attach the ids of ``tok_col`` as an array: one id for a whole-word vocabulary, the pieces of the
+    word for :class:`~.bpe.Subwords` (each distinct word of ``tokens`` is merged once, then joined back;
+    the size of the word table is known when the join runs, so AQE picks its form)."""
+    if not isinstance(vocab, Subwords):
+        return lookup_tokens(tokens, vocab, tok_col, "_one").withColumn(out, F.array("_one")).drop("_one")
+    distinct = tokens.select(F.col(tok_col).alias("_word")).where(F.col("_word").isNotNull()).distinct()
+    words_ = vocab.encode_words(distinct, "_word").withColumnRenamed("_ids", out)
+    return tokens.join(words_, tokens[tok_col] == F.col("_word"), "left").drop("_word")
+
+
 def encode_texts(df: DataFrame, keys: list[str], text_col: str, vocab: Vocabulary,
                  out: str = "input_ids") -> DataFrame:
     """``keys + out array<int>``: ids of the words of ``text_col``, no special tokens.
@@ -35,14 +47,17 @@ def encode_texts(df: DataFrame, keys: list[str], text_col: str, vocab: Vocabular
     Rows whose text has no word keep one placeholder row through the join and end
     with an empty array (kept, not dropped); one scan, one join, one regroup.
     """
-    if vocab.broadcastable():
+    if not isinstance(vocab, Subwords) and vocab.broadcastable():
         # the lookup is a broadcast (narrow) join: partition the texts by key first, so the
         # per-row regroup reuses it and text, not token rows, crosses the shuffle
         df = df.repartition(*keys)
     toks = df.select(*keys, F.posexplode_outer(words(text_col)).alias("_pos", "_tok"))
-    ided = lookup_tokens(toks, vocab)
+    if isinstance(vocab, Subwords):
+        item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_ids"))
+        grouped = lookup_ids(toks, vocab).groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_p"))
+        return grouped.select(*keys, F.flatten(F.transform("_p", lambda s: s["_ids"])).alias(out))
     item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_id"))
-    grouped = ided.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_p"))
+    grouped = lookup_tokens(toks, vocab).groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_p"))
     return grouped.select(*keys, F.transform("_p", lambda s: s["_id"]).alias(out))
 
 
@@ -50,7 +65,8 @@ def decode_ids(df: DataFrame, keys: list[str], ids_col: str, vocab: Vocabulary,
                out: str = "text", sep: str = " ") -> DataFrame:
     """K3: ids -> tokens joined by ``sep``; ``IGNORE_INDEX`` shows as the pad token.
 
-    A row with an empty or null id list is kept, with an empty text.
+    A row with an empty or null id list is kept, with an empty text.  With ``Subwords`` the pieces
+    are put together to words: byte pieces become bytes again, word marks become spaces.
     """
     pad = vocab.pad_id if vocab.pad_id is not None else 0
     # No pre-partitioning here: id arrays come from aggregations already clustered by
@@ -59,6 +75,14 @@ def decode_ids(df: DataFrame, keys: list[str], ids_col: str, vocab: Vocabulary,
     ex = ex.withColumn("_id", F.when(F.col("_id") == IGNORE_INDEX, F.lit(pad)).otherwise(F.col("_id")))
     v = vocab.by_id().withColumnRenamed("id", "_vid").withColumnRenamed("token", "_vtok")
     j = ex.join(v, ex["_id"] == F.col("_vid"), "left")
-    item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_vtok", F.lit("")).alias("_t")))
+    piece = F.coalesce("_vtok", F.lit(""))
+    if isinstance(vocab, Subwords):
+        # all pieces as hex digits, so that the bytes of one character meet again before decoding
+        is_byte = piece.rlike("^<0x[0-9A-F]{2}>$")
+        piece = F.when(is_byte, F.substring(piece, 4, 2)).otherwise(F.hex(F.encode(piece, "UTF-8")))
+    item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", piece.alias("_t")))
     g = j.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_p"))
+    if isinstance(vocab, Subwords):
+        whole = F.decode(F.unhex(F.array_join(F.transform("_p", lambda s: s["_t"]), "")), "UTF-8")
+        return g.select(*keys, F.ltrim(F.replace(whole, F.lit(WORD_MARK), F.lit(" "))).alias(out))
     return g.select(*keys, F.array_join(F.transform("_p", lambda s: s["_t"]), sep).alias(out))

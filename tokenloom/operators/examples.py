@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import IGNORE_INDEX
 from ..functions.text import words
-from .encode import lookup_tokens
+from .bpe import Subwords
+from .encode import lookup_ids, lookup_tokens
 from .vocab import Vocabulary
 
 PAIR_IDS = "array<struct<src:array<int>,tgt:array<int>>>"
@@ -51,13 +52,17 @@ def encode_units(df: DataFrame, key: str, units_col: str, vocab: Vocabulary) ->
     x = s.select(key, "_n", "turn", "side", "seg", F.explode(items).alias("x"))
     x = x.select(key, "_n", "turn", "side", "seg", F.col("x.w").alias("wpos"), F.col("x.tok").alias("_tok"),
                  F.col("x.lit").alias("_lit"))
-    ided = lookup_tokens(x, vocab)
-    ided = ided.withColumn("_id", F.when(F.col("_lit").isNotNull(), F.col("_lit")).otherwise(F.col("_id")))
-    if not vocab.broadcastable():
+    if isinstance(vocab, Subwords):
+        ided = lookup_ids(x, vocab).withColumn(
+            "_v", F.when(F.col("_lit").isNotNull(), F.array("_lit")).otherwise(F.col("_ids")))
+    else:
+        ided = lookup_tokens(x, vocab).withColumn("_v", F.coalesce("_lit", "_id"))
+    if isinstance(vocab, Subwords) or not vocab.broadcastable():
         ided = ided.repartition(key)  # a shuffled lookup lost the rows' partitioning: one exchange for all regroups
     # ids of one side of one turn, then the sides of a row: each turn is gathered once
-    sides = ided.groupBy(key, "_n", "turn", "side").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("seg", "wpos", "_id"))), lambda e: e["_id"]).alias("_ids"))
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("seg", "wpos", "_v"))), lambda e: e["_v"])
+    ids = F.flatten(ids) if isinstance(vocab, Subwords) else ids
+    sides = ided.groupBy(key, "_n", "turn", "side").agg(ids.alias("_ids"))
     none = F.array().cast("array<int>")
     turns = sides.groupBy(key, "_n", "turn").agg(
         *[F.coalesce(F.first(F.when(F.col("side") == n, F.col("_ids")), ignorenulls=True), none).alias(c)

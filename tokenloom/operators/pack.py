@@ -14,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import chunk
 from ..functions.text import words
-from .encode import lookup_tokens
+from .bpe import Subwords
+from .encode import encode_texts, lookup_tokens
 from .vocab import Vocabulary
 
 
@@ -49,6 +49,9 @@ def pack_text(df: DataFrame, ordinal: str, text_col: str, vocab: Vocabulary,
     """
     g = list(groups or [])
     extra = [batch_col] if batch_col is not None else []
+    if isinstance(vocab, Subwords):
+        enc = encode_texts(df.select(*g, *extra, ordinal, text_col), [*g, *extra, ordinal], text_col, vocab, "_ids")
+        return pack_encoded(enc, ordinal, "_ids", block, batch_rows, g, batch_col)
     d = df.select(*g, *extra, ordinal, text_col).withColumn("_n", F.size(words(text_col)))
     d = batch_offsets(d, ordinal, "_n", batch_rows, g, batch_col)
     full = (F.col("_tot") / F.lit(block)).cast("bigint") * F.lit(block)
@@ -70,17 +73,28 @@ def pack_text(df: DataFrame, ordinal: str, text_col: str, vocab: Vocabulary,
     )
 
 
-def pack_ids(df: DataFrame, ordinal: str, ids_col: str, block: int = 512,
-             batch_rows: int = 1000) -> DataFrame:
-    """Same contract over already-encoded rows (HOF form, one group per batch of rows).
+def pack_encoded(df: DataFrame, ordinal: str, ids_col: str, block: int = 512, batch_rows: int = 1000,
+                 groups: list[str] | None = None, batch_col: str | None = None) -> DataFrame:
+    """The contract of :func:`pack_text` over already encoded rows.
 
-    Used where rows arrive as id arrays (micro-batches of a stream).  Groups are
-    bounded by ``batch_rows`` rows.
+    A row's ids are cut where its blocks begin, so what moves to a block is one slice per row, not
+    one row per id; a group holds one block.
     """
-    d = df.select(ordinal, ids_col).withColumn("_batch", (F.col(ordinal) / F.lit(batch_rows)).cast("bigint"))
-    g = d.groupBy("_batch").agg(F.sort_array(F.collect_list(F.struct(F.col(ordinal).alias("o"),
-                                                                        F.col(ids_col).alias("i")))).alias("_r"))
-    cat = F.flatten(F.transform("_r", lambda r: r["i"]))
-    blocks = g.select("_batch", F.posexplode(chunk(cat, block)).alias("_blk", "input_ids"))
-    return blocks.select(F.col("_batch").alias("batch"), F.col("_blk").cast("bigint").alias("block"),
-                         "input_ids", F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask"))
+    g = list(groups or [])
+    extra = [batch_col] if batch_col is not None else []
+    d = df.select(*g, *extra, ordinal, ids_col).withColumn("_n", F.size(ids_col).cast("bigint"))
+    d = batch_offsets(d, ordinal, "_n", batch_rows, g, batch_col)
+    size = F.lit(block).cast("bigint")
+    full = (F.col("_tot") / size).cast("bigint") * size
+    end = F.least(F.col("_off") + F.col("_n"), full)
+    d = d.where((F.col("_off") < full) & (F.col("_n") > 0)).withColumn("_end", end)
+    cuts = F.sequence((F.col("_off") / size).cast("bigint"), ((F.col("_end") - 1) / size).cast("bigint"))
+    parts = d.select(*g, "_batch", "_off", "_end", ids_col, F.explode(cuts).alias("_blk"))
+    first = F.greatest(F.col("_off"), F.col("_blk") * size)
+    last = F.least(F.col("_end"), (F.col("_blk") + 1) * size)
+    piece = F.slice(ids_col, (first - F.col("_off") + 1).cast("int"), (last - first).cast("int"))
+    blocks = parts.select(*g, "_batch", "_blk", F.struct(first.alias("_p"), piece.alias("_s")).alias("_x")) \
+        .groupBy(*g, "_batch", "_blk").agg(F.sort_array(F.collect_list("_x")).alias("_x"))
+    ids = F.flatten(F.transform("_x", lambda x: x["_s"]))
+    return blocks.select(*g, F.col("_batch").alias("batch"), F.col("_blk").alias("block"), ids.alias("input_ids"),
+                         F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask"))

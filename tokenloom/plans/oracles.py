@@ -214,13 +214,14 @@ SELECT conv_id, CAST(t AS BIGINT) AS turn,
 FROM segs GROUP BY conv_id, t
 """
 
-_SFT_IDS = f"""{_segs(SFT_ROWS, 'default', _F2)}, {seg_ids_cte('v')},
-tr AS (SELECT conv_id, t, list_slice(src, 1, 96) AS s, list_slice(tgt, 1, 160) AS g FROM ts),
+_SFT_AGG = """tr AS (SELECT conv_id, t, list_slice(src, 1, 96) AS s, list_slice(tgt, 1, 160) AS g FROM ts),
 cum AS (SELECT *, sum(len(s) + len(g)) OVER (PARTITION BY conv_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS c FROM tr),
 agg AS (SELECT conv_id, flatten(list(list_concat(s, g) ORDER BY t)) AS ids,
                flatten(list(list_concat(list_transform(s, lambda x: -100), g) ORDER BY t)) AS labels
         FROM cum WHERE c <= 256 GROUP BY conv_id)"""
 
+_SFT_IDS = f"{_segs(SFT_ROWS, 'default', _F2)}, {seg_ids_cte('v')}, {_SFT_AGG}"
+
 ORACLES["sft_encode"] = f"""
 WITH {_SFT_IDS}
 SELECT conv_id, {ids_text('ids')} AS input_ids, {ids_text('labels')} AS labels,
@@ -370,7 +371,7 @@ ORACLES["vocab_sink"] = ORACLES["vocab_merge"]
 
 # ---------------------------------------------------------------- BPE in SQL
 from .queries import BPE_MERGES  # noqa: E402
-from .sqlparts import bpe_all_cte  # noqa: E402
+from .sqlparts import SEG_WORDS, bpe_all_cte, bpe_encode_cte, seg_subword_ids_cte  # noqa: E402
 
 _ALL_DOCS = "SELECT text FROM documents"
 _EN = "SELECT text FROM documents WHERE lang = 'en'"
@@ -390,6 +391,33 @@ SELECT d.doc_id, coalesce({ids_text('e.ids')}, '') AS input_ids, CAST(coalesce(l
 FROM d LEFT JOIN e USING (doc_id)
 """
 
+ORACLES["pt_pack_bpe"] = f"""
+WITH RECURSIVE {bpe_all_cte('b', _ALL_DOCS, str(BPE_MERGES), 'bwc')},
+docs AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, {words('text')} AS w FROM ({DOCS_F1}) d),
+toks AS (SELECT ord, unnest(w) AS tok, unnest(generate_series(0, len(w) - 1)) AS pos FROM docs),
+sub AS (SELECT ord, pos, unnest(benc.ids) AS id, unnest(generate_series(1, len(benc.ids))) AS q
+        FROM toks JOIN benc ON benc.token = toks.tok),
+num AS (SELECT ord // 100 AS batch, row_number() OVER (PARTITION BY ord // 100 ORDER BY ord, pos, q) - 1 AS p, id FROM sub)
+SELECT CAST(batch AS BIGINT) AS batch, CAST(p // 512 AS BIGINT) AS block,
+       string_agg(CAST(id AS VARCHAR), ' ' ORDER BY p) AS input_ids, CAST(count(*) AS BIGINT) AS n_tokens
+FROM num GROUP BY batch, p // 512 HAVING count(*) = 512
+"""
+
+ORACLES["decode_bpe"] = f"""
+SELECT doc_id, array_to_string({words('text')}, ' ') AS text FROM documents
+"""
+
+ORACLES["sft_encode_bpe"] = f"""
+WITH RECURSIVE {bpe_all_cte('b', _ALL_DOCS, str(BPE_MERGES))},
+{CONV_LISTS}, {turns_cte(SFT_ROWS, TEMPLATES['default'], _F2)},
+segs AS ({segments_sql(TEMPLATES['default'], literal_id_sql('bv'))}),
+{SEG_WORDS}, segw AS (SELECT DISTINCT tok AS token FROM wd),
+{bpe_encode_cte('b', 'segw')}, {seg_subword_ids_cte('benc')}, {_SFT_AGG}
+SELECT conv_id, {ids_text('ids')} AS input_ids, {ids_text('labels')} AS labels,
+       {ids_text('list_transform(ids, lambda x: 1)')} AS attention_mask
+FROM agg
+"""
+
 ORACLES["vocab_decompose"] = f"""
 WITH RECURSIVE {_LANG_VOCABS},
 added AS (SELECT id, token FROM n WHERE token NOT IN (SELECT token FROM b)),
@@ -400,7 +428,7 @@ SELECT CAST(added.id AS BIGINT) AS new_id, added.token,
 FROM added JOIN oenc ON oenc.token = added.token
 """
 
-from .sqlparts import bpe_cover_cte, bpe_encode_cte, bpe_train_cte, bpe_vocab_cte, bpe_words_cte  # noqa: E402
+from .sqlparts import bpe_cover_cte, bpe_train_cte, bpe_vocab_cte, bpe_words_cte  # noqa: E402
 
 
 def _lines(where: str) -> str:

@@ -14,7 +14,7 @@ from ..functions.arrays import ids_text
 from ..functions.joins import broadcast_if_small
 from ..functions.text import words
 from ..operators.align import add_system, align_columns, query_text, system_prompts
-from ..operators.bpe import (WORD_MARK, bpe_vocabulary, decompose, encode_bpe, merges_table, pair_counts,
+from ..operators.bpe import (WORD_MARK, Subwords, bpe_vocabulary, decompose, encode_bpe, merges_table, pair_counts,
                              train_bpe, word_table)
 from ..operators.embeddings import extend_long, gather_rows, mean_rows_long, resize_long, to_long
 from ..operators.encode import decode_ids, encode_texts
@@ -445,6 +445,33 @@ def q_encode_bpe(spark, sf_dir):
                       F.size("input_ids").cast("bigint").alias("n_tokens"))
 
 
+@register("pt_pack_bpe")
+def q_pt_pack_bpe(spark, sf_dir):
+    """K2, Q1, Q2: pretraining blocks of 512 learned-BPE ids per batch of 100 documents."""
+    docs, merges, vocab = _bpe(spark, sf_dir)
+    blocks = pretrain_blocks(docs, vocab=Subwords.of(vocab, merges), block=512, batch_rows=100)
+    return blocks.select("batch", "block", ids_text("input_ids").alias("input_ids"),
+                         F.size("input_ids").cast("bigint").alias("n_tokens"))
+
+
+@register("decode_bpe")
+def q_decode_bpe(spark, sf_dir):
+    """K2, K3: documents encoded with the learned BPE and decoded again: their words, one space apart."""
+    docs, merges, vocab = _bpe(spark, sf_dir)
+    sub = Subwords.of(vocab, merges)
+    return decode_ids(encode_texts(docs, ["doc_id"], "text", sub), ["doc_id"], "input_ids", sub)
+
+
+@register("sft_encode_bpe")
+def q_sft_encode_bpe(spark, sf_dir):
+    """T5, K2, Q3-Q6: supervised examples in learned-BPE ids (template default, limits 96 + 160)."""
+    conv = _conv(spark, sf_dir)
+    _, merges, vocab = _bpe(spark, sf_dir)
+    out = sft_examples(sft_rows(conv), "conv_id", "default", Subwords.of(vocab, merges), 96, 160)
+    return out.select("conv_id", ids_text("input_ids").alias("input_ids"),
+                      ids_text("attention_mask").alias("attention_mask"), ids_text("labels").alias("labels"))
+
+
 @register("vocab_decompose")
 def q_vocab_decompose(spark, sf_dir):
     """New pieces (other languages, absent from the English vocabulary) as old BPE ids."""

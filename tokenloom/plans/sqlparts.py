@@ -137,10 +137,23 @@ def segments_sql(tpl, lit_id) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+SEG_WORDS = (f"wd AS (SELECT conv_id, t, side, seg, unnest({words('txt')}) AS tok, "
+             f"unnest(generate_series(0, len({words('txt')}) - 1)) AS wpos FROM segs WHERE txt IS NOT NULL)")
+
+
+def seg_subword_ids_cte(enc: str) -> str:
+    """``ts`` as in :func:`seg_ids_cte`, every word replaced by its pieces' ids in ``enc(token, ids)``."""
+    return ("iw AS (SELECT conv_id, t, side, seg, 0 AS wpos, [lid] AS i FROM segs WHERE lid IS NOT NULL "
+            f"UNION ALL SELECT conv_id, t, side, seg, wpos, {enc}.ids FROM wd JOIN {enc} ON {enc}.token = wd.tok), "
+            "ts AS (SELECT conv_id, t, "
+            "coalesce(flatten(list(i ORDER BY seg, wpos) FILTER (WHERE side = 0)), []) AS src, "
+            "coalesce(flatten(list(i ORDER BY seg, wpos) FILTER (WHERE side = 1)), []) AS tgt "
+            "FROM iw GROUP BY conv_id, t)")
+
+
 def seg_ids_cte(vocab: str = "v") -> str:
     """``ids(conv_id, t, side, seg, wpos, id)`` from ``segs``."""
-    return (f"wd AS (SELECT conv_id, t, side, seg, unnest({words('txt')}) AS tok, "
-            f"unnest(generate_series(0, len({words('txt')}) - 1)) AS wpos FROM segs WHERE txt IS NOT NULL), "
+    return (f"{SEG_WORDS}, "
             f"ids AS (SELECT conv_id, t, side, seg, 0 AS wpos, lid AS id FROM segs WHERE lid IS NOT NULL "
             f"UNION ALL SELECT conv_id, t, side, seg, wpos, coalesce({vocab}.id, 0) AS id "
             f"FROM wd LEFT JOIN {vocab} ON {vocab}.token = wd.tok), "
