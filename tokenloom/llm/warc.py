@@ -40,8 +40,6 @@ _LINK = re.compile(r"""<(a|link|area|img|iframe|source)\b[^<>]*?\b(?:href|src)\s
 _TITLE = re.compile(r"<title\b[^<>]*>([^<]*)", re.I)
 _LANG = re.compile(r"""<html\b[^<>]*?\blang\s*=\s*["']?([A-Za-z-]+)""", re.I)
 _CHARSET = re.compile(r"""<meta\b[^<>]*?\bcharset\s*=\s*["']?([\w-]+)""", re.I)
-_BLANK = re.compile(r"[^\S\n]+")
-_LINES = re.compile(r" ?\n[ \n]*")
 
 
 def digest(block: bytes) -> str:
@@ -60,8 +58,8 @@ def plain_text(page: str) -> str:
         out.append(pieces[i])
         if i + 2 < len(pieces) and pieces[i + 2] and pieces[i + 2].lower() in BLOCKS:
             out.append("\n")
-    text = entities.unescape("".join(out))
-    return _LINES.sub("\n", _BLANK.sub(" ", text)).strip(" \n")
+    lines = (" ".join(line.split()) for line in entities.unescape("".join(out)).split("\n"))
+    return "\n".join(filter(None, lines))
 
 
 def page_facts(page: str) -> dict:
