@@ -10,8 +10,8 @@ ORACLES["pt_pack"] = f"""
 WITH {vocab_cte('v', DOCS_F1)},
 docs AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, {words('text')} AS w FROM ({DOCS_F1}) d),
 toks AS (SELECT ord, unnest(w) AS tok, unnest(generate_series(0, len(w) - 1)) AS pos FROM docs),
-num AS (SELECT ord // 1000 AS batch,
-               row_number() OVER (PARTITION BY ord // 1000 ORDER BY ord, pos) - 1 AS p,
+num AS (SELECT ord // 100 AS batch,
+               row_number() OVER (PARTITION BY ord // 100 ORDER BY ord, pos) - 1 AS p,
                coalesce(v.id, 0) AS id
         FROM toks LEFT JOIN v ON v.token = toks.tok)
 SELECT CAST(batch AS BIGINT) AS batch, CAST(p // 512 AS BIGINT) AS block,
@@ -26,10 +26,10 @@ ORACLES["pt_filter"] = f"SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars
 
 ORACLES["pt_pack_offsets"] = f"""
 WITH o AS (SELECT ord, doc_id, CAST(len({words('text')}) AS BIGINT) AS n_tokens FROM ({_ORD_DOCS}) x)
-SELECT doc_id, CAST(ord // 1000 AS BIGINT) AS batch, n_tokens,
-       CAST(coalesce(sum(n_tokens) OVER (PARTITION BY ord // 1000 ORDER BY ord
+SELECT doc_id, CAST(ord // 100 AS BIGINT) AS batch, n_tokens,
+       CAST(coalesce(sum(n_tokens) OVER (PARTITION BY ord // 100 ORDER BY ord
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS token_offset,
-       CAST(sum(n_tokens) OVER (PARTITION BY ord // 1000) AS BIGINT) AS batch_tokens
+       CAST(sum(n_tokens) OVER (PARTITION BY ord // 100) AS BIGINT) AS batch_tokens
 FROM o
 """
 
@@ -73,7 +73,7 @@ ORACLES["decode"] = f"""
 WITH {vocab_cte('v', DOCS_F1)},
 docs AS (SELECT ord, {words('text')} AS w FROM ({_ORD_DOCS}) x),
 toks AS (SELECT ord, unnest(w) AS tok, unnest(generate_series(0, len(w) - 1)) AS pos FROM docs),
-num AS (SELECT ord // 1000 AS batch, row_number() OVER (PARTITION BY ord // 1000 ORDER BY ord, pos) - 1 AS p,
+num AS (SELECT ord // 100 AS batch, row_number() OVER (PARTITION BY ord // 100 ORDER BY ord, pos) - 1 AS p,
                coalesce(v.id, 0) AS id
         FROM toks LEFT JOIN v ON v.token = toks.tok),
 blk AS (SELECT batch, p // 512 AS block, p, id FROM num
@@ -165,7 +165,7 @@ ORACLES["split_head"] = f"""
 WITH {vocab_cte('v', DOCS_F1)},
 docs AS (SELECT ord, {words('text')} AS w FROM ({_ORD_DOCS}) x),
 toks AS (SELECT ord, unnest(w) AS tok, unnest(generate_series(0, len(w) - 1)) AS pos FROM docs),
-num AS (SELECT ord // 1000 AS batch, row_number() OVER (PARTITION BY ord // 1000 ORDER BY ord, pos) - 1 AS p FROM toks),
+num AS (SELECT ord // 100 AS batch, row_number() OVER (PARTITION BY ord // 100 ORDER BY ord, pos) - 1 AS p FROM toks),
 blk AS (SELECT batch, p // 512 AS block FROM num GROUP BY batch, p // 512 HAVING count(*) = 512)
 SELECT CAST(batch AS BIGINT) AS batch, CAST(block AS BIGINT) AS block,
        CASE WHEN row_number() OVER (ORDER BY batch, block) - 1 < 100 THEN 'eval' ELSE 'train' END AS split
@@ -328,16 +328,7 @@ UNION ALL SELECT 'docs_parquet', 'B', CAST(n AS BIGINT), CAST(c AS BIGINT) FROM
 
 ORACLES["stream_encode"] = ORACLES["encode_ws"]
 
-ORACLES["stream_pack"] = f"""
-WITH {vocab_cte('v', DOCS_F1)},
-docs AS (SELECT doc_id // 1000 AS part, doc_id, {words('text')} AS w FROM ({DOCS_F1}) d),
-toks AS (SELECT part, doc_id, unnest(w) AS tok, unnest(generate_series(0, len(w) - 1)) AS pos FROM docs),
-num AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY doc_id, pos) - 1 AS p, coalesce(v.id, 0) AS id
-        FROM toks LEFT JOIN v ON v.token = toks.tok)
-SELECT CAST(part AS BIGINT) AS part, CAST(p // 512 AS BIGINT) AS block,
-       string_agg(CAST(id AS VARCHAR), ' ' ORDER BY p) AS input_ids, CAST(count(*) AS BIGINT) AS n_tokens
-FROM num GROUP BY part, p // 512 HAVING count(*) = 512
-"""
+ORACLES["stream_pack"] = ORACLES["pt_pack"]
 
 ORACLES["embed_shards"] = ORACLES["embed_prune"]
 
@@ -359,10 +350,11 @@ FROM ({DOCS_F1}) d
 """
 
 ORACLES["stream_shuffle"] = f"""
-SELECT doc_id, CAST(doc_id // 4000 AS BIGINT) AS micro_batch,
-       CAST(row_number() OVER (PARTITION BY doc_id // 4000 ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1
+WITH p AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS buffer FROM ({DOCS_F1}) d)
+SELECT doc_id, CAST(buffer AS BIGINT) AS buffer,
+       CAST(buffer * 64 + row_number() OVER (PARTITION BY buffer ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1
             AS BIGINT) AS rank
-FROM ({DOCS_F1}) d
+FROM p
 """
 
 ORACLES["stream_filter"] = ORACLES["pt_filter"]

@@ -7,7 +7,7 @@ compared cell by cell; the library operators themselves return ``array<int>``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import ids_text
@@ -33,8 +33,8 @@ from ..sources.corpus import corpus_lines
 from ..sources.files import load_datasets, write_text
 from ..sources.sinks import shard_rows_for, write_shards, write_vocab
 from ..sources.tables import table
-from ..streaming.encode import (StreamRules, order_files_by_name, read_stream, run_batches, run_stateless,
-                                shuffle_batch, split_head_batch, stream_filter)
+from ..streaming.encode import (StreamRules, read_stream, run_batches, run_row_batches, run_stateless, shuffle_buffers,
+                                split_head_stream, stream_filter)
 from .instruct import pair_examples, prompt_examples, render, sft_examples
 from .pretrain import pretrain_blocks
 from .vocabulary import extend_vocab, learn_bpe_vocabulary
@@ -53,10 +53,15 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "text")
 
 
+# Query parameter: rows per packing batch (the flows' default is 1000).  At 100 the smallest correctness tables
+# already hold ten batches, so the rules at batch borders are compared.
+PACK_ROWS = 100
+
+
 @register("pt_pack")
 def q_pt_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pretraining blocks of 512 ids per batch of 1000 documents."""
-    blocks = pretrain_blocks(_docs(spark, sf_dir), block=512, batch_rows=1000)
+    """Pretraining blocks of 512 ids per batch of 100 documents."""
+    blocks = pretrain_blocks(_docs(spark, sf_dir), block=512, batch_rows=PACK_ROWS)
     return blocks.select("batch", "block", ids_text("input_ids").alias("input_ids"),
                          F.size("input_ids").cast("bigint").alias("n_tokens"))
 
@@ -101,7 +106,7 @@ def q_pt_pack_offsets(spark, sf_dir):
     """Per document its batch, token count, tokens before it in the batch, batch total."""
     rows = pretrain_filter(_docs(spark, sf_dir), "text")
     rows = ordinal_from_key(rows, "doc_id").withColumn("n_tokens", F.size(words("text")).cast("bigint"))
-    d = batch_offsets(rows.select("doc_id", "ordinal", "n_tokens"), "ordinal", "n_tokens", 1000)
+    d = batch_offsets(rows.select("doc_id", "ordinal", "n_tokens"), "ordinal", "n_tokens", PACK_ROWS)
     return d.select("doc_id", F.col("_batch").alias("batch"), "n_tokens",
                     F.col("_off").alias("token_offset"), F.col("_tot").alias("batch_tokens"))
 
@@ -144,7 +149,7 @@ def q_decode(spark, sf_dir):
     """K3: packed blocks back to text through the vocabulary."""
     docs = _docs(spark, sf_dir)
     vocab = build_vocab(pretrain_filter(docs, "text"), "text")
-    blocks = pretrain_blocks(docs, vocab=vocab, block=512, batch_rows=1000)
+    blocks = pretrain_blocks(docs, vocab=vocab, block=512, batch_rows=PACK_ROWS)
     dec = decode_ids(blocks, ["batch", "block"], "input_ids", vocab, out="text")
     return dec.select("batch", "block", "text")
 
@@ -264,7 +269,7 @@ def q_split_exact(spark, sf_dir):
 @register("split_head")
 def q_split_head(spark, sf_dir):
     """The first 100 packed blocks are the eval set."""
-    blocks = pretrain_blocks(_docs(spark, sf_dir), block=512, batch_rows=1000).select("batch", "block")
+    blocks = pretrain_blocks(_docs(spark, sf_dir), block=512, batch_rows=PACK_ROWS).select("batch", "block")
     ranked = with_ordinal(blocks, F.col("batch").asc(), F.col("block").asc())
     return split_head(ranked, "ordinal", 100).select("batch", "block", "split")
 
@@ -485,7 +490,7 @@ def q_vocab_decompose(spark, sf_dir):
 # ---------------------------------------------------------------- files and streams
 
 FILE_FORMATS = ["csv", "json", "text", "parquet"]
-STREAM_FILE_ROWS = 1000  # query parameter: documents per input file (= the batch size of packing)
+STREAM_FILES = 12  # query parameter: input files of a stream
 
 
 @register("src_formats")
@@ -520,17 +525,16 @@ def q_src_formats(spark, sf_dir):
     return out.select("dataset", "system", "n_rows", "n_chars")
 
 
-def _stream_input(spark, sf_dir, name, files_per_trigger: int = 8, in_file_order: bool = False):
-    """Documents written as one Parquet file per 1000 rows (``part``), read back as a stream."""
+def _stream_input(spark, sf_dir, name, files_per_trigger: int = 4):
+    """The filtered documents with their dense ordinal, written as ``STREAM_FILES`` files and read back as a
+    stream of micro-batches."""
     docs = _docs(spark, sf_dir)
     base = stage_dir(spark, name)
-    (docs.withColumn("part", (F.col("doc_id") / F.lit(STREAM_FILE_ROWS)).cast("bigint"))
+    rows, n = with_ordinal_n(pretrain_filter(docs, "text"), F.col("doc_id").asc())
+    per_file = max(1, -(-n // STREAM_FILES))
+    (rows.withColumn("part", (F.col("ordinal") / F.lit(per_file)).cast("bigint"))
          .repartition("part").write.partitionBy("part").parquet(f"{base}/in"))
-    if in_file_order:
-        order_files_by_name(spark, f"{base}/in")
-    # Packing is grouped per input file (one 1000-row batch each), so the number of
-    # files per micro-batch only sets throughput, not results.
-    stream = read_stream(spark, f"{base}/in", "doc_id bigint, text string, part bigint",
+    stream = read_stream(spark, f"{base}/in", "doc_id bigint, text string, ordinal bigint, part bigint",
                          max_files_per_trigger=files_per_trigger)
     return docs, base, stream_filter(stream.withColumnRenamed("text", "prompt"))
 
@@ -550,18 +554,16 @@ def q_stream_encode(spark, sf_dir):
 
 @register("stream_pack")
 def q_stream_pack(spark, sf_dir):
-    """Streamed packing; every input file (a batch of 1000 rows) loses its own remainder."""
+    """Streamed packing; every batch of 100 filtered rows, whatever file or micro-batch its rows
+    come in, loses its own remainder."""
     StreamRules(max_steps=1000).check()
-    docs, base, stream = _stream_input(spark, sf_dir, "stream_pack")
+    docs, base, stream = _stream_input(spark, sf_dir, "stream_pack", 1)
     vocab = build_vocab(pretrain_filter(docs, "text"), "text")
-
-    def pack_batch(b, i):
-        # a micro-batch is bounded by maxFilesPerTrigger files: a window per file is safe here
-        rows = b.withColumn("ordinal", F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) - 1)
-        return pack_text(rows, "ordinal", "prompt", vocab, block=512, batch_rows=1000, groups=["part"])
-    run_batches(stream, pack_batch, f"{base}/out", f"{base}/ckpt")
+    run_row_batches(stream, lambda rows: pack_text(rows, "ordinal", "prompt", vocab, block=512, batch_rows=PACK_ROWS,
+                                                   batch_col="batch"),
+                    f"{base}/out", f"{base}/ckpt", f"{base}/carry", PACK_ROWS)
     out = spark.read.parquet(f"{base}/out")
-    return out.select("part", "block", ids_text("input_ids").alias("input_ids"),
+    return out.select("batch", "block", ids_text("input_ids").alias("input_ids"),
                       F.size("input_ids").cast("bigint").alias("n_tokens"))
 
 
@@ -608,23 +610,24 @@ def q_extend_vocab(spark, sf_dir):
 
 @register("stream_split")
 def q_stream_split(spark, sf_dir):
-    """L3, X3 on a stream: the first 100 streamed rows are the eval set (files read oldest first)."""
+    """L3, X3 on a stream: the first 100 filtered rows are the eval set."""
     StreamRules(max_steps=1000, val_size=100).check()
-    _, base, stream = _stream_input(spark, sf_dir, "stream_split", 1, in_file_order=True)
-    run_batches(stream, lambda b, i: split_head_batch(b.select("doc_id", "part"), i, f"{base}/counts",
-                                                      ["part", "doc_id"], 100).select("doc_id", "split"),
-                f"{base}/out", f"{base}/ckpt")
+    _, base, stream = _stream_input(spark, sf_dir, "stream_split", 2)
+    run_stateless(split_head_stream(stream, 100).select("doc_id", "split"), f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out").select("doc_id", "split")
 
 
+SHUFFLE_BUFFER = 64  # query parameter: rows of a streamed shuffle's buffer
+
+
 @register("stream_shuffle")
 def q_stream_shuffle(spark, sf_dir):
-    """L4 on a stream: every micro-batch (4 files of 1000 rows) in seeded order (seed 42)."""
-    _, base, stream = _stream_input(spark, sf_dir, "stream_shuffle", 4, in_file_order=True)
-    run_batches(stream, lambda b, i: shuffle_batch(b.select("doc_id", "part"), "doc_id", 42)
-                .select("doc_id", F.lit(i).cast("bigint").alias("micro_batch"), "rank"),
-                f"{base}/out", f"{base}/ckpt")
-    return spark.read.parquet(f"{base}/out").select("doc_id", "micro_batch", F.col("rank").cast("bigint"))
+    """L4 on a stream: seeded order (seed 42) inside every buffer of 64 filtered rows."""
+    _, base, stream = _stream_input(spark, sf_dir, "stream_shuffle", 2)
+    run_row_batches(stream.select("doc_id", "ordinal"), lambda rows: shuffle_buffers(rows, "doc_id", 42, SHUFFLE_BUFFER),
+                    f"{base}/out", f"{base}/ckpt", f"{base}/carry", SHUFFLE_BUFFER)
+    return spark.read.parquet(f"{base}/out").select("doc_id", F.col("batch").cast("bigint").alias("buffer"),
+                                                    F.col("rank").cast("bigint").alias("rank"))
 
 
 @register("stream_filter")

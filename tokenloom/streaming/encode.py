@@ -70,59 +70,50 @@ def run_batches(stream: DataFrame, fn, out_dir: str, checkpoint_dir: str,
         raise RuntimeError(str(q.exception()))
 
 
-def order_files_by_name(spark: SparkSession, path: str, start_ms: int = 1_000_000_000_000) -> None:
-    """Give the files under ``path`` increasing modification times in path order, so a
-    file stream (oldest first) reads them in that order."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    it = fs.listFiles(root, True)
-    files = []
-    while it.hasNext():
-        st = it.next()
-        name = st.getPath().getName()
-        if not name.startswith((".", "_")):
-            files.append(str(st.getPath().toString()))
-    for i, f in enumerate(sorted(files)):
-        fs.setTimes(jvm.org.apache.hadoop.fs.Path(f), start_ms + 1000 * i, -1)
-
-
-def prior_rows(spark: SparkSession, counts_dir: str, batch_id: int) -> int:
-    """Rows of the micro-batches before ``batch_id`` (from their one-row count files)."""
-    from ..sources.files import _fs
-    fs, p = _fs(spark, counts_dir)
-    if not fs.exists(p):
-        return 0
-    row = (spark.read.parquet(counts_dir).where(F.col("batch_id") < batch_id)
-           .agg(F.sum("n")).first())
-    return int(row[0] or 0)
-
-
-def with_stream_position(batch: DataFrame, batch_id: int, counts_dir: str, order: list) -> DataFrame:
-    """``position`` across the stream: rows of earlier micro-batches + row number inside this
-    one (a micro-batch is bounded by the trigger size, so one window over it is safe).
-    The micro-batch's count is written under its own id, so a replay is idempotent."""
-    from pyspark.sql import Window
-    spark = batch.sparkSession
-    n = batch.count()
-    spark.createDataFrame([(n,)], "n long").write.mode("overwrite").parquet(f"{counts_dir}/batch_id={batch_id}")
-    prior = prior_rows(spark, counts_dir, batch_id)
-    return batch.withColumn("position", F.lit(prior) + F.row_number().over(Window.orderBy(*order)) - 1)
+def run_row_batches(stream: DataFrame, fn, out_dir: str, checkpoint_dir: str, carry_dir: str, batch_rows: int,
+                    ordinal: str = "ordinal") -> None:
+    """``fn(rows with a column batch) -> DataFrame`` over batches of ``batch_rows`` filtered rows.
+
+    Batches follow the rows' ordinal (dense from 0 over the filtered rows), not files or micro-batches:
+    a batch that is not complete yet is carried, in a table per micro-batch, to the next one, and
+    the last, short batch is handled when the stream has ended.  Replays overwrite their own tables.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    number = (F.col(ordinal) / F.lit(batch_rows)).cast("bigint")
+    last = [-1]
+
+    def carried(batch_id: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{carry_dir}/batch_id={batch_id}")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rows = batch if batch_id == 0 else batch.unionByName(carried(batch_id - 1))
+        rows = rows.withColumn("batch", number)
+        full = rows.groupBy("batch").count().where(F.col("count") == batch_rows).select("batch")
+        rows.join(full, "batch", "left_anti").drop("batch").write.mode("overwrite").parquet(f"{carry_dir}/batch_id={batch_id}")
+        fn(rows.join(full, "batch", "left_semi")).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        last[0] = batch_id
+
+    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    if last[0] >= 0:
+        rest = carried(last[0]).withColumn("batch", number)
+        fn(rest).write.mode("overwrite").parquet(f"{out_dir}/batch_id={last[0] + 1}")
 
 
-def split_head_batch(batch: DataFrame, batch_id: int, counts_dir: str, order: list, val_size: float) -> DataFrame:
-    """L3 on a stream: the first ``int(val_size)`` rows of the stream are 'eval'."""
-    k = int(val_size)
-    pos = with_stream_position(batch, batch_id, counts_dir, order)
-    return pos.withColumn("split", F.when(F.col("position") < k, F.lit("eval")).otherwise(F.lit("train")))
+def split_head_stream(stream: DataFrame, val_size: float, ordinal: str = "ordinal") -> DataFrame:
+    """L3 on a stream: the first ``int(val_size)`` rows by ordinal are 'eval' (stateless, any arrival order)."""
+    return stream.withColumn("split", F.when(F.col(ordinal) < int(val_size), F.lit("eval")).otherwise(F.lit("train")))
 
 
-def shuffle_batch(batch: DataFrame, key: str, seed: int) -> DataFrame:
-    """L4 on a stream: each micro-batch (the shuffle buffer) in seeded-hash order."""
+def shuffle_buffers(rows: DataFrame, key: str, seed: int, buffer_size: int, ordinal: str = "batch") -> DataFrame:
+    """L4 on a stream: seeded-hash order inside each buffer of ``buffer_size`` rows (``batch`` of
+    :func:`run_row_batches`); ``rank`` is the row's place in the shuffled stream."""
     from pyspark.sql import Window
     from ..operators.split import seeded_hash
-    w = Window.orderBy(seeded_hash(seed, key), F.col(key))
-    return batch.withColumn("rank", F.row_number().over(w) - 1)
+    w = Window.partitionBy(ordinal).orderBy(seeded_hash(seed, key), F.col(key))  # bounded by the buffer
+    return rows.withColumn("rank", F.col(ordinal) * buffer_size + F.row_number().over(w) - 1)
 
 
 def run_stateless(stream: DataFrame, out_dir: str, checkpoint_dir: str, fmt: str = "parquet") -> None:
