@@ -4,14 +4,14 @@ Packing, ``max_samples``, head splits and new vocabulary ids all depend on row
 order, which Spark does not keep.  ``with_ordinal`` gives a dense 0..n-1 index in
 the order of unique sort keys without a single-partition window: a range sort,
 one reliable checkpoint (the id assignment must not change if a task is retried),
-per-partition counts (one row per partition) and their offsets as a literal array.
+per-partition counts (one row per partition) and their offsets as a broadcast table.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition id above bit 33
@@ -20,25 +20,20 @@ _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition id above bit
 def with_ordinal_n(df: DataFrame, *order: Column | str, name: str = "ordinal") -> tuple[DataFrame, int]:
     """``(df + dense name column, row count)``; see :func:`with_ordinal`.
 
-    The per-partition counts (one row per partition of the sorted table, bounded by
-    the partition count) come to the driver; their running offsets go back as a
-    literal array indexed by partition id, so no join and no window job are needed.
+    Per-partition counts (one row per partition of the sorted table) and their running
+    offsets are a small table, broadcast and joined by partition id; only the total reaches
+    the driver.
     """
     ordered = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
     ordered = ordered.checkpoint(eager=True)
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    counts = {int(r[0]): int(r[1]) for r in
-              ordered.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1))).collect()}
-    n_parts = (max(counts) + 1) if counts else 0
-    offsets, acc = [], 0
-    for p in range(n_parts):
-        offsets.append(acc)
-        acc += counts.get(p, 0)
-    if not offsets:
-        return ordered.withColumn(name, F.lit(None).cast("bigint")).drop("_mid"), 0
-    off = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), (pid + 1).cast("int"))
-    return ordered.withColumn(name, (off + local).cast("bigint")).drop("_mid"), acc
+    counts = ordered.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n")).checkpoint(eager=True)
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    before = F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_pid", F.coalesce(before, F.lit(0)).alias("_off"))
+    numbered = ordered.withColumn("_pid", pid).join(F.broadcast(offsets), "_pid")
+    return numbered.withColumn(name, (F.col("_off") + local).cast("bigint")).drop("_mid", "_pid", "_off"), int(total)
 
 
 def with_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal") -> DataFrame:
