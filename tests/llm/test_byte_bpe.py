@@ -62,7 +62,8 @@ def test_rows_equal_the_library(lib, docs_of):
     assert B.encode_bytes(docs_of([]), FILE).collect() == []
 
 
-def test_small_chunks_give_the_same(lib, docs_of, monkeypatch):
+@pytest.mark.parametrize("with_head", [False, True])
+def test_small_chunks_give_the_same(lib, monkeypatch, with_head):
     """Many chunks per task: batches then hold the end of one chunk and the start of the next."""
     ranks, enc = lib
     with open(FILE, "rb") as f:
@@ -76,11 +77,19 @@ def test_small_chunks_give_the_same(lib, docs_of, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
     monkeypatch.setattr(tn, "SLICE", 50)
     parts = [b for lo in range(40) for b in [batch.slice(lo, 1)]]
-    rows = pa.Table.from_batches(list(B._split(Shipped)(iter(parts))))
+
+    class Top:
+        """A head of a few words, some of them everywhere."""
+        words = [" beta", "alpha", " gamma", "nowhere"]
+        points, offsets = tn.code_points(words)
+        known = [enc._encode_single_piece(w.encode()) for w in words]
+        value = B.Head(tn.span_hash(tn.point_prefix(points), offsets[:-1], offsets[1:]), np.concatenate(known).astype(np.uint32),
+                       np.array([len(k) for k in known])) if with_head else B.NO_HEAD
+    rows = pa.Table.from_batches(list(B._split(Shipped, Top)(iter(parts))))
     ids = []
     for word, known in zip(rows["word"].to_pylist(), rows["known"].to_pylist()):
         ids.append(known if known is not None else None if word is None else enc._encode_single_piece(bytes(word)))
     table = pa.table({"kind": rows["kind"], "doc_id": rows["doc_id"], "ids": pa.array(ids, pa.list_(pa.int64())), "refs": rows["refs"]})
     for size in (1, 7, 1000):
-        out = pa.Table.from_batches(list(B._assemble(Shipped, True)(iter(table.combine_chunks().to_batches(max_chunksize=size)))))
+        out = pa.Table.from_batches(list(B._assemble(Shipped, Top, True)(iter(table.combine_chunks().to_batches(max_chunksize=size)))))
         assert [np.frombuffer(x, "<u4").tolist() for x in out["ids"].to_pylist()] == [enc.encode_ordinary(t) for t in texts]

@@ -1,10 +1,13 @@
 """Byte-level BPE: encoding by a fold of ranked merges over byte arrays, decoding by joining pieces.
 
-Encoding runs in one narrow pass without a shuffle:
+Encoding runs in one narrow pass over the texts without a shuffle:
 
+0. The head: the distinct words of a sample of about ``HEAD_DOCS`` documents (``HEAD_WORDS`` words at most) are
+   encoded first, by the fold of step 2, and sent to every worker, so that words found all over the
+   corpus are not folded in every chunk again.  It changes no result, only how often a word is folded.
 1. An Arrow step splits the texts of a task by the pre-tokenizer's pattern (class changes on code
-   points) and emits, chunk by chunk, one row per *distinct* word (its bytes), then one row per
-   document with its words as references into the chunk's word list.
+   points) and emits, chunk by chunk, one row per *distinct* word outside the head (its bytes), then one
+   row per document with its words as references into the head and the chunk's word list.
 2. Spark higher-order functions encode each distinct word: ``aggregate`` folds merges over the array
    of symbols; the state is the symbols and the rank of every adjacent pair, and each step merges the
    leftmost pair of least rank.  The rank map is a literal: a table with one slot per pair, found by a
@@ -33,7 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm import textnum as tn
+from tokenloom.llm.stage import staged
 
+HEAD_DOCS = 20_000       # documents of the sample that the head of frequent words comes from
+HEAD_WORDS = 600_000     # most words of the head: some 20 MB of numbers in each worker
 CHUNK_WORDS = 300_000
 CHUNK_POINTS = 32_000_000
 FOLD_BYTES = 64
@@ -206,24 +212,81 @@ _ROWS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("word", pa.lis
                    ("known", pa.list_(pa.int64())), ("refs", pa.binary())])
 
 
-def _split(file_bytes):
-    """Texts to rows: per chunk the distinct words (kind 0), then the documents (kind 1)."""
+class Head:
+    """Ids of the head's words, by the hash of the word."""
+
+    def __init__(self, hashes: np.ndarray, flat: np.ndarray, length: np.ndarray):
+        order = np.argsort(hashes)
+        start = np.cumsum(length) - length
+        self.hashes, self.length = hashes[order], length[order]
+        self.flat = tn.ragged_take(flat, start[order], self.length).astype(np.uint32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash in the head, or -1."""
+        if not len(self.hashes):
+            return np.full(len(h), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
+
+
+NO_HEAD = Head(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+
+def _pieces_of(texts: list[str]):
+    """Per slice of the texts: (first text, last text, distinct hashes, one span of each, piece -> hash, cuts)."""
+    sizes = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=sizes[1:])
+    for lo, hi in tn.slices(sizes):
+        points, offsets = tn.code_points(texts[lo:hi])
+        start = piece_starts(points, offsets)
+        end = np.append(start[1:], len(points))
+        h = tn.span_hash(tn.point_prefix(points), start, end)
+        uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        yield lo, hi, uniq, start[first], end[first], inverse, np.searchsorted(start, offsets)
+
+
+def _word_columns(words: list[bytes], ranks, pairs):
+    """(bytes of the words to fold, ids of the words that need no fold): pieces of the vocabulary and long words."""
+    known = [[ranks[w]] if w in ranks else merge_long(w, pairs, ranks) if len(w) > FOLD_BYTES else None for w in words]
+    todo = [w if k is None else b"" for w, k in zip(words, known)]
+    flat = np.frombuffer(b"".join(todo), np.uint8).astype(np.int64)
+    off = np.zeros(len(words) + 1, np.int32)
+    np.cumsum([len(w) for w in todo], out=off[1:])
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(known, pa.list_(pa.int64()))
+
+
+def _distinct_words(file_bytes):
+    """Distinct words of a task's texts: (hash, word, known)."""
+    schema = pa.schema([("h", pa.int64()), ("word", pa.list_(pa.int64())), ("known", pa.list_(pa.int64()))])
+
+    def run(batches):
+        ranks, pairs = _ranks(file_bytes.value), _pairs(file_bytes.value)
+        seen: set[int] = set()
+        for b in batches:
+            texts = [t or "" for t in b.column(0).to_pylist()]
+            for lo, hi, uniq, starts, ends, _, _ in _pieces_of(texts):
+                joined = "".join(texts[lo:hi])
+                new = [(k, joined[s:e].encode()) for k, s, e in zip(uniq.tolist(), starts.tolist(), ends.tolist()) if k not in seen]
+                seen.update(k for k, _ in new)
+                word, known = _word_columns([w for _, w in new], ranks, pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([k for k, _ in new], np.uint64).view(np.int64)), word, known],
+                                                 schema=schema)
+                if len(seen) > CHUNK_WORDS:
+                    seen.clear()
+    return run
+
+
+def _split(file_bytes, head):
+    """Texts to rows: per chunk the distinct words outside the head (kind 0), then the documents (kind 1)."""
 
     def emit(words: list[bytes], docs: list, ranks, pairs):
         step = 50_000
         for lo in range(0, len(words), step):
             part = words[lo:lo + step]
-            known = [[ranks[w]] if w in ranks else merge_long(w, pairs, ranks) if len(w) > FOLD_BYTES else None
-                     for w in part]
-            todo = [w if k is None else b"" for w, k in zip(part, known)]
-            flat = np.frombuffer(b"".join(todo), np.uint8).astype(np.int64)
-            off = np.zeros(len(part) + 1, np.int32)
-            np.cumsum([len(w) for w in todo], out=off[1:])
             n = len(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(off), pa.array(flat)),
-                 pa.array(known, pa.list_(pa.int64())), pa.nulls(n, pa.binary())], schema=_ROWS)
+            word, known = _word_columns(part, ranks, pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), word, known,
+                                              pa.nulls(n, pa.binary())], schema=_ROWS)
         for lo in range(0, len(docs), 1000):
             part = docs[lo:lo + 1000]
             n = len(part)
@@ -233,8 +296,8 @@ def _split(file_bytes):
                  pa.array([r for _, r in part], pa.binary())], schema=_ROWS)
 
     def run(batches):
-        ranks = _ranks(file_bytes.value)
-        pairs = _pairs(file_bytes.value)
+        ranks, pairs, top = _ranks(file_bytes.value), _pairs(file_bytes.value), head.value
+        base = len(top.hashes)
         index: dict[int, int] = {}
         words: list[bytes] = []
         docs: list = []
@@ -242,26 +305,19 @@ def _split(file_bytes):
         for b in batches:
             ids = b.column(0).to_pylist()
             texts = [t or "" for t in b.column(1).to_pylist()]
-            sizes = np.zeros(len(texts) + 1, np.int64)
-            np.cumsum([len(t) for t in texts], out=sizes[1:])
-            for lo, hi in tn.slices(sizes):
-                points, offsets = tn.code_points(texts[lo:hi])
-                start = piece_starts(points, offsets)
-                end = np.append(start[1:], len(points))
-                h = tn.span_hash(tn.point_prefix(points), start, end)
-                uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+            for lo, hi, uniq, starts, ends, inverse, cut in _pieces_of(texts):
+                refs = top.find(uniq).astype(np.int32)
                 joined = "".join(texts[lo:hi])
-                refs = np.empty(len(uniq), np.int32)
-                for i, (key, s, e) in enumerate(zip(uniq.tolist(), start[first].tolist(), end[first].tolist())):
+                rest = np.flatnonzero(refs < 0)
+                for i, key, s, e in zip(rest.tolist(), uniq[rest].tolist(), starts[rest].tolist(), ends[rest].tolist()):
                     at = index.get(key)
                     if at is None:
                         at = index[key] = len(words)
                         words.append(joined[s:e].encode())
-                    refs[i] = at
+                    refs[i] = base + at
                 flat = refs[inverse] if len(uniq) else np.zeros(0, np.int32)
-                cut = np.searchsorted(start, offsets)
                 docs += [(ids[lo + j], flat[cut[j]:cut[j + 1]].tobytes()) for j in range(hi - lo)]
-                points_n += len(points)
+                points_n += len(joined)
                 if len(words) >= CHUNK_WORDS or points_n >= CHUNK_POINTS:
                     yield from emit(words, docs, ranks, pairs)
                     index, words, docs, points_n = {}, [], [], 0
@@ -296,13 +352,13 @@ def decode(ids: np.ndarray, data: bytes) -> bytes:
     return tn.ragged_take(blob, start[ids], length[ids]).tobytes()
 
 
-def _assemble(file_bytes, with_ids: bool):
+def _assemble(file_bytes, head, with_ids: bool):
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
               ("decoded_sha256", pa.string())] + [("ids", pa.binary())] * with_ids
     schema = pa.schema(fields)
 
     def run(batches):
-        data = file_bytes.value
+        data, top = file_bytes.value, head.value
         flats, lens, ready = [], [], None
         for b in batches:
             kind = b.column("kind").to_numpy()
@@ -323,8 +379,8 @@ def _assemble(file_bytes, with_ids: bool):
                     lens.append(np.diff(off).astype(np.int64))
                     continue
                 if ready is None:
-                    length = np.concatenate(lens) if lens else np.zeros(0, np.int64)
-                    ready = (np.concatenate(flats) if flats else np.zeros(0, np.uint32), np.cumsum(length) - length, length)
+                    length = np.concatenate([top.length, *lens])
+                    ready = (np.concatenate([top.flat, *flats]), np.cumsum(length) - length, length)
                 flat, start, length = ready
                 n, sha, dec, raw = [], [], [], []
                 for refs in part.column("refs").to_pylist():
@@ -344,9 +400,26 @@ def encode_bytes(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_c
     """One row per row: doc_id, n_tokens, digests of the ids and of the decoded bytes (and the ids)."""
     with open(rank_file, "rb") as f:
         data = f.read()
-    shipped = docs.sparkSession.sparkContext.broadcast(data)  # the vocabulary file: under 1 MB
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(_split(shipped), "kind int, doc_id long, word array<bigint>, known array<bigint>, refs binary")
-    folded = F.when(F.col("kind") == 0, F.coalesce("known", fold_merges(F.col("word"), load_ranks(data))))
+    sc = docs.sparkSession.sparkContext
+    shipped = sc.broadcast(data)  # the vocabulary file: under 1 MB
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    fold = fold_merges(F.col("word"), load_ranks(data))
+    head = sc.broadcast(learn_head(rows, shipped, fold))  # HEAD_WORDS words at most
+    split = rows.mapInArrow(_split(shipped, head), "kind int, doc_id long, word array<bigint>, known array<bigint>, refs binary")
+    folded = F.when(F.col("kind") == 0, F.coalesce("known", fold))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return rows.select("kind", "doc_id", folded.alias("ids"), "refs").mapInArrow(_assemble(shipped, with_ids), schema)
+    return split.select("kind", "doc_id", folded.alias("ids"), "refs").mapInArrow(_assemble(shipped, head, with_ids), schema)
+
+
+def learn_head(rows: DataFrame, shipped, fold: Column) -> Head:
+    """The head from documents picked by the hash of their id."""
+    every = max(1, rows.count() // HEAD_DOCS)
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
+    words = sample.mapInArrow(_distinct_words(shipped), "h long, word array<bigint>, known array<bigint>") \
+        .dropDuplicates(["h"]).limit(HEAD_WORDS)
+    got = staged(words.select("h", F.coalesce("known", fold).cast("array<int>").alias("ids")), "head", narrow=True).toArrow()
+    if not got.num_rows:
+        return NO_HEAD
+    ids = got["ids"].combine_chunks()
+    return Head(got["h"].to_numpy().view(np.uint64), ids.flatten().to_numpy().astype(np.uint32),
+                np.diff(ids.offsets.to_numpy()).astype(np.int64))
