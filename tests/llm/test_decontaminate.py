@@ -52,6 +52,40 @@ def test_planted_copies_against_brute_force(spark, docs_of):
     assert set(found(find_leaks(docs_of(docs), items_of(spark, items)))) == want
 
 
+def test_edited_copies_are_united_over_shifts(spark, docs_of):
+    words = [f"{a}{b}" for a in WORDS[:8] for b in ("qua", "wex", "yol", "zin", "dro")]
+    item = " ".join(words)
+    put_in = [w + (" extra" if i in (11, 23, 35) else "") for i, w in enumerate(words)]
+    left_out = [w for i, w in enumerate(words) if i not in (9, 19, 29)]
+    apart = [" ".join(words[i:i + 10]) + " filler" * 60 for i in (0, 10, 20, 30)]
+    backwards = [" ".join(words[i:i + 10]) + " filler" for i in (30, 20, 10, 0)]
+    docs = [(1, "so it goes " + " ".join(put_in) + " and on"), (2, " ".join(left_out)), (3, " ".join(apart)), (4, " ".join(backwards)),
+            (5, "filler " * 997 + " ".join(put_in))]
+    got = found(find_leaks(docs_of(docs), items_of(spark, [(1, item)])))
+    assert set(got) == {(1, 1), (2, 1), (5, 1)}
+    # windows of eight cannot hold an edited place; what lies between the places is covered
+    assert got[1, 1].covered == got[5, 1].covered == 36 and not got[1, 1].reparameterised
+    assert got[2, 1].covered == 37
+
+
+def test_united_slots_must_be_consistent(spark, docs_of):
+    item = ("the farmer takes 12 sacks of rye to market, then a miller carries 12 loaves home and sells 30 rolls "
+            "before noon; at last 12 bags remain there for all")
+    good = ("the farmer takes 17 sacks of rye to market, oh then a miller carries 17 loaves home and sells 41 rolls "
+            "oh before noon; at last 17 bags remain there for all")
+    bad = good.replace("17 loaves", "18 loaves").replace("17 bags", "19 bags")
+    assert set(found(find_leaks(docs_of([(1, good), (2, bad)]), items_of(spark, [(1, item)])))) == {(1, 1)}
+
+
+def test_slots_of_several_tokens(spark, docs_of):
+    item = "Then Tom has 3 cups of flour and Tom gives Mary 2 of them so how many has Tom left"
+    docs = [(1, "Then Mary Ann has 1/2 cups of flour and Mary Ann gives Jean-Paul Roe 3 1/4 of them so how many has Mary Ann left"),
+            (2, "Then Mary Ann has 1/2 cups of flour and Eve Lee gives Jean-Paul Roe 1 of them so how many has Eve Lee left")]
+    got = found(find_leaks(docs_of(docs), items_of(spark, [(1, item)])))
+    assert set(got) == {(1, 1)}
+    assert got[1, 1].covered == got[1, 1].item_tokens == 20 and got[1, 1].reparameterised
+
+
 def test_without_broadcast_the_same(spark, docs_of, monkeypatch):
     from tokenloom.llm import decontaminate as D
     monkeypatch.setattr(D, "SMALL", 0)

@@ -1,14 +1,19 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become token sequences (letter runs in lower case, numbers).  A *template* replaces slots by typed
-placeholders: numbers, units (a unit word right after a number) and names (a capitalised word that does not
-begin a sentence).  Windows of ``WINDOW`` tokens of the benchmark items are hashed twice, as they stand and, if
-they hold slots, as templates; texts are hashed alike and joined on the hash.
+placeholders: numbers (a fraction, with its whole part, is one), units (a unit word right after a number) and
+names (a run of capitalised words that does not begin a sentence is one).  Windows of ``WINDOW`` tokens of the
+benchmark items, and of ``WINDOW`` words and placeholders of their templates if they hold slots, are hashed; texts
+are hashed alike and joined on the hash.
 
-Matches are gathered per (text, item, shift): in one shift every aligned pair of slots must be consistent
-(one value of the item always meets the same value in the text), which tells a re-parameterised question
-from a chance likeness; otherwise only windows that agree word for word count.  A text is reported for an item when
-the windows that count cover at least half of the item's tokens, or ``RUN`` tokens.
+Matches are gathered per (text, item) over neighbouring shifts, counted in words and placeholders: a word put in or
+left out starts a new shift, a placeholder of more tokens does not.
+From every shift a chain is built: the other shifts up to half the item's tokens away join it, the nearest first,
+where their windows keep the order of the words.  In a chain every aligned pair of slots must be consistent (one value
+of the item always meets the same value in the text), which tells a re-parameterised question from a chance
+likeness; else the shift counts alone, and if it is not consistent itself, only windows that agree word for word
+count.  A text is reported for an item when the windows that count cover at least half of the item's tokens, or
+``RUN`` tokens in one shift or without a break.
 
 Templates with fewer than ``WORDS`` tokens outside slots say too little and are matched word for word only.
 Items shorter than a window are one window; items of fewer than ``SHORT`` tokens match only texts that are
@@ -16,7 +21,8 @@ nothing but the item.  Letters and numbers alone make tokens, so symbols and lin
 
 Scale: the benchmark's windows are counted first.  Up to ``SMALL`` windows (fixed bound, some 20 MB) they are
 broadcast, the hashes as a sorted array that drops the other windows of a text before they leave the task;
-above it the join shuffles both sides.  A group (text, item, shift) has no more windows than the item.
+above it the join shuffles both sides.  Shifts are gathered by regions of the text of twice the item's length, so the
+item bounds a group, not the text.
 
 Defined results: null texts are empty and match nothing; rows with a null id are not reported; repeated rows
 are reported once; equal items are reported under each id; empty tables give no rows; extra columns are
@@ -26,6 +32,8 @@ ignored.
 from __future__ import annotations
 
 import functools
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -63,11 +71,11 @@ def lower(text: str) -> str:
 
 
 def tokens(texts: list[str]):
-    """(hash, slot type, offsets per text) of all tokens."""
+    """(hash, slot type, whether one slot with the token before, offsets per text) of all tokens."""
     raw, offsets = tn.code_points(texts)
     n = len(raw)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool), np.zeros(len(texts) + 1, np.int64)
     points, _ = tn.code_points([lower(t) for t in texts])
     cls = tn.class_table()[points].copy()
     # a point or comma between digits belongs to the number
@@ -104,7 +112,16 @@ def tokens(texts: list[str]):
     second = np.minimum(start + 1, n - 1)
     name = ~number & upper[start] & (end - start > 1) & ~upper[second] & ~opened
     kind[name] = NAME
-    return h, kind, at
+    # one slot: names with white space, a hyphen or an apostrophe between them; the numbers of a fraction
+    def between(chars):
+        total = np.concatenate(([0], np.cumsum(chars)))
+        return np.append(0, total[start[1:]] - total[end[:-1]])
+    inked = between(tn.class_table()[points] != tn.SPACE)
+    near = (inked == 0) | (inked == between(np.isin(points, np.array([ord(c) for c in "-'’"], np.uint32)))) & (np.append(0, start[1:] - end[:-1]) == 1)
+    slash = (inked == 1) & (between((points == 47) | (points == 0x2044)) == 1) & number & np.append(False, number[:-1]) & ~first
+    whole = (inked == 0) & number & np.append(False, number[:-1]) & ~first & ~slash & np.append(slash[1:], False)
+    glued = name & near & ~first | slash | whole
+    return h, kind, glued, at
 
 
 def _windows(h: np.ndarray, size: int) -> np.ndarray:
@@ -114,28 +131,49 @@ def _windows(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def windows(h: np.ndarray, kind: np.ndarray, sizes):
-    """(size, positions, hashes, with slots) of the windows of one text: as it stands, then its templates."""
-    slot = kind > 0
-    template = np.where(slot, tn.mix(kind.astype(np.uint64) + np.uint64(77)), h)
-    count = np.concatenate(([0], np.cumsum(slot)))
-    for size in sizes:
-        if len(h) < size or (size < SHORT and len(h) != size):
-            continue
-        yield size, np.arange(len(h) - size + 1), _windows(h, size), False
-        slots = count[size:] - count[:-size]
-        use = np.flatnonzero((slots > 0) & (size - slots >= WORDS))
-        if len(use):
-            yield size, use, _windows(template, size)[use], True
+def _begins(kinds: np.ndarray, glued: np.ndarray) -> np.ndarray:
+    """Whether a token begins a word or placeholder of the template."""
+    return ~(glued & np.append(False, kinds[1:] == kinds[:-1]))
+
+
+def windows(h: np.ndarray, kind: np.ndarray, glued: np.ndarray, sizes_of):
+    """(level, starts and ends of the units, size, positions, hashes) of the windows of one text: as it stands, then its template."""
+    n = len(h)
+    at = np.arange(n + 1)
+    for size in sizes_of(n):
+        if n >= size and (size >= SHORT or n == size):
+            yield 0, at, size, at[:n - size + 1], _windows(h, size)
+    for level, kinds in ((1, kind),):
+        begin = np.flatnonzero(_begins(kinds, glued))
+        slot = kinds[begin] > 0
+        template = np.where(slot, tn.mix(kinds[begin].astype(np.uint64) + np.uint64(77)), h[begin])
+        count = np.concatenate(([0], np.cumsum(slot)))
+        m = len(begin)
+        for size in sizes_of(m):
+            if m < size or (size < SHORT and m != size):
+                continue
+            slots = count[size:] - count[:-size]
+            use = np.flatnonzero((slots > 0) & (size - slots >= WORDS))
+            if len(use):
+                yield level, np.append(begin, n), size, use, _windows(template, size)[use]
+
+
+def _value(h: np.ndarray) -> int:
+    """Value of a slot of one or more tokens."""
+    v = h[:1]
+    for i in range(1, len(h)):
+        v = tn.mix(v * np.uint64(0x9E3779B97F4A7C15) + h[i:i + 1])
+    return int(v.view(np.int64)[0])
 
 
-_ROWS = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()),
-                   ("slots", pa.list_(pa.int64())), ("n", pa.int32())])
-_ROWS_SQL = "id long, hash long, pos int, size int, slots array<bigint>, n int"
+# pos and span count tokens, size words and placeholders, unit those before; offs has where these begin, none for a text as it stands
+_ROWS = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("pos", pa.int32()), ("unit", pa.int32()), ("span", pa.int32()), ("size", pa.int32()),
+                   ("level", pa.int32()), ("offs", pa.list_(pa.int32())), ("slots", pa.list_(pa.int64())), ("n", pa.int32())])
+_ROWS_SQL = "id long, hash long, pos int, unit int, span int, size int, level int, offs array<int>, slots array<bigint>, n int"
 
 
 def _rows(sizes_of, wanted):
-    """Windows of texts; ``wanted`` (sorted hashes) keeps only those, ``sizes_of`` gives a text's window sizes."""
+    """Windows of texts; ``wanted`` (sorted hashes) keeps only those, ``sizes_of`` gives the window sizes of a length."""
     def run(batches):
         known = wanted.value if wanted is not None else None
         for b in batches:
@@ -144,27 +182,119 @@ def _rows(sizes_of, wanted):
             bounds = np.zeros(len(texts) + 1, np.int64)
             np.cumsum([len(t) for t in texts], out=bounds[1:])
             for lo, hi in tn.slices(bounds):
-                h, kind, at = tokens(texts[lo:hi])
-                out = [[] for _ in range(6)]
+                h, kind, glued, at = tokens(texts[lo:hi])
+                out = [[] for _ in _ROWS]
                 for j in range(hi - lo):
                     a, e = at[j], at[j + 1]
                     if ids[lo + j] is None or a == e:
                         continue
                     th, tk = h[a:e], kind[a:e]
-                    for size, pos, hashes, with_slots in windows(th, tk, sizes_of(e - a)):
+                    unit = np.cumsum(_begins(tk, glued[a:e])) - 1
+                    for level, edge, size, pos, hashes in windows(th, tk, glued[a:e], sizes_of):
                         if known is not None:
                             if not len(known):
                                 continue
                             hit = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
                             pos, hashes = pos[hit], hashes[hit]
                         for p, x in zip(pos.tolist(), hashes.view(np.int64).tolist()):
-                            values = th[p:p + size][tk[p:p + size] > 0].view(np.int64).tolist() if with_slots else []
-                            for c, v in zip(out, (ids[lo + j], x, p, size, values, e - a)):
+                            at_tokens = edge[p:p + size + 1].tolist()
+                            first, last = at_tokens[0], at_tokens[-1]
+                            offs, values = [], []
+                            if level:
+                                offs = [t - first for t in at_tokens[:-1]]
+                                values = [_value(th[s:t]) for s, t in zip(at_tokens, at_tokens[1:]) if tk[s] > 0]
+                            for c, v in zip(out, (ids[lo + j], x, first, unit[first], last - first, size, level, offs, values, e - a)):
                                 c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ROWS)], schema=_ROWS)
     return run
 
 
+class _Chain:
+    """Windows that keep the order of the words, what they cover and whether their slots are consistent."""
+
+    def __init__(self):
+        self.keys, self.to, self.value, self.places, self.held, self.consistent = [], {}, {}, set(), [], True
+
+    def add(self, w) -> None:
+        places = [(w["item_pos"] + i, w["pos"] + d) for i, d in zip(w["item_offs"] or range(w["span"]), w["offs"] or range(w["span"]))]
+        lo, hi = bisect_left(self.keys, places[0][0]), bisect_right(self.keys, places[-1][0])
+        if lo and self.to[self.keys[lo - 1]] >= places[0][1] or hi < len(self.keys) and self.to[self.keys[hi]] <= places[-1][1]:
+            return
+        both = {k: self.to[k] for k in self.keys[lo:hi]}
+        if any(both.setdefault(i, d) != d for i, d in places):
+            return
+        order = sorted(both)
+        if any(both[x] >= both[y] for x, y in zip(order, order[1:])):
+            return
+        self.keys[lo:hi] = order
+        self.to.update(both)
+        self.consistent &= all(self.value.setdefault(x, y) == y for x, y in zip(w["item_slots"], w["slots"]))
+        self.places.update(range(w["item_pos"], w["item_pos"] + w["item_span"]))
+        self.held.append(w)
+
+    def run(self) -> int:
+        """Item tokens of the longest part without a break on either side."""
+        best = begin = item_end = end = 0
+        for w in sorted(self.held, key=lambda w: (w["item_pos"], w["pos"])):
+            if w["item_pos"] > item_end or w["pos"] > end or not end:
+                begin = w["item_pos"]
+            item_end, end = max(item_end, w["item_pos"] + w["item_span"]), max(end, w["pos"] + w["span"])
+            best = max(best, item_end - begin)
+        return best
+
+
+def _best(spots, n: int, low: int) -> int:
+    """Most item tokens covered by a chain that is reported, 0 if none; seeds are the shifts from ``low`` on, one item length."""
+    half = (n + 1) // 2
+    at_shift = defaultdict(list)
+    reach = set()
+    for w in sorted(spots, key=lambda w: (w["item_pos"], w["pos"], w["level"])):
+        at_shift[w["unit"] - w["item_unit"]].append(w)
+        reach.update(range(w["item_pos"], w["item_pos"] + w["item_span"]))
+    if len(reach) < min(COVER * n, RUN):
+        return 0
+    best = 0
+    holds = {s: {p for w in ws for p in range(w["item_pos"], w["item_pos"] + w["item_span"])} for s, ws in at_shift.items()}
+    for seed in sorted((s for s in at_shift if low <= s < low + 2 * half), key=lambda s: (-len(holds[s]), s)):
+        alone, chain = _Chain(), _Chain()
+        for w in at_shift[seed]:
+            alone.add(w)
+            chain.add(w)
+        if not alone.consistent:
+            continue
+        if len(alone.places) >= min(COVER * n, RUN):
+            best = max(best, len(alone.places))
+        near = sorted((s for s in at_shift if s != seed and abs(s - seed) <= half), key=lambda s: (abs(s - seed), -len(holds[s]), s))
+        for s in near:
+            if not holds[s] <= chain.places:
+                for w in at_shift[s]:
+                    chain.add(w)
+        if chain.consistent and (len(chain.places) >= COVER * n or chain.run() >= RUN):
+            best = max(best, len(chain.places))
+        if best >= len(reach):
+            break
+    return best
+
+
+_SCORED_SQL = "id long, item_id long, item_tokens int, covered int, plain int"
+
+
+def _score(batches):
+    for b in batches:
+        out = [[] for _ in range(5)]
+        for r in (r for i in range(0, b.num_rows, 16) for r in b.slice(i, 16).to_pylist()):
+            n = r["item_tokens"]
+            low = r["region"] * 2 * ((n + 1) // 2) + (n + 1) // 2
+            same = [w for w in r["spots"] if w["slots"] == w["item_slots"]]
+            plain = _best(same, n, low)
+            covered = max([plain] + [_best(spots, n, low) for level in (1,) if len(spots := [w for w in r["spots"] if w["level"] <= level]) > len(same)])
+            if covered:
+                for c, v in zip(out, (r["id"], r["item_id"], n, covered, int(plain > 0))):
+                    c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
+                                         ["id", "item_id", "item_tokens", "covered", "plain"])
+
+
 def _own_sizes(n: int):
     return (min(n, WINDOW),)
 
@@ -183,26 +313,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         known = np.array([r["hash"] for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64)
         wanted = spark.sparkContext.broadcast(np.sort(known))
     found = texts.mapInArrow(_rows(lambda n: sizes, wanted), _ROWS_SQL)
-    right = items.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"),
+    right = items.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("unit").alias("item_unit"), F.col("span").alias("item_span"),
+                         F.col("level").alias("item_level"), F.col("offs").alias("item_offs"), F.col("slots").alias("item_slots"),
                          F.col("n").alias("item_tokens"))
+    period = 2 * F.floor((F.col("item_tokens") + 1) / 2)
     pairs = found.drop("n").join(F.broadcast(right) if small else right, "hash") \
         .where(F.size("slots") == F.size("item_slots")) \
-        .withColumn("map", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))
-    same = F.forall("map", lambda m: m["a"] == m["b"])
-    spot = F.struct("item_pos", "size")
-    shifts = pairs.groupBy("id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_tokens").agg(
-        F.collect_set(spot).alias("all"), F.collect_set(F.when(same, spot)).alias("same"),
-        F.array_distinct(F.flatten(F.collect_set("map"))).alias("map"))
-
-    def covered(spots):
-        places = F.flatten(F.transform(spots, lambda s: F.sequence(s["item_pos"], s["item_pos"] + s["size"] - 1)))
-        return F.size(F.array_distinct(places))
-    consistent = F.size(F.array_distinct(F.transform("map", lambda m: m["a"]))) == F.size("map")
-    scored = shifts.select("id", "item_id", "item_tokens", covered(F.col("same")).alias("plain"),
-                           F.when(consistent, covered(F.col("all"))).otherwise(covered(F.col("same"))).alias("covered"))
-    enough = lambda c: (F.col(c) >= F.lit(COVER) * F.col("item_tokens")) | (F.col(c) >= RUN)
-    best = scored.where(enough("covered")).groupBy("id", "item_id", "item_tokens") \
-        .agg(F.max("covered").alias("covered"), F.max(enough("plain").cast("int")).alias("plain"))
+        .withColumn("region", F.floor((F.col("unit") - F.col("item_unit")) / period))
+    # a shift is in its own region and the one before: a region reaches over two item lengths, its seeds lie in the middle
+    pairs = pairs.withColumn("region", F.explode(F.array("region", F.col("region") - 1)))
+    spot = F.struct("item_pos", "item_unit", "item_span", "item_offs", "item_slots", "pos", "unit", "span", "offs", "slots",
+                    F.greatest("level", "item_level").alias("level"))
+    regions = pairs.groupBy("id", "item_id", "item_tokens", "region").agg(F.collect_set(spot).alias("spots"))
+    scored = regions.mapInArrow(_score, _SCORED_SQL)
+    best = scored.groupBy("id", "item_id", "item_tokens").agg(F.max("covered").alias("covered"), F.max("plain").alias("plain"))
     return best.select(F.col("id").alias("doc_id"), "item_id", F.col("covered").cast("long").alias("covered"),
                        F.col("item_tokens").cast("long").alias("item_tokens"),
                        (F.col("covered") / F.col("item_tokens")).alias("coverage"),
