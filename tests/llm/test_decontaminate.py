@@ -86,6 +86,17 @@ def test_slots_of_several_tokens(spark, docs_of):
     assert got[1, 1].covered == got[1, 1].item_tokens == 20 and got[1, 1].reparameterised
 
 
+def test_names_that_begin_sentences(spark, docs_of):
+    item = "Anna has 3 pens. Ben has 4 pens. Carl has 5 pens. Dora has 6 pens. How many pens are there?"
+    again = item.replace("Carl", "Anna").replace("Dora", "Ben")
+    new = "Tim has 7 pens. Sue Ellen has 8 pens. Kim has 9 pens. Pat has 2 pens. How many pens are there?"
+    docs = [(1, new), (2, "Yesterday " + new), (3, "Now Tim has 7 pens. Sue has 8 pens. Now Tim has 9 pens. Sue has 2 pens. How many pens are there?")]
+    got = found(find_leaks(docs_of(docs), items_of(spark, [(1, item), (2, again)])))
+    # the second item names two persons twice, the first two texts four
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (3, 2)}
+    assert got[1, 1].covered == got[1, 1].item_tokens == 21 and all(r.reparameterised for r in got.values())
+
+
 def test_without_broadcast_the_same(spark, docs_of, monkeypatch):
     from tokenloom.llm import decontaminate as D
     monkeypatch.setattr(D, "SMALL", 0)

@@ -2,17 +2,18 @@
 
 Texts become token sequences (letter runs in lower case, numbers).  A *template* replaces slots by typed
 placeholders: numbers (a fraction, with its whole part, is one), units (a unit word right after a number) and
-names (a run of capitalised words that does not begin a sentence is one).  Windows of ``WINDOW`` tokens of the
+names (a run of capitalised words is one).  A capitalised word that begins a sentence may be a name or not, so there are
+two templates: in the first it is a word, in the second a name, with the names that follow it.  Windows of ``WINDOW`` tokens of the
 benchmark items, and of ``WINDOW`` words and placeholders of their templates if they hold slots, are hashed; texts
-are hashed alike and joined on the hash.
+are hashed alike and joined on the hash, either template with either.
 
 Matches are gathered per (text, item) over neighbouring shifts, counted in words and placeholders: a word put in or
 left out starts a new shift, a placeholder of more tokens does not.
 From every shift a chain is built: the other shifts up to half the item's tokens away join it, the nearest first,
 where their windows keep the order of the words.  In a chain every aligned pair of slots must be consistent (one value
 of the item always meets the same value in the text), which tells a re-parameterised question from a chance
-likeness; else the shift counts alone, and if it is not consistent itself, only windows that agree word for word
-count.  A text is reported for an item when the windows that count cover at least half of the item's tokens, or
+likeness; else the shift counts alone, and if it is not consistent itself, it is tried without the second template, and
+then only windows that agree word for word count.  A text is reported for an item when the windows that count cover at least half of the item's tokens, or
 ``RUN`` tokens in one shift or without a break.
 
 Templates with fewer than ``WORDS`` tokens outside slots say too little and are matched word for word only.
@@ -71,11 +72,11 @@ def lower(text: str) -> str:
 
 
 def tokens(texts: list[str]):
-    """(hash, slot type, whether one slot with the token before, offsets per text) of all tokens."""
+    """(hash, slot types of both templates, whether one slot with the token before, offsets per text) of all tokens."""
     raw, offsets = tn.code_points(texts)
     n = len(raw)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int8), np.zeros(0, bool), np.zeros(len(texts) + 1, np.int64)
     points, _ = tn.code_points([lower(t) for t in texts])
     cls = tn.class_table()[points].copy()
     # a point or comma between digits belongs to the number
@@ -99,7 +100,7 @@ def tokens(texts: list[str]):
     after = np.append(False, number[:-1]) & ~first
     units = _units()
     kind[after & ~number & (units[np.minimum(np.searchsorted(units, h), len(units) - 1)] == h)] = UNIT
-    # names: a capital, then a small letter, not at the start of a sentence
+    # names: a capital, then a small letter; at the start of a sentence in the second template only
     upper = raw != points
     pos = np.arange(n)
     solid = np.maximum.accumulate(np.where(tn.class_table()[points] != tn.SPACE, pos, -1))
@@ -110,8 +111,10 @@ def tokens(texts: list[str]):
     opened = (last < doc_start) | np.isin(points[np.maximum(last, 0)], np.array([ord(c) for c in ".!?:;\"“”«»()|"], np.uint32)) \
         | (np.where(start > doc_start, line[before], -1) > last)
     second = np.minimum(start + 1, n - 1)
-    name = ~number & upper[start] & (end - start > 1) & ~upper[second] & ~opened
+    capital = ~number & upper[start] & (end - start > 1) & ~upper[second]
+    name = capital & ~opened
     kind[name] = NAME
+    second_kind = np.where(capital, NAME, kind).astype(np.int8)
     # one slot: names with white space, a hyphen or an apostrophe between them; the numbers of a fraction
     def between(chars):
         total = np.concatenate(([0], np.cumsum(chars)))
@@ -121,7 +124,7 @@ def tokens(texts: list[str]):
     slash = (inked == 1) & (between((points == 47) | (points == 0x2044)) == 1) & number & np.append(False, number[:-1]) & ~first
     whole = (inked == 0) & number & np.append(False, number[:-1]) & ~first & ~slash & np.append(slash[1:], False)
     glued = name & near & ~first | slash | whole
-    return h, kind, glued, at
+    return h, kind, second_kind, glued, at
 
 
 def _windows(h: np.ndarray, size: int) -> np.ndarray:
@@ -136,24 +139,27 @@ def _begins(kinds: np.ndarray, glued: np.ndarray) -> np.ndarray:
     return ~(glued & np.append(False, kinds[1:] == kinds[:-1]))
 
 
-def windows(h: np.ndarray, kind: np.ndarray, glued: np.ndarray, sizes_of):
-    """(level, starts and ends of the units, size, positions, hashes) of the windows of one text: as it stands, then its template."""
+def windows(h: np.ndarray, kind: np.ndarray, second_kind: np.ndarray, glued: np.ndarray, sizes_of):
+    """(level, starts and ends of the units, size, positions, hashes) of the windows of one text: as it stands, then its
+    templates; of the second only windows with a word that is no name in the first."""
     n = len(h)
     at = np.arange(n + 1)
     for size in sizes_of(n):
         if n >= size and (size >= SHORT or n == size):
             yield 0, at, size, at[:n - size + 1], _windows(h, size)
-    for level, kinds in ((1, kind),):
+    opener = kind != second_kind
+    for level, kinds in ((1, kind), (2, second_kind)) if opener.any() else ((1, kind),):
         begin = np.flatnonzero(_begins(kinds, glued))
         slot = kinds[begin] > 0
         template = np.where(slot, tn.mix(kinds[begin].astype(np.uint64) + np.uint64(77)), h[begin])
         count = np.concatenate(([0], np.cumsum(slot)))
+        needed = np.concatenate(([0], np.cumsum(opener[begin] if level == 2 else slot)))
         m = len(begin)
         for size in sizes_of(m):
             if m < size or (size < SHORT and m != size):
                 continue
             slots = count[size:] - count[:-size]
-            use = np.flatnonzero((slots > 0) & (size - slots >= WORDS))
+            use = np.flatnonzero((needed[size:] > needed[:-size]) & (size - slots >= WORDS))
             if len(use):
                 yield level, np.append(begin, n), size, use, _windows(template, size)[use]
 
@@ -182,15 +188,15 @@ def _rows(sizes_of, wanted):
             bounds = np.zeros(len(texts) + 1, np.int64)
             np.cumsum([len(t) for t in texts], out=bounds[1:])
             for lo, hi in tn.slices(bounds):
-                h, kind, glued, at = tokens(texts[lo:hi])
+                h, kind, second_kind, glued, at = tokens(texts[lo:hi])
                 out = [[] for _ in _ROWS]
                 for j in range(hi - lo):
                     a, e = at[j], at[j + 1]
                     if ids[lo + j] is None or a == e:
                         continue
-                    th, tk = h[a:e], kind[a:e]
-                    unit = np.cumsum(_begins(tk, glued[a:e])) - 1
-                    for level, edge, size, pos, hashes in windows(th, tk, glued[a:e], sizes_of):
+                    th, kinds = h[a:e], (None, kind[a:e], second_kind[a:e])
+                    unit = np.cumsum(_begins(kinds[2], glued[a:e])) - 1
+                    for level, edge, size, pos, hashes in windows(th, *kinds[1:], glued[a:e], sizes_of):
                         if known is not None:
                             if not len(known):
                                 continue
@@ -202,7 +208,7 @@ def _rows(sizes_of, wanted):
                             offs, values = [], []
                             if level:
                                 offs = [t - first for t in at_tokens[:-1]]
-                                values = [_value(th[s:t]) for s, t in zip(at_tokens, at_tokens[1:]) if tk[s] > 0]
+                                values = [_value(th[s:t]) for s, t in zip(at_tokens, at_tokens[1:]) if kinds[level][s] > 0]
                             for c, v in zip(out, (ids[lo + j], x, first, unit[first], last - first, size, level, offs, values, e - a)):
                                 c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ROWS)], schema=_ROWS)
@@ -244,11 +250,11 @@ class _Chain:
 
 
 def _best(spots, n: int, low: int) -> int:
-    """Most item tokens covered by a chain that is reported, 0 if none; seeds are the shifts from ``low`` on, one item length."""
+    """Most item tokens covered by a chain that is reported, 0 if none.  Windows of the first template are placed first; seeds are the shifts from ``low`` on, one item length."""
     half = (n + 1) // 2
     at_shift = defaultdict(list)
     reach = set()
-    for w in sorted(spots, key=lambda w: (w["item_pos"], w["pos"], w["level"])):
+    for w in sorted(spots, key=lambda w: (w["level"], w["item_pos"], w["pos"])):
         at_shift[w["unit"] - w["item_unit"]].append(w)
         reach.update(range(w["item_pos"], w["item_pos"] + w["item_span"]))
     if len(reach) < min(COVER * n, RUN):
@@ -287,7 +293,7 @@ def _score(batches):
             low = r["region"] * 2 * ((n + 1) // 2) + (n + 1) // 2
             same = [w for w in r["spots"] if w["slots"] == w["item_slots"]]
             plain = _best(same, n, low)
-            covered = max([plain] + [_best(spots, n, low) for level in (1,) if len(spots := [w for w in r["spots"] if w["level"] <= level]) > len(same)])
+            covered = max([plain] + [_best(spots, n, low) for level in (2, 3, 4) if len(spots := [w for w in r["spots"] if w["level"] <= level]) > len(same)])
             if covered:
                 for c, v in zip(out, (r["id"], r["item_id"], n, covered, int(plain > 0))):
                     c.append(v)
@@ -323,7 +329,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     # a shift is in its own region and the one before: a region reaches over two item lengths, its seeds lie in the middle
     pairs = pairs.withColumn("region", F.explode(F.array("region", F.col("region") - 1)))
     spot = F.struct("item_pos", "item_unit", "item_span", "item_offs", "item_slots", "pos", "unit", "span", "offs", "slots",
-                    F.greatest("level", "item_level").alias("level"))
+                    (F.col("level") + F.col("item_level")).alias("level"))
     regions = pairs.groupBy("id", "item_id", "item_tokens", "region").agg(F.collect_set(spot).alias("spots"))
     scored = regions.mapInArrow(_score, _SCORED_SQL)
     best = scored.groupBy("id", "item_id", "item_tokens").agg(F.max("covered").alias("covered"), F.max("plain").alias("plain"))
