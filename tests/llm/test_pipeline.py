@@ -23,7 +23,7 @@ def ids(df):
 
 def test_stage_list_and_registration():
     assert [n for n, _ in P.STAGES] == ["toxicity", "near_dup", "decontamination", "secret_scan", "byte_bpe"]
-    assert {re.match(r"op(\d+)_", n)[1] for n in Q.QUERIES} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in Q.QUERIES} == {str(i) for i in range(1, 14)}
     assert set(Q.QUERIES) | {"pipeline"} <= set(E.queries())
 
 
