@@ -33,10 +33,10 @@ def test_pieces_equal_the_pattern():
 
 def test_long_words_merge_alike(lib):
     ranks, enc = lib
-    pairs, rng = B.pair_ranks(ranks), random.Random(5)
+    rng = random.Random(5)
     for _ in range(300):
         w = "".join(rng.choices(["a", "e", "in", "ing", "é", "#", "=", "1"], k=rng.randint(1, 90))).encode()
-        assert w in ranks or B.merge_long(w, pairs, ranks) == enc._encode_single_piece(w)
+        assert w in ranks or B.merge_long(w, ranks) == enc._encode_single_piece(w)
 
 
 def test_perfect_table(lib):
@@ -75,7 +75,8 @@ def test_small_chunks_give_the_same(lib, monkeypatch, with_head):
     monkeypatch.setattr(B, "CHUNK_WORDS", 5)
     texts = [f"alpha{i} beta {i} gamma" for i in range(40)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
-    monkeypatch.setattr(tn, "SLICE", 50)
+    monkeypatch.setattr(B, "SLICE", 50)
+    monkeypatch.setattr(B, "WORDS_AT_ONCE", 3)
     parts = [b for lo in range(40) for b in [batch.slice(lo, 1)]]
 
     class Top:
@@ -89,7 +90,40 @@ def test_small_chunks_give_the_same(lib, monkeypatch, with_head):
     ids = []
     for word, known in zip(rows["word"].to_pylist(), rows["known"].to_pylist()):
         ids.append(known if known is not None else None if word is None else enc._encode_single_piece(bytes(word)))
-    table = pa.table({"kind": rows["kind"], "doc_id": rows["doc_id"], "ids": pa.array(ids, pa.list_(pa.int64())), "refs": rows["refs"]})
+    table = pa.table({"kind": rows["kind"], "chunk": rows["chunk"], "doc_id": rows["doc_id"], "ids": pa.array(ids, pa.list_(pa.int64())), "refs": rows["refs"]})
     for size in (1, 7, 1000):
         out = pa.Table.from_batches(list(B._assemble(Shipped, Top, True)(iter(table.combine_chunks().to_batches(max_chunksize=size)))))
         assert [np.frombuffer(x, "<u4").tolist() for x in out["ids"].to_pylist()] == [enc.encode_ordinary(t) for t in texts]
+
+
+def test_a_long_text_is_cut_at_borders_of_pieces(lib, docs_of, monkeypatch):
+    ranks, enc = lib
+    rng = random.Random(9)
+    bits = ["word", "'s", "'ll", " ", "  ", "\n", "\t", "é中", "12", "!!", "\x1c", "\x85", "\u2009", "no"]
+    for _ in range(300):
+        t = "".join(rng.choices(bits, k=rng.randint(0, 60)))
+        parts = B.cut_text(t, 12)
+        assert "".join(parts) == t
+        assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(t)
+    monkeypatch.setattr(B, "SLICE", 40)
+    monkeypatch.setattr(B, "CHUNK_WORDS", 5)
+    long = " ".join(f"item{i} isn't  {i}" for i in range(400))
+    got = B.encode_bytes(docs_of([(1, long), (2, "x" * 500), (3, "short")]).coalesce(1), FILE, with_ids=True).collect()
+    want = {1: long, 2: "x" * 500, 3: "short"}
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == {i: enc.encode_ordinary(t) for i, t in want.items()}
+
+
+def test_places_and_ids_grow():
+    rng = np.random.default_rng(2)
+    words, ids = B.Words(), B.Ids()
+    known = {}
+    for _ in range(20):
+        h = np.setdiff1d(np.unique(rng.integers(0, 1 << 20, 50).astype(np.uint64)), words.hashes)
+        for key, place in zip(h.tolist(), words.add(h).tolist()):
+            known[key] = place
+        length = rng.integers(0, 5, len(h))
+        ids.add(rng.integers(0, 9, int(length.sum())).astype(np.uint32), length)
+    assert sorted(known.values()) == list(range(len(words))) and ids.n == len(words)
+    assert words.find(np.array(list(known), np.uint64)).tolist() == list(known.values())
+    assert words.find(np.array([1 << 30], np.uint64)).tolist() == [-1]
+    assert ids.start[:ids.n].tolist() == (np.cumsum(ids.length[:ids.n]) - ids.length[:ids.n]).tolist()

@@ -2,21 +2,23 @@
 
 Encoding runs in one narrow pass over the texts without a shuffle:
 
-0. The head: the distinct words of a sample of about ``HEAD_DOCS`` documents (``HEAD_WORDS`` words at most) are
-   encoded first, by the fold of step 2, and sent to every worker, so that words found all over the
-   corpus are not folded in every chunk again.  It changes no result, only how often a word is folded.
-1. An Arrow step splits the texts of a task by the pre-tokenizer's pattern (class changes on code
-   points) and emits, chunk by chunk, one row per *distinct* word outside the head (its bytes), then one
-   row per document with its words as references into the head and the chunk's word list.
+0. The head: words that several tasks meet in a sample of about ``HEAD_DOCS`` documents (the ``HEAD_WORDS`` most
+   widespread ones, of ``FOLD_BYTES`` bytes at most, so its size is bounded) are encoded first, by the fold of step 2,
+   and sent to every worker, so that they are not folded in every task again.  It changes no result, only how often a
+   word is folded.
+1. An Arrow step splits the texts of a task by the pre-tokenizer's pattern (class changes on code points), slice by
+   slice: one row per word that is neither in the head nor met before (its bytes), ``WORDS_AT_ONCE`` to a batch, then
+   one row per document that ended in the slice, with its words as references into the head and the words met.
 2. Spark higher-order functions encode each distinct word: ``aggregate`` folds merges over the array
    of symbols; the state is the symbols and the rank of every adjacent pair, and each step merges the
    leftmost pair of least rank.  The rank map is a literal: a table with one slot per pair, found by a
    perfect hash, so that one look-up is two array reads.
-3. An Arrow step replaces the references by the ids of the words and decodes the ids again by
+3. An Arrow step keeps the ids of the words met, replaces the references by them and decodes the ids again by
    concatenating the binary pieces.
 
-A chunk is closed at ``CHUNK_WORDS`` distinct words or ``CHUNK_POINTS`` code points (or after one longer
-text), which bounds the memory of a task.  The fold is quadratic in a word's length; words over
+After ``CHUNK_WORDS`` words both steps forget the words met and a new chunk begins.  A text longer than a slice is cut
+where white space begins, which is always a border of pieces.  So a task holds a slice, ``CHUNK_WORDS`` hashes and ids,
+and the references of one document, whatever the input.  The fold is quadratic in a word's length; words over
 ``FOLD_BYTES`` bytes are merged with a heap in step 1 instead, with the same result.
 
 Defined results: a null text is an empty text (no ids); every input row gives one output row, repeated
@@ -38,10 +40,12 @@ from pyspark.sql import functions as F
 from tokenloom.llm import textnum as tn
 from tokenloom.llm.stage import staged
 
-HEAD_DOCS = 20_000       # documents of the sample that the head of frequent words comes from
-HEAD_WORDS = 600_000     # most words of the head: some 20 MB of numbers in each worker
-CHUNK_WORDS = 300_000
-CHUNK_POINTS = 32_000_000
+HEAD_DOCS = 20_000       # documents of the sample that the head of widespread words comes from
+HEAD_WORDS = 300_000     # most words of the head, each of FOLD_BYTES bytes at most
+CHUNK_WORDS = 300_000    # words met that a task remembers: a hash, a place and a few ids each
+WORDS_AT_ONCE = 2_000    # words of one batch to fold
+SLICE = 300_000          # code points split at a time
+DECODE_IDS = 200_000     # ids decoded at a time
 FOLD_BYTES = 64
 _END = 65535            # sentinel symbol around a word; no pair with it has a rank
 _FREE = 1 << 50         # free slot of the rank map
@@ -126,13 +130,13 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
             def at(i: Column) -> Column:   # i: 1-based place of the pair to merge
                 ids, pairs = s["ids"], s["pairs"]
                 new = F.get(pairs, i - 1)
-                return F.struct(
+                return F.when(new < 65536, F.struct(
                     F.concat(F.slice(ids, F.lit(1), i - 1), F.array(new), F.slice(ids, i + 2, F.size(ids))).alias("ids"),
                     F.concat(F.slice(pairs, F.lit(1), i - 2),
                              F.array(rank(F.get(ids, i - 2), new), rank(new, F.get(ids, i + 1))),
-                             F.slice(pairs, i + 2, F.size(pairs))).alias("pairs"))
+                             F.slice(pairs, i + 2, F.size(pairs))).alias("pairs"))).otherwise(s)
             place = F.array_position(s["pairs"], F.array_min(s["pairs"])).cast("int")
-            return F.when(F.array_min(s["pairs"]) < 65536, F.get(F.transform(F.array(place), at), F.lit(0))).otherwise(s)
+            return F.get(F.transform(F.array(place), at), F.lit(0))
 
         def fold(ids: Column) -> Column:
             return F.aggregate(F.sequence(F.lit(1), F.size(ids) - 2), start(ids), lambda s, _: merge(s),
@@ -142,26 +146,26 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
     return F.get(F.transform(F.array(tables), encode), F.lit(0))
 
 
-def merge_long(word: bytes, pairs: dict[int, int], ranks: dict[bytes, int]) -> list[int]:
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges with a heap over a linked list, for long words."""
-    ids = [ranks[bytes([b])] for b in word]
-    n = len(ids)
+    parts: list[bytes | None] = [word[i:i + 1] for i in range(len(word))]
+    n = len(parts)
     prev, nxt = list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(pairs[k], i, k) for i in range(n - 1) if (k := ids[i] * 65536 + ids[i + 1]) in pairs]
+    heap = [(r, i, p) for i in range(n - 1) if (r := ranks.get(p := parts[i] + parts[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
-        rank, i, key = heapq.heappop(heap)
+        _, i, piece = heapq.heappop(heap)
         j = nxt[i]
-        if ids[i] < 0 or j >= n or ids[i] * 65536 + ids[j] != key:
+        if parts[i] is None or j >= n or len(parts[i]) + len(parts[j]) != len(piece) or parts[i] + parts[j] != piece:
             continue
-        ids[i], ids[j] = rank, -1
+        parts[i], parts[j] = piece, None
         nxt[i] = nxt[j]
         if nxt[j] < n:
             prev[nxt[j]] = i
         for left in (prev[i], i):
-            if left >= 0 and nxt[left] < n and (k := ids[left] * 65536 + ids[nxt[left]]) in pairs:
-                heapq.heappush(heap, (pairs[k], left, k))
-    return [x for x in ids if x >= 0]
+            if left >= 0 and nxt[left] < n and (r := ranks.get(p := parts[left] + parts[nxt[left]])) is not None:
+                heapq.heappush(heap, (r, left, p))
+    return [ranks[p] for p in parts if p is not None]
 
 
 @functools.cache
@@ -208,46 +212,134 @@ def piece_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark[:-1])
 
 
-_ROWS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("word", pa.list_(pa.int64())),
+_ROWS = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("doc_id", pa.int64()), ("word", pa.list_(pa.int64())),
                    ("known", pa.list_(pa.int64())), ("refs", pa.binary())])
+_ROWS_SQL = "kind int, chunk long, doc_id long, word array<bigint>, known array<bigint>, refs binary"
 
 
-class Head:
-    """Ids of the head's words, by the hash of the word."""
+class Words:
+    """Place of words by their hash: sorted hashes, grown by merging."""
 
-    def __init__(self, hashes: np.ndarray, flat: np.ndarray, length: np.ndarray):
-        order = np.argsort(hashes)
-        start = np.cumsum(length) - length
-        self.hashes, self.length = hashes[order], length[order]
-        self.flat = tn.ragged_take(flat, start[order], self.length).astype(np.uint32)
+    def __init__(self, hashes: np.ndarray | None = None):
+        h = np.zeros(0, np.uint64) if hashes is None else hashes
+        order = np.argsort(h)
+        self.hashes, self.place = h[order], order.astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Place of each hash in the head, or -1."""
+        """Place of each hash, or -1."""
         if not len(self.hashes):
-            return np.full(len(h), -1, np.int64)
+            return np.full(len(h), -1, np.int32)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
+        return np.where(self.hashes[at] == h, self.place[at], np.int32(-1))
+
+    def add(self, h: np.ndarray) -> np.ndarray:
+        """Places of new hashes (sorted, not known yet): the next numbers."""
+        new = np.arange(len(self), len(self) + len(h), dtype=np.int32)
+        at = np.searchsorted(self.hashes, h)
+        self.hashes, self.place = np.insert(self.hashes, at, h), np.insert(self.place, at, new)
+        return new
+
+
+class Ids:
+    """Ids of words by place; room is doubled when it runs out."""
+
+    def __init__(self, flat: np.ndarray | None = None, length: np.ndarray | None = None):
+        self.flat = np.zeros(0, np.uint32) if flat is None else flat.astype(np.uint32)
+        self.length = np.zeros(0, np.int32) if length is None else length.astype(np.int32)
+        self.start = np.cumsum(self.length, dtype=np.int64) - self.length
+        self.used, self.n = len(self.flat), len(self.length)
+
+    @staticmethod
+    def _room(a: np.ndarray, used: int, more: int) -> np.ndarray:
+        if used + more <= len(a):
+            return a
+        out = np.empty(max(2 * len(a), used + more, 1024), a.dtype)
+        out[:used] = a[:used]
+        return out
+
+    def add(self, flat: np.ndarray, length: np.ndarray) -> None:
+        self.flat = self._room(self.flat, self.used, len(flat))
+        self.length, self.start = (self._room(a, self.n, len(length)) for a in (self.length, self.start))
+        self.flat[self.used:self.used + len(flat)] = flat
+        self.length[self.n:self.n + len(length)] = length
+        self.start[self.n:self.n + len(length)] = self.used + np.cumsum(length) - length
+        self.used, self.n = self.used + len(flat), self.n + len(length)
+
+
+class Head:
+    """The widespread words: their places by hash, their ids by place."""
+
+    def __init__(self, hashes: np.ndarray, flat: np.ndarray, length: np.ndarray):
+        self.words, self.ids = Words(hashes), Ids(flat, length)
 
 
 NO_HEAD = Head(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
+def take_ids(refs: np.ndarray, top: Ids, met: Ids) -> np.ndarray:
+    """Ids of the referenced words, joined; references from ``top.n`` on are words met."""
+    low = refs < top.n
+    at = np.where(low, refs, refs - top.n)
+    length = np.empty(len(refs), np.int64)
+    length[low], length[~low] = top.length[at[low]], met.length[at[~low]]
+    end = np.cumsum(length)
+    out = np.empty(int(end[-1]) if len(end) else 0, np.uint32)
+    for ids, mask in ((top, low), (met, ~low)):
+        size = length[mask]
+        out[_spread(end[mask] - size, size)] = ids.flat[_spread(ids.start[at[mask]], size)]
+    return out
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... for size[i] places, for every i."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum()), dtype=np.int64) + np.repeat(start - before, size)
+
+
+def cut_text(text: str, limit: int) -> list[str]:
+    """Parts of about ``limit`` code points at most, cut where white space begins (longer if there is none)."""
+    parts, lo = [], 0
+    while len(text) - lo > limit:
+        for at in (*range(lo + limit, lo + limit // 2, -1), *range(lo + limit + 1, len(text))):
+            if text[at].isspace() and not text[at - 1].isspace() and tn.class_table()[ord(text[at])] == tn.SPACE \
+                    and tn.class_table()[ord(text[at - 1])] != tn.SPACE:
+                break
+        else:
+            break
+        parts.append(text[lo:at])
+        lo = at
+    return parts + [text[lo:]]
+
+
+def _text_slices(column):
+    """Slices of an Arrow text column: (row, whether the row's text ends here) per part, and the parts."""
+    _, offsets = tn.utf8_buffers(column)
+    for lo, hi in tn.slices(offsets, SLICE):
+        texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+        if hi - lo == 1 and len(texts[0]) > SLICE:
+            parts = cut_text(texts[0], SLICE)
+            for i, part in enumerate(parts):
+                yield [(lo, i == len(parts) - 1)], [part]
+        else:
+            yield [(lo + i, True) for i in range(hi - lo)], texts
+
+
 def _pieces_of(texts: list[str]):
-    """Per slice of the texts: (first text, last text, distinct hashes, one span of each, piece -> hash, cuts)."""
-    sizes = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t) for t in texts], out=sizes[1:])
-    for lo, hi in tn.slices(sizes):
-        points, offsets = tn.code_points(texts[lo:hi])
-        start = piece_starts(points, offsets)
-        end = np.append(start[1:], len(points))
-        h = tn.span_hash(tn.point_prefix(points), start, end)
-        uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        yield lo, hi, uniq, start[first], end[first], inverse, np.searchsorted(start, offsets)
-
-
-def _word_columns(words: list[bytes], ranks, pairs):
+    """(distinct hashes, one span of each, piece -> hash, first piece of every text) of the joined texts."""
+    points, offsets = tn.code_points(texts)
+    start = piece_starts(points, offsets)
+    end = np.append(start[1:], len(points))[:len(start)]
+    h = tn.span_hash(tn.point_prefix(points), start, end)
+    uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    return uniq, start[first], end[first], inverse, np.searchsorted(start, offsets)
+
+
+def _word_columns(words: list[bytes], ranks):
     """(bytes of the words to fold, ids of the words that need no fold): pieces of the vocabulary and long words."""
-    known = [[ranks[w]] if w in ranks else merge_long(w, pairs, ranks) if len(w) > FOLD_BYTES else None for w in words]
+    known = [[ranks[w]] if w in ranks else merge_long(w, ranks) if len(w) > FOLD_BYTES else None for w in words]
     todo = [w if k is None else b"" for w, k in zip(words, known)]
     flat = np.frombuffer(b"".join(todo), np.uint8).astype(np.int64)
     off = np.zeros(len(words) + 1, np.int32)
@@ -256,87 +348,77 @@ def _word_columns(words: list[bytes], ranks, pairs):
 
 
 def _distinct_words(file_bytes):
-    """Distinct words of a task's texts: (hash, word, known)."""
+    """Words of a task's texts that fit the head: (hash, word, known), each once unless the task meets very many."""
     schema = pa.schema([("h", pa.int64()), ("word", pa.list_(pa.int64())), ("known", pa.list_(pa.int64()))])
 
     def run(batches):
-        ranks, pairs = _ranks(file_bytes.value), _pairs(file_bytes.value)
-        seen: set[int] = set()
+        ranks, seen = load_ranks(file_bytes.value), Words()
         for b in batches:
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            for lo, hi, uniq, starts, ends, _, _ in _pieces_of(texts):
-                joined = "".join(texts[lo:hi])
-                new = [(k, joined[s:e].encode()) for k, s, e in zip(uniq.tolist(), starts.tolist(), ends.tolist()) if k not in seen]
-                seen.update(k for k, _ in new)
-                word, known = _word_columns([w for _, w in new], ranks, pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([k for k, _ in new], np.uint64).view(np.int64)), word, known],
-                                                 schema=schema)
+            for _, texts in _text_slices(b.column(0)):
+                uniq, starts, ends, _, _ = _pieces_of(texts)
+                new = seen.find(uniq) < 0
+                seen.add(uniq[new])
+                joined = "".join(texts)
+                words = [joined[s:e].encode() for s, e in zip(starts[new].tolist(), ends[new].tolist())]
+                fits = np.array([len(w) <= FOLD_BYTES for w in words], bool)
+                words, h = [w for w, ok in zip(words, fits) if ok], uniq[new][fits].view(np.int64)
+                for lo in range(0, len(words), WORDS_AT_ONCE):
+                    word, known = _word_columns(words[lo:lo + WORDS_AT_ONCE], ranks)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[lo:lo + WORDS_AT_ONCE]), word, known], schema=schema)
                 if len(seen) > CHUNK_WORDS:
-                    seen.clear()
+                    seen = Words()
     return run
 
 
 def _split(file_bytes, head):
-    """Texts to rows: per chunk the distinct words outside the head (kind 0), then the documents (kind 1)."""
+    """Texts to rows: per slice the words outside the head that are new (kind 0), then the documents (kind 1)."""
 
-    def emit(words: list[bytes], docs: list, ranks, pairs):
-        step = 50_000
-        for lo in range(0, len(words), step):
-            part = words[lo:lo + step]
+    def word_rows(words: list[bytes], chunk: int, ranks):
+        for lo in range(0, len(words), WORDS_AT_ONCE):
+            part = words[lo:lo + WORDS_AT_ONCE]
             n = len(part)
-            word, known = _word_columns(part, ranks, pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), word, known,
-                                              pa.nulls(n, pa.binary())], schema=_ROWS)
-        for lo in range(0, len(docs), 1000):
-            part = docs[lo:lo + 1000]
-            n = len(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(n, np.int32)), pa.array([d for d, _ in part], pa.int64()),
-                 pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64())),
-                 pa.array([r for _, r in part], pa.binary())], schema=_ROWS)
+            word, known = _word_columns(part, ranks)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, chunk)), pa.nulls(n, pa.int64()),
+                                              word, known, pa.nulls(n, pa.binary())], schema=_ROWS)
+
+    def doc_rows(docs: list, chunk: int):
+        n = len(docs)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.ones(n, np.int32)), pa.array(np.full(n, chunk)), pa.array([d for d, _ in docs], pa.int64()),
+             pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64())), pa.array([r for _, r in docs], pa.binary())],
+            schema=_ROWS)
 
     def run(batches):
-        ranks, pairs, top = _ranks(file_bytes.value), _pairs(file_bytes.value), head.value
-        base = len(top.hashes)
-        index: dict[int, int] = {}
-        words: list[bytes] = []
-        docs: list = []
-        points_n = 0
+        ranks, top = load_ranks(file_bytes.value), head.value
+        base, met, chunk = len(top.words), Words(), 0
+        begun: list[bytes] = []                       # references of a text whose end is still to come
         for b in batches:
             ids = b.column(0).to_pylist()
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi, uniq, starts, ends, inverse, cut in _pieces_of(texts):
-                refs = top.find(uniq).astype(np.int32)
-                joined = "".join(texts[lo:hi])
-                rest = np.flatnonzero(refs < 0)
-                for i, key, s, e in zip(rest.tolist(), uniq[rest].tolist(), starts[rest].tolist(), ends[rest].tolist()):
-                    at = index.get(key)
-                    if at is None:
-                        at = index[key] = len(words)
-                        words.append(joined[s:e].encode())
-                    refs[i] = base + at
-                flat = refs[inverse] if len(uniq) else np.zeros(0, np.int32)
-                docs += [(ids[lo + j], flat[cut[j]:cut[j + 1]].tobytes()) for j in range(hi - lo)]
-                points_n += len(joined)
-                if len(words) >= CHUNK_WORDS or points_n >= CHUNK_POINTS:
-                    yield from emit(words, docs, ranks, pairs)
-                    index, words, docs, points_n = {}, [], [], 0
-        yield from emit(words, docs, ranks, pairs)
+            for rows, texts in _text_slices(b.column(1)):
+                if len(met) > CHUNK_WORDS and not begun:
+                    met, chunk = Words(), chunk + 1
+                uniq, starts, ends, inverse, cut = _pieces_of(texts)
+                refs = top.words.find(uniq)
+                out = np.flatnonzero(refs < 0)
+                place = met.find(uniq[out])
+                new = out[place < 0]
+                place[place < 0] = met.add(uniq[new])
+                refs[out] = base + place
+                joined = "".join(texts)
+                yield from word_rows([joined[s:e].encode() for s, e in zip(starts[new].tolist(), ends[new].tolist())], chunk, ranks)
+                flat = refs[inverse]
+                docs = []
+                for i, (row, ended) in enumerate(rows):
+                    begun.append(flat[cut[i]:cut[i + 1]].tobytes())
+                    if ended:
+                        docs.append((ids[row], b"".join(begun)))
+                        begun = []
+                if docs:
+                    yield doc_rows(docs, chunk)
     return run
 
 
-@functools.lru_cache(2)
-def _ranks(data: bytes):
-    return load_ranks(data)
-
-
-@functools.lru_cache(2)
-def _pairs(data: bytes):
-    return pair_ranks(load_ranks(data))
-
-
-@functools.lru_cache(2)
-def _pieces(data: bytes):
+def load_pieces(data: bytes):
     """(joined pieces, start of each id, length of each id)."""
     ranks = load_ranks(data)
     length = np.zeros(max(ranks.values()) + 1, np.int64)
@@ -346,50 +428,52 @@ def _pieces(data: bytes):
     return np.frombuffer(b"".join(order), np.uint8), np.cumsum(length) - length, length
 
 
-def decode(ids: np.ndarray, data: bytes) -> bytes:
+def decode(ids: np.ndarray, pieces) -> bytes:
     """The pieces of the ids, joined."""
-    blob, start, length = _pieces(data)
+    blob, start, length = pieces
     return tn.ragged_take(blob, start[ids], length[ids]).tobytes()
 
 
+def _decoded_sha256(ids: np.ndarray, pieces) -> str:
+    digest = hashlib.sha256()
+    for lo in range(0, len(ids), DECODE_IDS):
+        digest.update(decode(ids[lo:lo + DECODE_IDS], pieces))
+    return digest.hexdigest()
+
+
 def _assemble(file_bytes, head, with_ids: bool):
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
               ("decoded_sha256", pa.string())] + [("ids", pa.binary())] * with_ids
     schema = pa.schema(fields)
 
     def run(batches):
-        data, top = file_bytes.value, head.value
-        flats, lens, ready = [], [], None
+        pieces, top = load_pieces(file_bytes.value), head.value.ids
+        met, now = Ids(), 0
         for b in batches:
-            kind = b.column("kind").to_numpy()
-            cut = int(np.searchsorted(kind, 1)) if (np.diff(kind) >= 0).all() else None
-            # a batch may close one chunk and open the next: handle its stretches of one kind in turn
-            edges = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(kind)] if cut is None or 0 < cut < len(kind) \
-                else [0, len(kind)]
+            kind, chunk = b.column("kind").to_numpy(), b.column("chunk").to_numpy()
+            # a batch may hold words and documents, of several chunks: handle its stretches in turn
+            turns = np.flatnonzero((np.diff(kind) != 0) | (np.diff(chunk) != 0)) + 1
+            edges = [0, *turns.tolist(), len(kind)]
             for lo, hi in zip(edges, edges[1:]):
                 if lo == hi:
                     continue
                 part = b.slice(lo, hi - lo)
+                if chunk[lo] != now:
+                    met, now = Ids(), chunk[lo]
                 if kind[lo] == 0:
-                    if ready is not None:
-                        flats, lens, ready = [], [], None
                     col = part.column("ids")
                     off = col.offsets.to_numpy()
-                    flats.append(col.values.to_numpy()[off[0]:off[-1]].astype(np.uint32))
-                    lens.append(np.diff(off).astype(np.int64))
+                    met.add(col.values.to_numpy()[off[0]:off[-1]].astype(np.uint32), np.diff(off))
                     continue
-                if ready is None:
-                    length = np.concatenate([top.length, *lens])
-                    ready = (np.concatenate([top.flat, *flats]), np.cumsum(length) - length, length)
-                flat, start, length = ready
                 n, sha, dec, raw = [], [], [], []
-                for refs in part.column("refs").to_pylist():
-                    r = np.frombuffer(refs, np.int32)
-                    ids = tn.ragged_take(flat, start[r], length[r])
+                for refs in part.column("refs"):
+                    ids = take_ids(np.frombuffer(refs.as_buffer(), np.int32), top, met)
                     n.append(len(ids))
-                    raw.append(ids.astype("<u4").tobytes())
-                    sha.append(hashlib.sha256(raw[-1]).hexdigest())
-                    dec.append(hashlib.sha256(decode(ids, data)).hexdigest())
+                    bits = ids.astype("<u4").tobytes()
+                    sha.append(hashlib.sha256(bits).hexdigest())
+                    dec.append(_decoded_sha256(ids, pieces))
+                    if with_ids:
+                        raw.append(bits)
                 cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(dec, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(raw, pa.binary())] * with_ids, schema=schema)
     return run
@@ -404,22 +488,22 @@ def encode_bytes(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_c
     shipped = sc.broadcast(data)  # the vocabulary file: under 1 MB
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     fold = fold_merges(F.col("word"), load_ranks(data))
-    head = sc.broadcast(learn_head(rows, shipped, fold))  # HEAD_WORDS words at most
-    split = rows.mapInArrow(_split(shipped, head), "kind int, doc_id long, word array<bigint>, known array<bigint>, refs binary")
+    head = sc.broadcast(learn_head(rows, shipped, fold))  # HEAD_WORDS words of FOLD_BYTES bytes at most
+    split = rows.mapInArrow(_split(shipped, head), _ROWS_SQL)
     folded = F.when(F.col("kind") == 0, F.coalesce("known", fold))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return split.select("kind", "doc_id", folded.alias("ids"), "refs").mapInArrow(_assemble(shipped, head, with_ids), schema)
+    return split.select("kind", "chunk", "doc_id", folded.alias("ids"), "refs").mapInArrow(_assemble(shipped, head, with_ids), schema)
 
 
 def learn_head(rows: DataFrame, shipped, fold: Column) -> Head:
-    """The head from documents picked by the hash of their id."""
-    every = max(1, rows.count() // HEAD_DOCS)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-    words = sample.mapInArrow(_distinct_words(shipped), "h long, word array<bigint>, known array<bigint>") \
-        .dropDuplicates(["h"]).limit(HEAD_WORDS)
+    """The words that the most tasks of a sample meet, two at least; any sample gives right results."""
+    share = min(1.0, HEAD_DOCS / max(1, rows.count()))
+    sample = rows.select("text").sample(fraction=share, seed=7)
+    met = sample.mapInArrow(_distinct_words(shipped), "h long, word array<bigint>, known array<bigint>") \
+        .groupBy("h").agg(F.count("*").alias("n"), F.first("word").alias("word"), F.first("known").alias("known"))
+    words = met.where("n > 1").orderBy(F.desc("n"), "h").limit(HEAD_WORDS)
     got = staged(words.select("h", F.coalesce("known", fold).cast("array<int>").alias("ids")), "head", narrow=True).toArrow()
     if not got.num_rows:
         return NO_HEAD
     ids = got["ids"].combine_chunks()
-    return Head(got["h"].to_numpy().view(np.uint64), ids.flatten().to_numpy().astype(np.uint32),
-                np.diff(ids.offsets.to_numpy()).astype(np.int64))
+    return Head(got["h"].to_numpy().view(np.uint64), ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()))
