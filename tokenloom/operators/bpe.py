@@ -1,16 +1,12 @@
 """Byte-pair merges learned from a word table, encoding with them,
 and decomposition of new pieces into old ids.
 
-Training keeps the word table ``(word, cnt, syms)`` and the pair-count table
-distributed.  Pair counts are made once (map-side partial sums absorb hot words)
-and then updated each round from the words the round touched only.  Each round
-brings the top ``top_k`` pairs to the driver and accepts an exact *batch* of merges: the
-ranked pairs are taken in order while each shares no symbol (nor its result)
-with the batch and outnumbers every pair touching the batch, so the merge list is
-the one sequential BPE produces with ties broken by (count desc, left, right).
-The batch is applied with codegen'd ``regexp_replace`` on space-joined symbols;
-words left with one symbol leave the table; lineage is cut with a reliable
-checkpoint every few rounds.
+Training keeps the distinct words on the executors, in blocks with an inverted index from a pair to the
+words that hold it.  Pair and triple counts are made once (partial sums absorb hot words); a bounded list of the most
+frequent ones goes to the driver, which tells an exact batch of merges from them, as many as follow without
+recounting.  A round touches only the words that hold a merged pair and sends back how counts changed.  The
+merge list is the one sequential BPE produces with ties broken by (count desc, left, right); lineage is cut with
+a reliable checkpoint every few rounds.
 
 Contract (not SentencePiece's exact trainer): words are whitespace words with a
 leading word mark, symbols start as characters, pairs touching a digit are never
@@ -20,19 +16,23 @@ merged (split_digits), characters outside the coverage set fall back to bytes.
 from __future__ import annotations
 
 import heapq
+import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import spread
+from . import merge_blocks
+from .merge_plan import Known, Round
 from .vocab import SPECIAL_TOKENS, Vocabulary
 
 # Fixed value: the word-start mark (U+2581) used by SentencePiece-style vocabularies.
 WORD_MARK = "▁"
-_SEP = "\u0000"
+_DIGIT = re.compile("[0-9]")
 
 
 def byte_tokens() -> list[str]:
@@ -68,134 +68,106 @@ def pair_counts(words: DataFrame, split_digits: bool = True) -> DataFrame:
     return _pair_rows(words, split_digits).groupBy("a", "b").agg(F.sum("cnt").alias("cnt"))
 
 
-def choose_batch(ranked: list[tuple], complete: bool, limit: int) -> list[tuple]:
-    """Exact merge batch from pairs ranked by (count desc, a, b); see module doc."""
-    batch: list[tuple] = []
-    touched: set[str] = set()
-    floor = ranked[-1][2] if (ranked and not complete) else -1
-    for idx, (a, b, c) in enumerate(ranked):
-        if len(batch) >= limit:
-            break
-        if batch:
-            if a == b or a in touched or b in touched or (a + b) in touched:
-                break
-            threat = floor
-            for (x, y, k) in ranked[idx + 1:]:
-                if k > threat and (x in touched or y in touched):
-                    threat = k
-            if c <= threat:
-                break
-        batch.append((a, b, c))
-        touched.update((a, b, a + b))
-        if a == b:
-            break
-    return batch
-
-
-def _rx_literal(sym: str) -> str:
-    """Java-regex literal for a symbol: ASCII letters/digits as is, the rest as ``\\x{..}``."""
-    return "".join(c if (c.isascii() and c.isalnum()) else f"\\x{{{ord(c):x}}}" for c in sym)
-
-
-def _rx_replacement(sym: str) -> str:
-    return sym.replace("\\", "\\\\").replace("$", "\\$")
-
-
-def _merge_col(col, batch: list[tuple]):
-    """One ``regexp_replace`` per pair; the column is referenced once, so plans that
-    collapse across rounds grow linearly, never exponentially."""
-    for a, b, _ in batch:
-        pat = "(?<=^| )" + _rx_literal(a) + " " + _rx_literal(b) + "(?= |$)"
-        col = F.regexp_replace(col, pat, _rx_replacement(a + b))
-    return col
-
-
-def _touches(batch: list[tuple]):
-    cond = F.lit(False)
-    for a, b, _ in batch:
-        cond = cond | (F.instr(F.col("syms"), a + " " + b) > 0)
-    return cond
-
-
-def apply_batch(words: DataFrame, batch: list[tuple]) -> DataFrame:
-    """Merge every batch pair left to right (non-overlapping); drop words with one symbol left.
+def train_bpe(words: DataFrame, n_merges: int, hot: int = 200_000, split_digits: bool = True,
+              checkpoint_every: int = 8, log=None) -> list[tuple]:
+    """A3: up to ``n_merges`` merges ``(a, b, count)`` in rank order, the list that sequential BPE gives.
 
-    Batch pairs share no symbol and no result, so applying them one after the other
-    equals one simultaneous pass.
+    The words stay on the executors, in blocks with an inverted index of their pairs (``merge_blocks``).  The driver
+    holds the exact counts of about ``hot`` pairs and triples, the most frequent ones.  A round is one job: the merges
+    that can be told without recounting (``merge_plan``) go to the blocks, which rewrite the words that hold one
+    of their pairs and send back how the counts of the driver's keys and of keys with a new symbol changed.
+    Counts of pairs that are not new never rise, so the list stays complete from its least count up; when the
+    merges have come down to that count, all counts are made once more (if more than ``hot`` keys then share the
+    first count, the pair that comes first among them is merged alone).  The blocks are cut from their lineage every
+    ``checkpoint_every`` rounds.
     """
-    merged = F.when(_touches(batch), _merge_col(F.col("syms"), batch)).otherwise(F.col("syms"))
-    return words.withColumn("syms", merged).where(F.instr("syms", " ") > 0)
-
-
-def pair_deltas(words: DataFrame, batch: list[tuple], split_digits: bool = True) -> DataFrame:
-    """Count changes caused by a batch: pairs of the touched words before (-) and after (+)."""
-    hit = words.where(_touches(batch))
-    after = hit.withColumn("syms", _merge_col(F.col("syms"), batch))
-    return _pair_rows(hit, split_digits, -1).unionByName(_pair_rows(after, split_digits, 1))
-
-
-# Word tables with more distinct words than this update pair counts incrementally.
-INCREMENTAL_MIN_WORDS = 2_000_000
-
-
-def train_bpe(words: DataFrame, n_merges: int, top_k: int = 256, split_digits: bool = True,
-              checkpoint_every: int = 8, log=None, incremental: bool | None = None) -> list[tuple]:
-    """A3: up to ``n_merges`` merges ``(a, b, count)`` in rank order.
-
-    Large word tables (``incremental``; by default above ``INCREMENTAL_MIN_WORDS``
-    distinct words): pair counts are computed once, then kept as a distributed table
-    updated by the deltas of the words a batch touches (a word without a merged pair
-    keeps its pairs), so a round explodes only touched words.  Small word tables
-    recount all pairs each round, which costs fewer stages.  Both are exact.  One
-    job per round: the top-k query folds the last batch's deltas into the pair table
-    and, on the way, fills the cache of the word table that batch produced.  Caches
-    are released two rounds later, once nothing unmaterialized depends on them.  The
-    driver holds only the top ``top_k`` pairs of a round and the merge list, whose
-    length is the ``n_merges`` parameter.
-    """
-    # A small word table comes out of its aggregation coalesced to few partitions; every
-    # round scans it, so spread it over the cores once (no-op for large tables).
-    work = spread(words.where(F.instr("syms", " ") > 0).select("cnt", "syms")).checkpoint(eager=True)
-    if incremental is None:
-        incremental = work.count() > INCREMENTAL_MIN_WORDS
-    pairs = pair_counts(work, split_digits)
-    pairs = pairs.checkpoint(eager=True) if incremental else pairs
+    spark = words.sparkSession
+    sc = spark.sparkContext
+    work = spread(words.where(F.instr("syms", " ") > 0).select("cnt", "syms"))
+    start = work.select(F.explode(F.split("syms", " ")).alias("s")).distinct().collect()   # the alphabet
+    names = sorted(r["s"] for r in start)
+    numbers = {s: i for i, s in enumerate(names)}
+    known = Known(names)
+
+    def plain() -> np.ndarray:
+        return np.array([not (split_digits and _DIGIT.search(s)) for s in names], bool)
+
+    def all_counts() -> DataFrame:
+        return blocks.where("state is not null").mapInArrow(merge_blocks.count(plain()), merge_blocks.SCHEMA) \
+            .groupBy("key").agg(F.sum("delta").alias("n")).where("n > 0")
+
+    def recount() -> None:
+        rows = all_counts().orderBy(F.desc("n"), "key").limit(hot).toArrow()
+        pairs = list(zip(rows["key"].to_pylist(), rows["n"].to_pylist()))
+        known.load(pairs, pairs[-1][1] + 1 if len(pairs) == hot else 1)
+
+    def first_pair() -> list[tuple[int, int, int, int]]:
+        """The one pair that sequential BPE merges next."""
+        place = {i: n for n, i in enumerate(sorted(range(len(names)), key=names.__getitem__))}
+        order = F.split(F.lit(",".join(str(place[i]) for i in range(len(names)))), ",").cast("array<int>")
+        low = F.lit(merge_blocks.NONE)
+        a, b = F.shiftright("key", 2 * merge_blocks.BITS), F.shiftright("key", merge_blocks.BITS).bitwiseAND(low)
+        row = all_counts().where(F.col("key").bitwiseAND(low) == low) \
+            .orderBy(F.desc("n"), F.get(order, a.cast("int")), F.get(order, b.cast("int"))).limit(1).collect()
+        if not row:
+            return []
+        x, y = merge_blocks.split_key(row[0]["key"])
+        return [(x, y, numbers.setdefault(names[x] + names[y], len(names)), row[0]["n"])]
+
+    blocks = work.mapInArrow(merge_blocks.build(numbers, plain()), merge_blocks.SCHEMA).checkpoint(eager=True)
     merges: list[tuple] = []
-    rounds = 0
-    held: list[list[DataFrame]] = []
+    held: list = []
+    rounds, fresh = 0, False
     while len(merges) < n_merges:
-        top = (pairs.where(F.col("cnt") > 0)
-               .orderBy(F.col("cnt").desc(), F.col("a").asc(), F.col("b").asc())
-               .limit(top_k).collect())
-        while len(held) > 1:
-            for df in held.pop(0):
-                if df.is_cached:
-                    df.unpersist()
-        if not top:
+        batch, again = Round(known, numbers).plan(n_merges - len(merges)) if rounds else ([], False)
+        if not batch and not fresh and not (rounds and known.floor <= 1):
+            recount()
+            rounds, fresh = max(rounds, 1), True
+            continue
+        if not batch and known.floor > 1:
+            batch = first_pair()
+            again = bool(batch) and batch[0][2] < len(names)
+        if not batch:
             break
-        ranked = [(r["a"], r["b"], int(r["cnt"])) for r in top]
-        batch = choose_batch(ranked, complete=len(ranked) < top_k, limit=n_merges - len(merges))
-        merges.extend(batch)
-        rounds += 1
+        fresh = False
+        base = len(names)
+        for a, b, new, n in batch:
+            merges.append((names[a], names[b], n))
+            if new == len(names):
+                names.append(names[a] + names[b])
         if log:
             log(rounds, len(batch), len(merges))
         if len(merges) >= n_merges:
             break
-        nxt_work = apply_batch(work, batch)
-        nxt_work = nxt_work.checkpoint(eager=True) if rounds % checkpoint_every == 0 else nxt_work.persist()
-        if incremental:
-            nxt_pairs = (pairs.unionByName(pair_deltas(work, batch, split_digits))
-                         .groupBy("a", "b").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") != 0))
-            nxt_pairs = (nxt_pairs.checkpoint(eager=True) if rounds % checkpoint_every == 0
-                         else nxt_pairs.persist())
-        else:
-            nxt_pairs = pair_counts(nxt_work, split_digits)
-        held.append([work, pairs])
-        work, pairs = nxt_work, nxt_pairs
-    for group in held + [[work, pairs]]:
-        for df in group:
-            if df.is_cached:
+        rounds += 1
+        watched = sc.broadcast(np.array(known.keys(), np.int64))      # ``hot`` numbers, twice as many at most
+        out = blocks.where("state is not null").mapInArrow(
+            merge_blocks.step([m[:3] for m in batch], plain(), watched), merge_blocks.SCHEMA)
+        out = out.checkpoint(eager=True) if rounds % checkpoint_every == 0 else out.persist()
+        sums = out.where("key is not null").groupBy("key").agg(F.sum("delta").alias("n")).where("n <> 0")
+        least = F.lit(merge_blocks.NONE)
+        old = F.greatest(F.shiftright("key", 2 * merge_blocks.BITS), F.shiftright("key", merge_blocks.BITS).bitwiseAND(least),
+                         F.when(F.col("key").bitwiseAND(least) == least, 0).otherwise(F.col("key").bitwiseAND(least))) < base
+        rows = sums.where(old | (F.col("n") >= known.floor)).toArrow()   # watched keys, and new ones from the floor up
+        held.append((blocks, watched))
+        blocks = out
+        if rounds % checkpoint_every == 0:
+            # what came before is no longer needed, not even after the loss of an executor
+            for df, sent in held:
                 df.unpersist()
+                sent.unpersist()
+            held = []
+        if again:
+            fresh = True
+            recount()      # a result that was a symbol before: counts of old keys may have risen
+        else:
+            known.change(list(zip(rows["key"].to_pylist(), rows["n"].to_pylist())))
+            if len(known) > 2 * hot:
+                known.trim(hot)
+    for df, sent in held + [(blocks, None)]:
+        df.unpersist()
+        if sent is not None:
+            sent.unpersist()
     return merges
 
 
