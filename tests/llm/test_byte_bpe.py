@@ -89,7 +89,7 @@ def test_small_chunks_give_the_same(lib, monkeypatch, with_head):
     rows = pa.Table.from_batches(list(B._split(Shipped, Top)(iter(parts))))
     ids = []
     for word, known in zip(rows["word"].to_pylist(), rows["known"].to_pylist()):
-        ids.append(known if known is not None else None if word is None else enc._encode_single_piece(bytes(word)))
+        ids.append(known if known is not None else None if word is None else enc._encode_single_piece(enc.decode_bytes(word[1:-1])))
     table = pa.table({"kind": rows["kind"], "chunk": rows["chunk"], "doc_id": rows["doc_id"], "ids": pa.array(ids, pa.list_(pa.int64())), "refs": rows["refs"]})
     for size in (1, 7, 1000):
         out = pa.Table.from_batches(list(B._assemble(Shipped, Top, True)(iter(table.combine_chunks().to_batches(max_chunksize=size)))))
@@ -126,4 +126,5 @@ def test_places_and_ids_grow():
     assert sorted(known.values()) == list(range(len(words))) and ids.n == len(words)
     assert words.find(np.array(list(known), np.uint64)).tolist() == list(known.values())
     assert words.find(np.array([1 << 30], np.uint64)).tolist() == [-1]
+    assert ids.of(np.array([3, 0])).tolist() == [*ids.flat[ids.start[3]:ids.start[3] + ids.length[3]], *ids.flat[:ids.length[0]]]
     assert ids.start[:ids.n].tolist() == (np.cumsum(ids.length[:ids.n]) - ids.length[:ids.n]).tolist()

@@ -7,7 +7,7 @@ Encoding runs in one narrow pass over the texts without a shuffle:
    and sent to every worker, so that they are not folded in every task again.  It changes no result, only how often a
    word is folded.
 1. An Arrow step splits the texts of a task by the pre-tokenizer's pattern (class changes on code points), slice by
-   slice: one row per word that is neither in the head nor met before (its bytes), ``WORDS_AT_ONCE`` to a batch, then
+   slice: one row per word that is neither in the head nor met before (the symbols of its bytes), ``WORDS_AT_ONCE`` to a batch, then
    one row per document that ended in the slice, with its words as references into the head and the words met.
 2. Spark higher-order functions encode each distinct word: ``aggregate`` folds merges over the array
    of symbols; the state is the symbols and the rank of every adjacent pair, and each step merges the
@@ -55,12 +55,8 @@ SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")   # fixed values: contractions
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
     """Ranks of a ``.tiktoken`` file: base64 piece and rank per line."""
-    out = {}
-    for line in data.split(b"\n"):
-        if line.strip():
-            piece, rank = line.split()
-            out[base64.b64decode(piece)] = int(rank)
-    return out
+    cells = data.split()
+    return dict(zip(map(base64.b64decode, cells[::2]), map(int, cells[1::2])))
 
 
 def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
@@ -105,12 +101,23 @@ def _literal(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids (array<bigint>) of one word given as array of byte values (array<bigint>)."""
+def byte_symbols(words: list[bytes], ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, size of every word): each byte's own id, and the sentinel on both sides of a word."""
+    of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    out = np.full(int(size.sum()), _END, np.int64)
+    inner = np.ones(len(out), bool)
+    end = np.cumsum(size)
+    inner[end - 1] = inner[end - size] = False
+    out[inner] = of_byte[np.frombuffer(b"".join(words), np.uint8)]
+    return out, size
+
+
+def fold_merges(symbols: Column, ranks: dict[bytes, int]) -> Column:
+    """Ids (array<bigint>) of one word given as the symbols of its bytes (``byte_symbols``)."""
     table, shift = perfect_table(pair_ranks(ranks))
     size, groups = len(table), len(shift)
-    tables = F.struct(_literal(table).alias("slots"), _literal(shift).alias("shift"),
-                      _literal([ranks[bytes([i])] for i in range(256)]).alias("bytes"))
+    tables = F.struct(_literal(table).alias("slots"), _literal(shift).alias("shift"))
 
     def encode(t: Column) -> Column:
         def rank(a: Column, b: Column) -> Column:
@@ -119,9 +126,6 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
             slot = (key + F.get(t["shift"], (key % groups).cast("int"))) % size
             return F.get(t["slots"], slot.cast("int")).bitwiseXOR(key * F.lit(65536).cast("long"))
 
-        end = F.array(F.lit(_END).cast("long"))
-        symbols = F.concat(end, F.transform(word, lambda b: F.get(t["bytes"], b.cast("int"))), end)
-
         def start(ids: Column) -> Column:
             pairs = F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: rank(F.get(ids, i), F.get(ids, i + 1)))
             return F.struct(ids.alias("ids"), pairs.alias("pairs"))
@@ -244,7 +248,7 @@ class Words:
 
 
 class Ids:
-    """Ids of words by place; room is doubled when it runs out."""
+    """Ids of words by place, those of the head first; room is doubled when it runs out."""
 
     def __init__(self, flat: np.ndarray | None = None, length: np.ndarray | None = None):
         self.flat = np.zeros(0, np.uint32) if flat is None else flat.astype(np.uint32)
@@ -252,6 +256,10 @@ class Ids:
         self.start = np.cumsum(self.length, dtype=np.int64) - self.length
         self.used, self.n = len(self.flat), len(self.length)
 
+    def of(self, refs: np.ndarray) -> np.ndarray:
+        """Ids of the words at these places, joined."""
+        return tn.ragged_take(self.flat, self.start[refs], self.length[refs])
+
     @staticmethod
     def _room(a: np.ndarray, used: int, more: int) -> np.ndarray:
         if used + more <= len(a):
@@ -273,30 +281,13 @@ class Head:
     """The widespread words: their places by hash, their ids by place."""
 
     def __init__(self, hashes: np.ndarray, flat: np.ndarray, length: np.ndarray):
-        self.words, self.ids = Words(hashes), Ids(flat, length)
-
+        self.words, self.flat, self.length = Words(hashes), flat.astype(np.uint32), length.astype(np.int32)
 
-NO_HEAD = Head(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
-
-
-def take_ids(refs: np.ndarray, top: Ids, met: Ids) -> np.ndarray:
-    """Ids of the referenced words, joined; references from ``top.n`` on are words met."""
-    low = refs < top.n
-    at = np.where(low, refs, refs - top.n)
-    length = np.empty(len(refs), np.int64)
-    length[low], length[~low] = top.length[at[low]], met.length[at[~low]]
-    end = np.cumsum(length)
-    out = np.empty(int(end[-1]) if len(end) else 0, np.uint32)
-    for ids, mask in ((top, low), (met, ~low)):
-        size = length[mask]
-        out[_spread(end[mask] - size, size)] = ids.flat[_spread(ids.start[at[mask]], size)]
-    return out
+    def ids(self) -> Ids:
+        return Ids(self.flat, self.length)
 
 
-def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[i], start[i] + 1, ... for size[i] places, for every i."""
-    before = np.cumsum(size) - size
-    return np.arange(int(size.sum()), dtype=np.int64) + np.repeat(start - before, size)
+NO_HEAD = Head(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
 def cut_text(text: str, limit: int) -> list[str]:
@@ -328,22 +319,28 @@ def _text_slices(column):
 
 
 def _pieces_of(texts: list[str]):
-    """(distinct hashes, one span of each, piece -> hash, first piece of every text) of the joined texts."""
+    """(distinct hashes, bytes of chosen ones, piece -> hash, first piece of every text) of the joined texts."""
     points, offsets = tn.code_points(texts)
     start = piece_starts(points, offsets)
     end = np.append(start[1:], len(points))[:len(start)]
     h = tn.span_hash(tn.point_prefix(points), start, end)
     uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    return uniq, start[first], end[first], inverse, np.searchsorted(start, offsets)
+    first, last = start[first], end[first]
+
+    def words(which: np.ndarray) -> list[bytes]:
+        raw = "".join(texts).encode()
+        at = np.zeros(len(points) + 1, np.int64)        # where the bytes of a code point begin
+        np.cumsum(1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000), out=at[1:])
+        return [raw[s:e] for s, e in zip(at[first[which]].tolist(), at[last[which]].tolist())]
+    return uniq, words, inverse, np.searchsorted(start, offsets)
 
 
 def _word_columns(words: list[bytes], ranks):
-    """(bytes of the words to fold, ids of the words that need no fold): pieces of the vocabulary and long words."""
-    known = [[ranks[w]] if w in ranks else merge_long(w, ranks) if len(w) > FOLD_BYTES else None for w in words]
-    todo = [w if k is None else b"" for w, k in zip(words, known)]
-    flat = np.frombuffer(b"".join(todo), np.uint8).astype(np.int64)
+    """(symbols of the words to fold, ids of the words that need no fold): pieces of the vocabulary and long words."""
+    known = [None if (r := ranks.get(w)) is None and len(w) <= FOLD_BYTES else merge_long(w, ranks) if r is None else [r] for w in words]
+    flat, size = byte_symbols([w if k is None else b"" for w, k in zip(words, known)], ranks)
     off = np.zeros(len(words) + 1, np.int32)
-    np.cumsum([len(w) for w in todo], out=off[1:])
+    np.cumsum(size, out=off[1:])
     return pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(known, pa.list_(pa.int64()))
 
 
@@ -355,11 +352,10 @@ def _distinct_words(file_bytes):
         ranks, seen = load_ranks(file_bytes.value), Words()
         for b in batches:
             for _, texts in _text_slices(b.column(0)):
-                uniq, starts, ends, _, _ = _pieces_of(texts)
-                new = seen.find(uniq) < 0
+                uniq, words_of, _, _ = _pieces_of(texts)
+                new = np.flatnonzero(seen.find(uniq) < 0)
                 seen.add(uniq[new])
-                joined = "".join(texts)
-                words = [joined[s:e].encode() for s, e in zip(starts[new].tolist(), ends[new].tolist())]
+                words = words_of(new)
                 fits = np.array([len(w) <= FOLD_BYTES for w in words], bool)
                 words, h = [w for w, ok in zip(words, fits) if ok], uniq[new][fits].view(np.int64)
                 for lo in range(0, len(words), WORDS_AT_ONCE):
@@ -397,15 +393,14 @@ def _split(file_bytes, head):
             for rows, texts in _text_slices(b.column(1)):
                 if len(met) > CHUNK_WORDS and not begun:
                     met, chunk = Words(), chunk + 1
-                uniq, starts, ends, inverse, cut = _pieces_of(texts)
+                uniq, words_of, inverse, cut = _pieces_of(texts)
                 refs = top.words.find(uniq)
                 out = np.flatnonzero(refs < 0)
                 place = met.find(uniq[out])
                 new = out[place < 0]
                 place[place < 0] = met.add(uniq[new])
                 refs[out] = base + place
-                joined = "".join(texts)
-                yield from word_rows([joined[s:e].encode() for s, e in zip(starts[new].tolist(), ends[new].tolist())], chunk, ranks)
+                yield from word_rows(words_of(new), chunk, ranks)
                 flat = refs[inverse]
                 docs = []
                 for i, (row, ended) in enumerate(rows):
@@ -447,8 +442,8 @@ def _assemble(file_bytes, head, with_ids: bool):
     schema = pa.schema(fields)
 
     def run(batches):
-        pieces, top = load_pieces(file_bytes.value), head.value.ids
-        met, now = Ids(), 0
+        pieces, top = load_pieces(file_bytes.value), head.value
+        met, now = top.ids(), 0
         for b in batches:
             kind, chunk = b.column("kind").to_numpy(), b.column("chunk").to_numpy()
             # a batch may hold words and documents, of several chunks: handle its stretches in turn
@@ -459,7 +454,7 @@ def _assemble(file_bytes, head, with_ids: bool):
                     continue
                 part = b.slice(lo, hi - lo)
                 if chunk[lo] != now:
-                    met, now = Ids(), chunk[lo]
+                    met, now = top.ids(), chunk[lo]
                 if kind[lo] == 0:
                     col = part.column("ids")
                     off = col.offsets.to_numpy()
@@ -467,7 +462,7 @@ def _assemble(file_bytes, head, with_ids: bool):
                     continue
                 n, sha, dec, raw = [], [], [], []
                 for refs in part.column("refs"):
-                    ids = take_ids(np.frombuffer(refs.as_buffer(), np.int32), top, met)
+                    ids = met.of(np.frombuffer(refs.as_buffer(), np.int32))
                     n.append(len(ids))
                     bits = ids.astype("<u4").tobytes()
                     sha.append(hashlib.sha256(bits).hexdigest())
@@ -501,7 +496,7 @@ def learn_head(rows: DataFrame, shipped, fold: Column) -> Head:
     sample = rows.select("text").sample(fraction=share, seed=7)
     met = sample.mapInArrow(_distinct_words(shipped), "h long, word array<bigint>, known array<bigint>") \
         .groupBy("h").agg(F.count("*").alias("n"), F.first("word").alias("word"), F.first("known").alias("known"))
-    words = met.where("n > 1").orderBy(F.desc("n"), "h").limit(HEAD_WORDS)
+    words = met.where("n > 1").orderBy(F.desc("n"), "h").limit(HEAD_WORDS).repartition(rows.sparkSession.sparkContext.defaultParallelism)
     got = staged(words.select("h", F.coalesce("known", fold).cast("array<int>").alias("ids")), "head", narrow=True).toArrow()
     if not got.num_rows:
         return NO_HEAD
