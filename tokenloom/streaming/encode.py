@@ -2,10 +2,14 @@
 
 A streamed dataset is a file stream with an explicit schema.  Filters and
 projections run as stateless streaming operators (X1); the batch functions that
-need an ordered, finite input (tokenize + regroup, pack) run per micro-batch in
+need an ordered, finite input (tokenize + regroup, pack, buffer shuffle) run per micro-batch in
 ``foreachBatch`` (X2), writing each micro-batch to its own ``batch_id=`` folder
 with overwrite, so a retried micro-batch replaces its own output and nothing else.
-Like the reference, packing per micro-batch drops each micro-batch's remainder.
+
+Batches of rows follow the rows' order, not files or micro-batches.  What has to live on between micro-batches (rows of a
+batch that is not complete yet, the number of rows so far) is a table per micro-batch in a shared folder, never a
+variable of the driver, so a query can be stopped after any micro-batch, or before its end is handled, and
+started again.
 """
 
 from __future__ import annotations
@@ -13,10 +17,12 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import truthy
+from ..operators.ordinal import with_ordinal_n
+from ..sources.files import file_system
 
 
 @dataclass
@@ -41,9 +47,9 @@ class StreamRules:
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
-                max_files_per_trigger: int = 1) -> DataFrame:
+                max_files_per_trigger: int = 1, **options) -> DataFrame:
     """Lazy single pass over the files of ``path``."""
-    return (spark.readStream.format(fmt).schema(schema)
+    return (spark.readStream.format(fmt).schema(schema).options(**options)
             .option("maxFilesPerTrigger", max_files_per_trigger).load(path))
 
 
@@ -52,54 +58,95 @@ def stream_filter(stream: DataFrame, prompt: str = "prompt") -> DataFrame:
     return stream.where(truthy(prompt))
 
 
+def _run(stream: DataFrame, sink, checkpoint_dir: str) -> None:
+    """``foreachBatch`` with ``availableNow``: every file present at start is processed, then the query stops."""
+    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
 def run_batches(stream: DataFrame, fn, out_dir: str, checkpoint_dir: str,
                 fmt: str = "parquet") -> None:
-    """``fn(micro_batch_df, batch_id) -> DataFrame`` per micro-batch, written idempotently.
-
-    Runs with ``availableNow``: every file present at start is processed, then the query stops.
-    """
+    """``fn(micro_batch_df, batch_id) -> DataFrame`` per micro-batch, written idempotently."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         out = fn(batch, batch_id)
         out.write.mode("overwrite").format(fmt).save(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
+    _run(stream, sink, checkpoint_dir)
+
+
+def last_batch(spark: SparkSession, path: str) -> int:
+    """The greatest micro-batch whose table under ``path`` is complete (``_SUCCESS``), or -1."""
+    fs, home = file_system(spark, path)
+    if not fs.exists(home):
+        return -1
+    done = -1
+    for status in fs.listStatus(home):
+        name = status.getPath().getName()
+        if name.startswith("batch_id=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            done = max(done, int(name.split("=")[1]))
+    return done
 
-    q = (stream.writeStream.foreachBatch(sink)
-         .option("checkpointLocation", checkpoint_dir)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+
+def with_stream_ordinal(stream: DataFrame) -> DataFrame:
+    """Adds the places that :func:`run_row_batches` numbers rows by: file, block, place in the block's task."""
+    return stream.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")})
 
 
 def run_row_batches(stream: DataFrame, fn, out_dir: str, checkpoint_dir: str, carry_dir: str, batch_rows: int,
                     ordinal: str = "ordinal") -> None:
-    """``fn(rows with a column batch) -> DataFrame`` over batches of ``batch_rows`` filtered rows.
+    """``fn(rows with columns ordinal, batch) -> DataFrame`` over batches of ``batch_rows`` filtered rows.
+
+    Batches follow the rows' ``ordinal`` (dense from 0 over the filtered rows).  A stream without that column (see
+    :func:`with_stream_ordinal`) is numbered here: rows of a micro-batch by file and place in the file, after the rows of
+    the micro-batches before it, whose number is part of the micro-batch's table.
 
-    Batches follow the rows' ordinal (dense from 0 over the filtered rows), not files or micro-batches:
-    a batch that is not complete yet is carried, in a table per micro-batch, to the next one, and
-    the last, short batch is handled when the stream has ended.  Replays overwrite their own tables.
+    A micro-batch writes its rows and those carried to it once, marked by whether their batch is complete; complete
+    ones go to ``fn``, the others are carried.  When the stream has ended, the last, short batch is handled as the output
+    of the micro-batch that would come next.  Which one that is, is read from the complete tables, so a query that
+    stopped anywhere goes on when it is started again; files that arrive later continue the open batch and their
+    micro-batch replaces its short output.
     """
-    spark, schema = stream.sparkSession, stream.schema
+    spark, numbered = stream.sparkSession, ordinal not in stream.columns
     number = (F.col(ordinal) / F.lit(batch_rows)).cast("bigint")
-    last = [-1]
+    kept = [c for c in stream.columns if c not in ("_file", "_block")]
+    schema = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in kept)
+    schema += f", `{ordinal}` bigint, batch bigint, closed boolean" if numbered else ", batch bigint, closed boolean"
 
-    def carried(batch_id: int) -> DataFrame:
+    def table(batch_id: int) -> DataFrame:
         return spark.read.schema(schema).parquet(f"{carry_dir}/batch_id={batch_id}")
 
+    def numbered_rows(batch: DataFrame, batch_id: int) -> tuple[DataFrame, int]:
+        before = 0
+        if batch_id > 0:
+            before = int(spark.read.schema("n bigint").parquet(f"{carry_dir}-rows/batch_id={batch_id - 1}").first()["n"])
+        placed = batch.withColumn("_place", F.monotonically_increasing_id())
+        rows, n = with_ordinal_n(placed, F.col("_file"), F.col("_block"), F.col("_place"), name=ordinal)
+        return rows.select(*kept, (F.col(ordinal) + F.lit(before)).cast("bigint").alias(ordinal)), before + n
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = batch if batch_id == 0 else batch.unionByName(carried(batch_id - 1))
+        if numbered:
+            rows, total = numbered_rows(batch, batch_id)
+            spark.range(1).select(F.lit(total).cast("bigint").alias("n")).coalesce(1) \
+                .write.mode("overwrite").parquet(f"{carry_dir}-rows/batch_id={batch_id}")
+        else:
+            rows = batch
         rows = rows.withColumn("batch", number)
-        full = rows.groupBy("batch").count().where(F.col("count") == batch_rows).select("batch")
-        rows.join(full, "batch", "left_anti").drop("batch").write.mode("overwrite").parquet(f"{carry_dir}/batch_id={batch_id}")
-        fn(rows.join(full, "batch", "left_semi")).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
-        last[0] = batch_id
+        if batch_id > 0:
+            rows = rows.unionByName(table(batch_id - 1).where("not closed").drop("closed"))
+        whole = F.count(F.lit(1)).over(Window.partitionBy("batch")) == batch_rows      # groups of batch_rows rows
+        rows.withColumn("closed", whole).write.mode("overwrite").parquet(f"{carry_dir}/batch_id={batch_id}")
+        fn(table(batch_id).where("closed").drop("closed")).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
-    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    if last[0] >= 0:
-        rest = carried(last[0]).withColumn("batch", number)
-        fn(rest).write.mode("overwrite").parquet(f"{out_dir}/batch_id={last[0] + 1}")
+    _run(stream, sink, checkpoint_dir)
+    end_stream(spark, lambda i: fn(table(i).where("not closed").drop("closed")), out_dir, carry_dir)
+
+
+def end_stream(spark: SparkSession, rest, out_dir: str, carry_dir: str) -> None:
+    """Writes ``rest(last micro-batch)`` as the output of the micro-batch that would come next."""
+    last = last_batch(spark, carry_dir)
+    if last >= 0:
+        rest(last).write.mode("overwrite").parquet(f"{out_dir}/batch_id={last + 1}")
 
 
 def split_head_stream(stream: DataFrame, val_size: float, ordinal: str = "ordinal") -> DataFrame:
@@ -110,7 +157,6 @@ def split_head_stream(stream: DataFrame, val_size: float, ordinal: str = "ordina
 def shuffle_buffers(rows: DataFrame, key: str, seed: int, buffer_size: int, ordinal: str = "batch") -> DataFrame:
     """L4 on a stream: seeded-hash order inside each buffer of ``buffer_size`` rows (``batch`` of
     :func:`run_row_batches`); ``rank`` is the row's place in the shuffled stream."""
-    from pyspark.sql import Window
     from ..operators.split import seeded_hash
     w = Window.partitionBy(ordinal).orderBy(seeded_hash(seed, key), F.col(key))  # bounded by the buffer
     return rows.withColumn("rank", F.col(ordinal) * buffer_size + F.row_number().over(w) - 1)
