@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm import textnum as tn
-from tokenloom.llm.stage import staged
+from tokenloom.llm.stage import giving_back, staged
 
 HEAD_DOCS = 20_000       # documents of the sample that the head of widespread words comes from
 HEAD_WORDS = 300_000     # most words of the head, each of FOLD_BYTES bytes at most
@@ -484,17 +484,18 @@ def encode_bytes(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     fold = fold_merges(F.col("word"), load_ranks(data))
     head = sc.broadcast(learn_head(rows, shipped, fold))  # HEAD_WORDS words of FOLD_BYTES bytes at most
-    split = rows.mapInArrow(_split(shipped, head), _ROWS_SQL)
+    split = rows.mapInArrow(giving_back(_split(shipped, head)), _ROWS_SQL)
     folded = F.when(F.col("kind") == 0, F.coalesce("known", fold))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return split.select("kind", "chunk", "doc_id", folded.alias("ids"), "refs").mapInArrow(_assemble(shipped, head, with_ids), schema)
+    folded = split.select("kind", "chunk", "doc_id", folded.alias("ids"), "refs")
+    return folded.mapInArrow(giving_back(_assemble(shipped, head, with_ids)), schema)
 
 
 def learn_head(rows: DataFrame, shipped, fold: Column) -> Head:
     """The words that the most tasks of a sample meet, two at least; any sample gives right results."""
     share = min(1.0, HEAD_DOCS / max(1, rows.count()))
     sample = rows.select("text").sample(fraction=share, seed=7)
-    met = sample.mapInArrow(_distinct_words(shipped), "h long, word array<bigint>, known array<bigint>") \
+    met = sample.mapInArrow(giving_back(_distinct_words(shipped)), "h long, word array<bigint>, known array<bigint>") \
         .groupBy("h").agg(F.count("*").alias("n"), F.first("word").alias("word"), F.first("known").alias("known"))
     words = met.where("n > 1").orderBy(F.desc("n"), "h").limit(HEAD_WORDS).repartition(rows.sparkSession.sparkContext.defaultParallelism)
     got = staged(words.select("h", F.coalesce("known", fold).cast("array<int>").alias("ids")), "head", narrow=True).toArrow()

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm import textnum as tn
-from tokenloom.llm.stage import staged
+from tokenloom.llm.stage import giving_back, staged
 
 WINDOW = 8
 WORDS = 4
@@ -310,7 +310,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row per reported (doc_id, item_id): covered and item tokens, coverage, whether slots differ."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
-    items = staged(items.mapInArrow(_rows(_own_sizes, None), _ROWS_SQL).distinct(), "items")
+    items = staged(items.mapInArrow(giving_back(_rows(_own_sizes, None)), _ROWS_SQL).distinct(), "items")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     small = items.count() <= SMALL
     sizes = tuple(sorted(r["size"] for r in items.select("size").distinct().collect()))  # at most WINDOW numbers
@@ -318,7 +318,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     if small:
         known = np.array([r["hash"] for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64)
         wanted = spark.sparkContext.broadcast(np.sort(known))
-    found = texts.mapInArrow(_rows(lambda n: sizes, wanted), _ROWS_SQL)
+    found = texts.mapInArrow(giving_back(_rows(lambda n: sizes, wanted)), _ROWS_SQL)
     right = items.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("unit").alias("item_unit"), F.col("span").alias("item_span"),
                          F.col("level").alias("item_level"), F.col("offs").alias("item_offs"), F.col("slots").alias("item_slots"),
                          F.col("n").alias("item_tokens"))
@@ -331,7 +331,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     spot = F.struct("item_pos", "item_unit", "item_span", "item_offs", "item_slots", "pos", "unit", "span", "offs", "slots",
                     (F.col("level") + F.col("item_level")).alias("level"))
     regions = pairs.groupBy("id", "item_id", "item_tokens", "region").agg(F.collect_set(spot).alias("spots"))
-    scored = regions.mapInArrow(_score, _SCORED_SQL)
+    scored = regions.mapInArrow(giving_back(_score), _SCORED_SQL)
     best = scored.groupBy("id", "item_id", "item_tokens").agg(F.max("covered").alias("covered"), F.max("plain").alias("plain"))
     return best.select(F.col("id").alias("doc_id"), "item_id", F.col("covered").cast("long").alias("covered"),
                        F.col("item_tokens").cast("long").alias("item_tokens"),

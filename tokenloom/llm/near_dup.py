@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import textnum as tn
 from tokenloom.llm.components import components
-from tokenloom.llm.stage import staged
+from tokenloom.llm.stage import giving_back, staged
 
 BUCKETS = 256
 BUCKET_BITS = 8
@@ -262,7 +262,7 @@ def _candidates(open_: DataFrame, side: DataFrame, pivots: int, threshold: float
     rows = members.unionByName(heads).join(side, "rep")
     return (rows.repartition(n, "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind")
             .select("bucket", "salt", "kind", "rep", "comp", "n_shingles", "sketch", "buckets")
-            .mapInArrow(_likely(threshold), "p long, m long, pc long, mc long, salt long"))
+            .mapInArrow(giving_back(_likely(threshold)), "p long, m long, pc long, mc long, salt long"))
 
 
 def _links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -276,7 +276,7 @@ def _links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .select("p", "salt", F.lit(0).alias("kind"), none.alias("pc"), none.alias("mc"), "hashes")
     n = int(likely.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (members.unionByName(pivots).repartition(n, "p", "salt").sortWithinPartitions("p", "salt", "kind")
-            .select("p", "kind", "pc", "mc", "hashes").mapInArrow(_verify(percent), "a long, b long"))
+            .select("p", "kind", "pc", "mc", "hashes").mapInArrow(giving_back(_verify(percent)), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3,
@@ -287,12 +287,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the least id reachable and ``kept`` marks the row that carries it.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = staged(docs.mapInArrow(_sketches(k), "doc_id long, n_shingles long, set_key binary, sketch binary"),
+    rows = staged(docs.mapInArrow(giving_back(_sketches(k)), "doc_id long, n_shingles long, set_key binary, sketch binary"),
                   "sketches")
     reps = staged(rows.where("set_key is not null and doc_id is not null").groupBy("set_key")
                   .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
                        F.first("sketch").alias("sketch")), "classes")
-    keys = reps.select("rep", "sketch").mapInArrow(_band_keys(band_rows(percent / 100)), "rep long, bucket long")
+    keys = reps.select("rep", "sketch").mapInArrow(giving_back(_band_keys(band_rows(percent / 100))), "rep long, bucket long")
     keys = staged(keys, "bands")
     shared = keys.groupBy("bucket").agg(
         F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi"),
@@ -331,7 +331,7 @@ def _relabelled(table: DataFrame, merged: DataFrame, *keys: str) -> DataFrame:
 
 def _full_sets(docs: DataFrame, k: int) -> DataFrame:
     """Full shingle sets of the class representatives (several if an id has several texts)."""
-    return staged(docs.select("doc_id", "text").mapInArrow(_sets(k), "rep long, hashes binary")
+    return staged(docs.select("doc_id", "text").mapInArrow(giving_back(_sets(k)), "rep long, hashes binary")
                   .where("octet_length(hashes) > 0"), "sets")
 
 

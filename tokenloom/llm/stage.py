@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tokenloom.session import stage_dir
@@ -24,3 +28,24 @@ def staged(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
         df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@functools.cache
+def _trim():
+    """glibc's call that returns freed memory to the system, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def giving_back(step):
+    """An Arrow step that returns its freed memory to the system when its task has ended.
+
+    Python workers stay for the tasks of later stages; without this each keeps the most it ever used.
+    """
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if _trim() is not None:
+                _trim()(0)
+    return run

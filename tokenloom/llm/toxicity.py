@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tokenloom.llm import textnum as tn
-from tokenloom.llm.stage import staged
+from tokenloom.llm.stage import giving_back, staged
 
 SAMPLE = 20_000
 SUPPORT = 0.01
@@ -205,7 +205,7 @@ def learn_lexicon(sample: DataFrame):
     n0, n1 = total.get(0, 0), total.get(1, 0)
     least = max(LEAST, SUPPORT * n1)
     odds = ((F.col("n1") + 0.5) / (n1 + 1)) / ((F.col("n0") + 0.5) / (n0 + 1))
-    rows = once.mapInArrow(_entry_counts, "k int, h long, n0 long, n1 long").groupBy("k", "h") \
+    rows = once.mapInArrow(giving_back(_entry_counts), "k int, h long, n0 long, n1 long").groupBy("k", "h") \
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n1") >= least) \
         .withColumn("weight", F.log(odds)).where(odds >= ODDS).orderBy(F.desc(F.col("n1") * F.col("weight")), "k", "h") \
         .limit(ENTRIES).collect()
@@ -239,7 +239,7 @@ class ToxicityModel:
         self.lexicon = spark.sparkContext.broadcast(learn_lexicon(sample.where("part <> 3").select("text", "label")))
         kinds = [("label", pa.int32()), ("part", pa.int64())]
         rows = staged(sample.select("text", "label", F.col("part").cast("long").alias("part"))
-                      .mapInArrow(_feature_rows(self.lexicon, kinds), "label int, part long, features array<double>"),
+                      .mapInArrow(giving_back(_feature_rows(self.lexicon, kinds)), "label int, part long, features array<double>"),
                       "toxicity-features")
         rows = rows.select(F.col("label").cast("double").alias("label"), "part", array_to_vector("features").alias("vector"))
         self.trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP,
@@ -262,7 +262,7 @@ class ToxicityModel:
             schema = to_arrow_schema(kept)
             sql = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
             rows = rows.select(*dict.fromkeys((*carry, "text"))).mapInArrow(
-                _feature_rows(self.lexicon, [(f.name, f.type) for f in schema]), f"{sql}, features array<double>")
+                giving_back(_feature_rows(self.lexicon, [(f.name, f.type) for f in schema])), f"{sql}, features array<double>")
             out = self._raw(rows.select(*carry, array_to_vector("features").alias("vector")))
             if self.calibration is None:
                 out = out.withColumn("score", F.col("raw"))
