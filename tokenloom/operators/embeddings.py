@@ -9,7 +9,7 @@ one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import broadcast_if_small
@@ -37,8 +37,7 @@ def gather_rows(mapping: DataFrame, emb: DataFrame, new_col: str = "new_id", old
     """
     m = mapping.select(F.col(new_col).cast("int").alias("_new"), F.col(old_col).alias("_old"))
     j = m.join(emb.select(F.col("id").alias("_old"), "vec"), "_old", "left")
-    lost = F.raise_error(F.concat(F.lit("no embedding row for id "), F.col("_old").cast("string"))).cast("array<float>")
-    return j.select(F.col("_new").alias("id"), F.coalesce("vec", lost).alias("vec"))
+    return j.select(F.col("_new").alias("id"), F.coalesce("vec", _lost(F.col("_old"))).alias("vec"))
 
 
 def missing_rows(mapping: DataFrame, emb: DataFrame, old_col: str = "old_id") -> DataFrame:
@@ -46,12 +45,22 @@ def missing_rows(mapping: DataFrame, emb: DataFrame, old_col: str = "old_id") ->
     return mapping.select(F.col(old_col).alias("id")).distinct().join(emb.select("id"), "id", "left_anti")
 
 
+def _lost(member: Column) -> Column:
+    return F.raise_error(F.concat(F.lit("no embedding row for id "), F.coalesce(member.cast("string"), F.lit("null")))).cast("array<float>")
+
+
 def mean_rows_long(members: DataFrame, emb: DataFrame, group_col: str = "new_id",
-                   member_col: str = "old_id") -> DataFrame:
-    """A4: ``(group, dim, value)`` = mean of the rows of each group's members."""
-    m = members.select(group_col, member_col)
-    j = emb.join(m, emb["id"] == m[member_col])
-    ex = j.select(group_col, F.posexplode("vec").alias("dim", "value"))
+                   member_col: str = "old_id", missing: str = "raise") -> DataFrame:
+    """A4: ``(group, dim, value)`` = mean of the rows of each group's members.
+
+    A member without a row raises when the result is computed (:func:`missing_rows` lists them);
+    with ``missing="skip"`` the mean is over the members that have one.
+    """
+    m = members.select(group_col, F.col(member_col).alias("_old"))
+    rows = emb.select(F.col("id").alias("_id"), F.col("vec").alias("_vec"))
+    j = m.join(rows, F.col("_old") == F.col("_id"), "inner" if missing == "skip" else "left")
+    vec = F.col("_vec") if missing == "skip" else F.when(F.col("_id").isNull(), _lost(F.col("_old"))).otherwise(F.col("_vec"))
+    ex = j.select(group_col, F.posexplode(vec).alias("dim", "value"))
     return ex.groupBy(group_col, "dim").agg(F.avg(F.col("value").cast("double")).alias("value"))
 
 
@@ -98,8 +107,11 @@ def extend_long(emb: DataFrame, new_rows_long: DataFrame) -> DataFrame:
 
 def with_fallback_mean(members: DataFrame, emb: DataFrame, new_ids: DataFrame,
                        group_col: str = "new_id", member_col: str = "old_id") -> DataFrame:
-    """A4 + deliberate departure: a new id without any member row gets the table mean."""
-    means = mean_rows_long(members, emb, group_col, member_col).withColumnRenamed(group_col, "id")
+    """A4 + deliberate departure: a new id without any member row gets the table mean.
+
+    Members without a row are passed over here: the table may be shorter than the old vocabulary.
+    """
+    means = mean_rows_long(members, emb, group_col, member_col, missing="skip").withColumnRenamed(group_col, "id")
     have = means.select("id").distinct()
     orphan = new_ids.select(F.col(group_col).alias("id")).join(have, "id", "left_anti")
     fill = orphan.select("id", F.posexplode(F.lit(global_mean_vector(emb))).alias("dim", "value"))

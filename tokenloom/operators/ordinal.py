@@ -60,11 +60,12 @@ def assign_batches(df: DataFrame, key: str, batch_rows: int, name: str = "_batch
     Only the key column is ranked (narrow sort + checkpoint); the first key of every
     batch (n / batch_rows keys, size-checked) is broadcast and each row finds its batch
     by binary search in an Arrow-batched UDF.  The wide rows then move once, in the
-    caller's per-batch window.  Above ``max_boundaries`` the wide rows are ranked directly.
+    caller's per-batch window.  Above ``max_boundaries``, and where keys are null (they come first, in a fixed
+    but arbitrary order, and fill their own share of batches), the wide rows are ranked directly.
     """
     keys, n = with_ordinal_n(df.select(key), F.col(key).asc(), name="_o")
     n_batches = -(-n // batch_rows)
-    if n_batches > max_boundaries:
+    if n_batches > max_boundaries or not keys.where(F.col(key).isNull()).isEmpty():
         ranked = with_ordinal(df, F.col(key).asc(), name="_o")
         return ranked.withColumn(name, (F.col("_o") / F.lit(batch_rows)).cast("bigint")).drop("_o")
     firsts = [r[0] for r in keys.where(F.col("_o") % batch_rows == 0).orderBy("_o").select(key).collect()]

@@ -88,7 +88,7 @@ SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(len({words('text')})) AS BIG
 """
 
 _LANG_VOCABS = (vocab_cte('b', "SELECT text FROM documents WHERE lang = 'en'") + ", "
-                + vocab_cte('n', "SELECT text FROM documents WHERE lang <> 'en'"))
+                + vocab_cte('n', "SELECT text FROM documents WHERE lang IS DISTINCT FROM 'en'"))
 _MERGED = f"""{_LANG_VOCABS},
 added AS (SELECT id, token FROM n WHERE token NOT IN (SELECT token FROM b)),
 m AS (SELECT id, token, CASE WHEN id < 3 THEN 0.0 ELSE -CAST(id AS DOUBLE) END AS score FROM b
@@ -437,7 +437,7 @@ def _learned(p: str, where: str, vocab_size: int) -> str:
 
 ORACLES["extend_vocab"] = f"""
 WITH RECURSIVE {_learned('o', "lang = 'en'", 400)},
-{_learned('w', "lang <> 'en'", 400)},
+{_learned('w', "lang IS DISTINCT FROM 'en'", 400)},
 addsrc AS (SELECT id AS src_id, token FROM wv WHERE token NOT IN (SELECT token FROM ov)),
 added AS (SELECT CAST((SELECT count(*) FROM ov) + row_number() OVER (ORDER BY src_id) - 1 AS BIGINT) AS id, token
           FROM addsrc),
@@ -455,3 +455,13 @@ SELECT id, dim, round(value, 6) AS value FROM e
 UNION ALL SELECT CAST(id AS BIGINT), dim, round(value, 6) FROM means
 UNION ALL SELECT CAST(orphans.id AS BIGINT), gm.dim, round(gm.value, 6) FROM orphans JOIN gm ON TRUE
 """
+
+ORACLES["pt_pack_cached"] = ORACLES["pt_pack"]
+
+ORACLES["decode_bpe_full"] = ORACLES["decode_bpe"]
+
+ORACLES["map_batches"] = """
+SELECT CAST(o // 100 AS BIGINT) AS batch, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars
+FROM (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents WHERE text IS NOT NULL AND text <> '')
+GROUP BY 1
+"""

@@ -14,6 +14,7 @@ from ..functions.arrays import ids_text
 from ..functions.joins import broadcast_if_small
 from ..functions.text import words
 from ..operators.align import add_system, align_columns, query_text, system_prompts
+from ..operators.batched import map_batches
 from ..operators.bpe import (WORD_MARK, Subwords, bpe_vocabulary, decompose, encode_bpe, merges_table, pair_counts,
                              train_bpe, word_table)
 from ..operators.embeddings import extend_long, gather_rows, mean_rows_long, resize_long, to_long
@@ -27,11 +28,11 @@ from ..operators.split import first_n_per_group, seeded_rank, split_exact, split
 from ..operators.templates import seg_text
 from ..operators.vocab import (build_vocab, char_coverage, check_subset, merge_vocab, missing_tokens,
                                remap_ids, vocab_ratio, word_counts)
-from ..session import stage_dir
+from ..session import ensure_checkpoint_dir, stage_dir
 from ..sources.conversations import pair_rows, prompt_rows, sft_rows
 from ..sources.corpus import corpus_lines
 from ..sources.files import load_datasets, write_text
-from ..sources.sinks import shard_rows_for, write_shards, write_vocab
+from ..sources.sinks import fingerprint, shard_rows_for, stage_table, write_shards, write_vocab
 from ..sources.tables import table
 from ..streaming.encode import (StreamRules, read_stream, run_batches, run_row_batches, run_stateless, shuffle_buffers,
                                 split_head_stream, stream_filter)
@@ -78,7 +79,7 @@ def _vocab_of(spark: SparkSession, sf_dir: str, where: str | None = None):
 def _lang_vocabs(spark: SparkSession, sf_dir: str):
     """Base = words of English documents, new = words of the other languages."""
     base = _vocab_of(spark, sf_dir, "lang = 'en'")
-    new = _vocab_of(spark, sf_dir, "lang <> 'en'")
+    new = _vocab_of(spark, sf_dir, "NOT (lang <=> 'en')")
     return base, new
 
 
@@ -372,6 +373,9 @@ MIX_LANGS = ["en", "fr", "de", "es"]
 
 def _lang_sets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "lang")
+    other = docs.where(~F.coalesce(F.col("lang").isin(MIX_LANGS), F.lit(False))).select("lang").first()
+    if other is not None:
+        raise ValueError(f"documents of language {other['lang']!r} belong to no dataset of the mix")
     return [docs.where(F.col("lang") == lg).select("doc_id") for lg in MIX_LANGS]
 
 
@@ -414,13 +418,23 @@ def q_mix_probs_over(spark, sf_dir):
 BPE_MERGES = 32  # query parameter: merges learned per registered BPE query
 
 
-def _bpe(spark, sf_dir, where: str | None = None):
-    """Word table, merges and BPE vocabulary learned from the (filtered) documents."""
+# Query parameter: merges of the queries at vocabulary size.  They have no SQL: the recursive SQL of the small ones
+# recounts every pair for each merge.  Tests hold the merge list to sequential BPE.
+FULL_MERGES = 1_000
+
+
+def _bpe(spark, sf_dir, where: str | None = None, n_merges: int = BPE_MERGES):
+    """Word table, merges and BPE vocabulary learned from the (filtered) documents.
+
+    The merges are a cached table (S7): another query of the session over the same files reads them back.
+    """
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     if where is not None:
         docs = docs.where(where)
     counts = word_counts(docs, "text").checkpoint(eager=True)
-    merges = train_bpe(word_table(counts), BPE_MERGES)
+    learned = stage_table(lambda: merges_table(spark, train_bpe(word_table(counts), n_merges)), spark,
+                          f"{ensure_checkpoint_dir(spark).rstrip('/')}/learned-merges", fingerprint(docs, n_merges=n_merges))
+    merges = [(r["a"], r["b"], r["count"]) for r in learned.orderBy("rank").collect()]   # n_merges rows
     cov = char_coverage(docs, 0.9995, "text", counts=counts).where(F.col("kept") == 1) \
         .orderBy(F.col("cnt").desc(), F.col("ch").asc()).select("ch").collect()  # bounded by Unicode
     alphabet = [WORD_MARK] + [r["ch"] for r in cov]
@@ -487,6 +501,62 @@ def q_vocab_decompose(spark, sf_dir):
     return dec.select(F.col("new_id").cast("bigint"), "token", ids_text("old_ids").alias("old_ids"))
 
 
+@register("bpe_merges_full")
+def q_bpe_merges_full(spark, sf_dir):
+    """A3 at vocabulary size: the first 1,000 merges of the corpus, in rank order."""
+    _, merges, _ = _bpe(spark, sf_dir, n_merges=FULL_MERGES)
+    return merges_table(spark, merges)
+
+
+@register("encode_bpe_full")
+def q_encode_bpe_full(spark, sf_dir):
+    """K2 at vocabulary size: documents encoded with 1,000 learned merges."""
+    docs, merges, vocab = _bpe(spark, sf_dir, n_merges=FULL_MERGES)
+    enc = encode_bpe(docs, "doc_id", "text", merges, vocab)
+    return enc.select("doc_id", ids_text("input_ids").alias("input_ids"),
+                      F.size("input_ids").cast("bigint").alias("n_tokens"))
+
+
+@register("pt_pack_bpe_full")
+def q_pt_pack_bpe_full(spark, sf_dir):
+    """K2, Q1, Q2 at vocabulary size: blocks of 512 ids of 1,000 learned merges per batch of 100 documents."""
+    docs, merges, vocab = _bpe(spark, sf_dir, n_merges=FULL_MERGES)
+    blocks = pretrain_blocks(docs, vocab=Subwords.of(vocab, merges), block=512, batch_rows=PACK_ROWS)
+    return blocks.select("batch", "block", ids_text("input_ids").alias("input_ids"),
+                         F.size("input_ids").cast("bigint").alias("n_tokens"))
+
+
+@register("decode_bpe_full")
+def q_decode_bpe_full(spark, sf_dir):
+    """K2, K3 at vocabulary size: documents through 1,000 learned merges and back to their words, one space apart."""
+    docs, merges, vocab = _bpe(spark, sf_dir, n_merges=FULL_MERGES)
+    sub = Subwords.of(vocab, merges)
+    return decode_ids(encode_texts(docs, ["doc_id"], "text", sub), ["doc_id"], "input_ids", sub)
+
+
+@register("pt_pack_cached")
+def q_pt_pack_cached(spark, sf_dir):
+    """The blocks of ``pt_pack`` made and published in a cache, then asked for again and read from it."""
+    docs, cache = _docs(spark, sf_dir), stage_dir(spark, "pt-cache")
+    pretrain_blocks(docs, block=512, batch_rows=PACK_ROWS, cache_path=cache)
+    hit = pretrain_blocks(docs, block=512, batch_rows=PACK_ROWS, cache_path=cache)
+    return hit.select("batch", "block", ids_text("input_ids").alias("input_ids"),
+                      F.size("input_ids").cast("bigint").alias("n_tokens"))
+
+
+def _batch_totals(rows):
+    """G1: a batch function of pandas rows: many rows in, one out."""
+    return rows.assign(n_rows=len(rows), n_chars=rows["text"].str.len().sum())[["n_rows", "n_chars"]].head(1)
+
+
+@register("map_batches")
+def q_map_batches(spark, sf_dir):
+    """G1: a user's function over batches of 100 filtered documents, in order."""
+    rows = ordinal_from_key(pretrain_filter(_docs(spark, sf_dir), "text"), "doc_id")
+    out = map_batches(rows, "ordinal", _batch_totals, "n_rows bigint, n_chars bigint", batch_rows=PACK_ROWS)
+    return out.select("batch", "n_rows", "n_chars")
+
+
 # ---------------------------------------------------------------- files and streams
 
 FILE_FORMATS = ["csv", "json", "text", "parquet"]
@@ -603,7 +673,7 @@ def q_extend_vocab(spark, sf_dir):
     each), the second appended to the first, new rows = mean of their old-piece rows."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     old = learn_bpe_vocabulary(docs.where("lang = 'en'"), "doc_id", 400)
-    new = learn_bpe_vocabulary(docs.where("lang <> 'en'"), "doc_id", 400)
+    new = learn_bpe_vocabulary(docs.where("NOT (lang <=> 'en')"), "doc_id", 400)
     _, rows = extend_vocab(old, new.vocab, _embeddings(spark, sf_dir).select("id", "vec"))
     return _long_out(rows)
 

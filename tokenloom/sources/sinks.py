@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +29,24 @@ def stage_table(make: Callable[[], DataFrame], spark: SparkSession, path: str, k
     """The encoded table cached under ``path`` for ``key``, made and written only if it is not there.
 
     A hit (a complete write, marked by ``_SUCCESS``) is tested before anything else runs; reading back
-    the written table also cuts the lineage (a shared-folder table, not a local cache).
+    the written table also cuts the lineage (a shared-folder table, not a local cache).  A table is written
+    under a private name and published by renaming the folder, so a reader never sees half of one; of two
+    writers of one key the first to publish stands, and the other's table is deleted.
     """
     home = f"{path.rstrip('/')}/{key}"
     fs, mark = file_system(spark, f"{home}/_SUCCESS")
     if overwrite or not fs.exists(mark):
-        make().write.mode("overwrite").parquet(home)
+        draft = f"{path.rstrip('/')}/.{key}-{uuid.uuid4().hex[:12]}"      # a hidden name: readers pass over it
+        make().write.parquet(draft)
+        _, drafted = file_system(spark, draft)
+        _, place = file_system(spark, home)
+        if overwrite or not fs.exists(mark):
+            fs.delete(place, True)
+            fs.rename(drafted, place)
+        if fs.exists(drafted):
+            fs.delete(drafted, True)
+        if not fs.exists(mark):
+            raise OSError(f"could not publish {home}")
     return spark.read.parquet(home)
 
 
