@@ -36,14 +36,18 @@ def _trim():
     return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+ROWS_AT_ONCE = 1_000
+
+
 def giving_back(step):
-    """An Arrow step that returns its freed memory to the system when its task has ended.
+    """An Arrow step over at most ROWS_AT_ONCE rows at a time that returns freed memory to the system at its end.
 
     Python workers stay for the tasks of later stages; without this each keeps the most it ever used.
     """
     def run(batches):
+        parts = (b.slice(lo, ROWS_AT_ONCE) for b in batches for lo in range(0, b.num_rows, ROWS_AT_ONCE))
         try:
-            yield from step(batches)
+            yield from step(parts)
         finally:
             pa.default_memory_pool().release_unused()
             if _trim() is not None:
