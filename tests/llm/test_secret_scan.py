@@ -1,5 +1,8 @@
 import hashlib
 import random
+import time
+
+import pytest
 
 from tokenloom.llm import secret_scan as S
 from llm_fixtures import docs_of  # noqa: F401
@@ -39,6 +42,23 @@ def test_checksums_decide():
     assert not any(k == "jwt" for k, *_ in S.find_spans("eyJxxxx.aaaa.bbbb"))
 
 
+def test_tokens_equal_a_full_scan():
+    rng = random.Random(2)
+    bits = ["eyJ", "eyJhbGciOiJIUzI1NiJ9", ".", ".", "a", "EYJ", "-", " ", "eyj"]
+    for _ in range(20000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        want = [("jwt", m.start(), m.end()) for m in S.JWT.finditer(t) if S._jwt_header(m[1])]
+        assert [x for x in S.find_spans(t) if x[0] == "jwt"] == want, t
+
+
+@pytest.mark.parametrize("part", ["eyJ", "eyJ.", "eyJa.b", "token", "token ", "AKIA", "akia", "ghp_", "card 1", "0", "0g", "npm_", "eyJ_token=AKIA"])
+def test_time_is_linear_in_the_text(part):
+    text = part * (1_000_000 // len(part))
+    began = time.process_time()
+    S.find_spans(text)
+    assert time.process_time() - began < 10
+
+
 def test_redaction_merges_overlaps():
     assert S.redact("a token = 04dbebab91ab85687d33 b 04dbebab91ab8568 c") == "a [SECRET] b [SECRET] c"
     assert S.redact(None) is None and S.redact("") == "" and S.redact("plain") == "plain"

@@ -41,7 +41,7 @@ BASE_KINDS = ("assign", "access", "hex")
 # Published token prefixes with an embedded checksum, and the digits of base 62.
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+JWT = re.compile(r"(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++")
 CARD = re.compile(r"(?:card|visa|mastercard)[ :=#]{1,3}((?:\d{4}[ -]?){3}\d{4})(?!\d)", re.I | re.A)
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -92,6 +92,11 @@ RULES = {
 }
 
 
+#: Kinds that begin with an unbounded run: where one fails, so does every later hit of the kind inside that run,
+#: as all of them depend on what follows the run.  Each run is then read a fixed number of times.
+RUNS = {"jwt": re.compile(r"eyJ[A-Za-z0-9_-]*+")}
+
+
 @functools.cache
 def automaton():
     import ahocorasick
@@ -143,10 +148,14 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     for kind, at in starts.items():
         pattern, test = RULES[kind]
         for s in sorted(at):  # a long key word may end after a short one that starts later
-            if s >= done[kind] and (m := pattern.match(text, s)):
+            if s < done[kind]:
+                continue
+            if m := pattern.match(text, s):
                 done[kind] = m.end()
                 if test(m):
                     out.append((kind, m.start(), m.end()))
+            elif kind in RUNS and (run := RUNS[kind].match(text, s)):
+                done[kind] = run.end()
     out += [("hex", s, e) for s, e in _hex_runs(text)]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
