@@ -77,3 +77,15 @@ def test_registered_queries_read_whole_tables(spark, name):
     table, key = ("pages", "page_id") if name.startswith("op7") else ("documents", "doc_id")
     want = spark.read.parquet(f"{SF_SMALL}/{table}.parquet").select(key).distinct().count()
     assert E.queries()[name](spark, SF_SMALL).select(F.countDistinct(key)).first()[0] == want
+
+
+def test_stages_bound_the_batches_that_python_gets(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("10000", "1000"), ("0", "1000"), ("200", "200")):
+            spark.conf.set(key, given)
+            P.secret_scan(spark, spark.createDataFrame([], SCHEMA), "")
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)

@@ -39,6 +39,18 @@ def _trim():
 ROWS_AT_ONCE = 1_000
 
 
+def bounded_batches(spark: SparkSession, rows: int = ROWS_AT_ONCE) -> None:
+    """The session's Arrow batches hold at most ``rows`` rows from here on (a smaller setting stays).
+
+    A batch of whole texts is held outside the heap in the executor's JVM and again in the Python worker, and the system's
+    allocator keeps much of it in both; the default of 10,000 rows makes that the largest part of an executor's memory.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 def giving_back(step):
     """An Arrow step over at most ROWS_AT_ONCE rows at a time that returns freed memory to the system at its end.
 
