@@ -5,8 +5,10 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tokenloom.sources.files import load_datasets, read_dataset, read_files
+from tokenloom.sources.sinks import read_key, shard_files, write_byte_shards
 from tokenloom.streaming.encode import StreamRules
 
 
@@ -85,6 +87,58 @@ def test_sinks(spark):
     assert stage_table(lambda: spark.range(3), spark, f"{d}/stage", "k").count() == 3
 
 
+def test_byte_shards_hold_the_bound_and_find_a_key_in_one_file(spark, tmp_path):
+    import random
+    rng = random.Random(4)
+    sizes = {k: rng.choice([0, 1, 7, 30, 90, 250]) for k in range(400)}
+    rows = [(k, "x" * n) for k, n in sizes.items()] + [(400, None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k long, text string").repartition(3)
+    path = f"{tmp_path}/shards"
+    index = write_byte_shards(df, path, "k", F.octet_length("text"), 100, shards_per_task=20).collect()
+    assert sum(r["n_rows"] for r in index) == 401 and len(index) > 100
+    assert all(r["n_bytes"] <= 100 or r["n_rows"] == 1 for r in index)
+    assert sum(r["n_bytes"] for r in index) == sum(sizes.values())
+    spans = sorted((r["first_key"], r["last_key"]) for r in index)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    # two shards of one task that follow each other would not fit into one
+    by_task = {}
+    for r in sorted(index, key=lambda r: r["first_key"]):
+        by_task.setdefault(r["file"].split("shard=s")[1][:6], []).append(r)
+    firsts = {k: n or 0 for k, n in [*sizes.items(), (400, 0)]}
+    for shards in by_task.values():
+        assert all(a["n_bytes"] + firsts[b["first_key"]] > 100 for a, b in zip(shards, shards[1:]))
+    for k in (0, 17, 399, 400):
+        assert len(shard_files(spark, path, k)) == 1
+        assert [tuple(r) for r in read_key(spark, path, "k", k).collect()] == [r for r in rows if r[0] == k]
+    assert read_key(spark, path, "k", 5000).collect() == [] and read_key(spark, path, "k", 5000).columns == ["k", "text"]
+
+
+def test_byte_shards_of_odd_tables(spark, tmp_path):
+    schema = "k long, text string"
+    size = F.octet_length("text")
+    assert write_byte_shards(spark.createDataFrame([], schema), f"{tmp_path}/none", "k", size, 10).collect() == []
+    rows = [(None, "aaaa"), (None, "bbbb")] + [(7, "x" * 6)] * 50 + [(8, "y")]
+    write_byte_shards(spark.createDataFrame(rows, schema), f"{tmp_path}/hot", "k", size, 12)
+    assert read_key(spark, f"{tmp_path}/hot", "k", 7).count() == 50       # a key over many files
+    assert spark.read.parquet(f"{tmp_path}/hot").drop("shard").count() == 53
+    with pytest.raises(ValueError, match="shard"):
+        write_byte_shards(spark.createDataFrame([(1, "a")], "k long, shard string"), f"{tmp_path}/clash", "k", F.lit(1), 10)
+    with pytest.raises(ValueError, match="positive"):
+        write_byte_shards(spark.createDataFrame(rows, schema), f"{tmp_path}/zero", "k", size, 0)
+
+
+def test_registry_takes_schemas(spark, tmp_path):
+    (tmp_path / "dataset_info.json").write_text('{"a": {"file_name": "a.csv", "columns": {"prompt": "n"}}, "b": {"file_name": "b.csv", "columns": {"prompt": "n"}}}')
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text("n\n007\n8\n")
+    a, b = load_datasets(spark, str(tmp_path), "a, b", schemas={"a": "n string"})
+    assert [r["prompt"] for r in a.orderBy("ordinal").collect()] == ["007", "8"]
+    assert a.schema["prompt"].dataType.simpleString() == "string"
+    with pytest.raises(ValueError, match="not read"):
+        load_datasets(spark, str(tmp_path), "a", schemas={"b": "n string"})
+
+
 def test_json_forms_in_one_folder(spark, tmp_path):
     """An array over several lines, JSON lines and one pretty-printed object, next to each other and nested."""
     (tmp_path / "a.json").write_text('[\n {"v": 1},\n {"v": 2}\n]\n')

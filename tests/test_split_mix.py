@@ -1,5 +1,7 @@
 """Splits, shuffles and mixing."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tokenloom.operators.mix import interleave_over, interleave_probs, interleave_under
@@ -24,6 +26,34 @@ def test_split_exact_disjoint_complete(spark):
     assert a == b
 
 
+def test_split_exact_equals_a_sort_at_every_band_size(spark):
+    def digest(k):
+        return hashlib.md5(f"7:{k}".encode()).hexdigest()
+    keys = list(range(2000))
+    df = spark.createDataFrame([(k, "x" * (k % 5)) for k in keys], "k long, v string").repartition(3)
+    for share in (1, 777, 1999, 0.013):
+        want = set(sorted(keys, key=lambda k: (digest(k), k))[:eval_size(len(keys), share)])
+        for band in (0, 1, 10_000):
+            out = split_exact(df, "k", share, seed=7, band_rows=band)
+            assert {r["k"] for r in out.where("split = 'eval'").collect()} == want
+    plan = split_exact(df, "k", 777, seed=7)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "rangepartitioning" not in plan
+
+
+def test_split_exact_with_null_and_hot_keys(spark):
+    df = spark.createDataFrame([(None,)] * 5 + [(1,)] * 400 + [(i,) for i in range(2, 97)], "k long")
+
+    def sizes(val_size):
+        c = {r["split"]: r["count"] for r in split_exact(df, "k", val_size, seed=1, band_rows=8).groupBy("split").count().collect()}
+        return c.get("eval", 0), c.get("train", 0)
+    assert sizes(495) == (495, 5) and sizes(497) == (495, 5) and sizes(500) == (500, 0) and sizes(0) == (0, 500)
+    order = sorted([1] * 400 + list(range(2, 97)), key=lambda k: hashlib.md5(f"1:{k}".encode()).hexdigest())
+    at = order.index(1)
+    assert sizes(at) == (at, 500 - at)
+    assert sizes(at + 200) == (at, 500 - at)      # the hot key is the boundary: its rows stay together
+    assert split_exact(df.limit(0), "k", 0.5).collect() == []
+
+
 def test_seeded_rank_is_permutation(spark):
     df = spark.range(500).withColumnRenamed("id", "k")
     ranks = sorted(r["rank"] for r in seeded_rank(df, "k", 9).collect())

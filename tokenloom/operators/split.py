@@ -1,8 +1,9 @@
 """First-N per dataset, exact seeded train/eval split, head split, seeded shuffle.
 
 Random operators are seeded hashes of a stable row key, so results are exact in
-size, reproducible, and unchanged under repartitioning or task retries.  Ranking
-by hash is a distributed sort plus dense ordinal (no single final task).
+size, reproducible, and unchanged under repartitioning or task retries.  A shuffle ranks
+by hash (a distributed sort plus dense ordinal, no single final task); a split only
+selects one boundary by histograms of the hash and sorts nothing.
 """
 
 from __future__ import annotations
@@ -36,25 +37,60 @@ def seeded_rank(df: DataFrame, key: str, seed: int, name: str = "rank") -> DataF
                         name=name).drop("_h")
 
 
+#: Hex digits by which a histogram narrows the place of the cut, and keys that are looked at one by one.
+STEP_DIGITS = 4
+BAND_ROWS = 10_000
+
+
+def hash_cut(df: DataFrame, key: str, h: Column, k: int, counts: dict, band_rows: int = BAND_ROWS) -> tuple:
+    """``(hash, key)`` of the row at rank ``k`` (from 0) of the rows with a key, by distributed selection.
+
+    ``counts`` is the histogram of the hash's first digits.  The band that holds rank ``k`` is cut into finer ones by the next
+    digits until it has at most ``band_rows`` rows; only that band's distinct keys are then put in order.  Each
+    step is one scan of the key with a partial aggregation into at most 16 ** STEP_DIGITS counts; nothing is sorted.
+    """
+    prefix, left = "", k
+    while True:
+        for digits in sorted(counts):
+            if left < counts[digits]:
+                break
+            left -= counts[digits]
+        prefix += digits
+        band = df.select(F.col(key).alias("_k"), h.alias("_h")).where(F.col("_h").startswith(prefix))
+        if counts[digits] <= band_rows or len(prefix) == 32:
+            break
+        step = F.substring("_h", len(prefix) + 1, STEP_DIGITS)
+        counts = dict(band.groupBy(step).count().collect())
+    # a key that repeats is one row here, so a hot key leaves a band of one
+    for row in sorted(band.groupBy("_h", "_k").count().collect(), key=lambda r: (r["_h"], r["_k"])):
+        if left < row["count"]:
+            return row["_h"], row["_k"]
+        left -= row["count"]
+    raise ValueError("the rows changed while the split was made")
+
+
 def split_exact(df: DataFrame, key: str, val_size: float, seed: int = 42,
-                n_rows: int | None = None) -> DataFrame:
+                n_rows: int | None = None, band_rows: int = BAND_ROWS) -> DataFrame:
     """L2: adds ``split`` = 'eval' for exactly ``eval_size`` rows chosen by seeded hash, else 'train'.
 
-    Only ``(hash, key)`` is ranked; the row at rank k is the first train row, and every
-    row is labelled by comparing its ``(hash, key)`` with that one boundary: the wide
-    rows are never sorted.
+    The row at rank k by ``(hash, key)`` is the first train row, and every row is labelled by comparing its
+    ``(hash, key)`` with that one boundary.  It is found by a histogram of the hash (see :func:`hash_cut`): the
+    rows, wide or narrow, are never sorted or moved.  Keys should be unique: rows that repeat the boundary's key all
+    go to 'train'.  Rows with a null key come last, so they are 'train' unless every row is 'eval'.
     """
-    n = df.count() if n_rows is None else n_rows
-    k = eval_size(n, val_size)
     h = seeded_hash(seed, key)
+    first = F.substring(h, 1, STEP_DIGITS)
+    counts = dict(df.select(first.alias("_d")).groupBy("_d").count().collect())
+    n = sum(counts.values()) if n_rows is None else n_rows
+    keyed = n - counts.pop(None, 0)
+    k = eval_size(n, val_size)
     if k <= 0:
         return df.withColumn("split", F.lit("train"))
     if k >= n:
         return df.withColumn("split", F.lit("eval"))
-    narrow = df.select(F.col(key).alias("_k"), h.alias("_h"))
-    ranked = with_ordinal(narrow, F.col("_h"), F.col("_k"), name="_r")
-    bound = ranked.where(F.col("_r") == k).select("_h", "_k").first()
-    bh, bk = F.lit(bound["_h"]), F.lit(bound["_k"])
+    if k >= keyed:
+        return df.withColumn("split", F.when(F.col(key).isNotNull(), F.lit("eval")).otherwise(F.lit("train")))
+    bh, bk = (F.lit(v) for v in hash_cut(df, key, h, k, counts, band_rows))
     before = (h < bh) | ((h == bh) & (F.col(key) < bk))
     return df.withColumn("split", F.when(before, F.lit("eval")).otherwise(F.lit("train")))
 

@@ -66,7 +66,8 @@ def prepare_examples(spark, dataset_dir: str, dataset: str, stage: str, template
                      vocab: Vocabulary, max_source_length: int = 512, max_target_length: int = 512,
                      predict_with_generate: bool = False, system_prompt: str | None = None,
                      max_samples: int | None = None, val_size: float = 0.0, seed: int = 42,
-                     mix_strategy: str = "concat", interleave_probs: list[float] | None = None) -> dict:
+                     mix_strategy: str = "concat", interleave_probs: list[float] | None = None,
+                     schemas: dict | None = None) -> dict:
     """Instruction data end to end: registry -> read + align -> datasets mixed by ``mix_strategy`` in
     ingest order -> the stage's filter and encoder (sft, rm, or prompt-only for ppo / dpo /
     generation) -> optional exact seeded split."""
@@ -76,7 +77,7 @@ def prepare_examples(spark, dataset_dir: str, dataset: str, stage: str, template
 
     if stage not in STAGES:
         raise ValueError(f"unknown stage {stage!r}: one of {', '.join(STAGES)} (pretraining has its own flow)")
-    sets = load_datasets(spark, dataset_dir, dataset, system_prompt, max_samples)
+    sets = load_datasets(spark, dataset_dir, dataset, system_prompt, max_samples, schemas)
     cols = ["prompt", "query", "response", "history", "system"]
     parts = [d.select("ordinal", *[c for c in cols if c in d.columns]) for d in sets]
     rows = mix(parts, "ordinal", mix_strategy, interleave_probs, seed)

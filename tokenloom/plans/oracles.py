@@ -332,6 +332,10 @@ ORACLES["stream_pack"] = ORACLES["pt_pack"]
 
 ORACLES["embed_shards"] = ORACLES["embed_prune"]
 
+ORACLES["text_shards"] = """
+SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, TRUE AS fits, TRUE AS covered FROM documents
+"""
+
 ORACLES["first_example"] = f"""
 WITH {_SFT_IDS},
 f AS (SELECT conv_id, ids, labels FROM agg ORDER BY conv_id LIMIT 1),

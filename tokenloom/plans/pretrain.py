@@ -39,7 +39,8 @@ def prepare_pretraining(spark, dataset_dir: str, dataset: str, vocab: Vocabulary
                         block: int = 512, batch_rows: int = 1000, val_size: float = 0.0, seed: int = 42,
                         system_prompt: str | None = None, max_samples: int | None = None,
                         cache_path: str | None = None, overwrite_cache: bool = False,
-                        mix_strategy: str = "concat", interleave_probs: list[float] | None = None) -> dict:
+                        mix_strategy: str = "concat", interleave_probs: list[float] | None = None,
+                        schemas: dict | None = None) -> dict:
     """The pretraining preparation end to end: registry -> read + align (datasets mixed by
     ``mix_strategy``, in their ingest order) -> F1 -> ids -> blocks -> train/eval split of the
     blocks (exact seeded split; no eval set when ``val_size`` is 0).
@@ -50,7 +51,7 @@ def prepare_pretraining(spark, dataset_dir: str, dataset: str, vocab: Vocabulary
     from ..operators.split import split_exact
     from ..sources.files import load_datasets
 
-    sets = load_datasets(spark, dataset_dir, dataset, system_prompt, max_samples)
+    sets = load_datasets(spark, dataset_dir, dataset, system_prompt, max_samples, schemas)
     mixed = mix([d.select("ordinal", "prompt") for d in sets], "ordinal", mix_strategy, interleave_probs, seed)
     blocks = pretrain_blocks(mixed.select("position", F.col("prompt").alias("text")), key="position",
                              vocab=vocab, block=block, batch_rows=batch_rows,

@@ -32,7 +32,7 @@ from ..session import ensure_checkpoint_dir, stage_dir
 from ..sources.conversations import pair_rows, prompt_rows, sft_rows
 from ..sources.corpus import corpus_lines
 from ..sources.files import load_datasets, write_text
-from ..sources.sinks import fingerprint, shard_rows_for, stage_table, write_shards, write_vocab
+from ..sources.sinks import fingerprint, shard_rows_for, stage_table, write_byte_shards, write_shards, write_vocab
 from ..sources.tables import table
 from ..streaming.encode import (StreamRules, read_stream, run_batches, run_row_batches, run_stateless, shuffle_buffers,
                                 split_head_stream, stream_filter)
@@ -655,6 +655,19 @@ def q_embed_shards(spark, sf_dir):
     return _row_digest(back)
 
 
+@register("text_shards")
+def q_text_shards(spark, sf_dir):
+    """S9 for rows of unequal size: documents in files of at most 1 MB of text, each row read back beside its file's index row."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    path, bound = stage_dir(spark, "text_shards"), 1 << 20
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    index = write_byte_shards(docs, path, "doc_id", size, bound).withColumnRenamed("n_bytes", "index_bytes")
+    rows = spark.read.parquet(path).select("doc_id", size.alias("n_bytes"), F.col("_metadata.file_path").alias("file"))
+    held = rows.join(broadcast_if_small(index, bytes_per_row=400), "file")
+    return held.select("doc_id", "n_bytes", ((F.col("index_bytes") <= bound) | (F.col("n_rows") == 1)).alias("fits"),
+                       F.col("doc_id").between(F.col("first_key"), F.col("last_key")).alias("covered"))
+
+
 @register("first_example")
 def q_first_example(spark, sf_dir):
     """The first supervised example decoded; ignored label positions show as the pad token."""

@@ -189,12 +189,18 @@ def parse_registry(info: dict, dataset: str, system_prompt: str | None = None) -
 
 
 def load_datasets(spark: SparkSession, dataset_dir: str, dataset: str, system_prompt: str | None = None,
-                  max_samples: int | None = None) -> list[DataFrame]:
-    """Registry -> read -> first ``max_samples`` rows (L1) -> align (P1) -> system column."""
+                  max_samples: int | None = None, schemas: dict | None = None) -> list[DataFrame]:
+    """Registry -> read -> first ``max_samples`` rows (L1) -> align (P1) -> system column.
+
+    ``schemas`` gives a dataset's schema by its name; files of the others are read once more to infer theirs.
+    """
+    unknown = set(schemas or {}) - {n.strip() for n in dataset.split(",")}
+    if unknown:
+        raise ValueError(f"schemas for datasets that are not read: {sorted(unknown)}")
     info = json.loads(read_text(spark, f"{dataset_dir.rstrip('/')}/dataset_info.json"))
     out = []
     for attr in parse_registry(info, dataset, system_prompt):
-        df = read_dataset(spark, dataset_dir, attr.file_name)
+        df = read_dataset(spark, dataset_dir, attr.file_name, (schemas or {}).get(attr.name))
         if max_samples is not None:
             df = df.where(F.col("ordinal") < max_samples)
         df = add_system(align_columns(df, attr.columns), attr.system_prompt)
