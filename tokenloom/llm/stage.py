@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,23 @@ def bounded_batches(spark: SparkSession, rows: int = ROWS_AT_ONCE) -> None:
         spark.conf.set(key, rows)
 
 
+PLAN_TEXT = 100_000
+
+
+def let_go(spark: SparkSession) -> None:
+    """Frees what finished work still holds on the driver; call it between stages.
+
+    Python's handles keep the plans of earlier queries alive in the driver's JVM, and Spark removes their broadcasts and
+    shuffle files only when a collection there finds them gone.  Plans are kept as text too, for listeners: that text is
+    bounded from here on, as a literal table (the merge ranks) would fill megabytes with each copy.
+    """
+    spark.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    if _trim() is not None:
+        _trim()(0)
+
+
 def giving_back(step):
     """An Arrow step over at most ROWS_AT_ONCE rows at a time that returns freed memory to the system at its end.
 
