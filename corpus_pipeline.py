@@ -4,7 +4,8 @@ Every stage but the last returns the columns of ``documents``; a stage that take
 others as they are.  Rows with a null id are never taken out for what another row holds.
 
 Every stage has the session hand texts to Python in batches of 1,000 rows at most (``bounded_batches``), as the stages
-share their executors; no result depends on it.
+share their executors, and begins with freeing what the stages before it left on the driver (``let_go``); no result
+depends on either.
 """
 
 from __future__ import annotations
@@ -18,15 +19,20 @@ from tokenloom.llm.byte_bpe import encode_bytes
 from tokenloom.llm.decontaminate import find_leaks
 from tokenloom.llm.near_dup import near_duplicates
 from tokenloom.llm.secret_scan import redact_column
-from tokenloom.llm.stage import bounded_batches, read, staged
+from tokenloom.llm.stage import bounded_batches, let_go, read, staged
 from tokenloom.llm.toxicity import ToxicityModel
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _begin(spark: SparkSession) -> None:
+    bounded_batches(spark)
+    let_go(spark)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
-    bounded_batches(spark)
+    _begin(spark)
     model = ToxicityModel(docs, read(spark, sf_dir, "labels"))
     return model.score(docs, carry=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
@@ -41,7 +47,7 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that repeat the kept id with the same text, one stays.
     """
-    bounded_batches(spark)
+    _begin(spark)
     rows = staged(near_duplicates(docs, "doc_id", "text", k=5, percent=80), "near-dup")
     ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     ids = staged(ids.where("n > 1 or not kept"), "near-dup-ids")
@@ -56,14 +62,14 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    bounded_batches(spark)
+    _begin(spark)
     leaks = find_leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return _without(docs, staged(leaks, "leaks"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars follows the text where it changed."""
-    bounded_batches(spark)
+    _begin(spark)
     new = docs.withColumn("clean", redact_column(F.col("text")))
     n = F.when(F.col("clean").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("clean").cast("long"))
     return new.select("doc_id", F.col("clean").alias("text"), "lang", "source", n.alias("n_chars"))
@@ -71,7 +77,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, with digests of the ids and of the decoded bytes."""
-    bounded_batches(spark)
+    _begin(spark)
     return encode_bytes(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=True)
 
 
