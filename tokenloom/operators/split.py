@@ -37,6 +37,29 @@ def seeded_rank(df: DataFrame, key: str, seed: int, name: str = "rank") -> DataF
                         name=name).drop("_h")
 
 
+def buffer_slot(seed: int, ordinal: str, buffer_size: int) -> Column:
+    """Place of a shuffle buffer that row ``ordinal`` takes: the first rows fill it in turn, each later one takes a seeded draw."""
+    draw = F.conv(F.substring(seeded_hash(seed, ordinal), 1, 8), 16, 10).cast("bigint")
+    return F.when(F.col(ordinal) < buffer_size, F.col(ordinal)).otherwise(draw % F.lit(buffer_size))
+
+
+def left_buffer(rows: DataFrame, ordinal: str, seed: int, buffer_size: int, ready: int, name: str = "rank") -> DataFrame:
+    """``name``: the place at which a rolling shuffle buffer gives the row away, null while the buffer holds it.
+
+    Row t pushes the row out that sits in its slot, as row t - buffer_size of the shuffled order.  So a row leaves with the next
+    row of its slot: one window per slot tells all places, without walking through the rows.  Rows from ordinal ``ready`` on wait.
+    """
+    waits = F.col(ordinal) >= F.lit(ready)
+    w = Window.partitionBy(waits, buffer_slot(seed, ordinal, buffer_size)).orderBy(ordinal)
+    return rows.withColumn(name, F.when(~waits, F.lead(ordinal).over(w) - F.lit(buffer_size)).cast("bigint"))
+
+
+def rest_of_buffer(rows: DataFrame, ordinal: str, seed: int, buffer_size: int, n: int, name: str = "rank") -> DataFrame:
+    """Places of the rows (``buffer_size`` at most) that a buffer still holds after all ``n`` rows: in seeded order, last."""
+    w = Window.orderBy(seeded_hash(seed, ordinal), ordinal)  # bounded by the buffer
+    return rows.withColumn(name, (F.row_number().over(w) - 1 + F.lit(max(n - buffer_size, 0))).cast("bigint"))
+
+
 #: Hex digits by which a histogram narrows the place of the cut, and keys that are looked at one by one.
 STEP_DIGITS = 4
 BAND_ROWS = 10_000

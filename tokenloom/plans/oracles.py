@@ -361,6 +361,16 @@ SELECT doc_id, CAST(buffer AS BIGINT) AS buffer,
 FROM p
 """
 
+ORACLES["stream_buffer_shuffle"] = f"""
+WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS o, count(*) OVER () AS n FROM ({DOCS_F1}) d),
+s AS (SELECT *, md5('42:' || CAST(o AS VARCHAR)) AS h FROM p),
+x AS (SELECT *, lead(o) OVER (PARTITION BY CASE WHEN o < 64 THEN o ELSE CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % 64 END
+                              ORDER BY o) AS pushed FROM s)
+SELECT doc_id, CAST(CASE WHEN pushed IS NOT NULL THEN pushed - 64
+       ELSE greatest(n - 64, 0) + row_number() OVER (PARTITION BY pushed IS NULL ORDER BY h, o) - 1 END AS BIGINT) AS rank
+FROM x
+"""
+
 ORACLES["stream_filter"] = ORACLES["pt_filter"]
 
 ORACLES["vocab_sink"] = ORACLES["vocab_merge"]

@@ -34,8 +34,8 @@ from ..sources.corpus import corpus_lines
 from ..sources.files import load_datasets, write_text
 from ..sources.sinks import fingerprint, shard_rows_for, stage_table, write_byte_shards, write_shards, write_vocab
 from ..sources.tables import table
-from ..streaming.encode import (StreamRules, read_stream, run_batches, run_row_batches, run_stateless, shuffle_buffers,
-                                split_head_stream, stream_filter)
+from ..streaming.encode import (StreamRules, read_stream, run_batches, run_buffer_shuffle, run_row_batches, run_stateless,
+                                shuffle_buffers, split_head_stream, stream_filter)
 from .instruct import pair_examples, prompt_examples, render, sft_examples
 from .pretrain import pretrain_blocks
 from .vocabulary import extend_vocab, learn_bpe_vocabulary
@@ -713,6 +713,14 @@ def q_stream_shuffle(spark, sf_dir):
                                                     F.col("rank").cast("bigint").alias("rank"))
 
 
+@register("stream_buffer_shuffle")
+def q_stream_buffer_shuffle(spark, sf_dir):
+    """L4 on a stream: a rolling buffer of 64 filtered rows with seeded replacement (seed 42)."""
+    _, base, stream = _stream_input(spark, sf_dir, "stream_buffer_shuffle", 2)
+    run_buffer_shuffle(stream.select("doc_id", "ordinal"), f"{base}/out", f"{base}/ckpt", f"{base}/carry", SHUFFLE_BUFFER, 42)
+    return spark.read.parquet(f"{base}/out").select("doc_id", "rank")
+
+
 @register("stream_filter")
 def q_stream_filter(spark, sf_dir):
     """Filter and projection as a stateless streaming query into a Parquet sink."""

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import truthy
 from ..operators.ordinal import with_ordinal_n
+from ..operators.split import left_buffer, rest_of_buffer, seeded_hash
 from ..sources.files import file_system
 
 
@@ -93,6 +94,42 @@ def with_stream_ordinal(stream: DataFrame) -> DataFrame:
     return stream.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")})
 
 
+class Carried:
+    """What a streamed step hands from one micro-batch to the next: a table of rows and the number of rows so far.
+
+    Both are tables per micro-batch, written whole, so a replayed micro-batch writes its own again.
+    """
+
+    def __init__(self, stream: DataFrame, carry_dir: str, ordinal: str, more: str):
+        self.spark, self.dir, self.ordinal = stream.sparkSession, carry_dir, ordinal
+        self.numbered = ordinal not in stream.columns
+        self.kept = [c for c in stream.columns if c not in ("_file", "_block")]
+        schema = [f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in self.kept]
+        self.schema = ", ".join(schema + [f"`{ordinal}` bigint"] * self.numbered + [more])
+
+    def table(self, batch_id: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.dir}/batch_id={batch_id}")
+
+    def write(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{self.dir}/batch_id={batch_id}")
+        return self.table(batch_id)
+
+    def rows_before(self, batch_id: int) -> int:
+        if batch_id == 0:
+            return 0
+        return int(self.spark.read.schema("n bigint").parquet(f"{self.dir}-rows/batch_id={batch_id - 1}").first()["n"])
+
+    def note_rows(self, n: int, batch_id: int) -> None:
+        self.spark.range(1).select(F.lit(n).cast("bigint").alias("n")).coalesce(1) \
+            .write.mode("overwrite").parquet(f"{self.dir}-rows/batch_id={batch_id}")
+
+    def number(self, batch: DataFrame, before: int) -> tuple[DataFrame, int]:
+        """The rows numbered from ``before`` on by file and place in the file, and the number of rows so far."""
+        placed = batch.withColumn("_place", F.monotonically_increasing_id())
+        rows, n = with_ordinal_n(placed, F.col("_file"), F.col("_block"), F.col("_place"), name=self.ordinal)
+        return rows.select(*self.kept, (F.col(self.ordinal) + F.lit(before)).cast("bigint").alias(self.ordinal)), before + n
+
+
 def run_row_batches(stream: DataFrame, fn, out_dir: str, checkpoint_dir: str, carry_dir: str, batch_rows: int,
                     ordinal: str = "ordinal") -> None:
     """``fn(rows with columns ordinal, batch) -> DataFrame`` over batches of ``batch_rows`` filtered rows.
@@ -107,39 +144,72 @@ def run_row_batches(stream: DataFrame, fn, out_dir: str, checkpoint_dir: str, ca
     stopped anywhere goes on when it is started again; files that arrive later continue the open batch and their
     micro-batch replaces its short output.
     """
-    spark, numbered = stream.sparkSession, ordinal not in stream.columns
+    carried = Carried(stream, carry_dir, ordinal, "batch bigint, closed boolean")
     number = (F.col(ordinal) / F.lit(batch_rows)).cast("bigint")
-    kept = [c for c in stream.columns if c not in ("_file", "_block")]
-    schema = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in kept)
-    schema += f", `{ordinal}` bigint, batch bigint, closed boolean" if numbered else ", batch bigint, closed boolean"
-
-    def table(batch_id: int) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{carry_dir}/batch_id={batch_id}")
-
-    def numbered_rows(batch: DataFrame, batch_id: int) -> tuple[DataFrame, int]:
-        before = 0
-        if batch_id > 0:
-            before = int(spark.read.schema("n bigint").parquet(f"{carry_dir}-rows/batch_id={batch_id - 1}").first()["n"])
-        placed = batch.withColumn("_place", F.monotonically_increasing_id())
-        rows, n = with_ordinal_n(placed, F.col("_file"), F.col("_block"), F.col("_place"), name=ordinal)
-        return rows.select(*kept, (F.col(ordinal) + F.lit(before)).cast("bigint").alias(ordinal)), before + n
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if numbered:
-            rows, total = numbered_rows(batch, batch_id)
-            spark.range(1).select(F.lit(total).cast("bigint").alias("n")).coalesce(1) \
-                .write.mode("overwrite").parquet(f"{carry_dir}-rows/batch_id={batch_id}")
-        else:
-            rows = batch
+        rows = batch
+        if carried.numbered:
+            rows, total = carried.number(batch, carried.rows_before(batch_id))
+            carried.note_rows(total, batch_id)
         rows = rows.withColumn("batch", number)
         if batch_id > 0:
-            rows = rows.unionByName(table(batch_id - 1).where("not closed").drop("closed"))
+            rows = rows.unionByName(carried.table(batch_id - 1).where("not closed").drop("closed"))
         whole = F.count(F.lit(1)).over(Window.partitionBy("batch")) == batch_rows      # groups of batch_rows rows
-        rows.withColumn("closed", whole).write.mode("overwrite").parquet(f"{carry_dir}/batch_id={batch_id}")
-        fn(table(batch_id).where("closed").drop("closed")).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        held = carried.write(rows.withColumn("closed", whole), batch_id)
+        fn(held.where("closed").drop("closed")).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+
+    _run(stream, sink, checkpoint_dir)
+    end_stream(carried.spark, lambda i: fn(carried.table(i).where("not closed").drop("closed")), out_dir, carry_dir)
+
+
+def _dense_until(ordinals: DataFrame, ordinal: str, start: int) -> int:
+    """The least number from ``start`` on that is not among the ordinals (all at least ``start``)."""
+    here = ordinals.select(F.col(ordinal).alias("_o"))
+    after = here.unionByName(here.sparkSession.range(start - 1, start).toDF("_o")).select((F.col("_o") + 1).alias("_o"))
+    return int(after.join(here, "_o", "left_anti").agg(F.min("_o")).first()[0])
+
+
+def run_buffer_shuffle(stream: DataFrame, out_dir: str, checkpoint_dir: str, carry_dir: str, buffer_size: int, seed: int,
+                       ordinal: str = "ordinal", rank: str = "rank") -> None:
+    """L4 on a stream: a rolling buffer of ``buffer_size`` rows with random replacement.
+
+    The first rows fill the buffer; each later one takes a seeded draw of its places and the row that sat there goes out.
+    When the stream has ended, what the buffer holds goes out in seeded order.  ``rank`` is the row's place in the shuffled
+    stream.  The order of the rows is their ``ordinal`` (dense from 0; numbered here where the stream has none, see
+    :func:`run_row_batches`); rows that come before one with a lesser ordinal wait for it, and a number that never
+    comes is an error when the stream ends.
+
+    The buffer, and rows that wait, are a table per micro-batch, so the query can be stopped anywhere and started again.
+    A micro-batch costs one window over its rows and the buffer, in as many groups as the buffer has places.
+    """
+    if buffer_size < 1:
+        raise ValueError("a shuffle buffer holds at least one row")
+    carried = Carried(stream, carry_dir, ordinal, f"`{rank}` bigint")
+
+    def held(batch_id: int) -> DataFrame:
+        return carried.table(batch_id).where(F.col(rank).isNull())
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rows, before = batch, carried.rows_before(batch_id)
+        if carried.numbered:
+            rows, ready = carried.number(batch, before)
+        if batch_id > 0:
+            rows = rows.unionByName(held(batch_id - 1).drop(rank))
+        if not carried.numbered:
+            ready = _dense_until(rows.where(F.col(ordinal) >= before), ordinal, before)
+        carried.note_rows(ready, batch_id)
+        out = carried.write(left_buffer(rows, ordinal, seed, buffer_size, ready, rank), batch_id)
+        out.where(F.col(rank).isNotNull()).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+
+    def rest(batch_id: int) -> DataFrame:
+        n, rows = carried.rows_before(batch_id + 1), held(batch_id)
+        if not rows.where(F.col(ordinal) >= n).isEmpty():
+            raise ValueError(f"the stream ended without row {n}, and holds later ones")
+        return rest_of_buffer(rows, ordinal, seed, buffer_size, n, rank)
 
     _run(stream, sink, checkpoint_dir)
-    end_stream(spark, lambda i: fn(table(i).where("not closed").drop("closed")), out_dir, carry_dir)
+    end_stream(carried.spark, rest, out_dir, carry_dir)
 
 
 def end_stream(spark: SparkSession, rest, out_dir: str, carry_dir: str) -> None:
@@ -157,7 +227,6 @@ def split_head_stream(stream: DataFrame, val_size: float, ordinal: str = "ordina
 def shuffle_buffers(rows: DataFrame, key: str, seed: int, buffer_size: int, ordinal: str = "batch") -> DataFrame:
     """L4 on a stream: seeded-hash order inside each buffer of ``buffer_size`` rows (``batch`` of
     :func:`run_row_batches`); ``rank`` is the row's place in the shuffled stream."""
-    from ..operators.split import seeded_hash
     w = Window.partitionBy(ordinal).orderBy(seeded_hash(seed, key), F.col(key))  # bounded by the buffer
     return rows.withColumn("rank", F.col(ordinal) * buffer_size + F.row_number().over(w) - 1)
 
