@@ -498,6 +498,8 @@ def learn_head(rows: DataFrame, shipped, fold: Column) -> Head:
     met = sample.mapInArrow(giving_back(_distinct_words(shipped)), "h long, word array<bigint>, known array<bigint>") \
         .groupBy("h").agg(F.count("*").alias("n"), F.first("word").alias("word"), F.first("known").alias("known"))
     words = met.where("n > 1").orderBy(F.desc("n"), "h").limit(HEAD_WORDS).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    # stored before the fold: a plan with shuffles is described anew after each of them, literal rank map included
+    words = staged(words.select("h", "word", "known"), "head-words", narrow=True)
     got = staged(words.select("h", F.coalesce("known", fold).cast("array<int>").alias("ids")), "head", narrow=True).toArrow()
     if not got.num_rows:
         return NO_HEAD
