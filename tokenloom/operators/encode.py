@@ -1,18 +1,24 @@
 """K1 / K3 / K4: text -> ids and ids -> text against a vocabulary table.
 
-Encoding is ``posexplode`` of the words, one join with the vocabulary (broadcast
-only if its counted size allows, else a sort-merge join whose hot words AQE splits),
-and an ordered regroup per row key.  Unknown words become ``unk``.
+Both go through ``chunked``: the distinct words (or ids) of a chunk of rows are joined with the vocabulary (broadcast
+only if its counted size allows, else a sort-merge join) and put in the rows' places; a learned-BPE tokenizer's pieces
+are bounded, so its words are merged and its ids spelt in the chunk.  Unknown words become ``unk``.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import IGNORE_INDEX
 from ..functions.text import words
-from .bpe import WORD_MARK, Subwords
+from . import chunked
+from .bpe import WORD_MARK, Subwords, _encoder
 from .vocab import Vocabulary
 
 
@@ -40,25 +46,107 @@ def lookup_ids(tokens: DataFrame, vocab: Vocabulary, tok_col: str = "_tok", out:
     return tokens.join(words_, tokens[tok_col] == F.col("_word"), "left").drop("_word")
 
 
+WORDS_KEPT = 300_000     # words whose pieces a task remembers between chunks
+
+
+def _word_ids(unk: int):
+    """Items' values: the id of each word, ``unk`` for words that were not found."""
+    def values(words: pa.Array, found: pa.Table):
+        at = pc.index_in(words, value_set=chunked.whole(found.column("_item"), words.type)).to_numpy(zero_copy_only=False)
+        known = ~np.isnan(at) if at.dtype.kind == "f" else np.ones(len(at), bool)
+        ids = np.full(len(words), unk, np.int32)
+        ids[known] = found.column("_value").to_numpy()[at[known].astype(np.int64)]
+        return ids.__getitem__, lambda off, codes: pa.LargeListArray.from_arrays(pa.array(off), pa.array(ids[codes]))
+    return values
+
+
+def _word_pieces(merges: list[tuple], vocab_rows: list[tuple]):
+    """Items' values: the ids of the pieces of each word."""
+    kept: dict = {}
+
+    def values(words: pa.Array, found):
+        encode = kept.setdefault("", _encoder(merges, vocab_rows)) if "" not in kept else kept[""]     # no word is empty
+        pieces = []
+        for w in words.to_pylist():
+            if w not in kept:
+                if len(kept) > WORDS_KEPT:
+                    kept.clear()
+                    kept[""] = encode
+                kept[w] = np.array(encode(w), np.int32)
+            pieces.append(kept[w])
+        flat = np.concatenate(pieces) if pieces else np.zeros(0, np.int32)
+        size = np.array([len(p) for p in pieces], np.int64)
+
+        def build(off, codes):
+            ends, ids = chunked.ragged(flat, size, off, codes)
+            return pa.LargeListArray.from_arrays(pa.array(ends), pa.array(ids))
+        return (lambda c: pieces[c].tolist()), build
+    return values
+
+
+def encode_rows(df: DataFrame, keys: list[str], text_col: str, vocab: Vocabulary, out: str = "input_ids",
+                merge: bool = False) -> DataFrame:
+    """``keys + out array<int>``, a row per row: ids of the words of ``text_col``, no special tokens.
+
+    Rows without a word get an empty array.  With ``merge`` rows of the same keys become one, their words in order of
+    place, then id.
+    """
+    rows = df.select(*keys, F.col(text_col).alias("_items"))
+    # rows of one key stay together only where they must: a key may be null, or the same, in very many rows
+    rows = chunked.in_chunks(rows, keys if merge else [*keys, "_items"], F.octet_length("_items"))
+    schema = chunked.out_schema(df, keys, out, "array<int>")
+    if isinstance(vocab, Subwords):
+        pieces = [(r["id"], r["token"]) for r in vocab.table.select("id", "token").collect()]   # merges and alphabet
+        return chunked.told(rows, keys, chunked.split_words, _word_pieces(vocab.merges, pieces), schema, merge)
+    unk = vocab.unk_id if vocab.unk_id is not None else 0
+    table = vocab.lookup().select(F.col("token").alias("_item"), F.col("id").cast("int").alias("_value"))
+    return chunked.look_up(rows, keys, chunked.split_words, table, _word_ids(unk), schema, merge)
+
+
 def encode_texts(df: DataFrame, keys: list[str], text_col: str, vocab: Vocabulary,
                  out: str = "input_ids") -> DataFrame:
-    """``keys + out array<int>``: ids of the words of ``text_col``, no special tokens.
+    """``keys + out array<int>``: ids of the words of ``text_col``, no special tokens, one row per distinct keys.
 
-    Rows whose text has no word keep one placeholder row through the join and end
-    with an empty array (kept, not dropped); one scan, one join, one regroup.
+    Rows whose text has no word end with an empty array (kept, not dropped).
     """
-    if not isinstance(vocab, Subwords) and vocab.broadcastable():
-        # the lookup is a broadcast (narrow) join: partition the texts by key first, so the
-        # per-row regroup reuses it and text, not token rows, crosses the shuffle
-        df = df.repartition(*keys)
-    toks = df.select(*keys, F.posexplode_outer(words(text_col)).alias("_pos", "_tok"))
-    if isinstance(vocab, Subwords):
-        item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_ids"))
-        grouped = lookup_ids(toks, vocab).groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_p"))
-        return grouped.select(*keys, F.flatten(F.transform("_p", lambda s: s["_ids"])).alias(out))
-    item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_id"))
-    grouped = lookup_tokens(toks, vocab).groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_p"))
-    return grouped.select(*keys, F.transform("_p", lambda s: s["_id"]).alias(out))
+    return encode_rows(df, keys, text_col, vocab, out, merge=True)
+
+
+def _id_items(pad: int):
+    def items(column: pa.ChunkedArray):
+        off, ids = chunked.list_items(column)
+        return off, pc.if_else(pc.equal(ids, IGNORE_INDEX), pa.scalar(pad, ids.type), ids)
+    return items
+
+
+def _id_tokens(sep: str):
+    """Items' values: the token of each id, '' for ids that were not found."""
+    def values(ids: pa.Array, found: pa.Table):
+        tokens = chunked.whole(found.column("_value"), pa.large_string())
+        at = pc.index_in(ids, value_set=chunked.whole(found.column("_item"), ids.type), skip_nulls=True)
+        tokens = pc.fill_null(tokens.take(at), "")
+
+        def build(off, codes):
+            return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(off), tokens.take(pa.array(codes))), pa.scalar(sep, pa.large_string()))
+        return (lambda c: tokens[c].as_py()), build
+    return values
+
+
+def _id_bytes(vocab_rows: list[tuple]):
+    """Items' values: the bytes that each id's piece stands for, none for ids that were not found."""
+    def spelt(token: str) -> bytes:
+        return bytes([int(token[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", token) else token.encode()
+    piece = {i: spelt(t) for i, t in vocab_rows}
+
+    def values(ids: pa.Array, found):
+        mine = [piece.get(i, b"") for i in ids.to_pylist()]
+        flat, size = np.frombuffer(b"".join(mine), np.uint8), np.array([len(p) for p in mine], np.int64)
+
+        def build(off, codes):
+            ends, data = chunked.ragged(flat, size, off, codes)
+            return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+        return mine.__getitem__, build
+    return values
 
 
 def decode_ids(df: DataFrame, keys: list[str], ids_col: str, vocab: Vocabulary,
@@ -68,21 +156,14 @@ def decode_ids(df: DataFrame, keys: list[str], ids_col: str, vocab: Vocabulary,
     A row with an empty or null id list is kept, with an empty text.  With ``Subwords`` the pieces
     are put together to words: byte pieces become bytes again, word marks become spaces.
     """
-    pad = vocab.pad_id if vocab.pad_id is not None else 0
-    # No pre-partitioning here: id arrays come from aggregations already clustered by
-    # their keys (e.g. packed blocks by batch), which the regroup below reuses.
-    ex = df.select(*keys, F.posexplode_outer(ids_col).alias("_pos", "_id"))
-    ex = ex.withColumn("_id", F.when(F.col("_id") == IGNORE_INDEX, F.lit(pad)).otherwise(F.col("_id")))
-    v = vocab.by_id().withColumnRenamed("id", "_vid").withColumnRenamed("token", "_vtok")
-    j = ex.join(v, ex["_id"] == F.col("_vid"), "left")
-    piece = F.coalesce("_vtok", F.lit(""))
-    if isinstance(vocab, Subwords):
-        # all pieces as hex digits, so that the bytes of one character meet again before decoding
-        is_byte = piece.rlike("^<0x[0-9A-F]{2}>$")
-        piece = F.when(is_byte, F.substring(piece, 4, 2)).otherwise(F.hex(F.encode(piece, "UTF-8")))
-    item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", piece.alias("_t")))
-    g = j.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_p"))
+    items = _id_items(vocab.pad_id if vocab.pad_id is not None else 0)
+    rows = df.select(*keys, F.col(ids_col).cast("array<int>").alias("_items"))
+    # ids are read twice, or more: what made them (an encoding) is not done again
+    rows = chunked.in_chunks(chunked.stored(rows, "ids"), keys, 8 * F.greatest(F.size("_items"), F.lit(0)))
     if isinstance(vocab, Subwords):
-        whole = F.decode(F.unhex(F.array_join(F.transform("_p", lambda s: s["_t"]), "")), "UTF-8")
-        return g.select(*keys, F.ltrim(F.replace(whole, F.lit(WORD_MARK), F.lit(" "))).alias(out))
-    return g.select(*keys, F.array_join(F.transform("_p", lambda s: s["_t"]), sep).alias(out))
+        pieces = [(r["id"], r["token"]) for r in vocab.table.select("id", "token").collect()]   # merges and alphabet
+        got = chunked.told(rows, keys, items, _id_bytes(pieces), chunked.out_schema(df, keys, "_bytes", "binary"), True)
+        whole = F.decode("_bytes", "UTF-8")
+        return got.select(*keys, F.ltrim(F.replace(whole, F.lit(WORD_MARK), F.lit(" "))).alias(out))
+    table = vocab.by_id().select(F.col("id").cast("int").alias("_item"), F.col("token").alias("_value"))
+    return chunked.look_up(rows, keys, items, table, _id_tokens(sep), chunked.out_schema(df, keys, out, "string"), True)

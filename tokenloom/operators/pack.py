@@ -2,10 +2,9 @@
 full blocks; the remainder of every batch is dropped, a batch shorter than one
 block gives nothing.
 
-Plan (offset form): word counts per row -> one window per batch (bounded by
-``batch_rows`` rows) for running offsets and the batch total -> explode words,
-keep only positions inside full blocks -> vocabulary join -> group by
-``(batch, block)``.  Every shuffle group holds at most ``block`` tokens or
+Plan (offset form): ids of every row (``encode.encode_rows``) -> one window per batch (bounded by
+``batch_rows`` rows) for running offsets and the batch total -> every row's ids cut where blocks begin
+-> group by ``(batch, block)``.  Every shuffle group holds at most ``block`` tokens or
 ``batch_rows`` rows, so no group grows with the corpus or with a hot key.
 """
 
@@ -14,9 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
 from .bpe import Subwords
-from .encode import encode_texts, lookup_tokens
+from .encode import encode_rows
 from .vocab import Vocabulary
 
 
@@ -49,28 +47,10 @@ def pack_text(df: DataFrame, ordinal: str, text_col: str, vocab: Vocabulary,
     """
     g = list(groups or [])
     extra = [batch_col] if batch_col is not None else []
-    if isinstance(vocab, Subwords):
-        enc = encode_texts(df.select(*g, *extra, ordinal, text_col), [*g, *extra, ordinal], text_col, vocab, "_ids")
-        return pack_encoded(enc, ordinal, "_ids", block, batch_rows, g, batch_col)
-    d = df.select(*g, *extra, ordinal, text_col).withColumn("_n", F.size(words(text_col)))
-    d = batch_offsets(d, ordinal, "_n", batch_rows, g, batch_col)
-    full = (F.col("_tot") / F.lit(block)).cast("bigint") * F.lit(block)
-    d = d.where((F.col("_off") < full) & (F.col("_n") > 0))
-    toks = d.select(*g, "_batch", "_off", full.alias("_full"),
-                    F.posexplode(words(text_col)).alias("_pos", "_tok"))
-    toks = toks.withColumn("_p", F.col("_off") + F.col("_pos")).where(F.col("_p") < F.col("_full"))
-    toks = toks.withColumn("_blk", (F.col("_p") / F.lit(block)).cast("bigint"))
-    ided = lookup_tokens(toks.select(*g, "_batch", "_blk", "_p", "_tok"), vocab)
-    blocks = ided.groupBy(*g, "_batch", "_blk").agg(
-        F.sort_array(F.collect_list(F.struct("_p", "_id"))).alias("_s"))
-    ids = F.transform("_s", lambda s: s["_id"])
-    return blocks.select(
-        *g,
-        F.col("_batch").alias("batch"),
-        F.col("_blk").alias("block"),
-        ids.alias("input_ids"),
-        F.array_repeat(F.lit(1), F.size("_s")).alias("attention_mask"),
-    )
+    # words are never merged: rows of one ordinal stay rows of their own; learned-BPE rows of one ordinal are one row
+    enc = encode_rows(df.select(*g, *extra, ordinal, text_col), [*g, *extra, ordinal], text_col, vocab, "_ids",
+                      merge=isinstance(vocab, Subwords))
+    return pack_encoded(enc, ordinal, "_ids", block, batch_rows, g, batch_col)
 
 
 def pack_encoded(df: DataFrame, ordinal: str, ids_col: str, block: int = 512, batch_rows: int = 1000,
