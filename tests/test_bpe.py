@@ -165,3 +165,13 @@ def test_encode_and_decompose(spark):
     full = py("the")
     mark = vocab.ids_of([WORD_MARK])[WORD_MARK]
     assert got == (full[1:] if full[0] == mark else full)
+
+
+def test_training_stores_one_state_of_the_blocks(spark):
+    """Between checkpoints the states of earlier rounds are freed, not kept beside the last one."""
+    counts = spark.createDataFrame([("abcab", 9), ("bcabc", 7), ("cabba", 5), ("aabb", 4), ("ccba", 3), ("babac", 2)], "token string, count long")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    stored = []
+    train_bpe(word_table(counts), 12, hot=4, checkpoint_every=100,
+              log=lambda r, batch, m: stored.append(spark.sparkContext._jsc.getPersistentRDDs().size() - before))
+    assert len(stored) >= 4 and max(stored) <= 1

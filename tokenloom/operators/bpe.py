@@ -79,7 +79,7 @@ def train_bpe(words: DataFrame, n_merges: int, hot: int = 200_000, split_digits:
     Counts of pairs that are not new never rise, so the list stays complete from its least count up; when the
     merges have come down to that count, all counts are made once more (if more than ``hot`` keys then share the
     first count, the pair that comes first among them is merged alone).  The blocks are cut from their lineage every
-    ``checkpoint_every`` rounds.
+    ``checkpoint_every`` rounds; between checkpoints one state of them is stored, the last.
     """
     spark = words.sparkSession
     sc = spark.sparkContext
@@ -149,12 +149,13 @@ def train_bpe(words: DataFrame, n_merges: int, hot: int = 200_000, split_digits:
         old = F.greatest(F.shiftright("key", 2 * merge_blocks.BITS), F.shiftright("key", merge_blocks.BITS).bitwiseAND(least),
                          F.when(F.col("key").bitwiseAND(least) == least, 0).otherwise(F.col("key").bitwiseAND(least))) < base
         rows = sums.where(old | (F.col("n") >= known.floor)).toArrow()   # watched keys, and new ones from the floor up
-        held.append((blocks, watched))
+        # the round is made: of the blocks one state is kept; a lost one is made again from the last checkpoint
+        blocks.unpersist()
+        held.append(watched)
         blocks = out
         if rounds % checkpoint_every == 0:
             # what came before is no longer needed, not even after the loss of an executor
-            for df, sent in held:
-                df.unpersist()
+            for sent in held:
                 sent.unpersist()
             held = []
         if again:
@@ -164,10 +165,9 @@ def train_bpe(words: DataFrame, n_merges: int, hot: int = 200_000, split_digits:
             known.change(list(zip(rows["key"].to_pylist(), rows["n"].to_pylist())))
             if len(known) > 2 * hot:
                 known.trim(hot)
-    for df, sent in held + [(blocks, None)]:
-        df.unpersist()
-        if sent is not None:
-            sent.unpersist()
+    blocks.unpersist()
+    for sent in held:
+        sent.unpersist()
     return merges
 
 
