@@ -69,6 +69,53 @@ def test_chain_and_many_pivot_rounds(docs_of, monkeypatch):
     assert got == {i: c for i, (_, c) in brute(rows, 3, 85).items()}
 
 
+def near_copies(seed, n, edits, size=200):
+    """Copies of one text with a few words changed, each in its own way: they share bands with many others."""
+    rng = random.Random(seed)
+    base = rng.choices([f"w{i}" for i in range(400)], k=size)
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(edits):
+            w[rng.randrange(size)] = f"n{rng.randrange(10 ** 9)}"
+        rows.append((3 * i + 1, " ".join(w)))
+    return rows
+
+
+def test_rows_of_a_group_of_near_copies(docs_of, monkeypatch, tmp_path):
+    """What is sent to be compared is a few rows per text of the group, not one per text and bucket."""
+    likely = N._likely
+
+    def counted(threshold):
+        step = likely(threshold)
+
+        def run(batches):
+            def seen():
+                for b in batches:
+                    with open(f"{tmp_path}/rows", "a") as f:
+                        f.write(f"{b.num_rows}\n")
+                    yield b
+            yield from step(seen())
+        return run
+    monkeypatch.setattr(N, "_likely", counted)
+    rows = near_copies(3, 80, 1)
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(docs_of(rows), k=5, percent=80).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 5, 80).items()}
+    sent = sum(int(x) for x in (tmp_path / "rows").read_text().split())
+    assert sent <= 16 * len(rows), sent
+
+
+def test_small_and_large_buckets_in_all_rounds(docs_of, monkeypatch):
+    """Buckets below and above the number of pivots, dealt to several tasks or not, link the same texts."""
+    rows = near_copies(4, 40, 12) + [(i + 1000, t) for i, t in near_copies(5, 30, 9)] + [(i + 2001, t) for i, t in corpus(6)]
+    want = {i: c for i, (_, c) in brute(rows, 5, 80).items()}
+    assert len(set(want.values())) > 10
+    for more, group in ((2, 4096), (4, 3), (32, 4096)):
+        monkeypatch.setattr(N, "MORE_PIVOTS", more)
+        monkeypatch.setattr(N, "GROUP", group)
+        assert {r.doc_id: r.component_id for r in N.near_duplicates(docs_of(rows), k=5, percent=80).collect()} == want
+
+
 def test_odd_rows(docs_of):
     text = "a b c d e f g"
     rows = [(1, text), (1, text), (None, text), (None, None), (2, text.upper()), (9, "q " * 200_000)]

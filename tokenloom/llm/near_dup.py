@@ -11,7 +11,8 @@ texts are compared with a few pivots, never all with all: what a pivot does not
 with further pivots, in rounds, until all members of the bucket lie in one component or every pair
 between different components has been compared.  So links are complete for the components while
 copies of one text cost one comparison each.  A bucket is streamed past its pivots' sketches, and a pair
-leaves the task only if its sketches are likely to pass, in the least bucket that both texts share.
+leaves the task only if its sketches are likely to pass, in the least bucket that both texts share (in the
+first round: once for the least members of all buckets).
 
 Check.  A pair first passes a size test and the collision-corrected Jaccard estimate of the two
 sketches (with a margin of 4.5 standard deviations), then the exact Jaccard test on full sets.
@@ -30,7 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm import textnum as tn
@@ -41,9 +42,9 @@ BUCKETS = 256
 BUCKET_BITS = 8
 MANTISSA = 10
 EMPTY = 0xFFFF
-FIRST_PIVOTS = 1        # pivots of a bucket in the first round
-MORE_PIVOTS = 32        # factor from round to round
+MORE_PIVOTS = 32        # pivots of a bucket: one in the first round, then this factor from round to round
 GROUP = 4096            # members of a bucket in one task
+PIVOT, MEMBER, BOTH = 0, 1, 2   # what a row is compared as; pivots come first
 
 
 def band_rows(threshold: float, miss: float = 1e-6) -> int:
@@ -195,8 +196,9 @@ def _likely(threshold: float):
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
                 if (bucket[lo], salt[lo]) != place:
                     place, pivots = (bucket[lo], salt[lo]), []
-                if kind[lo] == 0:
+                if kind[lo] != MEMBER:
                     pivots += [(rep[i], comp[i], size[i], regs[i], flat[off[i]:off[i + 1]]) for i in range(lo, hi)]
+                if kind[lo] == PIVOT:
                     continue
                 own, width = flat[off[lo]:off[hi]], np.diff(off[lo:hi + 1])
                 for p, pc, n, sketch_p, list_p in pivots:
@@ -248,19 +250,55 @@ def _verify(percent: int):
     return run
 
 
+def _salted(size: DataFrame, *keep) -> DataFrame:
+    """One row per task of a group: a large one is dealt to several tasks (salts), each with all its pivots."""
+    return size.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts")))).select("salt", *keep)
+
+
+def _first_candidates(open_: DataFrame, side: DataFrame, threshold: float) -> DataFrame:
+    """Likely pairs (p, m, pc, mc, salt) of the least member of each bucket with its other members.
+
+    Most buckets of a group of near copies have the same few least members, so each (pivot, member) is taken once.
+    """
+    met = open_.where("rep <> pivot").select("pivot", "rep").distinct()
+    size = met.groupBy("pivot").agg(F.floor(F.count("*") / GROUP).cast("int").alias("salts"))
+    members = met.join(size, "pivot").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts") + 1).cast("int")) \
+        .select("pivot", "salt", F.lit(MEMBER).alias("kind"), "rep")
+    rows = members.unionByName(_salted(size, "pivot", F.lit(PIVOT).alias("kind"), F.col("pivot").alias("rep"))) \
+        .join(side.select("rep", "n_shingles", "sketch"), "rep")
+    return _compared(rows.select(F.col("pivot").alias("bucket"), "salt", "kind", "rep", F.col("rep").alias("comp"), "n_shingles", "sketch",
+                                 F.array("pivot").alias("buckets")), threshold)
+
+
+def _open(members: DataFrame, alive: DataFrame, pivots: int) -> DataFrame:
+    """(bucket, rep, comp, c) of the buckets ``alive``; c, the bucket's size, only if that is above ``pivots``."""
+    few = members.join(alive.where(F.col("c") <= pivots).select("bucket"), "bucket", "left_semi")
+    many = members.join(alive.where(F.col("c") > pivots), "bucket")
+    return many.select("bucket", "rep", "comp", "c").unionByName(few.select("bucket", "rep", "comp", F.lit(None).cast("long").alias("c")))
+
+
 def _candidates(open_: DataFrame, side: DataFrame, pivots: int, threshold: float) -> DataFrame:
-    """Likely pairs (p, m, pc, mc, salt) of the first ``pivots`` members of each bucket with its other members."""
-    n = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = Window.partitionBy("bucket").orderBy("rep")
-    chosen = open_.withColumn("r", F.row_number().over(first)).where(F.col("r") <= pivots).drop("r")
-    # members of a large bucket are dealt to several tasks, each with all pivots
-    size = open_.groupBy("bucket").agg((F.floor(F.count("*") / GROUP)).cast("int").alias("salts"))
-    members = open_.join(size, "bucket").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts") + 1).cast("int")) \
-        .select("bucket", "salt", F.lit(1).alias("kind"), "rep", "comp")
-    heads = chosen.join(size, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts")))) \
-        .select("bucket", "salt", F.lit(0).alias("kind"), "rep", "comp")
-    rows = members.unionByName(heads).join(side, "rep")
-    return (rows.repartition(n, "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind")
+    """Likely pairs (p, m, pc, mc, salt) of the first ``pivots`` members of each bucket with its other members.
+
+    The members of a bucket that has no more are all pivots of one another, sent once.
+    """
+    few = open_.where("c is null").select("bucket", F.lit(0).alias("salt"), F.lit(BOTH).alias("kind"), "rep", "comp")
+    many = open_.where("c is not null").withColumn("salts", F.floor(F.col("c") / GROUP).cast("int"))
+    members = many.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts") + 1).cast("int")) \
+        .select("bucket", "salt", F.lit(MEMBER).alias("kind"), "rep", "comp")
+    heads = _salted(_first(many, pivots), "bucket", F.lit(PIVOT).alias("kind"), "rep", "comp")
+    return _compared(few.unionByName(members).unionByName(heads).join(side, "rep"), threshold)
+
+
+def _first(members: DataFrame, pivots: int) -> DataFrame:
+    """The first members of each bucket."""
+    w = Window.partitionBy("bucket").orderBy("rep")
+    return members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pivots).drop("r")
+
+
+def _compared(rows: DataFrame, threshold: float) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.repartition(n, "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind", "rep")
             .select("bucket", "salt", "kind", "rep", "comp", "n_shingles", "sketch", "buckets")
             .mapInArrow(giving_back(_likely(threshold)), "p long, m long, pc long, mc long, salt long"))
 
@@ -294,39 +332,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                        F.first("sketch").alias("sketch")), "classes")
     keys = reps.select("rep", "sketch").mapInArrow(giving_back(_band_keys(band_rows(percent / 100))), "rep long, bucket long")
     keys = staged(keys, "bands")
-    shared = keys.groupBy("bucket").agg(
-        F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi"),
-        F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 40))).alias("s")).where("c > 1")
-    # buckets of the same members (most bands of true copies) are needed once
-    once = shared.groupBy("c", "lo", "hi", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
-    open_ = staged(keys.join(once, "bucket", "left_semi").select("bucket", "rep", F.col("rep").alias("comp")), "open")
+    once = _once(_signed(keys).where("c > 1")).select("bucket", F.col("lo").alias("pivot"))
+    open_ = staged(keys.join(once, "bucket").select("bucket", "rep", "pivot"), "open")
     label = None
     if not open_.isEmpty():
-        wanted = open_.select("rep").distinct()
-        label = staged(wanted.select("rep", F.col("rep").alias("comp")), "labels", narrow=True)
-        # The join is a merge at every size: whether the ids would fit a broadcast grows with the data.
-        sets = _full_sets(docs.join(wanted.hint("merge"), docs.doc_id == wanted.rep, "left_semi").where("text is not null"), k)
-        mine = open_.groupBy("rep").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # one per band at most
+        # a row per text from here on, its buckets in an array (one per band at most): rows per bucket are made of those still open
+        mine = open_.groupBy("rep").agg(F.collect_set(F.when(F.col("rep") != F.col("pivot"), F.col("bucket"))).alias("rest"))
         side = staged(reps.select("rep", "n_shingles", "sketch").join(mine, "rep"), "open-sketches")
-        pivots = FIRST_PIVOTS
-        while not open_.isEmpty():
-            likely = staged(_candidates(open_, side, pivots, percent / 100), "likely", narrow=True)
-            first = Window.partitionBy("bucket").orderBy("rep")
-            done = open_.withColumn("r", F.row_number().over(first)).where(F.col("r") <= pivots).select("bucket", "rep")
-            merged = staged(components(_links(likely, sets, percent)), "merged", narrow=True) \
-                .select(F.col("node").alias("comp"), "component")
-            label = staged(_relabelled(label, merged, "rep"), "labels", narrow=True)
-            rest = _relabelled(open_.join(done, ["bucket", "rep"], "left_anti"),
-                               merged, "bucket", "rep")
-            alive = rest.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")) \
-                .where("x <> y").select("bucket")
-            open_ = staged(rest.join(alive, "bucket", "left_semi"), "open", narrow=True)
+        # The join is a merge at every size: whether the ids would fit a broadcast grows with the data.
+        sets = _full_sets(docs.join(side.select("rep").hint("merge"), docs.doc_id == F.col("rep"), "left_semi").where("text is not null"), k)
+        likely = staged(_first_candidates(open_, side, percent / 100), "likely", narrow=True)
+        label = _relabelled(side.select("rep", F.col("rep").alias("comp"), "rest"), likely, sets, percent)
+        side = side.drop("rest")
+        pivots = MORE_PIVOTS
+        while True:
+            members = staged(label.select("rep", "comp", F.explode("rest").alias("bucket")), "members", narrow=True)
+            alive = _signed(members, F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+            alive = staged(_once(alive).select("bucket", "c"), "alive", narrow=True)
+            if alive.isEmpty():
+                break
+            open_ = staged(_open(members, alive, pivots), "open", narrow=True)
+            mine = open_.groupBy("rep").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
+            likely = staged(_candidates(open_, side.join(mine, "rep"), pivots, percent / 100), "likely", narrow=True)
+            many = open_.where("c is not null")
+            done = _first(many, pivots).groupBy("rep").agg(F.collect_set("bucket").alias("done"))
+            rest = many.groupBy("rep").agg(F.collect_set("bucket").alias("rest")).join(done, "rep", "left") \
+                .select("rep", F.when(F.col("done").isNull(), F.col("rest")).otherwise(F.array_except("rest", "done")).alias("rest"))
+            label = _relabelled(label.select("rep", "comp").join(rest, "rep", "left"), likely, sets, percent)
             pivots *= MORE_PIVOTS
     return _labelled(rows, reps, label)
 
 
-def _relabelled(table: DataFrame, merged: DataFrame, *keys: str) -> DataFrame:
-    return table.join(merged, "comp", "left").select(*keys, F.coalesce("component", "comp").alias("comp"))
+def _signed(members: DataFrame, *more: Column) -> DataFrame:
+    """Per bucket its number of members and what tells their set from others."""
+    return members.groupBy("bucket").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi"),
+                                         F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 40))).alias("s"), *more)
+
+
+def _once(signed: DataFrame) -> DataFrame:
+    """One bucket of those with the same members (most bands of true copies): each is needed once."""
+    return signed.groupBy("c", "lo", "hi", "s").agg(F.min("bucket").alias("bucket"))
+
+
+def _relabelled(label: DataFrame, likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``label`` (rep, comp, rest) with the components that the links among the likely pairs join."""
+    merged = staged(components(_links(likely, sets, percent)), "merged", narrow=True).select(F.col("node").alias("comp"), "component")
+    return staged(label.join(merged, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp"), "rest"), "labels", narrow=True)
 
 
 def _full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -340,7 +391,7 @@ def _labelled(rows: DataFrame, reps: DataFrame, label: DataFrame | None) -> Data
     if label is None:
         classes = classes.withColumn("comp", F.col("rep"))
     else:
-        classes = classes.join(label, "rep", "left")
+        classes = classes.join(label.select("rep", "comp"), "rep", "left")
     by_class = classes.select("set_key", F.coalesce("comp", "rep").alias("c"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
     cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))

@@ -52,7 +52,7 @@ def bounded_batches(spark: SparkSession, rows: int = ROWS_AT_ONCE) -> None:
         spark.conf.set(key, rows)
 
 
-PLAN_TEXT = 100_000
+PLAN_TEXT = 10_000
 
 
 def let_go(spark: SparkSession) -> None:
