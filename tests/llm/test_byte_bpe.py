@@ -46,6 +46,40 @@ def test_perfect_table(lib):
     assert sum(x != 1 << 50 for x in table) == len(pairs)
 
 
+def test_shifted_table(lib):
+    """Two reads give every pair's rank, and for any other pair a number that is neither a rank nor a symbol of the state."""
+    pairs = B.pair_ranks(lib[0])
+    table = B.shifted_table(pairs)
+
+    def ranks(a, b):
+        return table[table[a + 65536] + b + 65536] ^ (a + 65536 << 17)
+    keys = np.array(list(pairs))
+    assert (ranks(keys >> 16, keys & 65535) == list(pairs.values())).all()
+    rng = np.random.default_rng(4)
+    some = rng.integers(0, 1 << 32, 200_000)
+    some = np.append(some[~np.isin(some, keys)], [65535, 65535 << 16, (1 << 32) - 1])
+    assert (ranks(some >> 16, some & 65535) >= 131072).all()
+
+
+def test_fold_from_first_states(lib, spark):
+    """The fold starts from states that hold the ranks of byte pairs; words of 0 to 64 bytes, and rows without a word."""
+    import pyarrow as pa
+    ranks, enc = lib
+    rng = random.Random(8)
+    words = ["".join(rng.choices(["a", "b", "e", "in", "ing", "the", "é", "中", "#", "1"], k=rng.randint(1, 30))).encode()[:64] for _ in range(400)]
+    words += [b"a", b"ab", b"abab", b"\xff\x00"]
+    symbols, size = B.byte_symbols(words, ranks)
+    column = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(symbols))
+    states = B.fold_states(column.slice(5), ranks)
+    assert states.to_pylist() == B.fold_states(column, ranks).to_pylist()[5:]
+    assert [s[::2] for s in states.to_pylist()] == [[x + 65536 for x in w] for w in column.to_pylist()[5:]]
+    rows = [(i, s) for i, s in enumerate(states.to_pylist(), 5)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "i int, state array<bigint>")
+    got = {r.i: r.ids for r in df.select("i", B.fold_merges(df.state, ranks).alias("ids")).collect()}
+    assert got.pop(-1) is None
+    assert got == {i: enc._encode_single_piece(w) for i, w in enumerate(words) if i >= 5}
+
+
 def test_rows_equal_the_library(lib, docs_of):
     ranks, enc = lib
     texts = [None, "", "Hello, world! It's 2024.\n\n  Größe déjà-vu  ", "#" * 5000 + " " + "ab" * 700, "<|endoftext|> don't 中文 😀\t\r\n x",

@@ -10,9 +10,9 @@ Encoding runs in one narrow pass over the texts without a shuffle:
    slice: one row per word that is neither in the head nor met before (the symbols of its bytes), ``WORDS_AT_ONCE`` to a batch, then
    one row per document that ended in the slice, with its words as references into the head and the words met.
 2. Spark higher-order functions encode each distinct word: ``aggregate`` folds merges over the array
-   of symbols; the state is the symbols and the rank of every adjacent pair, and each step merges the
-   leftmost pair of least rank.  The rank map is a literal: a table with one slot per pair, found by a
-   perfect hash, so that one look-up is two array reads.
+   of symbols; the state is one array of the symbols with the rank of every adjacent pair between its two (the first
+   state comes from step 1), and each step merges the leftmost pair of least rank.  The rank map is a literal: a table
+   of shifted rows with one slot per pair, so that one look-up is two array reads.
 3. An Arrow step keeps the ids of the words met, replaces the references by them and decodes the ids again by
    concatenating the binary pieces.
 
@@ -50,6 +50,10 @@ FOLD_BYTES = 64
 _END = 65535            # sentinel symbol around a word; no pair with it has a rank
 _FREE = 1 << 50         # free slot of the rank map
 _SLOTS_PER_PAIR = 1.6
+_ID = 65536             # added to the symbols of a fold's state, where ranks are below it
+_PLAIN = 2 * _ID        # least rank of no piece
+_TAG = 17               # bits of a rank in a slot, the left symbol above them
+_STEP = 4096            # places tried at a time for a row of the rank map
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")   # fixed values: contractions of the pattern
 
 
@@ -75,7 +79,7 @@ def _prime(n: int) -> int:
 
 
 def perfect_table(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
-    """(table, shift): slot of a key is (key + shift[key % len(shift)]) % len(table).
+    """(table, shift): slot of a key is (key + shift[key % len(shift)]) % len(table).  ``shifted_table`` costs the fold less.
 
     A used slot holds key * 65536 + rank.  Keys of one shift group differ modulo the table's length
     because both lengths are primes whose product exceeds every key.
@@ -113,41 +117,110 @@ def byte_symbols(words: list[bytes], ranks: dict[bytes, int]) -> tuple[np.ndarra
     return out, size
 
 
-def fold_merges(symbols: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids (array<bigint>) of one word given as the symbols of its bytes (``byte_symbols``)."""
-    table, shift = perfect_table(pair_ranks(ranks))
-    size, groups = len(table), len(shift)
-    tables = F.struct(_literal(table).alias("slots"), _literal(shift).alias("shift"))
+def shifted_table(pairs: dict[int, int]) -> np.ndarray:
+    """One array in which two look-ups give the rank of a pair: ``t[t[a + _ID] + b + _ID] ^ (a + _ID) << _TAG`` is it, or at least _PLAIN.
 
+    The right symbols of a left one are a row; rows are shifted, the longest first, to where their slots are free.
+    A used slot holds its left symbol and the rank, so that no other row finds it; free slots hold 0.
+    """
+    keys = np.sort(np.fromiter(pairs, np.int64, len(pairs)))
+    left, right = keys >> 16, keys & 0xFFFF
+    cut = np.flatnonzero(np.diff(left, prepend=-1))
+    ends = np.append(cut[1:], len(left))
+    free, shift, low = np.ones(_ID * 4, bool), np.zeros(_ID, np.int64), 0
+    for row in np.argsort(cut - ends, kind="stable"):
+        cols = right[cut[row]:ends[row]]
+        at = max(0, low - int(cols[0]))
+        while True:
+            if at + int(cols[-1]) + _STEP > len(free):
+                free = np.append(free, np.ones(len(free), bool))
+            fits = free[at + cols[0]:at + cols[0] + _STEP].copy()
+            for c in cols[1:]:
+                fits &= free[at + c:at + c + _STEP]
+                if not fits.any():
+                    break
+            if fits.any():
+                break
+            at += _STEP
+        at += int(fits.argmax())
+        free[at + cols] = False
+        shift[left[cut[row]]] = at
+        while not free[low]:
+            low += 1
+    out = np.zeros(2 * _ID + int(shift.max()) + _ID, np.int64)
+    out[_ID:2 * _ID] = shift + _ID
+    rank = np.array([pairs[k] for k in keys.tolist()], np.int64)
+    out[2 * _ID + shift[left] + right] = (left + _ID << _TAG) | rank
+    return out
+
+
+def fold_merges(state: Column, ranks: dict[bytes, int]) -> Column:
+    """Ids (array<bigint>) of one word given as its first state (``fold_states``).
+
+    A state is one array: symbols, _ID added to each, with the rank of a pair between its two.  Ranks of pieces are the
+    least numbers in it and ranks of no piece the largest, so the least number tells the pair to merge.
+    """
     def encode(t: Column) -> Column:
         def rank(a: Column, b: Column) -> Column:
-            """The rank of a pair, or a number of at least 65536 if it is no piece."""
-            key = a * F.lit(65536).cast("long") + b
-            slot = (key + F.get(t["shift"], (key % groups).cast("int"))) % size
-            return F.get(t["slots"], slot.cast("int")).bitwiseXOR(key * F.lit(65536).cast("long"))
-
-        def start(ids: Column) -> Column:
-            pairs = F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: rank(F.get(ids, i), F.get(ids, i + 1)))
-            return F.struct(ids.alias("ids"), pairs.alias("pairs"))
+            return t[t[a] + b].bitwiseXOR(F.shiftleft(a, _TAG))
 
         def merge(s: Column) -> Column:
-            def at(i: Column) -> Column:   # i: 1-based place of the pair to merge
-                ids, pairs = s["ids"], s["pairs"]
-                new = F.get(pairs, i - 1)
-                return F.when(new < 65536, F.struct(
-                    F.concat(F.slice(ids, F.lit(1), i - 1), F.array(new), F.slice(ids, i + 2, F.size(ids))).alias("ids"),
-                    F.concat(F.slice(pairs, F.lit(1), i - 2),
-                             F.array(rank(F.get(ids, i - 2), new), rank(new, F.get(ids, i + 1))),
-                             F.slice(pairs, i + 2, F.size(pairs))).alias("pairs"))).otherwise(s)
-            place = F.array_position(s["pairs"], F.array_min(s["pairs"])).cast("int")
-            return F.get(F.transform(F.array(place), at), F.lit(0))
+            def at(i: Column) -> Column:   # i: 1-based place of the rank of the pair to merge
+                new = s[i - 1] + _ID
+                return F.when(s[i - 1] < _ID, F.concat(F.slice(s, F.lit(1), i - 3),
+                                                       F.array(rank(s[i - 4], new), new, rank(new, s[i + 2])),
+                                                       F.slice(s, i + 3, F.size(s)))).otherwise(s)
+            return F.transform(F.array(F.array_position(s, F.array_min(s)).cast("int")), at)[0]
+
+        def fold(first: Column) -> Column:   # a word of n bytes has n + 2 symbols and n + 1 ranks
+            steps = F.sequence(F.lit(1), F.shiftright(F.size(first), 1) - 2)
+            ids = F.aggregate(steps, first, lambda s, _: merge(s), lambda s: F.filter(s, lambda x: x < _ID + _END))
+            return F.transform(ids, lambda x: x - _ID)
+        return F.transform(F.array(state), fold)[0]
+
+    return F.transform(F.array(_literal(shifted_table(pair_ranks(ranks)).tolist())), encode)[0]
+
+
+def fold_states(word: pa.ListArray, ranks: dict[bytes, int]) -> pa.ListArray:
+    """First states of words given as symbols (``byte_symbols``): each pair of bytes with its rank."""
+    of_byte, ranks_of = _byte_pairs(ranks)
+    off = word.offsets.to_numpy().astype(np.int64)
+    flat = word.values.to_numpy()[off[0]:off[-1]]
+    off, n = off - off[0], np.diff(off)
+    at = of_byte[flat]
+    out = np.empty(2 * len(flat), np.int64)
+    out[::2] = flat + _ID
+    out[1:-1:2] = ranks_of[at[:-1], at[1:]]
+    keep = np.ones(len(out), bool)
+    keep[2 * off[1:][n > 0] - 1] = False          # nothing stands behind a word's last symbol
+    new = np.zeros(len(off), np.int32)
+    np.cumsum(np.where(n > 0, 2 * n - 1, 0), out=new[1:])
+    return pa.ListArray.from_arrays(pa.array(new), pa.array(out[keep]))
+
+
+def _byte_pairs(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(byte of each symbol that is one, else 256; rank of each pair of bytes, no piece's above all ids)."""
+    of_byte = np.full(_ID, 256, np.int64)
+    of_byte[[ranks[bytes([i])] for i in range(256)]] = np.arange(256)
+    out = np.full((257, 257), 1 << 40, np.int64)
+    for p, r in ranks.items():
+        if len(p) == 2:
+            out[p[0], p[1]] = r
+    return of_byte, out
 
-        def fold(ids: Column) -> Column:
-            return F.aggregate(F.sequence(F.lit(1), F.size(ids) - 2), start(ids), lambda s, _: merge(s),
-                               lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2))
-        return F.get(F.transform(F.array(symbols), fold), F.lit(0))
 
-    return F.get(F.transform(F.array(tables), encode), F.lit(0))
+def _begun(file_bytes, step=None):
+    """The Arrow step, with the words of its rows as first states; without a step, of the rows it gets."""
+    def run(batches):
+        ranks = load_ranks(file_bytes.value)
+        for b in batches if step is None else step(batches):
+            i = b.schema.get_field_index("word")
+            word = b.column(i)
+            cells = fold_states(word, ranks)
+            if word.null_count:
+                cells = pa.ListArray.from_arrays(cells.offsets, cells.values, mask=word.is_null())
+            yield b.set_column(i, "word", cells)
+    return run
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -484,7 +557,7 @@ def encode_bytes(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     fold = fold_merges(F.col("word"), load_ranks(data))
     head = sc.broadcast(learn_head(rows, shipped, fold))  # HEAD_WORDS words of FOLD_BYTES bytes at most
-    split = rows.mapInArrow(giving_back(_split(shipped, head)), _ROWS_SQL)
+    split = rows.mapInArrow(giving_back(_begun(shipped, _split(shipped, head))), _ROWS_SQL)
     folded = F.when(F.col("kind") == 0, F.coalesce("known", fold))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     folded = split.select("kind", "chunk", "doc_id", folded.alias("ids"), "refs")
@@ -499,7 +572,8 @@ def learn_head(rows: DataFrame, shipped, fold: Column) -> Head:
         .groupBy("h").agg(F.count("*").alias("n"), F.first("word").alias("word"), F.first("known").alias("known"))
     words = met.where("n > 1").orderBy(F.desc("n"), "h").limit(HEAD_WORDS).repartition(rows.sparkSession.sparkContext.defaultParallelism)
     # stored before the fold: a plan with shuffles is described anew after each of them, literal rank map included
-    words = staged(words.select("h", "word", "known"), "head-words", narrow=True)
+    words = staged(words.select("h", "word", "known"), "head-words", narrow=True) \
+        .mapInArrow(giving_back(_begun(shipped)), "h long, word array<bigint>, known array<bigint>")
     got = staged(words.select("h", F.coalesce("known", fold).cast("array<int>").alias("ids")), "head", narrow=True).toArrow()
     if not got.num_rows:
         return NO_HEAD
