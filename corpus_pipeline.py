@@ -4,8 +4,8 @@ Every stage but the last returns the columns of ``documents``; a stage that take
 others as they are.  Rows with a null id are never taken out for what another row holds.
 
 Every stage has the session hand texts to Python in batches of 1,000 rows at most (``bounded_batches``), as the stages
-share their executors, and begins with freeing what the stages before it left on the driver (``let_go``); no result
-depends on either.
+share their executors, and begins with freeing what the stages before it left on the driver (``let_go``) and in the
+executors' heaps (``let_go_on_executors``); no result depends on any of them.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from tokenloom.llm.byte_bpe import encode_bytes
 from tokenloom.llm.decontaminate import find_leaks
 from tokenloom.llm.near_dup import near_duplicates
 from tokenloom.llm.secret_scan import redact_column
-from tokenloom.llm.stage import bounded_batches, let_go, read, staged
+from tokenloom.llm.stage import bounded_batches, let_go, let_go_on_executors, read, staged
 from tokenloom.llm.toxicity import ToxicityModel
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,6 +28,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def _begin(spark: SparkSession) -> None:
     bounded_batches(spark)
     let_go(spark)
+    let_go_on_executors(spark)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

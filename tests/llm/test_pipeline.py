@@ -1,5 +1,8 @@
+import os
 import random
 import re
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +92,17 @@ def test_stages_bound_the_batches_that_python_gets(spark):
             assert spark.conf.get(key) == want
     finally:
         spark.conf.set(key, before)
+
+
+def test_stages_begin_with_a_collection_on_the_executors(spark):
+    def full():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+    before = full()
+    P.secret_scan(spark, spark.createDataFrame([], SCHEMA), "")
+    assert full() - before >= 1 + spark.sparkContext.defaultParallelism   # the driver's, then a task per core
+
+
+def test_stage_modules_leave_spark_ml_out_of_python_workers():
+    code = "import sys, tokenloom.llm.toxicity, tokenloom.llm.byte_bpe; sys.exit('pyspark.ml' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(P.__file__)).returncode == 0

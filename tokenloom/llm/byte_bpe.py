@@ -183,7 +183,10 @@ def fold_merges(state: Column, ranks: dict[bytes, int]) -> Column:
 
 def fold_states(word: pa.ListArray, ranks: dict[bytes, int]) -> pa.ListArray:
     """First states of words given as symbols (``byte_symbols``): each pair of bytes with its rank."""
-    of_byte, ranks_of = _byte_pairs(ranks)
+    return _first_states(word, *_byte_pairs(ranks))
+
+
+def _first_states(word: pa.ListArray, of_byte: np.ndarray, ranks_of: np.ndarray) -> pa.ListArray:
     off = word.offsets.to_numpy().astype(np.int64)
     flat = word.values.to_numpy()[off[0]:off[-1]]
     off, n = off - off[0], np.diff(off)
@@ -212,11 +215,11 @@ def _byte_pairs(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
 def _begun(file_bytes, step=None):
     """The Arrow step, with the words of its rows as first states; without a step, of the rows it gets."""
     def run(batches):
-        ranks = load_ranks(file_bytes.value)
+        pairs = _byte_pairs(load_ranks(file_bytes.value))   # the map itself goes: the step holds its own
         for b in batches if step is None else step(batches):
             i = b.schema.get_field_index("word")
             word = b.column(i)
-            cells = fold_states(word, ranks)
+            cells = _first_states(word, *pairs)
             if word.null_count:
                 cells = pa.ListArray.from_arrays(cells.offsets, cells.values, mask=word.is_null())
             yield b.set_column(i, "word", cells)

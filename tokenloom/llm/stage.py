@@ -8,6 +8,7 @@ import gc
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tokenloom.session import stage_dir
 
@@ -69,6 +70,17 @@ def let_go(spark: SparkSession) -> None:
         _trim()(0)
 
 
+def let_go_on_executors(spark: SparkSession) -> None:
+    """A collection in the executors' JVMs, by one small task per core; call it between stages, after ``let_go``.
+
+    A JVM's heap keeps the size that the largest stage so far gave it, garbage included, beside the Python workers of the
+    next one.  An executor that gets no task keeps its heap; no result depends on it.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done")) \
+        .write.format("noop").mode("overwrite").save()
+
+
 def giving_back(step):
     """An Arrow step over at most ROWS_AT_ONCE rows at a time that returns freed memory to the system at its end.
 

@@ -24,9 +24,6 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -224,7 +221,12 @@ def _remainder(col):
 class ToxicityModel:
     """Lexicon, trees and calibration learned from (doc_id, text) and (doc_id, toxic)."""
 
+    # Spark's learners are imported where they are used: Python workers load this module for its Arrow steps and keep it
+
     def __init__(self, docs: DataFrame, labels: DataFrame):
+        from pyspark.ml.classification import GBTClassifier
+        from pyspark.ml.functions import array_to_vector
+        from pyspark.ml.regression import IsotonicRegression
         spark = docs.sparkSession
         known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")) \
             .agg(F.max("toxic").cast("int").alias("label")).where(_remainder(F.col("doc_id")) != 2)
@@ -250,10 +252,12 @@ class ToxicityModel:
             self.calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(held)
 
     def _raw(self, rows: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
         return self.trees.transform(rows).withColumn("raw", vector_to_array("probability")[1])
 
     def score(self, docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """The carried columns, held_out, score, predicted of every row."""
+        from pyspark.ml.functions import array_to_vector
         rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
         if self.trees is None:
             out = rows.select(*carry, F.lit(0.0).alias("score"))
