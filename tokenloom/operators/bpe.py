@@ -1,10 +1,9 @@
 """Byte-pair merges learned from a word table, encoding with them,
 and decomposition of new pieces into old ids.
 
-Training keeps the distinct words on the executors, in blocks with an inverted index from a pair to the
-words that hold it.  Pair and triple counts are made once (partial sums absorb hot words); a bounded list of the most
-frequent ones goes to the driver, which tells an exact batch of merges from them, as many as follow without
-recounting.  A round touches only the words that hold a merged pair and sends back how counts changed.  The
+Training keeps the distinct words on the executors, in blocks.  A round cuts them where neighbours are too rare to be merged
+in it and brings the distinct pieces left to the driver, which learns from them, exactly, all merges down to a
+count (``merge_segments``; partial sums absorb hot words).  The
 merge list is the one sequential BPE produces with ties broken by (count desc, left, right); lineage is cut with
 a reliable checkpoint every few rounds.
 
@@ -26,13 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import spread
-from . import merge_blocks
-from .merge_plan import Known, Round
+from . import merge_segments
 from .vocab import SPECIAL_TOKENS, Vocabulary
 
 # Fixed value: the word-start mark (U+2581) used by SentencePiece-style vocabularies.
 WORD_MARK = "▁"
 _DIGIT = re.compile("[0-9]")
+MOST_PAIRS = 200_000     # pairs on the driver in a round of training
 
 
 def byte_tokens() -> list[str]:
@@ -68,17 +67,14 @@ def pair_counts(words: DataFrame, split_digits: bool = True) -> DataFrame:
     return _pair_rows(words, split_digits).groupBy("a", "b").agg(F.sum("cnt").alias("cnt"))
 
 
-def train_bpe(words: DataFrame, n_merges: int, hot: int = 200_000, split_digits: bool = True,
+def train_bpe(words: DataFrame, n_merges: int, hot: int = 4_000_000, split_digits: bool = True,
               checkpoint_every: int = 8, log=None) -> list[tuple]:
     """A3: up to ``n_merges`` merges ``(a, b, count)`` in rank order, the list that sequential BPE gives.
 
-    The words stay on the executors, in blocks with an inverted index of their pairs (``merge_blocks``).  The driver
-    holds the exact counts of about ``hot`` pairs and triples, the most frequent ones.  A round is one job: the merges
-    that can be told without recounting (``merge_plan``) go to the blocks, which rewrite the words that hold one
-    of their pairs and send back how the counts of the driver's keys and of keys with a new symbol changed.
-    Counts of pairs that are not new never rise, so the list stays complete from its least count up; when the
-    merges have come down to that count, all counts are made once more (if more than ``hot`` keys then share the
-    first count, the pair that comes first among them is merged alone).  The blocks are cut from their lineage every
+    The words stay on the executors, in blocks (``merge_segments``).  A round counts all pairs, picks a least count, brings to the
+    driver the distinct segments that the pairs of this count or more leave of the words (about ``hot`` symbols in all), learns
+    there all merges down to the least count, and rewrites the blocks.  If more than ``hot`` symbols, or pairs, share the first
+    count, the pair that comes first among them is merged alone.  The blocks are cut from their lineage every
     ``checkpoint_every`` rounds; between checkpoints one state of them is stored, the last.
     """
     spark = words.sparkSession
@@ -87,87 +83,84 @@ def train_bpe(words: DataFrame, n_merges: int, hot: int = 200_000, split_digits:
     start = work.select(F.explode(F.split("syms", " ")).alias("s")).distinct().collect()   # the alphabet
     names = sorted(r["s"] for r in start)
     numbers = {s: i for i, s in enumerate(names)}
-    known = Known(names)
+    most = min(hot, MOST_PAIRS)
+    bits = (hot >> 14).bit_length()          # one in 2^bits segments tells how many there are
 
     def plain() -> np.ndarray:
         return np.array([not (split_digits and _DIGIT.search(s)) for s in names], bool)
 
-    def all_counts() -> DataFrame:
-        return blocks.where("state is not null").mapInArrow(merge_blocks.count(plain()), merge_blocks.SCHEMA) \
-            .groupBy("key").agg(F.sum("delta").alias("n")).where("n > 0")
-
-    def recount() -> None:
-        rows = all_counts().orderBy(F.desc("n"), "key").limit(hot).toArrow()
-        pairs = list(zip(rows["key"].to_pylist(), rows["n"].to_pylist()))
-        known.load(pairs, pairs[-1][1] + 1 if len(pairs) == hot else 1)
-
-    def first_pair() -> list[tuple[int, int, int, int]]:
+    def first_pair(counts: DataFrame) -> list[tuple[int, int, int, int]]:
         """The one pair that sequential BPE merges next."""
         place = {i: n for n, i in enumerate(sorted(range(len(names)), key=names.__getitem__))}
         order = F.split(F.lit(",".join(str(place[i]) for i in range(len(names)))), ",").cast("array<int>")
-        low = F.lit(merge_blocks.NONE)
-        a, b = F.shiftright("key", 2 * merge_blocks.BITS), F.shiftright("key", merge_blocks.BITS).bitwiseAND(low)
-        row = all_counts().where(F.col("key").bitwiseAND(low) == low) \
-            .orderBy(F.desc("n"), F.get(order, a.cast("int")), F.get(order, b.cast("int"))).limit(1).collect()
+        a, b = F.shiftright("key", merge_segments.BITS), F.col("key").bitwiseAND(F.lit(merge_segments.LOW))
+        row = counts.orderBy(F.desc("n"), F.get(order, a.cast("int")), F.get(order, b.cast("int"))).limit(1).collect()
         if not row:
             return []
-        x, y = merge_blocks.split_key(row[0]["key"])
+        x, y = row[0]["key"] >> merge_segments.BITS, row[0]["key"] & merge_segments.LOW
         return [(x, y, numbers.setdefault(names[x] + names[y], len(names)), row[0]["n"])]
 
-    blocks = work.mapInArrow(merge_blocks.build(numbers, plain()), merge_blocks.SCHEMA).checkpoint(eager=True)
+    def least_count(known, times: np.ndarray, missing: int) -> int | None:
+        """The lowest of some counts whose segments have at most ``hot`` symbols; None if the first count has more."""
+        levels, k = [], 1
+        while k <= len(times) and k <= 4 * missing + 64:      # so many pairs mostly give the merges that are missing
+            levels.append(int(times[k - 1]))
+            k += max(1, k // 2)
+        levels = sorted(set(levels), reverse=True)
+        sizes = blocks.mapInArrow(merge_segments.segment_sizes(plain(), known, levels, bits), merge_segments.SIZES) \
+            .distinct().groupBy("level").agg(F.sum("size").alias("n")).collect()      # a row per level
+        sizes = {r["level"]: r["n"] << bits for r in sizes}
+        fitting = [least for i, least in enumerate(levels) if max(sizes.get(j, 0) for j in range(i + 1)) <= hot]
+        return fitting[-1] if fitting else None
+
+    def segments_of(known, least: int) -> merge_segments.Segments:
+        rows = blocks.mapInArrow(merge_segments.segments(plain(), known, least), merge_segments.SEGMENTS) \
+            .groupBy("segment").agg(F.sum("n").alias("n")).toArrow()
+        text = b"".join(rows["segment"].to_pylist())
+        size = np.array([len(x) // 4 for c in rows["segment"].chunks for x in c.to_pylist()], np.int64)
+        return merge_segments.Segments(np.frombuffer(text, np.int32), size, rows["n"].to_numpy(), names, numbers)
+
+    blocks = work.mapInArrow(merge_segments.build(numbers), merge_segments.SCHEMA).checkpoint(eager=True)
+    before = None
     merges: list[tuple] = []
-    held: list = []
-    rounds, fresh = 0, False
+    rounds = 0
     while len(merges) < n_merges:
-        batch, again = Round(known, numbers).plan(n_merges - len(merges)) if rounds else ([], False)
-        if not batch and not fresh and not (rounds and known.floor <= 1):
-            recount()
-            rounds, fresh = max(rounds, 1), True
-            continue
-        if not batch and known.floor > 1:
-            batch = first_pair()
-            again = bool(batch) and batch[0][2] < len(names)
-        if not batch:
+        counts = blocks.mapInArrow(merge_segments.count(plain()), merge_segments.COUNTS).groupBy("key").agg(F.sum("n").alias("n"))
+        top = counts.orderBy(F.desc("n"), "key").limit(most).toArrow()
+        if before is not None:
+            before.unpersist()               # the round's blocks are made
+        keys, times = top["key"].to_numpy(), top["n"].to_numpy()
+        if not len(keys):
             break
-        fresh = False
-        base = len(names)
-        for a, b, new, n in batch:
-            merges.append((names[a], names[b], n))
-            if new == len(names):
-                names.append(names[a] + names[b])
+        if len(keys) == most:                # pairs of the last count may be missing
+            keys, times = keys[times > times[-1]], times[times > times[-1]]
+        missing, base = n_merges - len(merges), len(names)
+        least = None
+        if len(keys):
+            by_key = np.argsort(keys)
+            known = sc.broadcast((keys[by_key], times[by_key]))       # ``most`` pairs
+            least = least_count(known, times, missing)
+            if least is not None:
+                batch, again = segments_of(known, least).learn(least, missing)
+            known.unpersist()
+        if least is None:
+            batch = first_pair(counts)
+            again = batch[0][2] < base
+            if not again:
+                names.append(names[batch[0][0]] + names[batch[0][1]])
+        merges += [(names[a], names[b], n) for a, b, _, n in batch]
+        rounds += 1
         if log:
             log(rounds, len(batch), len(merges))
         if len(merges) >= n_merges:
             break
-        rounds += 1
-        watched = sc.broadcast(np.array(known.keys(), np.int64))      # ``hot`` numbers, twice as many at most
-        out = blocks.where("state is not null").mapInArrow(
-            merge_blocks.step([m[:3] for m in batch], plain(), watched), merge_blocks.SCHEMA)
-        out = out.checkpoint(eager=True) if rounds % checkpoint_every == 0 else out.persist()
-        sums = out.where("key is not null").groupBy("key").agg(F.sum("delta").alias("n")).where("n <> 0")
-        least = F.lit(merge_blocks.NONE)
-        old = F.greatest(F.shiftright("key", 2 * merge_blocks.BITS), F.shiftright("key", merge_blocks.BITS).bitwiseAND(least),
-                         F.when(F.col("key").bitwiseAND(least) == least, 0).otherwise(F.col("key").bitwiseAND(least))) < base
-        rows = sums.where(old | (F.col("n") >= known.floor)).toArrow()   # watched keys, and new ones from the floor up
-        # the round is made: of the blocks one state is kept; a lost one is made again from the last checkpoint
-        blocks.unpersist()
-        held.append(watched)
-        blocks = out
-        if rounds % checkpoint_every == 0:
-            # what came before is no longer needed, not even after the loss of an executor
-            for sent in held:
-                sent.unpersist()
-            held = []
-        if again:
-            fresh = True
-            recount()      # a result that was a symbol before: counts of old keys may have risen
-        else:
-            known.change(list(zip(rows["key"].to_pylist(), rows["n"].to_pylist())))
-            if len(known) > 2 * hot:
-                known.trim(hot)
+        # a result that was a symbol before may make pairs that are merged already: it is applied by itself
+        steps = [m[:3] for m in batch]
+        out = blocks.mapInArrow(merge_segments.rewrite([steps[:-1], steps[-1:]] if again else [steps]), merge_segments.SCHEMA)
+        before, blocks = blocks, out.checkpoint(eager=True) if rounds % checkpoint_every == 0 else out.persist()
     blocks.unpersist()
-    for sent in held:
-        sent.unpersist()
+    if before is not None:
+        before.unpersist()
     return merges
 
 

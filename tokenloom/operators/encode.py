@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import IGNORE_INDEX
 from ..functions.text import words
-from . import chunked
+from . import chunked, merge_segments
 from .bpe import WORD_MARK, Subwords, _encoder
 from .vocab import Vocabulary
 
@@ -46,7 +46,7 @@ def lookup_ids(tokens: DataFrame, vocab: Vocabulary, tok_col: str = "_tok", out:
     return tokens.join(words_, tokens[tok_col] == F.col("_word"), "left").drop("_word")
 
 
-WORDS_KEPT = 300_000     # words whose pieces a task remembers between chunks
+WORDS_AT_ONCE = 100_000     # words that are merged together
 
 
 def _word_ids(unk: int):
@@ -60,27 +60,68 @@ def _word_ids(unk: int):
     return values
 
 
+def _in_order(merges: list[tuple]) -> bool:
+    """Whether every merge's symbols are made, once, by earlier merges or are characters: so it is for a learned list."""
+    made: set[str] = set()
+    for a, b, _ in merges:
+        if any(len(s) > 1 and s not in made for s in (a, b)) or a + b in made:
+            return False
+        made.add(a + b)
+    return True
+
+
+def _words_merger(merges: list[tuple], vocab_rows: list[tuple]):
+    """Function of a list of words: (ids, ids per word), the words merged all at once.
+
+    The same as ``bpe._encoder`` word by word.  Symbols are numbers: a character's code point, after them the merged pieces.
+    """
+    chars = 0x110000
+    numbers = {a + b: chars + i for i, (a, b, _) in enumerate(merges)}
+    number = lambda s: ord(s) if len(s) == 1 else numbers[s]
+    how = merge_segments.ranked([(number(a), number(b), numbers[a + b]) for a, b, _ in merges]) if merges else ()
+    names = list(numbers)
+    ids = {tok: i for i, tok in vocab_rows}
+    byte_id = [ids[f"<0x{b:02X}>"] for b in range(256)]
+
+    def piece(symbol: int) -> list[int]:
+        s = chr(symbol) if symbol < chars else names[symbol - chars]
+        return [ids[s]] if s in ids else [byte_id[b] for b in s.encode("utf-8")]
+
+    def merged(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sym = np.frombuffer("".join(WORD_MARK + w for w in words).encode("utf-32-le"), np.int32)
+        size = np.array([len(w) + 1 for w in words], np.int32)
+        if how:
+            sym, size = merge_segments.merge_words(sym, size, *how)
+        found, code = np.unique(sym, return_inverse=True)
+        pieces = [piece(x) for x in found.tolist()]
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        ends, flat = chunked.ragged(np.array([i for p in pieces for i in p], np.int32), np.array([len(p) for p in pieces], np.int64), ends, code)
+        return flat, np.diff(ends)
+    return merged
+
+
 def _word_pieces(merges: list[tuple], vocab_rows: list[tuple]):
     """Items' values: the ids of the pieces of each word."""
-    kept: dict = {}
+    in_order = _in_order(merges)
+    made: list = []         # the encoder, made once a task
+
+    def encoded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not made:
+            made.append((_words_merger if in_order else _encoder)(merges, vocab_rows))
+        if in_order:
+            return made[0](words)
+        pieces = [made[0](w) for w in words]
+        return np.array([i for p in pieces for i in p], np.int32), np.array([len(p) for p in pieces], np.int64)
 
     def values(words: pa.Array, found):
-        encode = kept.setdefault("", _encoder(merges, vocab_rows)) if "" not in kept else kept[""]     # no word is empty
-        pieces = []
-        for w in words.to_pylist():
-            if w not in kept:
-                if len(kept) > WORDS_KEPT:
-                    kept.clear()
-                    kept[""] = encode
-                kept[w] = np.array(encode(w), np.int32)
-            pieces.append(kept[w])
-        flat = np.concatenate(pieces) if pieces else np.zeros(0, np.int32)
-        size = np.array([len(p) for p in pieces], np.int64)
+        parts = [encoded(words.slice(lo, WORDS_AT_ONCE).to_pylist()) for lo in range(0, len(words), WORDS_AT_ONCE)]
+        flat, size = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.int32, np.int64)))
+        start = np.cumsum(size) - size
 
         def build(off, codes):
             ends, ids = chunked.ragged(flat, size, off, codes)
             return pa.LargeListArray.from_arrays(pa.array(ends), pa.array(ids))
-        return (lambda c: pieces[c].tolist()), build
+        return (lambda c: flat[start[c]:start[c] + size[c]].tolist()), build
     return values
 
 
