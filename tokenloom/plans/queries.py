@@ -15,8 +15,8 @@ from ..functions.joins import broadcast_if_small
 from ..functions.text import words
 from ..operators.align import add_system, align_columns, query_text, system_prompts
 from ..operators.batched import map_batches
-from ..operators.bpe import (WORD_MARK, Subwords, bpe_vocabulary, decompose, encode_bpe, merges_table, pair_counts,
-                             train_bpe, word_table)
+from ..operators.bpe import (WORD_MARK, Subwords, bpe_vocabulary, byte_tokens, decompose, encode_bpe, merges_table,
+                             pair_counts, train_bpe, word_table)
 from ..operators.embeddings import extend_long, gather_rows, mean_rows_long, resize_long, to_long
 from ..operators.encode import decode_ids, encode_texts
 from ..operators.examples import collate
@@ -26,7 +26,7 @@ from ..operators.ordinal import assign_batches, ordinal_from_key, with_ordinal,
 from ..operators.pack import batch_offsets, pack_text
 from ..operators.split import first_n_per_group, seeded_rank, split_exact, split_head
 from ..operators.templates import seg_text
-from ..operators.vocab import (build_vocab, char_coverage, check_subset, merge_vocab, missing_tokens,
+from ..operators.vocab import (SPECIAL_TOKENS, build_vocab, char_coverage, check_subset, merge_vocab, missing_tokens,
                                remap_ids, vocab_ratio, word_counts)
 from ..session import ensure_checkpoint_dir, stage_dir
 from ..sources.conversations import pair_rows, prompt_rows, sft_rows
@@ -422,22 +422,28 @@ BPE_MERGES = 32  # query parameter: merges learned per registered BPE query
 # recounts every pair for each merge.  Tests hold the merge list to sequential BPE.
 FULL_MERGES = 1_000
 
+# Pieces of the vocabulary that encode_bpe, pt_pack_bpe and decode_bpe learn: the reference's target_vocab_size.
+VOCAB_PIECES = 10_000
 
-def _bpe(spark, sf_dir, where: str | None = None, n_merges: int = BPE_MERGES):
+
+def _bpe(spark, sf_dir, where: str | None = None, n_merges: int = BPE_MERGES, pieces: int | None = None):
     """Word table, merges and BPE vocabulary learned from the (filtered) documents.
 
+    With ``pieces`` as many merges are learned as a vocabulary of that size has room for beside its fixed pieces and alphabet.
     The merges are a cached table (S7): another query of the session over the same files reads them back.
     """
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     if where is not None:
         docs = docs.where(where)
     counts = word_counts(docs, "text").checkpoint(eager=True)
-    learned = stage_table(lambda: merges_table(spark, train_bpe(word_table(counts), n_merges)), spark,
-                          f"{ensure_checkpoint_dir(spark).rstrip('/')}/learned-merges", fingerprint(docs, n_merges=n_merges))
-    merges = [(r["a"], r["b"], r["count"]) for r in learned.orderBy("rank").collect()]   # n_merges rows
     cov = char_coverage(docs, 0.9995, "text", counts=counts).where(F.col("kept") == 1) \
         .orderBy(F.col("cnt").desc(), F.col("ch").asc()).select("ch").collect()  # bounded by Unicode
     alphabet = [WORD_MARK] + [r["ch"] for r in cov]
+    if pieces is not None:
+        n_merges = max(0, pieces - len(SPECIAL_TOKENS) - len(byte_tokens()) - len(alphabet))
+    learned = stage_table(lambda: merges_table(spark, train_bpe(word_table(counts), n_merges)), spark,
+                          f"{ensure_checkpoint_dir(spark).rstrip('/')}/learned-merges", fingerprint(docs, n_merges=n_merges))
+    merges = [(r["a"], r["b"], r["count"]) for r in learned.orderBy("rank").collect()]   # n_merges rows
     return docs, merges, bpe_vocabulary(spark, merges, alphabet)
 
 
@@ -475,8 +481,8 @@ def q_pt_pack_bpe(spark, sf_dir):
 
 @register("decode_bpe")
 def q_decode_bpe(spark, sf_dir):
-    """K2, K3: documents encoded with the learned BPE and decoded again: their words, one space apart."""
-    docs, merges, vocab = _bpe(spark, sf_dir)
+    """K2, K3: documents through a learned vocabulary of 10,000 pieces and back to their words, one space apart."""
+    docs, merges, vocab = _bpe(spark, sf_dir, pieces=VOCAB_PIECES)
     sub = Subwords.of(vocab, merges)
     return decode_ids(encode_texts(docs, ["doc_id"], "text", sub), ["doc_id"], "input_ids", sub)
 
