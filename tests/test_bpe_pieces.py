@@ -41,3 +41,11 @@ def test_decode_bpe_learns_the_whole_vocabulary(spark, folder, asked):
     got = {r["doc_id"]: r["text"] for r in E.queries()["decode_bpe"](spark, folder).collect()}
     assert got == dict(enumerate(TEXTS)) | {100: "", 101: ""}
     assert asked == [ROOM]
+
+
+def test_encode_bpe_learns_the_whole_vocabulary(spark, folder, asked):
+    """So few words are all pieces of their own at this size."""
+    got = {r["doc_id"]: r for r in E.queries()["encode_bpe"](spark, folder).collect()}
+    assert {k: r["n_tokens"] for k, r in got.items()} == dict.fromkeys(range(len(TEXTS)), 150) | {100: 0, 101: 0}
+    assert len({i for r in got.values() for i in r["input_ids"].split()}) == len(WORDS)
+    assert asked == [ROOM]

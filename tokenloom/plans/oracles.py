@@ -376,8 +376,8 @@ ORACLES["stream_filter"] = ORACLES["pt_filter"]
 ORACLES["vocab_sink"] = ORACLES["vocab_merge"]
 
 # ---------------------------------------------------------------- BPE in SQL
-from .queries import BPE_MERGES  # noqa: E402
-from .sqlparts import SEG_WORDS, bpe_all_cte, bpe_encode_cte, seg_subword_ids_cte  # noqa: E402
+from .queries import BPE_MERGES, VOCAB_PIECES  # noqa: E402
+from .sqlparts import SEG_WORDS, bpe_all_cte, bpe_encode_cte, bpe_pieces_cte, seg_subword_ids_cte  # noqa: E402
 
 _ALL_DOCS = "SELECT text FROM documents"
 _EN = "SELECT text FROM documents WHERE lang = 'en'"
@@ -388,7 +388,7 @@ SELECT rank, a, b, CAST(count AS BIGINT) AS count FROM bm
 """
 
 ORACLES["encode_bpe"] = f"""
-WITH RECURSIVE {bpe_all_cte('b', _ALL_DOCS, str(BPE_MERGES), 'bwc')},
+WITH RECURSIVE {bpe_pieces_cte('b', _ALL_DOCS, VOCAB_PIECES)},
 d AS (SELECT doc_id, {words('text')} AS w FROM documents),
 t AS (SELECT doc_id, unnest(w) AS tok, unnest(generate_series(0, len(w) - 1)) AS pos FROM d),
 e AS (SELECT t.doc_id, flatten(list(benc.ids ORDER BY t.pos)) AS ids FROM t JOIN benc ON benc.token = t.tok

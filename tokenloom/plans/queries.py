@@ -463,8 +463,8 @@ def q_bpe_merges(spark, sf_dir):
 
 @register("encode_bpe")
 def q_encode_bpe(spark, sf_dir):
-    """K2: documents encoded with the learned merges (distinct words once, Arrow UDF)."""
-    docs, merges, vocab = _bpe(spark, sf_dir)
+    """K2: documents encoded with a learned vocabulary of 10,000 pieces (distinct words of a chunk once)."""
+    docs, merges, vocab = _bpe(spark, sf_dir, pieces=VOCAB_PIECES)
     enc = encode_bpe(docs, "doc_id", "text", merges, vocab)
     return enc.select("doc_id", ids_text("input_ids").alias("input_ids"),
                       F.size("input_ids").cast("bigint").alias("n_tokens"))

@@ -255,7 +255,12 @@ def bpe_encode_cte(p: str, source: str) -> str:
   FROM {p}app JOIN {p}m mm ON mm.rank = {p}app.k
 ),
 {p}fin AS (SELECT token, s FROM {p}app WHERE k = (SELECT count(*) FROM {p}m)),
-{p}pc AS (SELECT token, p, substr(x, 2) AS piece FROM
+{bpe_piece_ids_cte(p)}"""
+
+
+def bpe_piece_ids_cte(p: str) -> str:
+    """``{p}enc(token, ids)``: ids of the symbols of ``{p}fin(token, s)``."""
+    return f"""{p}pc AS (SELECT token, p, substr(x, 2) AS piece FROM
           (SELECT token, unnest(list_filter(string_split(s, chr(2)), lambda x: x <> '')) AS x,
                   unnest(generate_series(1, len(list_filter(string_split(s, chr(2)), lambda x: x <> '')))) AS p
            FROM {p}fin) y),
@@ -275,3 +280,58 @@ def bpe_all_cte(p: str, text_source: str, n_merges: str, encode_source: str | No
     if encode_source is not None:
         parts.append(bpe_encode_cte(p, encode_source))
     return ",\n".join(parts)
+
+
+def bpe_train_keyed_cte(p: str, n_merges: str) -> str:
+    """``{p}st`` (recursive, keyed), ``{p}m(rank, a, b, count)`` and ``{p}fin(token, s)``: the merges of :func:`bpe_train_cte` and
+    the words past all of them, for long merge lists.
+
+    The state holds every word (kind 0) and every merge (kind 1) once; an iteration rewrites the words it changes.  It
+    takes the first pairs in (count desc, left, right) order, up to the first one whose count or turn an earlier one may
+    change: the later pair (b, c) of three neighbours a, b, c, or (a, b) if that is the later one; a pair that the new pair (ab, c)
+    would come before, which takes that every (b, c) stands behind an a (else (ab, c) occurs less often than (b, c), which comes
+    after the pairs taken); the pair after one of two equal symbols.
+    """
+    return f"""{p}st(k, kind, token, cnt, s, a, b) USING KEY (k) AS (
+  SELECT row_number() OVER (), 0, token, CAST(cnt AS BIGINT),
+         array_to_string(list_transform(string_split('▁' || token, ''), lambda c: chr(1) || c || chr(2)), ''),
+         CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
+  FROM {p}wc
+  UNION
+  (WITH sy AS (SELECT k, token, cnt, s, list_transform(string_split(s[:-2], chr(2)), lambda x: x[2:]) AS l
+              FROM recurring.{p}st WHERE kind = 0),
+  pr AS MATERIALIZED (SELECT k, i, cnt, a, b
+         FROM (SELECT k, cnt, unnest(l[:-2]) AS a, unnest(l[2:]) AS b, unnest(range(1, len(l))) AS i FROM sy WHERE len(l) > 1) x
+         WHERE NOT (regexp_matches(a, '[0-9]') OR regexp_matches(b, '[0-9]'))),
+  pc AS MATERIALIZED (SELECT a, b, c, row_number() OVER (ORDER BY c DESC, a, b) AS rk, rank() OVER (ORDER BY c DESC) AS grp
+         FROM (SELECT a, b, CAST(sum(cnt) AS BIGINT) AS c FROM pr GROUP BY a, b) x),
+  tp AS MATERIALIZED (SELECT a, b, c, rk FROM pc WHERE grp <= 1000),
+  tr AS MATERIALIZED (SELECT k, i, cnt, pr.a, pr.b, c, rk FROM pr JOIN tp ON tp.a = pr.a AND tp.b = pr.b),
+  tri AS MATERIALIZED (SELECT x.rk AS r1, y.rk AS r2, any_value(x.a || x.b) AS a, any_value(y.b) AS b, any_value(y.c) AS c, sum(x.cnt) AS t
+         FROM tr x JOIN tr y ON y.k = x.k AND y.i = x.i + 1 GROUP BY x.rk, y.rk),
+  vr AS (SELECT v, greatest(v + 1, count(rk) OVER (ORDER BY c DESC, a, b, rk NULLS LAST ROWS UNBOUNDED PRECEDING) + 1) AS r
+         FROM (SELECT a, b, c, rk, NULL AS v FROM tp UNION ALL SELECT a, b, c, NULL, r1 FROM tri WHERE t = c AND r1 <> r2) x),
+  cut AS (SELECT min(r) AS rk FROM (SELECT greatest(r1, r2) AS r FROM tri WHERE r1 <> r2
+            UNION ALL SELECT r FROM vr WHERE v IS NOT NULL UNION ALL SELECT rk + 1 FROM tp WHERE a = b
+            UNION ALL SELECT 1001) x),
+  done AS (SELECT count(*) AS n FROM recurring.{p}st WHERE kind = 1),
+  bt AS MATERIALIZED (SELECT pc.a, pc.b, pc.c, pc.rk + done.n AS rank FROM pc, cut, done
+         WHERE pc.rk < cut.rk AND pc.rk + done.n <= ({n_merges})),
+  ch AS (SELECT k, list(DISTINCT chr(1) || pr.a || chr(2) || chr(1) || pr.b || chr(2)) AS ps
+         FROM pr JOIN bt ON bt.a = pr.a AND bt.b = pr.b GROUP BY k)
+  SELECT sy.k, 0, sy.token, sy.cnt,
+         list_reduce(list_prepend(sy.s, ch.ps), lambda x, y: replace(x, y, replace(y, chr(2) || chr(1), ''))),
+         CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
+  FROM sy JOIN ch ON ch.k = sy.k
+  UNION ALL
+  SELECT -rank, 1, NULL, c, NULL, a, b FROM bt)
+),
+{p}m AS (SELECT CAST(-k - 1 AS INTEGER) AS rank, a, b, cnt AS count FROM {p}st WHERE kind = 1),
+{p}fin AS (SELECT token, s FROM {p}st WHERE kind = 0)"""
+
+
+def bpe_pieces_cte(p: str, text_source: str, pieces: int, coverage: float = 0.9995) -> str:
+    """A vocabulary of ``pieces`` pieces learned from ``text_source``, and ``{p}enc(token, ids)`` of all its words."""
+    n = f"{p}nm AS (SELECT greatest(0, {pieces} - (259 + (SELECT count(*) FROM {p}alpha))) AS n)"
+    return ",\n".join([bpe_words_cte(p, text_source), bpe_cover_cte(p, coverage), n, bpe_train_keyed_cte(p, f"SELECT n FROM {p}nm"),
+                       bpe_vocab_cte(p), bpe_piece_ids_cte(p)])
