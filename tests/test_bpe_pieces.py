@@ -49,3 +49,9 @@ def test_encode_bpe_learns_the_whole_vocabulary(spark, folder, asked):
     assert {k: r["n_tokens"] for k, r in got.items()} == dict.fromkeys(range(len(TEXTS)), 150) | {100: 0, 101: 0}
     assert len({i for r in got.values() for i in r["input_ids"].split()}) == len(WORDS)
     assert asked == [ROOM]
+
+
+def test_pt_pack_bpe_learns_the_whole_vocabulary(spark, folder, asked):
+    got = E.queries()["pt_pack_bpe"](spark, folder).collect()
+    assert sorted((r["batch"], r["block"], r["n_tokens"]) for r in got) == [(0, n, 512) for n in range(12 * 150 // 512)]
+    assert asked == [ROOM]

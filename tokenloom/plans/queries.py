@@ -472,8 +472,8 @@ def q_encode_bpe(spark, sf_dir):
 
 @register("pt_pack_bpe")
 def q_pt_pack_bpe(spark, sf_dir):
-    """K2, Q1, Q2: pretraining blocks of 512 learned-BPE ids per batch of 100 documents."""
-    docs, merges, vocab = _bpe(spark, sf_dir)
+    """K2, Q1, Q2: pretraining blocks of 512 ids of a learned vocabulary of 10,000 pieces per batch of 100 documents."""
+    docs, merges, vocab = _bpe(spark, sf_dir, pieces=VOCAB_PIECES)
     blocks = pretrain_blocks(docs, vocab=Subwords.of(vocab, merges), block=512, batch_rows=100)
     return blocks.select("batch", "block", ids_text("input_ids").alias("input_ids"),
                          F.size("input_ids").cast("bigint").alias("n_tokens"))
